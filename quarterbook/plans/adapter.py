@@ -1,0 +1,58 @@
+"""Filings and information-table rows made from the star-schema tables, in SQL that Spark and DuckDB both read."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+RAW = """
+SELECT concat(cik, '-', CAST(year(period_end) AS {s}), '-', CAST(quarter(period_end) AS {s}), '-', flag) AS accession, cik, period_end, flag,
+  row_number() OVER (PARTITION BY cik, period_end, flag ORDER BY l_orderkey, l_partkey, l_linenumber, l_shipdate, l_quantity, l_extendedprice) AS row_seq,
+  concat('ISSUER ', CAST(l_partkey % 80 AS {s})) AS name, concat(lpad(CAST(l_partkey % 80 AS {s}), 6, '0'), lpad(CAST(l_partkey % 3 AS {s}), 2, '0'), '0') AS cusip,
+  CASE WHEN l_linenumber = 6 THEN 'Put' WHEN l_linenumber = 7 THEN 'Call' END AS put_call, CASE WHEN l_orderkey % 50 = 7 THEN 'PRN' ELSE 'SH' END AS unit,
+  CAST(l_quantity AS bigint) AS shares, CASE WHEN l_suppkey % 7 = 0 THEN CAST(floor(l_extendedprice / 10000) AS bigint) ELSE CAST(floor(l_extendedprice) AS bigint) END AS value_raw
+FROM (SELECT *, lpad(CAST(l_suppkey AS {s}), 10, '0') AS cik, l_returnflag AS flag, {q} AS period_end FROM lineitem) x
+"""
+FILINGS = """
+SELECT accession, cik, period_end, flag <> 'N' AS is_amendment, CASE flag WHEN 'R' THEN 'RESTATEMENT' WHEN 'A' THEN 'NEW HOLDINGS' END AS amendment_type, '' AS schema_version,
+  {d} * 24 + 1080 + (CAST(cik AS bigint) * 7 + CASE WHEN CAST(cik AS bigint) % 10 = 3 THEN 0 ELSE ascii(flag) * 13 END) % 97 AS accept_hours,
+  CASE WHEN CAST(cik AS bigint) % 13 = 0 THEN NULL ELSE CAST(sum(value_raw) AS bigint) + CASE WHEN CAST(cik AS bigint) % 11 = 0 THEN 1 ELSE 0 END END AS table_value_total
+FROM raw GROUP BY accession, cik, period_end, flag
+"""
+SPARK = {"s": "string", "q": "last_day(add_months(CAST(date_trunc('quarter', l_shipdate) AS date), 2))", "d": "datediff(period_end, DATE '1970-01-01')"}
+DUCK = {"s": "varchar", "q": "last_day(CAST(date_trunc('quarter', l_shipdate) AS date) + INTERVAL 2 month)", "d": "date_diff('day', DATE '1970-01-01', period_end)"}
+
+
+def tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """raw and filings."""
+    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    raw = spark.sql(RAW.format(**SPARK).replace("FROM lineitem", "FROM {lineitem}"), lineitem=lineitem)
+    filings = spark.sql(FILINGS.format(**SPARK).replace("FROM raw", "FROM {raw}"), raw=raw)
+    return raw, filings.selectExpr("*", "timestamp_seconds(accept_hours * 3600) AS acceptance")
+
+
+def oracle(query: str) -> str:
+    """A DuckDB query over raw, filings, folded, units, positions, book and what they make."""
+    return f"WITH raw AS ({RAW.format(**DUCK)}), filings AS ({FILINGS.format(**DUCK)}), {SHARED.strip()}\n{query}"
+
+
+SHARED = """
+units AS (
+  SELECT f.accession, m.med, CASE WHEN m.med IS NULL THEN 'THOUSANDS' WHEN m.med < 1 THEN 'THOUSANDS' WHEN m.med <= 5000 THEN 'DOLLARS' ELSE 'THOUSANDS' END AS units, coalesce(m.med > 5000, false) AS implausible
+  FROM filings f LEFT JOIN (SELECT accession, median(value_raw / shares) AS med FROM raw WHERE put_call IS NULL AND unit = 'SH' AND shares > 0 AND value_raw > 0 GROUP BY 1) m USING (accession)
+), ordered AS (
+  SELECT *, sum(CASE WHEN amendment_type = 'NEW HOLDINGS' THEN 0 ELSE 1 END) OVER (PARTITION BY cik, period_end ORDER BY accept_hours, accession ROWS UNBOUNDED PRECEDING) AS epoch FROM filings
+), folded AS (SELECT * FROM ordered QUALIFY epoch = max(epoch) OVER (PARTITION BY cik, period_end)
+), book AS (
+  SELECT *, sum(CASE WHEN put_call = '' AND unit = 'SH' THEN value_usd END) OVER (PARTITION BY cik, period_end) AS value_long FROM (
+    SELECT r.cik, r.period_end, cusip, coalesce(put_call, '') AS put_call, unit, CAST(sum(CASE WHEN units = 'THOUSANDS' THEN value_raw * 1000 ELSE value_raw END) AS bigint) AS value_usd, CAST(sum(shares) AS bigint) AS shares, count(*) AS row_count
+    FROM raw r JOIN folded f USING (accession) JOIN units USING (accession) GROUP BY ALL)
+), books AS (SELECT DISTINCT cik, period_end FROM book
+), changes AS (
+  SELECT coalesce(n.cik, p.cik) AS cik, coalesce(n.period_end, p.period_end) AS period_end, coalesce(n.cusip, p.cusip) AS cusip, coalesce(n.put_call, p.put_call) AS put_call, coalesce(n.unit, p.unit) AS unit,
+    n.value_usd AS v, n.shares AS s, p.value_usd AS pv, p.shares AS ps, n.value_usd / n.value_long * 100 AS w, p.value_usd / p.value_long * 100 AS pw,
+    CASE WHEN p.shares IS NULL THEN 'NEW' WHEN n.shares IS NULL THEN 'EXITED' WHEN n.shares > p.shares THEN 'ADDED' WHEN n.shares < p.shares THEN 'TRIMMED' ELSE 'HELD' END AS action
+  FROM (SELECT b.* FROM book b JOIN books q ON b.cik = q.cik AND q.period_end = last_day(b.period_end - INTERVAL 3 month)) n
+  FULL JOIN (SELECT b.* REPLACE (last_day(b.period_end + INTERVAL 3 month) AS period_end) FROM book b JOIN books q ON b.cik = q.cik AND q.period_end = last_day(b.period_end + INTERVAL 3 month)) p
+    ON n.cik = p.cik AND n.period_end = p.period_end AND n.cusip = p.cusip AND n.put_call = p.put_call AND n.unit = p.unit
+)
+"""
