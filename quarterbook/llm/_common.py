@@ -27,7 +27,7 @@ def shared_folder(spark: SparkSession) -> str:
 def staged(df: DataFrame, label: str) -> DataFrame:
     """The same rows, written to the shared folder and read from there: cuts lineage, and survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

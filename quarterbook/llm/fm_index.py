@@ -48,17 +48,16 @@ class Wavelet:
 
 
 class FMIndex:
-    """An index of texts, each a row of symbols from 1; a text's suffixes end at its border, so no match goes over it."""
+    """An index of texts, rows of symbols from 1 that follow each other; a text's suffixes end at its border, so no match goes over it."""
 
-    def __init__(self, texts: list[np.ndarray]):
-        lengths = np.array([len(t) for t in texts], np.int64)
-        self.limit = 1 + max((int(t.max(initial=0)) for t in texts), default=0)
-        n = int(lengths.sum()) + len(texts)
-        sequence, owner = np.zeros(n, np.int64), np.repeat(np.arange(len(texts)), lengths + 1)
+    def __init__(self, symbols: np.ndarray, lengths: np.ndarray):
+        self.limit = 1 + int(symbols.max(initial=0))
+        n = len(symbols) + len(lengths)
+        sequence, owner = np.zeros(n, np.int64), np.repeat(np.arange(len(lengths)), lengths + 1)
         inside = np.ones(n, bool)
         ends = np.cumsum(lengths + 1) - 1
         inside[ends] = False
-        sequence[inside] = np.concatenate(texts) if texts else []
+        sequence[inside] = symbols
         suffixes = self._sorted(sequence, ends, int(lengths.max(initial=0)) + 1)
         self.owner = owner[suffixes]
         before = sequence[suffixes - 1]

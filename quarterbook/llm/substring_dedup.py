@@ -4,7 +4,7 @@ A shard must hold all windows that can be equal. So a window (of `min_words` wor
 its runs of five words; windows in a row with one anchor travel together as a segment. Anchors found in one document
 only are left out first, and exact copies of a whole text are settled by its digest. The distinct
 segments of a shard, each with the smallest id that holds it, make a compressed FM-index; segments stream past it in
-backward search, and for each window that matches at full length the smallest id over its interval of suffixes is reported.
+backward search, and for each window that matches at full length the smallest id over its interval of suffixes is reported. Words are held as hashes of 64 bits.
 """
 
 from __future__ import annotations
@@ -15,72 +15,76 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import arrow_rows, slices, staged, words_of
 from .fm_index import FMIndex
-from .word_hashes import anchored, hashed, runs
+from .word_hashes import PRIME, anchored, keys_of, mixed, stretches, word_hashes
 
 RUN = 5
 HOT = 20_000  # documents with one anchor from which its windows go each by their own hash
-SHARD_WORDS = 300_000
+SHARD_BYTES = 1_500_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 KEYS = ["_id", "_text_hash"]
 
 
 def _anchors(rows: DataFrame, window: int) -> DataFrame:
-    """anchor and the document's keys, once for each anchor of a text."""
+    """anchor and the document's key, once for each anchor of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
-            anchors, row = [], []
-            for i, text in enumerate(batch.column("_text").to_pylist()):
-                own = {a for a, _, _ in anchored(hashed(words_of(text)), window, RUN)}
-                anchors += own
-                row += [i] * len(own)
-            row = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), *(batch.column(k).take(row) for k in KEYS)], names=["anchor", *KEYS])
+        for batch in slices(batches, "_text", 1 << 20):
+            h, counts, *_ = word_hashes(batch.column("_text").to_pylist())
+            anchor, text, _, _ = anchored(h, counts, window, RUN)
+            order = np.lexsort([anchor, text])
+            anchor, text = anchor[order], text[order]
+            new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])])[: len(anchor)]
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[new]), batch.column("_key").take(pa.array(text[new]))], names=["anchor", "_key"])
 
-    return rows.mapInArrow(run, f"anchor long, _id {rows.schema['_id'].dataType.simpleString()}, _text_hash long")
+    return rows.mapInArrow(run, "anchor long, _key long")
 
 
-def _segments(candidates: DataFrame, window: int) -> DataFrame:
-    """route, segment (words joined by one blank), its key, the document's keys and its first window."""
-    kind = candidates.schema["_id"].dataType.simpleString()
+def _segments(candidates: DataFrame, window: int, words_too: bool) -> DataFrame:
+    """Segments under shared anchors. words_too: route, segment (words joined by one blank) and the document's id; else key, first window and the document's keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text", 1 << 20):
-            route, segment, first, row = [], [], [], []
-            held = zip(batch.column("_text").to_pylist(), batch.column("plain").to_pylist(), batch.column("hot").to_pylist(), strict=True)
-            for i, (text, plain, hot) in enumerate(held):
-                words, plain, hot = words_of(text), set(plain or ()), set(hot or ())
-                h = hashed(words)
-                whole = runs(h, window).view(np.int64).tolist() if hot else []
-                for anchor, start, n in anchored(h, window, RUN):
-                    if anchor in plain:
-                        route.append(anchor), segment.append(b" ".join(words[start : start + n + window - 1]).decode()), first.append(start), row.append(i)
-                    elif anchor in hot:
-                        for s in range(start, start + n):
-                            route.append(whole[s]), segment.append(b" ".join(words[s : s + window]).decode()), first.append(s), row.append(i)
-            row = pa.array(row, pa.int64())
-            key = [xxhash.xxh3_128_digest(s.encode()) for s in segment]
-            made = [pa.array(route, pa.int64()), pa.array(segment, pa.string()), pa.array(key, pa.binary()), pa.array(first, pa.int32())]
-            yield pa.RecordBatch.from_arrays([*made, *(batch.column(k).take(row) for k in KEYS)], names=["route", "segment", "key", "first", *KEYS])
-
-    return candidates.mapInArrow(run, f"route long, segment string, key binary, first int, _id {kind}, _text_hash long")
-
-
-def smallest_owners(segments: list[list[bytes]], owners: np.ndarray, window: int) -> list[np.ndarray]:
-    """For each segment and each of its windows the smallest owner of a segment that holds the window, by one FM-index."""
-    number: dict[bytes, int] = {}
-    coded = [np.array([number.setdefault(w, len(number) + 1) for w in s], np.int64) for s in segments]
-    index = FMIndex(coded)
-    stream = np.concatenate(coded)
-    starts = np.cumsum([0] + [len(c) for c in coded])
-    ends = np.concatenate([np.arange(a + window, b + 1) for a, b in zip(starts[:-1], starts[1:], strict=True)])
-    of = np.repeat(np.arange(len(coded)), [len(c) - window + 1 for c in coded])
+            h, counts, whole, opens, closes = word_hashes(batch.column("_text").to_pylist())
+            anchor, text, first, n = anchored(h, counts, window, RUN)
+            # whether an anchor is in its text's list: by one hash of both (a chance match only sends a segment in vain)
+            tagged = lambda a, t: mixed(a.view(np.uint64) + t.astype(np.uint64) * PRIME)
+            own, lists = tagged(anchor, text), {}
+            for c in ("plain", "hot"):
+                column = batch.column(c)
+                lists[c] = np.isin(own, tagged(column.flatten().to_numpy(), np.repeat(np.arange(len(column)), column.value_lengths().to_numpy())))
+            hot = np.flatnonzero(lists["hot"])
+            plain = np.flatnonzero(lists["plain"] & ~lists["hot"])
+            start = first + (np.cumsum(counts) - counts)[text]
+            # under a hot anchor each window goes alone, by its own hash
+            single = np.repeat(start[hot], n[hot]) + np.arange(n[hot].sum()) - np.repeat(np.cumsum(n[hot]) - n[hot], n[hot])
+            begin = np.concatenate([start[plain], single])
+            end = np.concatenate([start[plain] + n[plain], single + 1]) + window - 1
+            text = np.concatenate([text[plain], np.repeat(text[hot], n[hot])])
+            row = pa.array(text)
+            keys = stretches(h, begin, end)
+            if words_too:
+                route = np.concatenate([anchor[plain], keys[len(plain) :, 0].view(np.int64)])
+                joined = pa.array([b" ".join(whole[a:b].split()) for a, b in zip(opens[begin].tolist(), closes[end - 1].tolist(), strict=True)], pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(route), joined, batch.column("_id").take(row)], names=["route", "segment", "_id"])
+            else:
+                place = pa.array((begin - (np.cumsum(counts) - counts)[text]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([keys_of(keys), place, *(batch.column(k).take(row) for k in KEYS)], names=["key", "first", *KEYS])
+
+    return candidates.mapInArrow(run, "route long, segment string, _id long" if words_too else "key binary, first int, _id long, _text_hash long")
+
+
+def smallest_owners(words: np.ndarray, counts: np.ndarray, owners: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of each segment (of `counts` hashed words) the smallest owner of a segment that holds it, by one FM-index; and the number of windows of each."""
+    stream = np.unique(words, return_inverse=True)[1] + 1
+    index = FMIndex(stream, counts)
+    windows = counts - window + 1
+    of = np.repeat(np.arange(len(counts)), windows)
+    ends = window + (np.cumsum(counts) - counts)[of] + np.arange(len(of)) - (np.cumsum(windows) - windows)[of]
     # each window is in the index as itself: one that stands in no second place is its own segment's
     length, low, high = index.matches(stream, ends, window, fewest=2)
     out, again = owners[of], np.flatnonzero(length == window)
@@ -90,30 +94,33 @@ def smallest_owners(segments: list[list[bytes]], owners: np.ndarray, window: int
         borders = np.stack([lows, high[again][first]], 1).ravel()
         held = np.append(owners[index.owner], np.iinfo(np.int64).max)
         out[again] = np.minimum.reduceat(held, borders)[::2][at]
-    return np.split(out, np.cumsum(np.bincount(of, minlength=len(coded)))[:-1])
+    return out, windows
 
 
 def _owned(distinct: DataFrame, window: int) -> DataFrame:
     """key and the smallest owner of each window, for segments that come by route, all of one route in a row."""
 
-    def solve(rows: list[tuple[int, str, int]]) -> pa.RecordBatch:
-        words = [s.encode().split(b" ") for _, s, _ in rows]
-        least = smallest_owners(words, np.array([o for _, _, o in rows], np.int64), window)
-        keys = [xxhash.xxh3_128_digest(s.encode()) for _, s, _ in rows]
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([x.tolist() for x in least], pa.list_(pa.int64()))], names=["key", "least"])
+    def solve(segments: list[str], owners: list[int]) -> pa.RecordBatch:
+        h, counts, *_ = word_hashes(segments)
+        least, windows = smallest_owners(h, counts, np.array(owners, np.int64), window)
+        ends = np.cumsum(counts)
+        keys = keys_of(stretches(h, ends - counts, ends))
+        return pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(windows)]), pa.int32()), pa.array(least))], names=["key", "least"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, str, int]] = []
-        size = 0
+        segments: list[str] = []
+        owners: list[int] = []
+        size, last = 0, None
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("route", "segment", "owner")), strict=True):
-                if size >= SHARD_WORDS and row[0] != held[-1][0]:
-                    yield solve(held)
-                    held, size = [], 0
-                held.append(row)
-                size += row[1].count(" ") + 1
-        if held:
-            yield solve(held)
+            for route, segment, owner in zip(*(batch.column(c).to_pylist() for c in ("route", "segment", "owner")), strict=True):
+                if size >= SHARD_BYTES and route != last:
+                    yield solve(segments, owners)
+                    segments, owners, size = [], [], 0
+                segments.append(segment)
+                owners.append(owner)
+                size, last = size + len(segment), route
+        if segments:
+            yield solve(segments, owners)
 
     return distinct.mapInArrow(run, "key binary, least array<bigint>")
 
@@ -154,16 +161,18 @@ def repeated_passages(docs: DataFrame, min_words: int = 13, id_col: str = "doc_i
         raise ValueError(f"at least {RUN} words")
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_text_hash", F.xxhash64("_text"))
     named = rows.where(F.col("_id").isNotNull())
-    anchors = _anchors(named, min_words)
+    key = F.xxhash64(*KEYS).alias("_key")  # of two documents with one key each gets the other's anchors too, in vain
+    anchors = _anchors(named.select("_text", key), min_words)
     shared = staged(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", (F.col("n") > HOT).alias("hot")), "anchors")
     digest = F.unhex(F.sha2("_text", 256))
-    firsts = named.groupBy(digest.alias("_digest")).agg(F.min(F.struct(*KEYS)).alias("f")).select("f.*")
-    lists = anchors.join(shared, "anchor").groupBy(*KEYS).agg(F.collect_list(F.when(~F.col("hot"), F.col("anchor"))).alias("plain"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
-    candidates = staged(named.join(firsts.join(lists, KEYS), KEYS), "candidates")
-    distinct = _segments(candidates, min_words).groupBy("route", "segment").agg(F.min("_id").alias("owner"))
+    firsts = staged(named.groupBy(digest.alias("_digest")).agg(F.min(F.struct(*KEYS)).alias("f")).select("f.*"), "firsts")
+    lists = anchors.join(shared, "anchor").groupBy("_key").agg(F.collect_list(F.when(~F.col("hot"), F.col("anchor"))).alias("plain"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
+    wanted = firsts.select("*", key).join(lists, "_key").drop("_key")
+    candidates = staged(named.join(wanted, KEYS), "candidates")
+    distinct = _segments(candidates, min_words, True).groupBy("route", "segment").agg(F.min("_id").alias("owner"))
     shards = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     owned = _owned(distinct.repartition(shards, "route").sortWithinPartitions("route"), min_words)
-    places = _segments(candidates, min_words).select("key", "first", *KEYS).join(owned, "key")
+    places = _segments(candidates, min_words, False).join(owned, "key")
     starts = F.filter(F.transform("least", lambda x, i: F.when(x < F.col("_id"), i + F.col("first"))), lambda x: x.isNotNull())
     cut = places.select(*KEYS, starts.alias("starts")).where(F.size("starts") > 0).groupBy(*KEYS).agg(F.collect_list("starts").alias("starts"))
     removed = _kept(candidates.dropDuplicates(KEYS).join(cut, KEYS), min_words)

@@ -3,26 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import xxhash
+import pyarrow as pa
 
-KNOWN = 400_000
 PRIME = np.uint64(0x9E3779B185EBCA87)
-
-
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_WORDS = _Words()
-
-
-def hashed(words: list[bytes]) -> np.ndarray:
-    """A 64-bit hash of each word."""
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+# odd numbers and their inverses mod 2**64
+BASES = tuple((np.uint64(b), np.uint64(pow(b, -1, 1 << 64))) for b in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -39,16 +24,75 @@ def runs(h: np.ndarray, n: int) -> np.ndarray:
     return mixed(out)
 
 
-def anchored(h: np.ndarray, window: int, size: int) -> list[tuple[int, int, int]]:
-    """(anchor, first window, number of windows): windows in a row whose least run of `size` words is the same one.
+_BYTE = np.random.default_rng(11).integers(0, 1 << 64, 256, np.uint64)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of BASES[k] and of its inverse."""
+    held = _POWERS.get(k)
+    if held is None or len(held[0]) < n:
+        size = max(n, 1 << 20)
+        held = tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, b, np.uint64)])) for b in BASES[k])
+        if n <= 1 << 22:
+            _POWERS[k] = held
+    return held[0][:n], held[1][:n]
+
+
+def _sums(values: np.ndarray, start: np.ndarray, end: np.ndarray, k: int) -> np.ndarray:
+    """For each stretch the sum of its values times powers of BASES[k], counted from its own start, and of its length."""
+    power, undo = _powers(k, len(values) + 1)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(values * undo[:-1])])
+    return mixed((sums[end] - sums[start]) * power[start] + (end - start).astype(np.uint64) * PRIME)
 
-    The anchor is that run's hash: it depends on a window's words alone, so equal windows have equal anchors.
+
+def word_hashes(texts: list[str | bytes | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of the texts in a row, the number of words of each text; the texts' bytes with each word's start and end in them."""
+    raw = [b"" if t is None else t if isinstance(t, bytes) else t.encode() for t in texts]
+    whole = b"\n".join(raw) + b"\n"
+    if lower:
+        whole = whole.lower()
+    b = np.frombuffer(whole, np.uint8)
+    blank = (b == 32) | ((b >= 9) & (b <= 13))
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], blank]).astype(np.int8)))  # turns: start, end, start, ...
+    start, end = edge[::2], edge[1::2]
+    borders = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1)
+    counts = np.diff(np.concatenate([[0], np.searchsorted(start, borders)]))
+    return _sums(_BYTE[b], start, end, 0), counts, whole, start, end
+
+
+def least_of(g: np.ndarray, span: int) -> np.ndarray:
+    """The least of each `span` values in a row, by doubling."""
+    reach = 1
+    while reach * 2 <= span:
+        g = np.minimum(g[:-reach], g[reach:])
+        reach *= 2
+    return np.minimum(g[: len(g) - (span - reach)], g[span - reach :]) if reach < span else g
+
+
+def anchored(h: np.ndarray, counts: np.ndarray, window: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """anchor, text, first window and number of windows: windows in a row whose least run of `size` words is the same.
+
+    h has the words of texts of `counts` words. The anchor is that run's hash: it depends on a window's words
+    alone, so equal windows have equal anchors.
     """
     if len(h) < window:
-        return []
-    g = runs(h, size)
-    span = window - size + 1
-    at = np.lib.stride_tricks.sliding_window_view(g, span).argmin(1) + np.arange(len(g) - span + 1)
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    count = np.diff(np.concatenate([first, [len(at)]]))
-    return list(zip(g[at[first]].view(np.int64).tolist(), first.tolist(), count.tolist(), strict=True))
+        return np.zeros(0, np.int64), *[np.zeros(0, np.int64)] * 3
+    least = least_of(runs(h, size), window - size + 1)
+    text = np.repeat(np.arange(len(counts)), counts)[: len(least)]
+    ends = np.cumsum(counts)
+    at = np.flatnonzero(np.arange(len(least)) + window <= ends[text])
+    least, text = least[at], text[at]
+    first = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1)])) if len(at) else at
+    n = np.diff(np.concatenate([first, [len(at)]]))
+    text = text[first]
+    return least[first].view(np.int64), text, at[first] - (ends - counts)[text], n
+
+
+def stretches(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A key of 16 bytes for each stretch of words, from two sums over its words."""
+    return np.stack([_sums(mixed(h + PRIME * np.uint64(k)), start, end, k) for k in range(2)], 1)
+
+
+def keys_of(pairs: np.ndarray) -> pa.Array:
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(pairs), [None, pa.py_buffer(np.ascontiguousarray(pairs).tobytes())]).cast(pa.binary())
