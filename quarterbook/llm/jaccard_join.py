@@ -20,20 +20,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import slices, staged, words_of
-from .word_hashes import hashed, runs
+from ._common import slices, staged
+from .word_hashes import runs, word_hashes
 
 SIZE = 5
 PERCENT = 80
 BUCKETS = 20  # bits: shingles are counted in 2**20 buckets, whatever the corpus
 BLOCK = 512  # sets in a trie at most
+FEW_IDS = 500_000  # ids that are broadcast at most
 PAIRED = 128  # documents under one token that are paired; more are dealt to blocks
 
 
+def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
+    """Each text's distinct hashes of all runs of five words, ASCII letters in lower case; of the whole if there are fewer words."""
+    h, counts, *_ = word_hashes(texts, lower=True)
+    all_runs = runs(h, SIZE).view(np.int64) if len(h) >= SIZE else np.zeros(0, np.int64)
+    out, at = [], 0
+    for n in counts.tolist():
+        out.append(np.unique(all_runs[at : at + n - SIZE + 1]) if n >= SIZE else runs(h[at : at + n], n).view(np.int64) if n else np.zeros(0, np.int64))
+        at += n
+    return out
+
+
 def shingles(text: str | None) -> np.ndarray:
-    """The distinct hashes of all runs of five words, ASCII letters in lower case; of the whole if there are fewer words."""
-    words = [w.lower() for w in words_of(text)]
-    return np.unique(runs(hashed(words), SIZE).view(np.int64)) if words else np.zeros(0, np.int64)
+    return shingle_sets([text])[0]
 
 
 def _bucket(tokens: np.ndarray) -> np.ndarray:
@@ -56,8 +66,8 @@ def signed(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BUCKETS, np.int64)
         names = ["_id", "n", "digest"]
-        for batch in slices(batches, "_text"):
-            sets = [shingles(t) for t in batch.column("_text").to_pylist()]
+        for batch in slices(batches, "_text", 1 << 20):
+            sets = shingle_sets(batch.column("_text").to_pylist())
             if sets:
                 total += np.bincount(_bucket(np.concatenate(sets)), minlength=len(total))
             digest = [hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets]
@@ -221,27 +231,36 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     firsts = staged(named.groupBy("digest").agg(F.min("_id").alias("_id"), F.first("n").alias("n")), "firsts")
 
     def first_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
-            sets = [shingles(t) for t in batch.column("_text").to_pylist()]
+        for batch in slices(batches, "_text", 1 << 20):
+            sets = shingle_sets(batch.column("_text").to_pylist())
             tokens = [ordered(s, table.value)[: prefix_length(len(s))].tolist() for s in sets]
             digest = [hashlib.md5(s.tobytes()).digest() for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(digest, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))], names=["_id", "digest", "tokens"])
 
     prefixes = rows.where(F.col("_id").isNotNull() & F.col("_text").isNotNull()).mapInArrow(first_tokens, "_id long, digest binary, tokens array<bigint>").where(F.size("tokens") > 0)
-    posts = prefixes.join(firsts, ["digest", "_id"]).select(F.col("_id").alias("doc"), "n", F.posexplode("tokens").alias("pos", "token"))
+    prefixes = staged(prefixes.join(firsts, ["digest", "_id"]).select(F.col("_id").alias("doc"), "n", "tokens"), "prefixes")
     shared = staged(prefixes.select(F.explode("tokens").alias("token")).groupBy("token").count().where("count > 1").select("token"), "tokens")
-    posts = staged(posts.join(shared, "token"), "posts")
+    posts = staged(prefixes.select("doc", "n", F.explode("tokens").alias("token")).join(shared, "token"), "posts")
     fits = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
 
+    def can_reach(k, n, m):
+        """Whether sets of n and m tokens with k common ones in their prefixes can link: up to the end of the prefix that ends first all
+        other tokens differ, so the overlap is at most k and what the set of that prefix has beyond it."""
+        beyond = lambda size: F.ceil(size * PERCENT / 100) - 1
+        return (k + F.greatest(beyond(n), beyond(m))) * (100 + PERCENT) >= (n + m) * PERCENT
+
     def sets_of(wanted: DataFrame) -> DataFrame:
         """doc and tokens, the whole ordered set as bytes, of the ids in wanted (doc)."""
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, "_text"):
-                sets = [ordered(shingles(t), table.value).tobytes() for t in batch.column("_text").to_pylist()]
+            for batch in slices(batches, "_text", 1 << 20):
+                sets = [ordered(s, table.value).tobytes() for s in shingle_sets(batch.column("_text").to_pylist())]
                 yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(sets, pa.binary())], names=["doc", "tokens"])
 
-        return rows.join(wanted.select(F.col("doc").alias("_id")).distinct(), "_id").where(F.col("_text").isNotNull()).mapInArrow(whole, "doc long, tokens binary")
+        ids = wanted.select(F.col("doc").alias("_id")).distinct()
+        if wanted.count() <= FEW_IDS:  # at most 4 MB: texts need not move; beyond that they are joined
+            ids = F.broadcast(ids)
+        return rows.join(ids, "_id").where(F.col("_text").isNotNull()).mapInArrow(whole, "doc long, tokens binary")
 
     def held_against(pairs: DataFrame) -> DataFrame:
         """Links among the documents of each centre, in blocks of about BLOCK sets."""
@@ -253,7 +272,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return staged(_links(blocks, ["block", "part"]), "links")
 
     centres = staged(posts.groupBy("token").agg(F.min(F.struct("doc", "n")).alias("c")).select("token", F.col("c.doc").alias("centre"), F.col("c.n").alias("m")), "centres")
-    stars = posts.join(centres, "token").where((F.col("doc") != F.col("centre")) & fits(F.col("n"), F.col("m"))).select("centre", "doc").distinct()
+    # a first pass that joins most of what is alike; whatever it leaves out (such as tokens with another centre) comes after it
+    stars = posts.join(centres, "token").where((F.col("doc") != F.col("centre")) & fits(F.col("n"), F.col("m")))
+    stars = stars.groupBy("doc", "centre", "n", "m").agg(F.count("*").alias("k")).where(can_reach(F.col("k"), F.col("n"), F.col("m"))).select("centre", "doc")
     links = held_against(staged(stars, "stars"))
     joined = staged(components(links), "components")
     # what stands under one token in more than one component
@@ -261,11 +282,11 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     open_tokens = staged(placed.groupBy("token").agg(F.count("*").alias("size"), F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("token", "size"), "open")
     left = staged(placed.join(open_tokens, "token"), "left")
     few = left.where(F.col("size") <= PAIRED).drop("size")
-    other = few.select("token", *[F.col(c).alias(f"{c}2") for c in ("doc", "n", "pos", "component")])
+    other = few.select("token", *[F.col(c).alias(f"{c}2") for c in ("doc", "n", "component")])
     met = few.join(other, "token").where((F.col("doc") < F.col("doc2")) & (F.col("component") != F.col("component2")) & fits(F.col("n"), F.col("n2")))
-    # after its last common token a pair shares no more than what follows in either set
-    met = met.groupBy("doc", "doc2", "n", "n2").agg(F.count("*").alias("k"), F.max("pos").alias("p"), F.max("pos2").alias("p2"))
-    likely = met.where((F.col("k") + F.least(F.col("n") - F.col("p"), F.col("n2") - F.col("p2")) - 1) * (100 + PERCENT) >= (F.col("n") + F.col("n2")) * PERCENT)
+    # all common tokens of such a pair are among these, unless it meets under a large one below
+    met = met.groupBy("doc", "doc2", "n", "n2").agg(F.count("*").alias("k"))
+    likely = met.where(can_reach(F.col("k"), F.col("n"), F.col("n2")))
     more = held_against(staged(likely.select(F.col("doc").alias("centre"), F.col("doc2").alias("doc")), "likely"))
     # large tokens: their documents in chunks, each two chunks in a block
     many = left.where(F.col("size") > PAIRED)
