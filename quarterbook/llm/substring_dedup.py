@@ -1,7 +1,7 @@
 """Substring dedup: passages of a document that also stand in a document of a smaller id, by FM-indexes of shards.
 
 A shard must hold all windows that can be equal. So a window (of `min_words` words) goes by its anchor, the least hash of
-its runs of five words; windows in a row with one anchor travel together as a segment. Anchors found in one document
+its runs of four words; windows in a row with one anchor travel together as a segment. Anchors found in one document
 only are left out first, and exact copies of a whole text are settled by its digest. The distinct
 segments of a shard, each with the smallest id that holds it, make a compressed FM-index; segments stream past it in
 backward search, and for each window that matches at full length the smallest id over its interval of suffixes is reported. Words are held as hashes of 64 bits.
@@ -22,7 +22,7 @@ from ._common import arrow_rows, slices, staged, words_of
 from .fm_index import FMIndex
 from .word_hashes import PRIME, anchored, keys_of, mixed, stretches, word_hashes
 
-RUN = 5
+RUN = 4
 HOT = 20_000  # documents with one anchor from which its windows go each by their own hash
 SHARD_BYTES = 1_500_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -180,10 +180,10 @@ def repeated_passages(docs: DataFrame, min_words: int = 13, id_col: str = "doc_i
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
             words = [words_of(t) for t in batch.column("_text").to_pylist()]
-            made = [pa.array(map(len, words), pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in words], pa.string()), pa.array(map(len, batch.column("_text").to_pylist()), pa.int64())]
+            made = [pa.array(map(len, words), pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).digest() for w in words], pa.binary()), pa.array(map(len, batch.column("_text").to_pylist()), pa.int64())]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in KEYS), *made], names=[*KEYS, "n_words", "_whole", "_length"])
 
-    every = rows.mapInArrow(count, "_id long, _text_hash long, n_words long, _whole string, _length long")
+    every = rows.mapInArrow(count, "_id long, _text_hash long, n_words long, _whole binary, _length long")
     joined = every.join(firsts.withColumn("_first", F.lit(True)), KEYS, "left").join(removed, KEYS, "left")
     copy = F.col("_first").isNull() & F.col("_id").isNotNull() & (F.col("n_words") >= min_words)
     everything = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("_length").alias("end")))
@@ -191,7 +191,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 13, id_col: str = "doc_i
         F.col("_id").alias(id_col), "_text_hash", "n_words",
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copy, everything).otherwise(F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>"))).alias("spans"),
-        F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "_whole")).alias("kept_sha256"),
+        F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("_whole")))).alias("kept_sha256"),
     )
 
 
