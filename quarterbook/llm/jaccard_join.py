@@ -6,7 +6,9 @@ Under each token every document is held against one centre; the sets of a centre
 trie, which a probe goes through sharing the overlap of common beginnings and leaving subtrees whose remaining
 lengths cannot reach the threshold. Only links that join components are kept. Documents that still stand in different
 components under one token are then held against each other, after a bound on their overlap from their common
-tokens; no pair inside a component is ever written out.
+tokens; no pair inside a component is ever written out. Tokens of many documents are parted by classes of
+length; where many documents stand even in one class, blocks of parity bits (a bit for each residue of the
+tokens' hashes, set if an odd number has it) bound the difference of two sets before any set moves.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ PERCENT = 80
 BUCKETS = 20  # bits: shingles are counted in 2**20 buckets, whatever the corpus
 BLOCK = 512  # sets in a trie at most
 FEW_IDS = 500_000  # ids that are broadcast at most
-PAIRED = 128  # documents under one token that are paired; more are dealt to blocks
+PAIRED = 128  # documents under one token that are paired; more are parted by length, and then dealt to blocks
+CLASS = 1.26  # lengths of a class: sets that link (at most 1.25 times as long) are in one class or in two next to each other
 
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
@@ -192,6 +195,45 @@ def _links(blocks: DataFrame, by: list[str]) -> DataFrame:
     return blocks.groupBy(*by).applyInPandas(solve, "a long, b long")
 
 
+def parities(tokens: np.ndarray) -> bytes:
+    """A bit for each residue of the tokens, set if an odd number of them has it; four to eight bits for each token, 64 at least."""
+    bits = max(64, 1 << (4 * len(tokens) - 1).bit_length())
+    return np.packbits(np.bincount(tokens & (bits - 1), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def _folded(held: bytes, size: int) -> np.ndarray:
+    """Parities of fewer residues: halves laid over each other."""
+    words = np.frombuffer(held, np.uint64)
+    while len(words) > size:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
+
+
+def close_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+    """doc, doc2 (the larger): what the parities of a block (doc, n, component, home, chunk, bits) leave of its pairs.
+
+    Sets that link differ in at most a ninth of their lengths' sum, and parities never differ in more bits than
+    sets in tokens. Pairs are of two components, one at least at home in the class, and of two chunks if there are two.
+    """
+    pdf = pdf.drop_duplicates(["doc", "bits"])
+    doc, n, component, home, chunk = (pdf[c].to_numpy() for c in ("doc", "n", "component", "home", "chunk"))
+    size = min(map(len, pdf["bits"])) // 8
+    bits = np.stack([_folded(b, size) for b in pdf["bits"]])
+    apart = pdf["chunk"].nunique() > 1
+    a, b = [], []
+    for i in range(len(doc) - 1):
+        rest = slice(i + 1, None)
+        on = (component[rest] != component[i]) & (home[rest] | home[i]) & (doc[rest] != doc[i])
+        on &= np.minimum(n[rest], n[i]) * 100 >= np.maximum(n[rest], n[i]) * PERCENT
+        if apart:
+            on &= chunk[rest] != chunk[i]
+        j = i + 1 + np.flatnonzero(on)
+        differ = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
+        j = j[differ * (100 + PERCENT) <= (100 - PERCENT) * (n[j] + n[i])]
+        a.append(np.minimum(doc[j], doc[i])), b.append(np.maximum(doc[j], doc[i]))
+    return pd.DataFrame({"doc": np.concatenate([*a, []]), "doc2": np.concatenate([*b, []])}, dtype="int64")
+
+
 def components(links: DataFrame) -> DataFrame:
     """doc, component (the smallest id reachable) of the ends of links (a, b): stars are passed on to ever smaller centres."""
     edges = staged(links.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges")
@@ -249,12 +291,12 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         beyond = lambda size: F.ceil(size * PERCENT / 100) - 1
         return (k + F.greatest(beyond(n), beyond(m))) * (100 + PERCENT) >= (n + m) * PERCENT
 
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        """doc and tokens, the whole ordered set as bytes, of the ids in wanted (doc)."""
+    def sets_of(wanted: DataFrame, form=None) -> DataFrame:
+        """doc and tokens, the whole ordered set as bytes or in another form, of the ids in wanted (doc)."""
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "_text", 1 << 20):
-                sets = [ordered(s, table.value).tobytes() for s in shingle_sets(batch.column("_text").to_pylist())]
+                sets = [form(s) if form else ordered(s, table.value).tobytes() for s in shingle_sets(batch.column("_text").to_pylist())]
                 yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(sets, pa.binary())], names=["doc", "tokens"])
 
         ids = wanted.select(F.col("doc").alias("_id")).distinct()
@@ -281,20 +323,25 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     placed = staged(posts.join(joined, "doc", "left").withColumn("component", F.coalesce("component", "doc")), "placed")
     open_tokens = staged(placed.groupBy("token").agg(F.count("*").alias("size"), F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("token", "size"), "open")
     left = staged(placed.join(open_tokens, "token"), "left")
-    few = left.where(F.col("size") <= PAIRED).drop("size")
-    other = few.select("token", *[F.col(c).alias(f"{c}2") for c in ("doc", "n", "component")])
-    met = few.join(other, "token").where((F.col("doc") < F.col("doc2")) & (F.col("component") != F.col("component2")) & fits(F.col("n"), F.col("n2")))
-    # all common tokens of such a pair are among these, unless it meets under a large one below
+    here = F.floor(F.log("n") / F.lit(float(np.log(CLASS)))).cast("int")
+    # each document of a large token is at home in its own class and a guest in the next one
+    parted = left.where(F.col("size") > PAIRED).drop("size").withColumn("class", F.explode(F.array(here, here + 1))).withColumn("home", F.col("class") == here)
+    sizes = parted.groupBy("token", "class").agg(F.count("*").alias("size"), F.count_if("home").alias("homes")).where("homes > 0").drop("homes")
+    parted = staged(parted.join(sizes, ["token", "class"]), "parted")
+    few = left.where(F.col("size") <= PAIRED).select("token", F.lit(0).alias("class"), "doc", "n", "component", F.lit(True).alias("home"))
+    few = few.unionAll(parted.where(F.col("size") <= PAIRED).select(few.columns))
+    other = few.select("token", "class", *[F.col(c).alias(f"{c}2") for c in ("doc", "n", "component", "home")])
+    met = few.join(other, ["token", "class"]).where((F.col("doc") < F.col("doc2")) & (F.col("component") != F.col("component2")) & (F.col("home") | F.col("home2")) & fits(F.col("n"), F.col("n2")))
+    # all common tokens of such a pair are among these, unless it meets in a large group below
     met = met.groupBy("doc", "doc2", "n", "n2").agg(F.count("*").alias("k"))
-    likely = met.where(can_reach(F.col("k"), F.col("n"), F.col("n2")))
-    more = held_against(staged(likely.select(F.col("doc").alias("centre"), F.col("doc2").alias("doc")), "likely"))
-    # large tokens: their documents in chunks, each two chunks in a block
-    many = left.where(F.col("size") > PAIRED)
-    if not many.isEmpty():
-        chunks = F.ceil(F.col("size") * 2 / BLOCK).cast("int")
-        dealt = many.select("token", "doc", chunks.alias("chunks"), F.pmod(F.xxhash64("doc"), chunks).cast("int").alias("chunk"))
-        blocks = dealt.select("token", "doc", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("with")).select(F.col("token").alias("block"), F.least("chunk", "with").alias("part"), F.greatest("chunk", "with").alias("part2"), F.lit(False).alias("centre"), "doc")
-        more = more.unionAll(staged(_links(sets_of(dealt).join(staged(blocks, "blocks"), "doc"), ["block", "part", "part2"]), "links"))
+    likely = met.where(can_reach(F.col("k"), F.col("n"), F.col("n2"))).select("doc", "doc2")
+    # large groups: their documents in chunks, each two chunks in a block
+    chunks = F.ceil(F.col("size") * 2 / BLOCK).cast("int")
+    dealt = parted.where(F.col("size") > PAIRED).withColumn("chunk", F.pmod(F.xxhash64("doc"), chunks).cast("int"))
+    blocks = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), chunks - 1))).select("token", "class", F.least("chunk", "with").alias("part"), F.greatest("chunk", "with").alias("part2"), "doc", "n", "component", "home", "chunk")
+    bits = sets_of(dealt.select("doc"), parities).withColumnRenamed("tokens", "bits")
+    close = bits.join(staged(blocks, "blocks"), "doc").groupBy("token", "class", "part", "part2").applyInPandas(close_pairs, "doc long, doc2 long")
+    more = held_against(staged(likely.unionAll(close).distinct().select(F.col("doc").alias("centre"), F.col("doc2").alias("doc")), "likely"))
     joined = components(links.unionAll(more))
     named_sets = firsts.join(joined, firsts["_id"] == joined["doc"], "left").select("digest", F.coalesce("component", "_id").alias("component_id"))
     named_sets = staged(named_sets, "classes")
