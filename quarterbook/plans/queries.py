@@ -11,6 +11,7 @@ from ..functions import calendar, scalars
 from ..operators import changes as ch
 from ..operators import consensus as co
 from ..operators import positions as po
+from ..operators import rankings as ra
 from ..operators import snapshots as sn
 from .adapter import oracle, tables
 
@@ -276,3 +277,29 @@ def filing_deadlines(spark, sf_dir):
 @query(None)
 def issuer_hash(spark, sf_dir):
     return folded_book(spark, sf_dir).select("cusip").distinct().withColumn("issuer_id", scalars.issuer_id(F.col("cusip")))
+
+
+@query(f"SELECT cik, period_end, cusip, value_usd, CAST(r AS integer) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY cik, period_end ORDER BY value_usd DESC, cusip) AS r FROM book WHERE {LONG}) WHERE r <= 10")
+def treemap_topk(spark, sf_dir):
+    return ra.largest_positions(folded_book(spark, sf_dir), 10).select("cik", "period_end", "cusip", "value_usd", "rank")
+
+
+SECURITIES = f"(SELECT cusip[:6] AS issuer, period_end, count(DISTINCT cik) AS holders, CAST(sum(value_usd) AS bigint) AS value_usd, CAST(sum(shares) AS bigint) AS shares FROM book WHERE {LONG} GROUP BY 1, 2)"
+
+
+@query(f"SELECT n.period_end, n.holders, n.holders - p.holders AS d_holders, n.value_usd, n.shares FROM {SECURITIES} n LEFT JOIN {SECURITIES} p ON n.issuer = p.issuer AND p.period_end = last_day(n.period_end - INTERVAL 3 month)")
+def security_period_agg(spark, sf_dir):
+    return ra.security_periods(folded_book(spark, sf_dir)).select("period_end", "holders", "d_holders", "value_usd", "shares")
+
+
+@query(f"""SELECT b.*, n_new, n_exited, {E4.format("position")} AS position_e4 FROM (SELECT cik, period_end, count(*) AS positions, CAST(coalesce(sum(value_usd) FILTER ({LONG}), 0) AS bigint) AS value_long FROM book GROUP BY 1, 2) b
+  LEFT JOIN (SELECT cik, period_end, count(*) FILTER (action = 'NEW') AS n_new, count(*) FILTER (action = 'EXITED') AS n_exited, (count(*) FILTER (action IN ('NEW', 'EXITED'))) / (count(s) + count(ps)) * 200 AS position FROM changes GROUP BY 1, 2) c USING (cik, period_end)""")
+def series_metrics(spark, sf_dir):
+    found = ra.series(folded_book(spark, sf_dir), all_changes(spark, sf_dir))
+    return found.select("cik", "period_end", "positions", "value_long", "n_new", "n_exited", scaled(F.col("turnover_position_pct")).alias("position_e4"))
+
+
+@query(f"SELECT * FROM ({FILERS.format('')}) WHERE latest_value > 0 ORDER BY latest_value DESC, cik LIMIT 1")
+def default_filer(spark, sf_dir):
+    books = folded_book(spark, sf_dir).groupBy("cik", "period_end").agg(F.coalesce(F.max("value_long"), F.lit(0)).cast("bigint").alias("v"))
+    return ra.default_filer(books.groupBy("cik").agg(F.count("*").alias("periods"), F.max("period_end").alias("latest_period"), F.max_by("v", "period_end").alias("latest_value")))
