@@ -24,11 +24,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder or os.path.join(tempfile.gettempdir(), "quarterbook-checkpoints")
 
 
+#: Shuffle files of a query go when it ends, rather than when its DataFrame is no longer held.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """The same rows, written to the shared folder and read from there: cuts lineage, and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The same rows, written to the shared folder and read from there: cuts lineage, and survives lost executors.
+
+    Once the table is written, nothing needs the shuffles that led to it: their files are released.
+    """
+    spark = df.sparkSession
+    path, before = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}", spark.conf.get(RELEASE, "false")
+    spark.conf.set(RELEASE, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(RELEASE, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -175,6 +175,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 13, id_col: str = "doc_i
     places = _segments(candidates, min_words, False).join(owned, "key")
     starts = F.filter(F.transform("least", lambda x, i: F.when(x < F.col("_id"), i + F.col("first"))), lambda x: x.isNotNull())
     cut = places.select(*KEYS, starts.alias("starts")).where(F.size("starts") > 0).groupBy(*KEYS).agg(F.collect_list("starts").alias("starts"))
+    cut = staged(cut, "cut")  # so that the segments' shuffles are over before texts move again
     removed = _kept(candidates.select(*KEYS, "_text").dropDuplicates(KEYS).join(cut, KEYS), min_words)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
