@@ -46,3 +46,18 @@ def quarters(spark: SparkSession, first: int, last: int) -> DataFrame:
     days = periods.select("period", F.explode(F.transform(F.sequence(F.lit(45), F.lit(55)), lambda n: F.date_add("period", n))).alias("day")).where(~F.dayofweek("day").isin(1, 7))
     open_days = days.join(F.broadcast(holidays(spark, first, last + 1)), F.col("day") == F.col("holiday"), "left_anti")
     return open_days.groupBy("period").agg(F.min("day").alias("deadline")).select("period", period_label(F.col("period")).alias("label"), shift_period(F.col("period"), -1).alias("prior"), "deadline")
+
+
+def window_start(filed: Column) -> Column:
+    """First day of the bulk window that holds a filing date: windows open in March, June, September and December."""
+    return F.add_months(F.trunc(F.add_months(filed, 1), "QUARTER"), -1)
+
+
+def window_slug(filed: Column) -> Column:
+    start = window_start(filed)
+    return F.lower(F.concat_ws("-", F.date_format(start, "ddMMMyyyy"), F.date_format(F.last_day(F.add_months(start, 2)), "ddMMMyyyy")))
+
+
+def months_back(newest: Column, n: int) -> Column:
+    """The first days of n months up to that of `newest`, newest first."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda m: F.add_months(F.trunc(newest, "MM"), -m))

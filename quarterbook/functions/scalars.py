@@ -95,3 +95,14 @@ def near_simple_ratio(ratio: Column) -> Column:
 def filing_url(cik: Column, accession: Column) -> Column:
     plain = F.regexp_replace(accession, "-", "")
     return F.concat(F.lit("https://www.sec.gov/Archives/edgar/data/"), bare_cik(cik), F.lit("/"), plain, F.lit("/"), accession, F.lit("-index.htm"))
+
+
+# Words that a short code leaves out.
+CODE_STOP_WORDS = "the|and|of|llc|lp|llp|inc|co|group|capital|management|advisors?|partners"
+
+
+def short_code(name: Column) -> Column:
+    """Three letters of the first telling word of a name, in capitals, filled up with middle dots."""
+    cleaned = F.trim(F.regexp_replace(name, "[^A-Za-z ]", " "))
+    words = F.filter(F.split(cleaned, r"\s+"), lambda w: ~F.lower(w).rlike(f"^({CODE_STOP_WORDS})$"))
+    return F.rpad(F.substring(F.upper(F.coalesce(F.get(words, F.lit(0)), cleaned)), 1, 3), 3, "·")

@@ -76,3 +76,40 @@ def fails_to_deliver(lines: DataFrame, order: Column) -> DataFrame:
     """cusip, ticker: the first row by `order` for each cusip."""
     first = Window.partitionBy("cusip").orderBy(order)
     return lines.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+
+
+COVER = """schemaVersion string, headerData struct<submissionType:string,filerInfo:struct<filer:struct<credentials:struct<cik:string>>,periodOfReport:string>>,
+formData struct<coverPage:struct<reportCalendarOrQuarter:string,isAmendment:string,amendmentNo:string,amendmentInfo:struct<amendmentType:string>,filingManager:struct<name:string>,reportType:string>,
+summaryPage:struct<otherIncludedManagersCount:string,tableEntryTotal:string,tableValueTotal:string,isConfidentialOmitted:string>>"""
+
+
+def cover_page(docs: DataFrame, xml: str = "xml") -> DataFrame:
+    """A cover page's facts in columns of their own, whatever its namespace prefix; other columns stay."""
+    c = F.from_xml(F.col(xml), F.lit(COVER), {"ignoreNamespace": "true"})
+    cover, summary = c["formData"]["coverPage"], c["formData"]["summaryPage"]
+    true = lambda x: F.coalesce(F.lower(F.trim(x)).isin("true", "y", "1"), F.lit(False))
+    form = c["headerData"]["submissionType"]
+    notice = F.startswith(form, F.lit("13F-NT")) | F.coalesce(F.contains(F.upper(cover["reportType"]), F.lit("NOTICE")), F.lit(False))
+    return docs.select(
+        *[x for x in docs.columns if x != xml], F.trim(c["schemaVersion"]).alias("schema_version"), form.alias("form"), pad_cik(c["headerData"]["filerInfo"]["filer"]["credentials"]["cik"]).alias("cik"),
+        F.coalesce(normalize_date(cover["reportCalendarOrQuarter"]), normalize_date(c["headerData"]["filerInfo"]["periodOfReport"])).alias("period_end"), F.trim(cover["filingManager"]["name"]).alias("manager"),
+        true(cover["isAmendment"]).alias("is_amendment"), as_int(cover["amendmentNo"]).alias("amendment_no"), F.upper(F.trim(cover["amendmentInfo"]["amendmentType"])).alias("amendment_type"), cover["reportType"].alias("report_type"), notice.alias("is_notice"),
+        as_int(summary["tableEntryTotal"]).alias("table_entry_total"), as_int(summary["tableValueTotal"]).alias("table_value_total"), true(summary["isConfidentialOmitted"]).alias("confidential_omitted"),
+    )
+
+
+def daily_index_dates(docs: DataFrame, json: str = "json") -> DataFrame:
+    """day: the dates of the form indexes that a directory listing names."""
+    items = docs.select(F.explode(F.from_json(F.col(json), "directory struct<item:array<struct<name:string>>>")["directory"]["item"]["name"]).alias("name"))
+    return items.select(F.to_date(F.nullif(F.regexp_extract("name", r"^form\.(\d{8})\.idx", 1), F.lit("")), "yyyyMMdd").alias("day")).where("day is not null").distinct()
+
+
+def ticker_directory(docs: DataFrame, json: str = "json") -> DataFrame:
+    """cik, ticker, title of an object of objects."""
+    entries = F.map_values(F.from_json(F.col(json), "map<string,struct<cik_str:bigint,ticker:string,title:string>>"))
+    return docs.select(F.explode(entries).alias("e")).select(pad_cik(F.col("e.cik_str")).alias("cik"), F.upper("e.ticker").alias("ticker"), F.col("e.title").alias("title"))
+
+
+def industry_codes(rows: DataFrame) -> DataFrame:
+    """cik, sic: of statements (cik, sic, quarter) the code of the newest quarter that has one."""
+    return rows.where("sic is not null").groupBy(pad_cik(F.col("cik")).alias("cik")).agg(F.max_by("sic", "quarter").alias("sic"))
