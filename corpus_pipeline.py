@@ -17,18 +17,29 @@ from quarterbook.llm.substring_dedup import remove_passages
 PASSAGE_WORDS = 50
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """Adds _key, never null, of a row's id and text together: what a stage finds out about a text holds for its rows alone."""
+    return docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject. A rejected id takes all of its rows along."""
-    scored = score_quality(docs, read_table(spark, sf_dir, "labels"))
-    rejected = scored.where("predicted = 0").select(F.col("doc_id").alias("_rejected")).distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["_rejected"]), "left_anti")
+    """Documents that the classifier doesn't reject, each row by its own text."""
+    rows = keyed(docs)
+    scored = score_quality(rows, read_table(spark, sf_dir, "labels"), keep=("_key",))
+    return rows.join(scored.where("predicted = 0").select("_key").distinct(), "_key", "left_anti").select(*docs.columns)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id; rows with a null id all stay."""
-    classes = similar_components(docs)
-    gone = classes.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near duplicates the document with the smallest id (a null one comes last), and one row of it.
+
+    Each pair of id and text is a document of its own, so a text neither leaves nor stays for another one of its id. Of rows that
+    repeat both, the one with the least further columns stands for all.
+    """
+    one = staged(keyed(docs).groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("_key", "row.*"), "rows")
+    classes = similar_components(one.select("_key", "text"), "_key")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("first")
+    kept = one.select("_key", "doc_id").join(classes, "_key").groupBy("component_id").agg(first).select("first._key")
+    return one.join(kept, "_key", "left_semi").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

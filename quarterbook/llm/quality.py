@@ -92,17 +92,18 @@ def _matrix(batch: pa.RecordBatch, column: str = "stats") -> np.ndarray:
     return batch.column(column).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATISTICS))
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and the array of STATISTICS of every whole text (null: empty)."""
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, what `keep` names, and the array of STATISTICS of every whole text (null: empty)."""
+    carried = [id_col, *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
             x = statistics_of([t or "" for t in batch.column(text_col).to_pylist()])
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), flat], names=[id_col, "stats"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), flat], names=[*carried, "stats"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, stats array<double>")
+    kinds = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in carried)
+    return docs.select(*carried, text_col).mapInArrow(run, f"{kinds}stats array<double>")
 
 
 def fit(train: DataFrame, hold: Column, ridge: float = 1e-3) -> Model | None:
@@ -141,15 +142,16 @@ def fit(train: DataFrame, hold: Column, ridge: float = 1e-3) -> Model | None:
     return model
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.7) -> DataFrame:
-    """id, held_out, score (probability of label 1) and predicted of every row, from the whole text alone.
+def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.7, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, what `keep` names, held_out, score (probability of label 1) and predicted of every row, from the whole text alone.
 
     Labels of ids whose crc32 mod 4 is 2 are never learned from; of the others, those with remainder 3
     calibrate. Null text is empty and gets a score as any text; null labels and labels of other ids are left out;
     without labels every score is 0.5. Repeated rows are scored each; an empty table gives no rows; further
     columns are left out.
     """
-    stats = staged(statistics(docs, id_col, text_col), "quality")
+    carried = [id_col, *keep]
+    stats = staged(statistics(docs, id_col, text_col, keep), "quality")
     fold = F.pmod(key_crc(id_col), F.lit(4))
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col), F.col(label_col).cast("int").alias("label")).where(fold != 2)
     model = fit(stats.join(known, id_col).select("stats", "label", fold.alias("fold")), F.col("fold") == 3)
@@ -157,9 +159,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score = model.scores(_matrix(batch)) if model else np.full(batch.num_rows, 0.5)
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(np.clip(score, 0, 1))], names=[id_col, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(np.clip(score, 0, 1))], names=[*carried, "score"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    scored = stats.mapInArrow(run, f"{id_col} {kind}, score double")
-    return scored.select(id_col, (fold == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    kinds = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in carried)
+    scored = stats.mapInArrow(run, f"{kinds}score double")
+    return scored.select(*carried, (fold == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
