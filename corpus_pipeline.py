@@ -16,6 +16,10 @@ from quarterbook.llm.substring_dedup import remove_passages
 #: Passages that repeat across documents are removed from this many words on.
 PASSAGE_WORDS = 50
 
+#: Documents that are likelier bad than good are rejected. op7 reports against a threshold of its own; a score of 0.5, which
+#: every document has where no model could be fitted, rejects nothing.
+REJECT_BELOW = 0.5
+
 
 def keyed(docs: DataFrame) -> DataFrame:
     """Adds _key, never null, of a row's id and text together: what a stage finds out about a text holds for its rows alone."""
@@ -26,7 +30,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents that the classifier doesn't reject, each row by its own text."""
     rows = keyed(docs)
     scored = score_quality(rows, read_table(spark, sf_dir, "labels"), keep=("_key",))
-    return rows.join(scored.where("predicted = 0").select("_key").distinct(), "_key", "left_anti").select(*docs.columns)
+    return rows.join(scored.where(F.col("score") < REJECT_BELOW).select("_key").distinct(), "_key", "left_anti").select(*docs.columns)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

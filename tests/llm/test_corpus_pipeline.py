@@ -33,3 +33,15 @@ def test_a_near_copy_takes_no_other_row_along(spark, sf_dir):
     kept = p.ngram_jaccard_join(spark, spark.createDataFrame(rows, SCHEMA), sf_dir).collect()
     want = [(3, b, "x"), (5, a, "x"), (None, c, "x"), (7, "", "x"), (8, "", "x"), (8, None, "x")]
     assert sorted(map(str, ((r.doc_id, r.text, r.lang) for r in kept))) == sorted(map(str, want))
+
+
+def test_only_what_is_likelier_bad_is_rejected(spark, big, monkeypatch):
+    docs, labels = read_table(spark, big, "documents"), read_table(spark, big, "labels")
+    scores = {r.doc_id: r.score for r in p.score_quality(docs, labels).collect()}
+    between = {i for i, s in scores.items() if 0.5 <= s < 0.7}
+    kept = {r.doc_id for r in p.quality_classifier(spark, docs, big).collect()}
+    assert between and kept == {i for i, s in scores.items() if s >= 0.5} and len(kept) < len(scores)
+    # nothing to fit on: no rows, null labels, or only ids that are never learned from
+    for none in (labels.limit(0), labels.selectExpr("doc_id", "cast(null as int) as quality"), labels.where("pmod(crc32(cast(cast(doc_id as string) as binary)), 4) = 2")):
+        monkeypatch.setattr(p, "read_table", lambda *_, none=none: none)
+        assert p.quality_classifier(spark, docs, big).count() == docs.count()
