@@ -96,11 +96,13 @@ def top_k(table: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_co
 
     id_kind = data.schema["vec_id"].dataType.simpleString()
     placed = staged(data.mapInArrow(assign, f"vec_id {id_kind}, v array<bigint>, cell int, far double"), "cells")
-    # what is known of each cell: the k + 1 smallest distances (one may be the query's own row)
+    # what is known of each cell: the k + 1 smallest distances of different ids (one may be the query's own)
     nearest = Window.partitionBy("cell").orderBy("far", "vec_id")
-    close: dict[int, list[float]] = {}
-    for r in placed.select("cell", "far", "vec_id", F.row_number().over(nearest).alias("_n")).where(F.col("_n") <= k + 1).orderBy("cell", "far").collect():
-        close.setdefault(r["cell"], []).append(r["far"])
+    different = placed.groupBy("cell", "vec_id").agg(F.min("far").alias("far"))
+    close: dict[int, list[tuple[float, int]]] = {}
+    for r in different.select("cell", "far", "vec_id", F.row_number().over(nearest).alias("_n")).where(F.col("_n") <= k + 1).orderBy("cell", "far").collect():
+        close.setdefault(r["cell"], []).append((r["far"], r["vec_id"]))
+    promised = np.array([i for ds in close.values() for _, i in ds], np.int64)
     asked = placed.where(F.pmod(F.col("vec_id"), F.lit(every)) == 0).groupBy("vec_id").agg(F.min(F.struct("v", "cell")).alias("q")).select(F.col("vec_id").alias("query_id"), F.col("q.v").alias("qv"), F.col("q.cell").alias("cell"))
     # blocks of queries: neighbouring cells together up to BLOCK, larger cells in several blocks
     near_cells = sorted(range(len(pivots)), key=lambda i: tuple(pivots[i]))
@@ -120,9 +122,11 @@ def top_k(table: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_co
         for batch in batches:
             q = _rows(batch.column("qv"), width)
             at, size = q @ pivots.T, np.sqrt((q**2).sum(1))
-            # each known distance promises a score; the (k+1)-th best promise leaves one for the query's own row
-            sure = np.concatenate([np.full((len(q), k + 1), -np.inf)] + [at[:, [c]] - size[:, None] * np.array(ds) for c, ds in close.items()], 1)
-            floor = -np.partition(-sure, k, axis=1)[:, k]
+            # each known distance promises a score of a candidate, unless it is of the query's own id
+            sure = np.concatenate([at[:, [c]] - size[:, None] * np.array([d for d, _ in ds]) for c, ds in close.items()], 1)
+            sure[batch.column("query_id").to_numpy()[:, None] == promised] = -np.inf
+            sure = np.concatenate([np.full((len(q), k), -np.inf), sure], 1)
+            floor = -np.partition(-sure, k - 1, axis=1)[:, k - 1]
             with np.errstate(divide="ignore", invalid="ignore"):
                 need = np.where(size[:, None] > 0, (floor[:, None] - at) / size[:, None], -np.inf)
             for b in np.unique(blocks := batch.column("block").to_numpy()):
