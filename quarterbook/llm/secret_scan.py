@@ -36,8 +36,18 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20),
     Rule("hex", r"[0-9a-f]{24,}"),  # a run of [0-9a-f] of 24 or more: no match starts inside a run, so short runs need no visit
 )
+#: From the header through the END line if that is the next line of dashes; else over header fields and base64 lines, of
+#: which the last ones (a rest and a checksum) can be short.
+PEM = (
+    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----"
+    r"(?:[^-]*(?:-(?!----)[^-]*)*-----END [A-Z ]{0,20}PRIVATE KEY(?: BLOCK)?-----"
+    r"|(?:(?:\s|\\[nr])*(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID): [^\n\\]*)*"
+    r"(?:(?:\s|\\[nr])*[A-Za-z0-9+/=]{16,}(?![A-Za-z0-9+/=]))*"
+    r"(?:(?<=[A-Za-z0-9+/=]{16})(?:\s|\\[nr])+(?:[A-Za-z0-9+/]{4}){0,3}(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=|(?<=[A-Za-z0-9+/]{4}))(?![^\s\\]))?"
+    r"(?:(?<=[A-Za-z0-9+/=]{4})(?:\s|\\[nr])+=[A-Za-z0-9+/]{4}(?![^\s\\]))?)"
+)
 MORE = (
-    Rule("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    Rule("pem", PEM),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
 )
