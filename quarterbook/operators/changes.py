@@ -55,12 +55,12 @@ def structural_events(changed: DataFrame) -> DataFrame:
 
 
 def published(changed: DataFrame, events: DataFrame) -> DataFrame:
-    """Changes with deltas of retained rows withheld under a suppressing event; exits keep shares and value."""
+    """Changes with deltas of retained rows withheld under a suppressing event, and whether one is; exits keep shares and value."""
     flagged = changed.join(events.select("cik", "period_end", "structural_event"), ["cik", "period_end"])
     off = F.coalesce(F.col("structural_event").isin("PRO_RATA_REDUCTION", "UNIT_SCALE_CHANGE"), F.lit(False))
     keep = lambda c, exits: F.when(~off | (F.lit(exits) & (F.col("action") == "EXITED")), F.col(c)).alias(c)
     rest = [c for c in flagged.columns if not c.startswith("d_")]
-    return flagged.select(*rest, keep("d_shares", True), keep("d_value", True), keep("d_weight_pp", False), keep("d_shares_pct", False))
+    return flagged.select(*rest, off.alias("suppressed"), keep("d_shares", True), keep("d_value", True), keep("d_weight_pp", False), keep("d_shares_pct", False))
 
 
 def action_counts(changed: DataFrame) -> DataFrame:
@@ -68,11 +68,15 @@ def action_counts(changed: DataFrame) -> DataFrame:
 
 
 def turnover(changed: DataFrame) -> DataFrame:
-    """By positions, (new + exited) / (now + prior) * 200; by value, the absolute deltas over the mean of both long values (new rows have no delta)."""
+    """By positions, (new + exited) / (now + prior) * 200; by value, the absolute deltas over the mean of both long values (new rows have no delta).
+
+    changed: published changes; both are null under a suppressing event.
+    """
     new, gone = F.count_if(F.col("action") == "NEW"), F.count_if(F.col("action") == "EXITED")
     total = lambda c: F.coalesce(F.sum(F.when(long_equity(), F.col(c))), F.lit(0))
     both = total("value_usd_now") + total("value_usd_prior")
+    told = lambda c: F.when(~F.bool_or("suppressed"), c)
     return changed.groupBy("cik", "period_end").agg(
-        ((new + gone) / (F.count("shares_now") + F.count("shares_prior")) * 200).alias("turnover_position_pct"),
-        (F.sum(F.abs(F.coalesce("d_value", F.lit(0)))) / F.nullif(both / 2, F.lit(0.0)) * 100).alias("turnover_value_pct"),
+        told((new + gone) / (F.count("shares_now") + F.count("shares_prior")) * 200).alias("turnover_position_pct"),
+        told(F.sum(F.abs(F.coalesce("d_value", F.lit(0)))) / F.nullif(both / 2, F.lit(0.0)) * 100).alias("turnover_value_pct"),
     )

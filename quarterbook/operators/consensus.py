@@ -18,10 +18,11 @@ def dominant_action() -> Column:
 
 
 def cells(changed: DataFrame) -> DataFrame:
-    """issuer_id, period_end, cik: value, shares of the book, delta and dominant action of the issuer's long classes."""
+    """issuer_id, period_end, cik: value, shares of the book, delta and dominant action of the issuer's long classes, from published changes."""
     rows = changed.where(long_equity()).withColumn("issuer_id", issuer_id(F.col("cusip")))
     return rows.groupBy("issuer_id", "period_end", "cik").agg(
         F.coalesce(F.sum("value_usd_now"), F.lit(0)).cast("bigint").alias("value_usd"), F.sum("weight_pct_now").alias("weight_pct"), F.sum("d_weight_pp").alias("d_weight_pp"), F.count_distinct("cusip").alias("classes"), dominant_action().alias("action"),
+        F.bool_or("suppressed").alias("suppressed"),
     )
 
 
@@ -46,10 +47,10 @@ def sort_consensus(rows: DataFrame, key: str = "funds") -> DataFrame:
 
 
 def anchor(held: DataFrame) -> DataFrame:
-    """issuer_id, period_end, side, funds, amount: names that funds entered (value) or left (weight given up)."""
+    """issuer_id, period_end, side, funds, amount: names that funds entered (value) or left (weight given up); suppressed funds are left out."""
     side = F.when(F.col("action") == "NEW", "entry").when(F.col("action") == "EXITED", "exit")
     amount = F.sum(F.when(F.col("action") == "NEW", F.col("value_usd")).otherwise(F.abs("d_weight_pp")))
-    return held.withColumn("side", side).where("side is not null").groupBy("issuer_id", "period_end", "side").agg(F.count_distinct("cik").alias("funds"), amount.alias("amount"))
+    return held.withColumn("side", side).where("side is not null and not suppressed").groupBy("issuer_id", "period_end", "side").agg(F.count_distinct("cik").alias("funds"), amount.alias("amount"))
 
 
 def overlap_distribution(rows: DataFrame, most: int) -> DataFrame:
@@ -69,10 +70,10 @@ def holder_history(book: DataFrame, quarters: int = 4) -> DataFrame:
 
 
 def sector_flows(changed: DataFrame, sectors: DataFrame) -> DataFrame:
-    """period_end, sector: bought, sold, net and held long value; sectors: cusip, sector."""
+    """period_end, sector: bought, sold, net and held long value of funds that aren't suppressed, from published changes; sectors: cusip, sector."""
     price = F.col("value_usd_now") / F.nullif("shares_now", F.lit(0))
     traded = F.when(F.col("action") == "NEW", F.col("value_usd_now")).when(F.col("action") == "EXITED", -F.col("value_usd_prior")).otherwise(F.round(F.col("d_shares") * price)).cast("bigint")
-    rows = changed.where(long_equity()).join(sectors, "cusip", "left").withColumn("sector", F.coalesce("sector", F.lit("Unclassified"))).withColumn("t", traded)
+    rows = changed.where(long_equity() & ~F.col("suppressed")).join(sectors, "cusip", "left").withColumn("sector", F.coalesce("sector", F.lit("Unclassified"))).withColumn("t", traded)
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
     return rows.groupBy("period_end", "sector").agg(total(F.greatest("t", F.lit(0))).alias("bought"), total(-F.least("t", F.lit(0))).alias("sold"), total(F.col("t")).alias("net"), total(F.col("value_usd_now")).alias("held"))
 

@@ -44,7 +44,13 @@ def folded_book(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = folded_book(spark, sf_dir)
     states = ch.prior_states(book.select("cik", "period_end").distinct().withColumn("is_notice", F.lit(False)))
-    return ch.changes(book, states)
+    return ch.changes(book, states).withColumn("suppressed", F.lit(False))
+
+
+def withheld_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes without the deltas that a structural event makes meaningless."""
+    changed = all_changes(spark, sf_dir).drop("suppressed")
+    return ch.published(changed, ch.structural_events(changed))
 
 
 @query("SELECT r.accession, cusip, coalesce(put_call, '') AS put_call, unit, CAST(sum(CASE WHEN units = 'THOUSANDS' THEN value_raw * 1000 ELSE value_raw END) AS bigint) AS value_usd, CAST(sum(shares) AS bigint) AS shares, count(*) AS row_count FROM raw r JOIN units USING (accession) GROUP BY ALL")
@@ -193,7 +199,10 @@ def movers(spark, sf_dir):
 @query(f"""SELECT period_end, sector, CAST(sum(greatest(t, 0)) AS bigint) AS bought, CAST(sum(-least(t, 0)) AS bigint) AS sold, CAST(sum(t) AS bigint) AS net, CAST(coalesce(sum(v), 0) AS bigint) AS held FROM (
   SELECT *, CASE CAST(cusip[:6] AS integer) % 3 WHEN 0 THEN 'Energy' WHEN 1 THEN 'Software & IT Services' ELSE 'Unclassified' END AS sector, CAST(CASE action WHEN 'NEW' THEN v WHEN 'EXITED' THEN -pv ELSE round((s - ps) * (v / s)) END AS bigint) AS t FROM changes WHERE {LONG}) GROUP BY 1, 2""")
 def sector_flows(spark, sf_dir):
-    changed = all_changes(spark, sf_dir)
+    return flows_of(all_changes(spark, sf_dir))
+
+
+def flows_of(changed: DataFrame) -> DataFrame:
     sic = F.element_at(F.array(F.lit("1311"), F.lit("7372"), F.lit("9999")), (F.substring("cusip", 1, 6).cast("int") % 3 + 1).cast("int"))
     return co.sector_flows(changed, changed.select("cusip").distinct().withColumn("sector", scalars.sector_for_sic(sic)))
 
@@ -303,3 +312,45 @@ def series_metrics(spark, sf_dir):
 def default_filer(spark, sf_dir):
     books = folded_book(spark, sf_dir).groupBy("cik", "period_end").agg(F.coalesce(F.max("value_long"), F.lit(0)).cast("bigint").alias("v"))
     return ra.default_filer(books.groupBy("cik").agg(F.count("*").alias("periods"), F.max("period_end").alias("latest_period"), F.max_by("v", "period_end").alias("latest_value")))
+
+
+def text_of(name: str) -> str:
+    """A query's own SQL, without the tables it reads."""
+    return ORACLES[name].removeprefix(oracle(""))
+
+
+#: The queries below withhold what is meaningless under a structural event; those of the same rows above don't.
+WITHHELD = f"(SELECT c.*, coalesce(structural_event IN ('PRO_RATA_REDUCTION', 'UNIT_SCALE_CHANGE'), false) AS suppressed FROM changes c JOIN ({text_of('structural_event')}) USING (cik, period_end))"
+OFF = f"(SELECT DISTINCT cik, period_end, suppressed FROM {WITHHELD})"
+
+
+@query(f"""SELECT cik, period_end, cusip, put_call, unit, action, suppressed, CASE WHEN action = 'EXITED' THEN -ps WHEN action <> 'NEW' AND NOT suppressed THEN s - ps END AS d_shares,
+  CASE WHEN action = 'EXITED' THEN -pv WHEN action <> 'NEW' AND NOT suppressed THEN v - pv END AS d_value FROM {WITHHELD}""")
+def published_changes(spark, sf_dir):
+    return withheld_changes(spark, sf_dir).select("cik", "period_end", "cusip", "put_call", "unit", "action", "suppressed", "d_shares", "d_value")
+
+
+@query(f"SELECT cik, period_end, CASE WHEN NOT suppressed THEN position_e4 END AS position_e4, CASE WHEN NOT suppressed THEN value_e4 END AS value_e4 FROM ({text_of('turnover')}) JOIN {OFF} USING (cik, period_end)")
+def published_turnover(spark, sf_dir):
+    return ch.turnover(withheld_changes(spark, sf_dir)).select("cik", "period_end", scaled(F.col("turnover_position_pct")).alias("position_e4"), scaled(F.col("turnover_value_pct")).alias("value_e4"))
+
+
+@query(f"SELECT * EXCLUDE (suppressed) REPLACE (CASE WHEN NOT suppressed THEN position_e4 END AS position_e4) FROM ({text_of('series_metrics')}) LEFT JOIN {OFF} USING (cik, period_end)")
+def published_series(spark, sf_dir):
+    found = ra.series(folded_book(spark, sf_dir), withheld_changes(spark, sf_dir))
+    return found.select("cik", "period_end", "positions", "value_long", "n_new", "n_exited", scaled(F.col("turnover_position_pct")).alias("position_e4"))
+
+
+@query(text_of("movers").replace("FROM changes WHERE action <> 'NEW'", f"FROM {WITHHELD} WHERE action = 'EXITED' OR (action <> 'NEW' AND NOT suppressed)"))
+def published_movers(spark, sf_dir):
+    return co.movers(withheld_changes(spark, sf_dir))
+
+
+@query(text_of("sector_flows").replace("FROM changes WHERE", f"FROM {WITHHELD} WHERE NOT suppressed AND"))
+def published_flows(spark, sf_dir):
+    return flows_of(withheld_changes(spark, sf_dir))
+
+
+@query(text_of("anchor_sides").replace("FROM changes WHERE", f"FROM {WITHHELD} WHERE NOT suppressed AND"))
+def published_anchors(spark, sf_dir):
+    return co.anchor(co.cells(withheld_changes(spark, sf_dir))).groupBy("period_end", "side").agg(F.sum("funds").alias("pairs"), F.count("*").alias("names"))
