@@ -1,10 +1,7 @@
-"""What the operators share: staging in the shared folder, Arrow slices, words, numbering within groups."""
+"""What the operators share: Arrow slices, words, numbering within groups."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -13,43 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.staging import discard, staged
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["arrow_rows", "discard", "hot_join", "hot_keys", "key_crc", "ranked", "read_table", "slices", "staged", "words_of"]
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one where none is set, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or os.path.join(tempfile.gettempdir(), "quarterbook-checkpoints")
-
-
-#: Shuffle files of a query go when it ends, rather than when its DataFrame is no longer held.
-RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """The same rows, written to the shared folder and read from there: cuts lineage, and survives lost executors.
 
-    Once the table is written, nothing needs the shuffles that led to it: their files are released.
-    """
-    spark = df.sparkSession
-    path, before = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}", spark.conf.get(RELEASE, "false")
-    spark.conf.set(RELEASE, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(RELEASE, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces whose column holds about `most` bytes; one longer value stands alone."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces whose column holds about `most` bytes, of `rows` rows at most; one longer value stands alone."""
     for batch in batches:
         start, held = 0, 0
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         for i, n in enumerate(sizes):
-            if i > start and held + n > most:
+            if i > start and (held + n > most or i - start >= rows):
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += n
@@ -90,3 +66,20 @@ def ranked(df: DataFrame, group: list[str], order: list[str], rank: str) -> Data
     inside = Window.partitionBy(*keys).orderBy(*order)
     numbered = held.withColumn("_row", F.row_number().over(inside))
     return numbered.join(first, keys).withColumn(rank, (F.col("_first") + F.col("_row") - 1).cast("long")).drop("_bucket", "_first", "_row")
+
+
+def hot_keys(counts: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+    """keys and _copies of the keys that hold more than a thousandth of the rows counted in `counts`: fewer than a thousand, whatever the corpus."""
+    total = counts.agg(F.sum(n)).first()[0] or 1
+    partitions = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return counts.where(F.col(n) * 1000 > total).select(*keys, F.ceil(F.col(n) * partitions / F.lit(total)).cast("int").alias("_copies"))
+
+
+def hot_join(many: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame, by: str, how: str = "inner") -> DataFrame:
+    """many.join(one, keys), with the rows of `many` under a hot key dealt, by a hash of `by`, over copies of that key's rows in `one`; so are those under a null key."""
+    partitions = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    none = F.greatest(*[F.col(k).isNull().cast("int") for k in keys], F.lit(0)) == 1
+    copies = F.when(none, F.lit(partitions)).otherwise(F.coalesce("_copies", F.lit(1)))
+    dealt = many.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.pmod(F.xxhash64(by), copies).cast("int")).drop("_copies")
+    copied = one.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1))).drop("_copies")
+    return dealt.join(copied, [*keys, "_salt"], how).drop("_salt")

@@ -14,7 +14,7 @@ tokens' hashes, set if an odd number has it) bound the difference of two sets be
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import slices, staged
+from ._common import discard, hot_join, hot_keys, slices, staged
 from .word_hashes import runs, word_hashes
 
 SIZE = 5
 PERCENT = 80
 BUCKETS = 20  # bits: shingles are counted in 2**20 buckets, whatever the corpus
 BLOCK = 512  # sets in a trie at most
+BLOCK_SHINGLES = 2_000_000  # shingles in a trie at most, by the lengths of its sets
 FEW_IDS = 500_000  # ids that are broadcast at most
 PAIRED = 128  # documents under one token that are paired; more are parted by length, and then dealt to blocks
 CLASS = 1.26  # lengths of a class: sets that link (at most 1.25 times as long) are in one class or in two next to each other
@@ -143,9 +144,9 @@ class Trie:
             pending += [(c, overlap) for c in children]
 
 
-def joining_links(sets: list[np.ndarray], parent: list[int] | None = None) -> list[tuple[int, int]]:
-    """Links that span the components of the sets, each between members alike; all of `parent`'s groups count as joined."""
-    parent = list(range(len(sets))) if parent is None else parent
+def joining_links(sets: list[np.ndarray], sure: Callable[[int, int], bool] = lambda i, j: True) -> list[tuple[int, int]]:
+    """Links that span the components of the sets, each between members alike that are `sure` to be."""
+    parent = list(range(len(sets)))
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -174,7 +175,7 @@ def joining_links(sets: list[np.ndarray], parent: list[int] | None = None) -> li
             mine = root(i)
             before = len(links)
             for j in trie.alike(sets[i], lambda j: root(j) != mine):
-                if root(j) != root(i):
+                if root(j) != root(i) and sure(i, j):
                     links.append((i, j))
                     parent[root(j)] = root(i)
                     mine = root(i)
@@ -182,14 +183,30 @@ def joining_links(sets: list[np.ndarray], parent: list[int] | None = None) -> li
                 break  # groups have grown: see anew who needs to ask
 
 
-def _links(blocks: DataFrame, by: list[str]) -> DataFrame:
-    """a, b: links found in each block of (by.., centre, doc, tokens)."""
+def word_shingles(text: str) -> set[bytes]:
+    """The text's shingles as words joined by a blank, ASCII letters in lower case."""
+    words = text.encode().lower().split()
+    return {b" ".join(words[k : k + SIZE]) for k in range(max(1, len(words) - SIZE + 1))} if words else set()
+
+
+def _links(blocks: DataFrame, by: list[str], table) -> DataFrame:
+    """a, b: links found in each block of (by.., centre, doc, _text). The trie holds hashes; each link is held against the words themselves."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["doc", "tokens"]).sort_values(["centre", "doc"], ascending=[False, True])
-        ids = pdf["doc"].to_numpy()
-        sets = [np.frombuffer(t, np.int64) for t in pdf["tokens"]]
-        found = joining_links(sets)
+        pdf = pdf.drop_duplicates(["doc", "_text"]).sort_values(["centre", "doc"], ascending=[False, True])
+        every = [ordered(s, table.value) for s in shingle_sets(pdf["_text"].tolist())]
+        full = [k for k, s in enumerate(every) if len(s)]
+        ids, texts, sets = pdf["doc"].to_numpy()[full], pdf["_text"].to_numpy()[full], [every[k] for k in full]
+        true: dict[int, set[bytes]] = {}
+
+        def sure(i: int, j: int) -> bool:
+            for k in (i, j):
+                if k not in true:
+                    true[k] = word_shingles(texts[k])
+            both = len(true[i] & true[j])
+            return both * 100 >= PERCENT * (len(true[i]) + len(true[j]) - both)
+
+        found = joining_links(sets, sure) if sets else []
         return pd.DataFrame({"a": [int(ids[i]) for i, _ in found], "b": [int(ids[j]) for _, j in found]}, dtype="int64")
 
     return blocks.groupBy(*by).applyInPandas(solve, "a long, b long")
@@ -210,7 +227,7 @@ def _folded(held: bytes, size: int) -> np.ndarray:
 
 
 def close_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """doc, doc2 (the larger): what the parities of a block (doc, n, component, home, chunk, bits) leave of its pairs.
+    """doc, doc2 (the larger) and the latter's n: what the parities of a block (doc, n, component, home, chunk, bits) leave of its pairs.
 
     Sets that link differ in at most a ninth of their lengths' sum, and parities never differ in more bits than
     sets in tokens. Pairs are of two components, one at least at home in the class, and of two chunks if there are two.
@@ -220,7 +237,7 @@ def close_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
     size = min(map(len, pdf["bits"])) // 8
     bits = np.stack([_folded(b, size) for b in pdf["bits"]])
     apart = pdf["chunk"].nunique() > 1
-    a, b = [], []
+    a, b, size2 = [], [], []
     for i in range(len(doc) - 1):
         rest = slice(i + 1, None)
         on = (component[rest] != component[i]) & (home[rest] | home[i]) & (doc[rest] != doc[i])
@@ -230,8 +247,8 @@ def close_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         j = i + 1 + np.flatnonzero(on)
         differ = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
         j = j[differ * (100 + PERCENT) <= (100 - PERCENT) * (n[j] + n[i])]
-        a.append(np.minimum(doc[j], doc[i])), b.append(np.maximum(doc[j], doc[i]))
-    return pd.DataFrame({"doc": np.concatenate([*a, []]), "doc2": np.concatenate([*b, []])}, dtype="int64")
+        a.append(np.minimum(doc[j], doc[i])), b.append(np.maximum(doc[j], doc[i])), size2.append(np.where(doc[j] > doc[i], n[j], n[i]))
+    return pd.DataFrame({"doc": np.concatenate([*a, []]), "doc2": np.concatenate([*b, []]), "n2": np.concatenate([*size2, []])}, dtype="int64")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -241,13 +258,14 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         # large stars: larger neighbours of a node go to its smallest neighbour
         both = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).unionAll(edges.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        least = staged(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m")), "least")
-        large = both.join(least, "x").where("y > x").select(F.col("y").alias("v"), F.col("m").alias("u")).where("u <> v").distinct()
-        large = staged(large, "edges")
+        least = staged(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"), F.count("*").alias("n")), "least")
+        met = hot_join(both, least.drop("n"), ["x"], hot_keys(least, ["x"]), by="y")
+        large = staged(met.where("y > x").select(F.col("y").alias("v"), F.col("m").alias("u")).where("u <> v").distinct(), "edges")
         # small stars: a node and its smaller neighbours go to the smallest of them
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("u <> v").unionAll(low.select("v", F.col("m").alias("u"))).distinct()
-        edges = staged(small.select("u", "v"), "edges")
+        before, edges = edges, staged(small.select("u", "v"), "edges")
+        discard(before, least, large)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == mark:
             break
@@ -270,7 +288,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     table = docs.sparkSession.sparkContext.broadcast(common)
     named = every.where(F.col("_id").isNotNull() & F.col("digest").isNotNull())
     # one document stands for all of an equal set
-    firsts = staged(named.groupBy("digest").agg(F.min("_id").alias("_id"), F.first("n").alias("n")), "firsts")
+    firsts = staged(named.groupBy("digest").agg(F.min("_id").alias("_id"), F.first("n").alias("n"), F.count("*").alias("copies")), "firsts")
 
     def first_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text", 1 << 20):
@@ -280,9 +298,11 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(digest, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))], names=["_id", "digest", "tokens"])
 
     prefixes = rows.where(F.col("_id").isNotNull() & F.col("_text").isNotNull()).mapInArrow(first_tokens, "_id long, digest binary, tokens array<bigint>").where(F.size("tokens") > 0)
-    prefixes = staged(prefixes.join(firsts, ["digest", "_id"]).select(F.col("_id").alias("doc"), "n", "tokens"), "prefixes")
-    shared = staged(prefixes.select(F.explode("tokens").alias("token")).groupBy("token").count().where("count > 1").select("token"), "tokens")
-    posts = staged(prefixes.select("doc", "n", F.explode("tokens").alias("token")).join(shared, "token"), "posts")
+    prefixes = staged(prefixes.join(firsts.drop("copies"), ["digest", "_id"]).select(F.col("_id").alias("doc"), "n", "tokens"), "prefixes")
+    shared = staged(prefixes.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("size")).where("size > 1"), "tokens")
+    busy = staged(hot_keys(shared, ["token"], "size"), "busy")
+    posts = staged(hot_join(prefixes.select("doc", "n", F.explode("tokens").alias("token")), shared.select("token"), ["token"], busy, by="doc"), "posts")
+    discard(prefixes)
     fits = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
 
     def can_reach(k, n, m):
@@ -291,58 +311,67 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         beyond = lambda size: F.ceil(size * PERCENT / 100) - 1
         return (k + F.greatest(beyond(n), beyond(m))) * (100 + PERCENT) >= (n + m) * PERCENT
 
-    def sets_of(wanted: DataFrame, form=None) -> DataFrame:
-        """doc and tokens, the whole ordered set as bytes or in another form, of the ids in wanted (doc)."""
-
-        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, "_text", 1 << 20):
-                sets = [form(s) if form else ordered(s, table.value).tobytes() for s in shingle_sets(batch.column("_text").to_pylist())]
-                yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(sets, pa.binary())], names=["doc", "tokens"])
-
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """doc and _text of the ids in wanted (doc)."""
         ids = wanted.select(F.col("doc").alias("_id")).distinct()
         if wanted.count() <= FEW_IDS:  # at most 4 MB: texts need not move; beyond that they are joined
             ids = F.broadcast(ids)
-        return rows.join(ids, "_id").where(F.col("_text").isNotNull()).mapInArrow(whole, "doc long, tokens binary")
+        return rows.join(ids, "_id").where(F.col("_text").isNotNull()).select(F.col("_id").alias("doc"), "_text")
+
+    def parity_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_text", 1 << 20):
+            bits = [parities(s) for s in shingle_sets(batch.column("_text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(bits, pa.binary())], names=["doc", "bits"])
 
     def held_against(pairs: DataFrame) -> DataFrame:
-        """Links among the documents of each centre, in blocks of about BLOCK sets."""
-        sizes = staged(pairs.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")), "sizes")
-        members = pairs.join(sizes, "centre").select("centre", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int").alias("part"), "doc")
+        """Links among the documents of each centre, in blocks of about BLOCK sets or BLOCK_SHINGLES shingles; pairs: centre, doc and the latter's n."""
+        most = F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)
+        sizes = staged(pairs.groupBy("centre").agg(F.ceil(most).cast("int").alias("parts"), F.count("*").alias("size")), "sizes")
+        members = hot_join(pairs, sizes.drop("size"), ["centre"], hot_keys(sizes, ["centre"], "size"), by="doc").select("centre", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int").alias("part"), "doc")
         centres = sizes.select("centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("centre").alias("doc"))
         members = staged(members.unionAll(centres), "members")
-        blocks = sets_of(members).join(members, "doc").select(F.col("centre").alias("block"), "part", (F.col("centre") == F.col("doc")).alias("centre"), "doc", "tokens")
-        return staged(_links(blocks, ["block", "part"]), "links")
+        blocks = texts_of(members).join(members, "doc").select(F.col("centre").alias("block"), "part", (F.col("centre") == F.col("doc")).alias("centre"), "doc", "_text")
+        links = staged(_links(blocks, ["block", "part"], table), "links")
+        discard(pairs, sizes, members)
+        return links
 
     centres = staged(posts.groupBy("token").agg(F.min(F.struct("doc", "n")).alias("c")).select("token", F.col("c.doc").alias("centre"), F.col("c.n").alias("m")), "centres")
     # a first pass that joins most of what is alike; whatever it leaves out (such as tokens with another centre) comes after it
-    stars = posts.join(centres, "token").where((F.col("doc") != F.col("centre")) & fits(F.col("n"), F.col("m")))
-    stars = stars.groupBy("doc", "centre", "n", "m").agg(F.count("*").alias("k")).where(can_reach(F.col("k"), F.col("n"), F.col("m"))).select("centre", "doc")
+    stars = hot_join(posts, centres, ["token"], busy, by="doc").where((F.col("doc") != F.col("centre")) & fits(F.col("n"), F.col("m")))
+    stars = stars.groupBy("doc", "centre", "n", "m").agg(F.count("*").alias("k")).where(can_reach(F.col("k"), F.col("n"), F.col("m"))).select("centre", "doc", "n")
     links = held_against(staged(stars, "stars"))
     joined = staged(components(links), "components")
     # what stands under one token in more than one component
+    discard(centres)
     placed = staged(posts.join(joined, "doc", "left").withColumn("component", F.coalesce("component", "doc")), "placed")
     open_tokens = staged(placed.groupBy("token").agg(F.count("*").alias("size"), F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("token", "size"), "open")
-    left = staged(placed.join(open_tokens, "token"), "left")
+    left = staged(hot_join(placed, open_tokens, ["token"], busy, by="doc"), "left")
+    discard(posts, placed, open_tokens)
     here = F.floor(F.log("n") / F.lit(float(np.log(CLASS)))).cast("int")
     # each document of a large token is at home in its own class and a guest in the next one
     parted = left.where(F.col("size") > PAIRED).drop("size").withColumn("class", F.explode(F.array(here, here + 1))).withColumn("home", F.col("class") == here)
     sizes = parted.groupBy("token", "class").agg(F.count("*").alias("size"), F.count_if("home").alias("homes")).where("homes > 0").drop("homes")
-    parted = staged(parted.join(sizes, ["token", "class"]), "parted")
+    sizes = staged(sizes, "sizes")
+    parted = staged(hot_join(parted, sizes, ["token", "class"], hot_keys(sizes, ["token", "class"], "size"), by="doc"), "parted")
+    discard(sizes)
     few = left.where(F.col("size") <= PAIRED).select("token", F.lit(0).alias("class"), "doc", "n", "component", F.lit(True).alias("home"))
     few = few.unionAll(parted.where(F.col("size") <= PAIRED).select(few.columns))
     other = few.select("token", "class", *[F.col(c).alias(f"{c}2") for c in ("doc", "n", "component", "home")])
     met = few.join(other, ["token", "class"]).where((F.col("doc") < F.col("doc2")) & (F.col("component") != F.col("component2")) & (F.col("home") | F.col("home2")) & fits(F.col("n"), F.col("n2")))
     # all common tokens of such a pair are among these, unless it meets in a large group below
     met = met.groupBy("doc", "doc2", "n", "n2").agg(F.count("*").alias("k"))
-    likely = met.where(can_reach(F.col("k"), F.col("n"), F.col("n2"))).select("doc", "doc2")
+    likely = met.where(can_reach(F.col("k"), F.col("n"), F.col("n2"))).select("doc", "doc2", "n2")
     # large groups: their documents in chunks, each two chunks in a block
     chunks = F.ceil(F.col("size") * 2 / BLOCK).cast("int")
     dealt = parted.where(F.col("size") > PAIRED).withColumn("chunk", F.pmod(F.xxhash64("doc"), chunks).cast("int"))
     blocks = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), chunks - 1))).select("token", "class", F.least("chunk", "with").alias("part"), F.greatest("chunk", "with").alias("part2"), "doc", "n", "component", "home", "chunk")
-    bits = sets_of(dealt.select("doc"), parities).withColumnRenamed("tokens", "bits")
-    close = bits.join(staged(blocks, "blocks"), "doc").groupBy("token", "class", "part", "part2").applyInPandas(close_pairs, "doc long, doc2 long")
-    more = held_against(staged(likely.unionAll(close).distinct().select(F.col("doc").alias("centre"), F.col("doc2").alias("doc")), "likely"))
+    bits = texts_of(dealt.select("doc")).mapInArrow(parity_rows, "doc long, bits binary")
+    close = bits.join(staged(blocks, "blocks"), "doc").groupBy("token", "class", "part", "part2").applyInPandas(close_pairs, "doc long, doc2 long, n2 long")
+    likely = staged(likely.unionAll(close).groupBy("doc", "doc2").agg(F.max("n2").alias("n")).select(F.col("doc").alias("centre"), F.col("doc2").alias("doc"), "n"), "likely")
+    discard(left, parted)
+    more = held_against(likely)
     joined = components(links.unionAll(more))
-    named_sets = firsts.join(joined, firsts["_id"] == joined["doc"], "left").select("digest", F.coalesce("component", "_id").alias("component_id"))
+    named_sets = firsts.join(joined, firsts["_id"] == joined["doc"], "left").select("digest", "copies", F.coalesce("component", "_id").alias("component_id"))
     named_sets = staged(named_sets, "classes")
-    return every.join(named_sets, "digest", "left").select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "_id")).cast("long").alias("component_id"))
+    discard(firsts, links, more)
+    return hot_join(every, named_sets.drop("copies"), ["digest"], hot_keys(named_sets, ["digest"], "copies"), by="_id", how="left").select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "_id")).cast("long").alias("component_id"))

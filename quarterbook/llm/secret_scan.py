@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from ._common import slices
 
 MOST_STRINGS = 64
-SHIFT = 20  # bits of a text's number in its segment
+SHIFT = 20  # bits of a text's number in its segment; slices() gives at most 2**16 texts
 
 
 @dataclass(frozen=True)

@@ -4,7 +4,9 @@ A shard must hold all windows that can be equal. So a window (of `min_words` wor
 its runs of four words; windows in a row with one anchor travel together as a segment. Anchors found in one document
 only are left out first, and exact copies of a whole text are settled by its digest. The distinct
 segments of a shard, each with the smallest id that holds it, make a compressed FM-index; segments stream past it in
-backward search, and for each window that matches at full length the smallest id over its interval of suffixes is reported. Words are held as hashes of 64 bits.
+backward search, and for each window that matches at full length the smallest id over its interval of suffixes is reported. A shard
+numbers its words themselves, and its answers go back to the documents by a digest of each segment's words: hashes only
+decide which windows meet, never which are equal.
 """
 
 from __future__ import annotations
@@ -12,15 +14,16 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_rows, slices, staged, words_of
+from ._common import arrow_rows, discard, hot_join, hot_keys, slices, staged, words_of
 from .fm_index import FMIndex
-from .word_hashes import PRIME, anchored, keys_of, mixed, stretches, word_hashes
+from .word_hashes import PRIME, anchored, digests, joined, mixed, runs, word_hashes
 
 RUN = 4
 HOT = 20_000  # documents with one anchor from which its windows go each by their own hash
@@ -66,21 +69,30 @@ def _segments(candidates: DataFrame, window: int, words_too: bool) -> DataFrame:
             end = np.concatenate([start[plain] + n[plain], single + 1]) + window - 1
             text = np.concatenate([text[plain], np.repeat(text[hot], n[hot])])
             row = pa.array(text)
-            keys = stretches(h, begin, end)
+            segments = joined(whole, opens, closes, begin, end)
             if words_too:
-                route = np.concatenate([anchor[plain], keys[len(plain) :, 0].view(np.int64)])
-                joined = pa.array([b" ".join(whole[a:b].split()) for a, b in zip(opens[begin].tolist(), closes[end - 1].tolist(), strict=True)], pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(route), joined, batch.column("_id").take(row)], names=["route", "segment", "_id"])
+                route = np.concatenate([anchor[plain], runs(h, window)[single].view(np.int64)]) if len(single) else anchor[plain]
+                yield pa.RecordBatch.from_arrays([pa.array(route), pa.array(segments, pa.binary()).cast(pa.string()), batch.column("_id").take(row)], names=["route", "segment", "_id"])
             else:
                 place = pa.array((begin - (np.cumsum(counts) - counts)[text]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([keys_of(keys), place, *(batch.column(k).take(row) for k in KEYS)], names=["key", "first", *KEYS])
+                yield pa.RecordBatch.from_arrays([digests(segments), place, *(batch.column(k).take(row) for k in KEYS)], names=["key", "first", *KEYS])
 
     return candidates.mapInArrow(run, "route long, segment string, _id long" if words_too else "key binary, first int, _id long, _text_hash long")
 
 
-def smallest_owners(words: np.ndarray, counts: np.ndarray, owners: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of each segment (of `counts` hashed words) the smallest owner of a segment that holds it, by one FM-index; and the number of windows of each."""
-    stream = np.unique(words, return_inverse=True)[1] + 1
+class Numbered(dict):
+    """A number, from 1, for each word of a shard."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self) + 1
+        return n
+
+
+def smallest_owners(segments: list[bytes], owners: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of each segment (words joined by one blank) the smallest owner of a segment that holds it, by one FM-index; and the number of windows of each."""
+    words = [s.split() for s in segments]
+    counts, number = np.fromiter(map(len, words), np.int64, len(words)), Numbered()
+    stream = np.fromiter(map(number.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
     index = FMIndex(stream, counts)
     windows = counts - window + 1
     of = np.repeat(np.arange(len(counts)), windows)
@@ -101,11 +113,9 @@ def _owned(distinct: DataFrame, window: int) -> DataFrame:
     """key and the smallest owner of each window, for segments that come by route, all of one route in a row."""
 
     def solve(segments: list[str], owners: list[int]) -> pa.RecordBatch:
-        h, counts, *_ = word_hashes(segments)
-        least, windows = smallest_owners(h, counts, np.array(owners, np.int64), window)
-        ends = np.cumsum(counts)
-        keys = keys_of(stretches(h, ends - counts, ends))
-        return pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(windows)]), pa.int32()), pa.array(least))], names=["key", "least"])
+        raw = [s.encode() for s in segments]
+        least, windows = smallest_owners(raw, np.array(owners, np.int64), window)
+        return pa.RecordBatch.from_arrays([digests(raw), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(windows)]), pa.int32()), pa.array(least))], names=["key", "least"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segments: list[str] = []
@@ -163,12 +173,13 @@ def repeated_passages(docs: DataFrame, min_words: int = 13, id_col: str = "doc_i
     named = rows.where(F.col("_id").isNotNull())
     key = F.xxhash64(*KEYS).alias("_key")  # of two documents with one key each gets the other's anchors too, in vain
     anchors = _anchors(named.select("_text", key), min_words)
-    shared = staged(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", (F.col("n") > HOT).alias("hot")), "anchors")
+    shared = staged(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "n", (F.col("n") > HOT).alias("hot")), "anchors")
     digest = F.unhex(F.sha2("_text", 256))
     firsts = staged(named.groupBy(digest.alias("_digest")).agg(F.min(F.struct(*KEYS)).alias("f")).select("f.*"), "firsts")
-    lists = anchors.join(shared, "anchor").groupBy("_key").agg(F.collect_list(F.when(~F.col("hot"), F.col("anchor"))).alias("plain"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
+    lists = hot_join(anchors, shared.drop("n"), ["anchor"], hot_keys(shared, ["anchor"]), by="_key").groupBy("_key").agg(F.collect_list(F.when(~F.col("hot"), F.col("anchor"))).alias("plain"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
     wanted = firsts.select("*", key).join(lists, "_key").drop("_key")
     candidates = staged(named.join(wanted, KEYS), "candidates")
+    discard(shared)
     distinct = _segments(candidates, min_words, True).groupBy("route", "segment").agg(F.min("_id").alias("owner"))
     shards = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     owned = _owned(distinct.repartition(shards, "route").sortWithinPartitions("route"), min_words)

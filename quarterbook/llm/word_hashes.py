@@ -1,13 +1,15 @@
-"""Hashes of words, runs of words and the least run in a window, in numpy."""
+"""Hashes of words, runs of words and the least run in a window, in numpy; digests of stretches of words."""
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 
 PRIME = np.uint64(0x9E3779B185EBCA87)
-# odd numbers and their inverses mod 2**64
-BASES = tuple((np.uint64(b), np.uint64(pow(b, -1, 1 << 64))) for b in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
+LONG = 256  # bytes; longer words are hashed one by one
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -15,50 +17,51 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _step(h: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """A state of 64 bits with one more part: no sum of the parts, so parts that change places or signs don't cancel out."""
+    return mixed((h ^ part) * PRIME)
+
+
 def runs(h: np.ndarray, n: int) -> np.ndarray:
     """A hash of each n words in a row; of all words together if they are fewer."""
     n = min(n, len(h))
     out = np.full(len(h) - n + 1, n, np.uint64)
     for k in range(n):
-        out = out * PRIME + h[k : k + len(out)]
-    return mixed(out)
-
-
-_BYTE = np.random.default_rng(11).integers(0, 1 << 64, 256, np.uint64)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        out = _step(out, h[k : k + len(out)])
+    return out
 
 
-def _powers(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of BASES[k] and of its inverse."""
-    held = _POWERS.get(k)
-    if held is None or len(held[0]) < n:
-        size = max(n, 1 << 20)
-        held = tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, b, np.uint64)])) for b in BASES[k])
-        if n <= 1 << 22:
-            _POWERS[k] = held
-    return held[0][:n], held[1][:n]
-
-
-def _sums(values: np.ndarray, start: np.ndarray, end: np.ndarray, k: int) -> np.ndarray:
-    """For each stretch the sum of its values times powers of BASES[k], counted from its own start, and of its length."""
-    power, undo = _powers(k, len(values) + 1)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(values * undo[:-1])])
-    return mixed((sums[end] - sums[start]) * power[start] + (end - start).astype(np.uint64) * PRIME)
+def _of_words(whole: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each word's bytes, eight at a time, all words side by side."""
+    size = end - start
+    parts = np.ndarray(len(whole) + 1, "<u8", whole + bytes(8), strides=(1,))  # the eight bytes from each place on
+    h = _step(size.astype(np.uint64) * PRIME, parts[start] & _MASKS[np.minimum(size, 8)])
+    live, at = np.flatnonzero((size > 8) & (size <= LONG)), 8
+    while len(live):
+        left = size[live] - at
+        h[live] = _step(h[live], parts[start[live] + at] & _MASKS[np.minimum(left, 8)])
+        live, at = live[left > 8], at + 8
+    for i in np.flatnonzero(size > LONG):
+        h[i] = int.from_bytes(blake2b(whole[start[i] : end[i]], digest_size=8).digest(), "little")
+    return h
 
 
 def word_hashes(texts: list[str | bytes | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word of the texts in a row, the number of words of each text; the texts' bytes with each word's start and end in them."""
+    """A 64-bit hash of each word of the texts in a row, the number of words of each text; the texts' bytes with each word's start and end in them.
+
+    Hashes serve to find what may be equal; what is reported is compared by its words or by digests of them.
+    """
     raw = [b"" if t is None else t if isinstance(t, bytes) else t.encode() for t in texts]
-    whole = b"\n".join(raw) + b"\n"
+    whole = b"\n".join([b"", *raw, b""])  # a blank before the first word and after the last one
     if lower:
         whole = whole.lower()
     b = np.frombuffer(whole, np.uint8)
-    blank = (b == 32) | ((b >= 9) & (b <= 13))
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], blank]).astype(np.int8)))  # turns: start, end, start, ...
+    blank = (b - np.uint8(9) <= 4) | (b == 32)
+    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1  # turns: start, end, start, ...
     start, end = edge[::2], edge[1::2]
-    borders = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1)
+    borders = 1 + np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1)
     counts = np.diff(np.concatenate([[0], np.searchsorted(start, borders)]))
-    return _sums(_BYTE[b], start, end, 0), counts, whole, start, end
+    return _of_words(whole, start, end), counts, whole, start, end
 
 
 def least_of(g: np.ndarray, span: int) -> np.ndarray:
@@ -89,10 +92,11 @@ def anchored(h: np.ndarray, counts: np.ndarray, window: int, size: int) -> tuple
     return least[first].view(np.int64), text, at[first] - (ends - counts)[text], n
 
 
-def stretches(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A key of 16 bytes for each stretch of words, from two sums over its words."""
-    return np.stack([_sums(mixed(h + PRIME * np.uint64(k)), start, end, k) for k in range(2)], 1)
+def joined(whole: bytes, opens: np.ndarray, closes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[bytes]:
+    """The words of each stretch, joined by one blank."""
+    return [b" ".join(whole[a:b].split()) for a, b in zip(opens[begin].tolist(), closes[end - 1].tolist(), strict=True)]
 
 
-def keys_of(pairs: np.ndarray) -> pa.Array:
-    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(pairs), [None, pa.py_buffer(np.ascontiguousarray(pairs).tobytes())]).cast(pa.binary())
+def digests(stretches: list[bytes]) -> pa.Array:
+    """16 bytes of a cryptographic digest of each stretch: equal for equal words only."""
+    return pa.array([blake2b(s, digest_size=16).digest() for s in stretches], pa.binary())
