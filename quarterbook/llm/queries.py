@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import key_crc, read_table, staged
+from ._common import discard, key_crc, read_table, staged
 from .jaccard_join import similar_components
 from .kd_sharding import kd_shards
 from .language_id import identify
@@ -16,7 +17,7 @@ from .quality import score_quality
 from .secret_scan import BASE, scan_secrets
 from .sentence_pieces import encode_decode
 from .substring_dedup import repeated_passages
-from .telephony import decode_audio, store_audio
+from .telephony import CODECS, decode_audio, features, store_audio
 from .voronoi_knn import top_k
 
 RANKS = "byte_bpe_50k.tiktoken"  # the ids of byte_bpe_50k.json, in the form that tiktoken reads
@@ -43,7 +44,12 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = staged(store_audio(read_table(spark, sf_dir, "documents")), "media")
-    return decode_audio(stored, output="digest", keep=("n_bytes",))
+    found = []
+    for codec in CODECS:  # PCM takes several times the room of the files: that of one codec at a time
+        audio = staged(decode_audio(stored.where(F.col("codec") == codec), keep=("n_bytes",)), "pcm")
+        found.append(staged(features(audio), "features"))
+        discard(audio)
+    return reduce(DataFrame.unionAll, found).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec")
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

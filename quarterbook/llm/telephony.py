@@ -1,7 +1,8 @@
 """Telephony audio columns: mu-law and A-law by lookup tables, IMA ADPCM by blocks, resampled to linear PCM.
 
 Media are WAV files of one channel in a binary column. Companded bytes are expanded by tables of 256 entries; the
-blocks of all ADPCM files of an Arrow slice are decoded side by side, one nibble position of every block at a time.
+blocks of all ADPCM files of an Arrow slice are decoded side by side, one nibble position of every block at a time. The
+resampled PCM is a column like any other: it is written, and figures of it come from the samples read back.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -110,7 +111,7 @@ def padded(raw: bytes) -> bytes:
 
 
 def store_audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_bytes and media: each text's UTF-8 bytes, filled up with zeros, as the samples of a WAV file.
+    """id, n_bytes, codec and media: each text's UTF-8 bytes, filled up with zeros, as the samples of a WAV file.
 
     The codec follows from the payload's crc32, so equal texts give equal files. Null text counts as empty
     (64 zeros); repeated rows come each; an empty table gives no rows; further columns are left out.
@@ -120,10 +121,12 @@ def store_audio(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
             raw = [(t or "").encode() for t in batch.column(text_col).to_pylist()]
-            files = [wav(p, CODECS[zlib.crc32(p) % len(CODECS)]) for p in map(padded, raw)]
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(map(len, raw), pa.int64()), pa.array(files, pa.binary())], names=[id_col, "n_bytes", "media"])
+            full = [padded(r) for r in raw]
+            codecs = [CODECS[zlib.crc32(p) % len(CODECS)] for p in full]
+            files = list(map(wav, full, codecs))
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(map(len, raw), pa.int64()), pa.array(codecs, pa.string()), pa.array(files, pa.binary())], names=[id_col, "n_bytes", "codec", "media"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n_bytes long, media binary")
+    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n_bytes long, codec string, media binary")
 
 
 def decoded_files(files: list[bytes], target: int) -> list[tuple[str, bytes, np.ndarray]]:
@@ -134,33 +137,52 @@ def decoded_files(files: list[bytes], target: int) -> list[tuple[str, bytes, np.
     return [(c, p, resampled(next(ready).ravel() if c == "adpcm" else TABLES[c][np.frombuffer(p, np.uint8)], rate, target)) for c, rate, p in read]
 
 
-def decode_audio(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", target: int = 16000, output: str = "pcm", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, `keep` columns, codec, payload and pcm (16-bit little-endian samples at `target` a second), or with output="digest" figures of them.
+_SPELLED = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
+
+
+def _made(table: DataFrame, carried: tuple[str, ...], by: str, outputs: dict[str, pa.DataType], rows_of: Callable[[pa.RecordBatch], list[tuple]]) -> DataFrame:
+    """`carried` columns and what rows_of makes of each slice, cut by the bytes of column `by`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, by, 2 << 20):
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows_of(batch), strict=True), outputs.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), *columns], names=[*carried, *outputs])
+
+    kinds = {f.name: f.dataType.simpleString() for f in table.schema}
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in carried), *(f"{n} {_SPELLED[t]}" for n, t in outputs.items())])
+    return table.mapInArrow(run, schema)
+
+
+def decode_audio(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", target: int = 16000, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, `keep` columns, codec, payload_bytes, payload_sha256, tail_crc32 (of the data read back), media_bytes, media_sha256 and pcm
+    (16-bit little-endian samples at `target` a second).
 
     Files are those of store_audio, or any WAV file of one channel of these codecs with blocks of 64 bytes. Null
-    media give nulls; a file that can't be read is an error.
+    media give nulls; a file that can't be read is an error; further columns are left out.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in media.schema}
-    digest = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
-    outputs = digest if output == "digest" else {"codec": pa.string(), "payload": pa.binary(), "pcm": pa.binary()}
+    outputs = {"codec": pa.string(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "pcm": pa.binary()}
 
-    def figures(file: bytes, codec: str, payload: bytes, pcm: np.ndarray) -> tuple:
-        x = pcm.astype(np.int32)
+    def rows_of(batch: pa.RecordBatch) -> list[tuple]:
+        files = batch.column(media_col).to_pylist()
+        done = iter(decoded_files([f for f in files if f is not None], target))
+        rows = [(f, *next(done)) if f is not None else None for f in files]
+        told = lambda f, c, p, x: (c, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-BLOCK:]), len(f), hashlib.sha256(f).hexdigest(), x.astype("<i2").tobytes())
+        return [(None,) * len(outputs) if r is None else told(*r) for r in rows]
+
+    return _made(media.select(id_col, *keep, media_col), (id_col, *keep), media_col, outputs, rows_of)
+
+
+def features(audio: DataFrame, pcm_col: str = "pcm", codec_col: str = "codec") -> DataFrame:
+    """All columns but pcm, and `feature`: the codec, and samples, peak, mean energy, changes of sign and crc32 of the stored PCM; null for null PCM."""
+
+    def figures(codec: str, raw: bytes) -> str:
+        x = np.frombuffer(raw, "<i2").astype(np.int32)
         energy = int(np.dot(x.astype(np.int64), x)) // max(1, len(x))
         turns = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
-        peak = int(np.abs(x).max(initial=0))
-        feature = f"{codec} samples={len(x)} peak={peak} energy={energy} turns={turns} pcm_crc32={zlib.crc32(pcm.astype('<i2').tobytes())}"
-        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(file), hashlib.sha256(file).hexdigest(), feature
+        return f"{codec} samples={len(x)} peak={int(np.abs(x).max(initial=0))} energy={energy} turns={turns} pcm_crc32={zlib.crc32(raw)}"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, media_col, 2 << 20):
-            files = batch.column(media_col).to_pylist()
-            done = iter(decoded_files([f for f in files if f is not None], target))
-            rows = [None if f is None else (f, *next(done)) for f in files]
-            made = [(None,) * len(outputs) if r is None else figures(*r) if output == "digest" else (r[1], r[2], r[3].astype("<i2").tobytes()) for r in rows]
-            columns = [pa.array(c, t) for c, t in zip(zip(*made, strict=True), outputs.values(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (id_col, *keep)), *columns], names=[id_col, *keep, *outputs])
-
-    spelled = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in (id_col, *keep)), *(f"{n} {spelled[t]}" for n, t in outputs.items())])
-    return media.select(id_col, *keep, media_col).mapInArrow(run, schema)
+    def rows_of(batch: pa.RecordBatch) -> list[tuple]:
+        both = zip(batch.column(codec_col).to_pylist(), batch.column(pcm_col).to_pylist(), strict=True)
+        return [(None if raw is None else figures(codec, raw),) for codec, raw in both]
+
+    return _made(audio, tuple(c for c in audio.columns if c != pcm_col), pcm_col, {"feature": pa.string()}, rows_of)

@@ -19,7 +19,7 @@ from quarterbook.llm.quality import isotonic, score_quality
 from quarterbook.llm.secret_scan import RULES, found_spans, redact_secrets, scan_secrets, trigram_query
 from quarterbook.llm.sentence_pieces import codec, encode_decode
 from quarterbook.llm.substring_dedup import remove_passages, repeated_passages
-from quarterbook.llm.telephony import STEPS, TABLES, adpcm_blocks, decode_audio, read_wav, resampled, store_audio, wav
+from quarterbook.llm.telephony import STEPS, TABLES, adpcm_blocks, decode_audio, features, read_wav, resampled, store_audio, wav
 from quarterbook.llm.voronoi_knn import top_k
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -221,12 +221,13 @@ def test_audio_round_trip(docs, rows, none):
         raw = (t or "").encode()
         full = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
         want[i, len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:])] += 1
-    got = decode_audio(store_audio(docs), output="digest", keep=("n_bytes",))
-    assert Counter(tuple(r)[:5] for r in got.collect()) == want
-    assert got.select("payload_sha256").distinct().count() == got.select("payload_sha256", "media_sha256", "feature").distinct().count()
-    whole = decode_audio(store_audio(docs.limit(5))).collect()
-    assert all(len(r.pcm) > 0 and len(r.payload) % 64 == 0 for r in whole)
-    assert decode_audio(store_audio(none)).count() == 0
+    got = features(decode_audio(store_audio(docs), keep=("n_bytes",))).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got) == want
+    assert len({r.payload_sha256 for r in got}) == len({(r.payload_sha256, r.media_sha256, r.feature) for r in got})
+    for r in decode_audio(store_audio(docs)).collect():
+        n = r.payload_bytes if r.codec != "adpcm" else r.payload_bytes // 64 * 121
+        assert len(r.pcm) == 2 * 2 * n  # 16 bits, twice the rate
+    assert decode_audio(store_audio(none)).count() == 0 and features(decode_audio(store_audio(none))).count() == 0
 
 
 def check_packing(got, capacity):
