@@ -58,6 +58,12 @@ def window_slug(filed: Column) -> Column:
     return F.lower(F.concat_ws("-", F.date_format(start, "ddMMMyyyy"), F.date_format(F.last_day(F.add_months(start, 2)), "ddMMMyyyy")))
 
 
+def recent_sets(day: Column, n: int) -> Column:
+    """Names (yYYYqN would be 2024q1) of the n quarterly data sets before a day's quarter, newest first."""
+    first = lambda k: F.add_months(F.trunc(day, "QUARTER"), -3 * (k + 1))
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.format_string("%dq%d", F.year(first(k)), F.quarter(first(k))))
+
+
 def months_back(newest: Column, n: int) -> Column:
     """The first days of n months up to that of `newest`, newest first."""
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda m: F.add_months(F.trunc(newest, "MM"), -m))

@@ -64,7 +64,7 @@ def last_segment(path: Column) -> Column:
 
 
 def unescape_html(text: Column) -> Column:
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#039;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(char))
     return text
 
@@ -106,3 +106,46 @@ def short_code(name: Column) -> Column:
     cleaned = F.trim(F.regexp_replace(name, "[^A-Za-z ]", " "))
     words = F.filter(F.split(cleaned, r"\s+"), lambda w: ~F.lower(w).rlike(f"^({CODE_STOP_WORDS})$"))
     return F.rpad(F.substring(F.upper(F.coalesce(F.get(words, F.lit(0)), cleaned)), 1, 3), 3, "·")
+
+
+NONE = "—"
+
+
+def _fixed(x: Column, places: int) -> Column:
+    """A number with so many places, without separators; halves go away from zero."""
+    return F.format_string(f"%.{places}f", F.round(x.cast("decimal(38,12)"), places).cast("double"))
+
+
+def _scaled(n: Column, lead: str, steps: tuple[tuple[float, str, int], ...]) -> Column:
+    size = F.abs(n.cast("double"))
+    out = F.concat(F.lit(lead), _fixed(size, 0))
+    for least, suffix, places in reversed(steps):
+        out = F.when(size >= least, F.concat(F.lit(lead), _fixed(size / least, places), F.lit(suffix))).otherwise(out)
+    return F.when(n.isNull(), NONE).otherwise(F.concat(F.when(n < 0, "-").otherwise(""), out))
+
+
+def usd(n: Column) -> Column:
+    return _scaled(n, "$", ((1e12, "T", 2), (1e9, "B", 2), (1e6, "M", 1), (1e3, "K", 1)))
+
+
+def share_count(n: Column) -> Column:
+    return _scaled(n, "", ((1e9, "B", 2), (1e6, "M", 2), (1e3, "K", 1)))
+
+
+def percent(n: Column, places: int = 1) -> Column:
+    return F.when(n.isNull(), NONE).otherwise(F.concat(_fixed(n, places), F.lit("%")))
+
+
+def points(n: Column, places: int = 1, unit: str = "pp") -> Column:
+    """A change, signed: of a weight in points, or with unit="%" of a number in per cent."""
+    return F.when(n.isNull(), NONE).otherwise(F.concat(F.when(n > 0, "+").otherwise(""), _fixed(n, places), F.lit(unit)))
+
+
+def day_label(day: Column) -> Column:
+    return F.when(day.isNull(), NONE).otherwise(F.date_format(day, "d MMM yyyy"))
+
+
+def deadline_phrase(label: Column, deadline: Column, days: Column) -> Column:
+    """How a quarter's deadline is told from so many days before it: in the past tense once it has passed."""
+    day = day_label(deadline)
+    return F.when(days > 1, F.concat(label, F.lit(" due "), day)).when(days == 1, F.concat(label, F.lit(" due tomorrow, "), day)).when(days == 0, F.concat(label, F.lit(" due today"))).otherwise(F.concat(label, F.lit(" closed "), day))

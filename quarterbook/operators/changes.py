@@ -4,79 +4,109 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.calendar import shift_period
 from ..functions.scalars import near_simple_ratio
 from .positions import long_equity
 
 KEY = ("cusip", "put_call", "unit")
+SUPPRESSING = ("PRO_RATA_REDUCTION", "UNIT_SCALE_CHANGE")
 
 
-def prior_states(books: DataFrame) -> DataFrame:
-    """books: cik, period_end, is_notice. Adds prior_state by the preceding calendar quarter, not the preceding row."""
-    before = books.select("cik", shift_period(F.col("period_end"), 1).alias("period_end"), F.col("is_notice").alias("_nt"))
-    first = books.groupBy("cik").agg(F.min("period_end").alias("_first"))
-    state = F.when(F.col("_nt"), "PRIOR_IS_NT").when(~F.col("_nt"), "PRIOR_OK").when(F.col("_first") < F.col("period_end"), "PRIOR_MISSING").otherwise("NO_PRIOR")
-    return books.join(before, ["cik", "period_end"], "left").join(first, "cik").select("cik", "period_end", "is_notice", state.alias("prior_state"))
+def prior_states(quarters: DataFrame) -> DataFrame:
+    """prior_state of each quarter with a book, by the preceding calendar quarter, not the preceding row.
+
+    quarters: cik, period_end, kind ('book', 'notice' or 'unusable'), and further columns, which stay. A prior quarter whose
+    filings can't be used is missing; one before which nothing is known makes no prior.
+    """
+    before = quarters.select("cik", shift_period(F.col("period_end"), 1).alias("period_end"), F.col("kind").alias("_before"))
+    first = quarters.groupBy("cik").agg(F.min("period_end").alias("_first"))
+    state = F.when(F.col("_before") == "notice", "PRIOR_IS_NT").when(F.col("_before") == "book", "PRIOR_OK").when(F.col("_first") < F.col("period_end"), "PRIOR_MISSING").otherwise("NO_PRIOR")
+    return quarters.where("kind = 'book'").join(before, ["cik", "period_end"], "left").join(first, "cik").withColumn("prior_state", state).drop("_before", "_first")
 
 
 def changes(book: DataFrame, states: DataFrame) -> DataFrame:
-    """A row for each position of either quarter of a (cik, period_end) whose prior quarter stands: action and deltas."""
-    usable = states.where("prior_state = 'PRIOR_OK'").select("cik", "period_end")
+    """A row for each position of either quarter of a (cik, period_end) whose prior quarter stands: action, deltas, flags.
+
+    Each position is sent once, as now and as prior of the next quarter, and both meet in one shuffle by (cik, period_end),
+    by which structural events and totals are counted too. states: cik, period_end, prior_state, confidential_omitted. An
+    exit under an omission is `withheld`: the position may be there and untold.
+    """
+    usable = states.where("prior_state = 'PRIOR_OK'").select("cik", "period_end", "confidential_omitted")
     held = ("value_usd", "shares", "weight_pct")
-    now = book.join(usable, ["cik", "period_end"]).select("cik", "period_end", *KEY, *[F.col(c).alias(f"{c}_now") for c in held])
-    prior = book.select("cik", shift_period(F.col("period_end"), 1).alias("period_end"), *KEY, *[F.col(c).alias(f"{c}_prior") for c in held]).join(usable, ["cik", "period_end"])
-    both = now.join(prior, ["cik", "period_end", *KEY], "full")
+    sides = F.array(F.struct(F.col("period_end"), F.lit(False).alias("prior")), F.struct(shift_period(F.col("period_end"), 1).alias("period_end"), F.lit(True).alias("prior")))
+    sent = book.withColumn("_side", F.explode(sides)).select("cik", F.col("_side.period_end").alias("period_end"), F.col("_side.prior").alias("_prior"), *KEY, "name", *held)
+    side = lambda c, prior: F.max(F.when(F.col("_prior") == prior, F.col(c)))
+    both = sent.join(usable, ["cik", "period_end"]).repartition("cik", "period_end").groupBy("cik", "period_end", "confidential_omitted", *KEY).agg(
+        *[side(c, False).alias(f"{c}_now") for c in held], *[side(c, True).alias(f"{c}_prior") for c in held], F.coalesce(side("name", False), side("name", True)).alias("name")
+    )
     d = F.col("shares_now") - F.col("shares_prior")
     action = F.when(F.col("shares_prior").isNull(), "NEW").when(F.col("shares_now").isNull(), "EXITED").when(d > 0, "ADDED").when(d < 0, "TRIMMED").otherwise("HELD")
-    exited = F.col("action") == "EXITED"
-    delta = lambda c: F.when(exited, -F.col(f"{c}_prior")).when(F.col("action") != "NEW", F.col(f"{c}_now") - F.col(f"{c}_prior"))
+    exited, stays = F.col("action") == "EXITED", ~F.col("action").isin("NEW", "EXITED")
+    delta = lambda c: F.when(exited, -F.col(f"{c}_prior")).when(stays, F.col(f"{c}_now") - F.col(f"{c}_prior"))
     ratio, moved = F.col("shares_now") / F.nullif("shares_prior", F.lit(0)), F.col("value_usd_now") / F.nullif("value_usd_prior", F.lit(0))
-    split = (F.col("unit") == "SH") & near_simple_ratio(ratio) & (F.abs(moved - 1) < 0.15)
-    out = both.withColumn("action", action).withColumn("d_shares", delta("shares")).withColumn("d_value", delta("value_usd")).withColumn("d_weight_pp", delta("weight_pct")).withColumn("suspected_split", F.coalesce(split, F.lit(False)))
-    pct = F.when(~F.col("suspected_split") & (F.col("unit") == "SH") & (F.col("shares_prior") > 0) & (F.col("action") != "NEW"), F.col("d_shares") / F.col("shares_prior") * 100)
-    return out.withColumn("d_shares_pct", pct)
-
-
-def structural_events(changed: DataFrame) -> DataFrame:
-    """cik, period_end, retained, median_ratio, iqr, structural_event (null for none)."""
+    split = F.coalesce(stays & near_simple_ratio(ratio) & (F.abs(moved - 1) < 0.15), F.lit(False))
+    debt = (F.col("unit") == "PRN") & ~exited
+    out = both.withColumn("action", action).withColumn("d_shares", delta("shares")).withColumn("d_value", delta("value_usd")).withColumn("d_weight_pp", delta("weight_pct")).withColumn("suspected_split", split)
+    shares_pct = F.when(exited, -100.0).when(stays & ~F.col("suspected_split") & ~debt & (F.col("shares_prior") > 0), F.col("d_shares") / F.col("shares_prior") * 100)
+    value_pct = F.when(exited, -100.0).when(stays & (F.col("value_usd_prior") != 0), F.col("d_value") / F.nullif("value_usd_prior", F.lit(0)) * 100)
+    flags = F.array_compact(F.array(F.when(F.col("suspected_split"), "SUSPECTED_SPLIT"), F.when(debt, "PRN_PRINCIPAL")))
+    return out.withColumn("d_shares_pct", shares_pct).withColumn("d_value_pct", value_pct).withColumn("flags", flags).withColumn("withheld", exited & F.col("confidential_omitted"))
+
+
+def with_events(changed: DataFrame) -> DataFrame:
+    """Adds retained, median_ratio, iqr and structural_event (null for none) of a row's (cik, period_end): no shuffle after changes()."""
+    whole = Window.partitionBy("cik", "period_end")
     ratio = F.when((F.col("shares_prior") > 0) & (F.col("shares_now") > 0) & (F.col("unit") == "SH"), F.col("shares_now") / F.col("shares_prior"))
-    total = lambda c: F.coalesce(F.sum(F.when(long_equity(), F.col(c))), F.lit(0))
-    facts = changed.withColumn("_r", ratio).groupBy("cik", "period_end").agg(
-        F.count("_r").alias("retained"), F.percentile("_r", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"),
-        total("value_usd_now").alias("_now"), total("value_usd_prior").alias("_prior"), F.count("shares_now").alias("_n"), F.count("shares_prior").alias("_m"),
+    total = lambda c: F.coalesce(F.sum(F.when(long_equity(), F.col(c))).over(whole), F.lit(0))
+    facts = changed.withColumn("_r", ratio).select(
+        "*", F.count("_r").over(whole).alias("retained"), F.percentile("_r", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).over(whole).alias("_q"),
+        total("value_usd_now").alias("_now"), total("value_usd_prior").alias("_before"), F.count("shares_now").over(whole).alias("_n"), F.count("shares_prior").over(whole).alias("_m"),
     )
     med, iqr = F.col("_q")[1], F.col("_q")[2] - F.col("_q")[0]
-    value = F.col("_now") / F.nullif("_prior", F.lit(0))
+    value = F.col("_now") / F.nullif("_before", F.lit(0))
     scale = (F.col("_now") > 0) & ((F.abs(value - 1000) / 1000 < 0.003) | (F.abs(value - 0.001) / 0.001 < 0.003))
     review = (F.coalesce(F.abs(value - 1), F.lit(0.0)) > 0.8) | ((F.col("_m") - F.col("_n")) / F.nullif("_m", F.lit(0)) > 0.5)
     event = F.when((F.col("retained") >= 5) & (med > 0) & (iqr < 0.02 * med) & (F.abs(1 - med) > 0.02), "PRO_RATA_REDUCTION").when(scale, "UNIT_SCALE_CHANGE").when(review, "REVIEW")
-    return facts.select("cik", "period_end", "retained", med.alias("median_ratio"), iqr.alias("iqr"), event.alias("structural_event"))
+    return facts.withColumn("median_ratio", med).withColumn("iqr", iqr).withColumn("structural_event", event).drop("_r", "_q", "_now", "_before", "_n", "_m")
 
 
-def published(changed: DataFrame, events: DataFrame) -> DataFrame:
-    """Changes with deltas of retained rows withheld under a suppressing event, and whether one is; exits keep shares and value."""
-    flagged = changed.join(events.select("cik", "period_end", "structural_event"), ["cik", "period_end"])
-    off = F.coalesce(F.col("structural_event").isin("PRO_RATA_REDUCTION", "UNIT_SCALE_CHANGE"), F.lit(False))
+def structural_events(changed: DataFrame) -> DataFrame:
+    """cik, period_end, retained, median_ratio, iqr, structural_event."""
+    return with_events(changed).select("cik", "period_end", "retained", "median_ratio", "iqr", "structural_event").distinct()
+
+
+def published(changed: DataFrame) -> DataFrame:
+    """Changes with deltas of retained rows nulled under a suppressing event, and whether one is (`suppressed`); exits keep shares and value.
+
+    Withheld exits are still rows, for totals; told() leaves them out.
+    """
+    flagged = with_events(changed)
+    off = F.coalesce(F.col("structural_event").isin(*SUPPRESSING), F.lit(False))
     keep = lambda c, exits: F.when(~off | (F.lit(exits) & (F.col("action") == "EXITED")), F.col(c)).alias(c)
     rest = [c for c in flagged.columns if not c.startswith("d_")]
-    return flagged.select(*rest, off.alias("suppressed"), keep("d_shares", True), keep("d_value", True), keep("d_weight_pp", False), keep("d_shares_pct", False))
+    return flagged.select(*rest, off.alias("suppressed"), *[keep(c, c in ("d_shares", "d_value")) for c in ("d_shares", "d_value", "d_weight_pp", "d_shares_pct", "d_value_pct")])
 
 
-def action_counts(changed: DataFrame) -> DataFrame:
-    return changed.groupBy("cik", "period_end").agg(*[F.count_if(F.col("action") == a).alias(f"n_{a.lower()}") for a in ("NEW", "ADDED", "HELD", "TRIMMED", "EXITED")])
+def told(changed: DataFrame) -> DataFrame:
+    """Published changes without the exits that an omission withholds."""
+    return changed.where(~F.col("withheld"))
 
 
-def turnover(changed: DataFrame) -> DataFrame:
-    """By positions, (new + exited) / (now + prior) * 200; by value, the absolute deltas over the mean of both long values (new rows have no delta).
+def activity(changed: DataFrame) -> DataFrame:
+    """cik, period_end: how many positions each action has, exits withheld, and turnover; from published changes.
 
-    changed: published changes; both are null under a suppressing event.
+    Turnover by positions is (new + exited) / (now + prior) * 200; by value, the absolute deltas over the mean of both long
+    values (new rows have no delta). Both are null under a suppressing event.
     """
-    new, gone = F.count_if(F.col("action") == "NEW"), F.count_if(F.col("action") == "EXITED")
+    named = lambda a: F.count_if((F.col("action") == a) & ~F.col("withheld"))
     total = lambda c: F.coalesce(F.sum(F.when(long_equity(), F.col(c))), F.lit(0))
     both = total("value_usd_now") + total("value_usd_prior")
-    told = lambda c: F.when(~F.bool_or("suppressed"), c)
+    gated = lambda c: F.when(~F.bool_or("suppressed"), c)
+    traded = F.sum(F.when(~F.col("withheld"), F.abs(F.coalesce("d_value", F.lit(0)))))
     return changed.groupBy("cik", "period_end").agg(
-        told((new + gone) / (F.count("shares_now") + F.count("shares_prior")) * 200).alias("turnover_position_pct"),
-        told(F.sum(F.abs(F.coalesce("d_value", F.lit(0)))) / F.nullif(both / 2, F.lit(0.0)) * 100).alias("turnover_value_pct"),
+        *[named(a).alias(f"n_{a.lower()}") for a in ("NEW", "ADDED", "HELD", "TRIMMED", "EXITED")], F.count_if("withheld").alias("exits_withheld"), F.bool_or("suppressed").alias("suppressed"), F.first("structural_event").alias("structural_event"),
+        gated((named("NEW") + named("EXITED")) / (F.count("shares_now") + F.count("shares_prior")) * 200).alias("turnover_position_pct"),
+        gated(traded / F.nullif(both / 2, F.lit(0.0)) * 100).alias("turnover_value_pct"),
     )

@@ -39,18 +39,37 @@ def consensus(held: DataFrame, min_funds: int = 2, exits_too: bool = False) -> D
 
 
 def sort_consensus(rows: DataFrame, key: str = "funds") -> DataFrame:
+    return rows.orderBy(*_consensus_order(rows, key))
+
+
+def placed(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """The first `most` rows of each quarter in such an order, with their place."""
+    order = Window.partitionBy("period_end").orderBy(*_consensus_order(rows, key))
+    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+
+
+def drawer(held: DataFrame) -> DataFrame:
+    """Who holds an issuer in a quarter, by weight; place is the rank."""
+    order = Window.partitionBy("issuer_id", "period_end").orderBy(F.desc_nulls_last("weight_pct"), "cik")
+    return held.where("action <> 'EXITED'").withColumn("place", F.row_number().over(order))
+
+
+def _consensus_order(rows: DataFrame, key: str) -> list:
+    """By funds, value, weight, net (those sold most first) or ticker (rows need one; those without come last); ties by the issuer."""
+    wide = F.desc("holders")
     orders = {
-        "funds": [F.desc("holders"), F.desc("combined_value")], "value": [F.desc("combined_value")], "weight": [F.desc_nulls_last("avg_weight"), F.desc("holders")],
-        "net": [F.asc("net_direction"), F.desc("holders")], "ticker": [],
+        "funds": [wide, F.desc("combined_value")], "value": [F.desc("combined_value"), wide], "weight": [F.desc_nulls_last("sum_weight"), wide],
+        "net": [F.asc("net_direction"), wide], "ticker": [F.asc_nulls_last("ticker")] if "ticker" in rows.columns else [],
     }
-    return rows.orderBy(*orders[key], "issuer_id")
+    return [*orders[key], F.asc("issuer_id")]
 
 
 def anchor(held: DataFrame) -> DataFrame:
-    """issuer_id, period_end, side, funds, amount: names that funds entered (value) or left (weight given up); suppressed funds are left out."""
+    """issuer_id, period_end, side, funds, amount and funds_withheld: names that funds entered (value) or left (weight given up); suppressed funds are only counted."""
     side = F.when(F.col("action") == "NEW", "entry").when(F.col("action") == "EXITED", "exit")
-    amount = F.sum(F.when(F.col("action") == "NEW", F.col("value_usd")).otherwise(F.abs("d_weight_pp")))
-    return held.withColumn("side", side).where("side is not null and not suppressed").groupBy("issuer_id", "period_end", "side").agg(F.count_distinct("cik").alias("funds"), amount.alias("amount"))
+    amount = F.when(F.col("action") == "NEW", F.col("value_usd")).otherwise(F.abs("d_weight_pp"))
+    rows = held.withColumn("side", side).where("side is not null")
+    return rows.groupBy("issuer_id", "period_end", "side").agg(F.count_if(~F.col("suppressed")).alias("funds"), F.sum(F.when(~F.col("suppressed"), amount)).alias("amount"), F.count_if("suppressed").alias("funds_withheld"))
 
 
 def overlap_distribution(rows: DataFrame, most: int) -> DataFrame:
@@ -69,21 +88,22 @@ def holder_history(book: DataFrame, quarters: int = 4) -> DataFrame:
     return filled.groupBy("issuer_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("period_end", "n"))), lambda x: x["n"]).alias("history"))
 
 
-def sector_flows(changed: DataFrame, sectors: DataFrame) -> DataFrame:
-    """period_end, sector: bought, sold, net and held long value of funds that aren't suppressed, from published changes; sectors: cusip, sector."""
+def sector_flows(changed: DataFrame, securities: DataFrame, sectors: DataFrame) -> DataFrame:
+    """period_end, sector: bought, sold, net and held long value of funds that aren't suppressed, from published changes; a security's sector goes by its ticker, in capitals."""
     price = F.col("value_usd_now") / F.nullif("shares_now", F.lit(0))
     traded = F.when(F.col("action") == "NEW", F.col("value_usd_now")).when(F.col("action") == "EXITED", -F.col("value_usd_prior")).otherwise(F.round(F.col("d_shares") * price)).cast("bigint")
-    rows = changed.where(long_equity() & ~F.col("suppressed")).join(sectors, "cusip", "left").withColumn("sector", F.coalesce("sector", F.lit("Unclassified"))).withColumn("t", traded)
+    rows = changed.where(long_equity() & ~F.col("suppressed")).join(securities.select("cusip", F.upper("ticker").alias("ticker")), "cusip", "left").join(sectors.select("ticker", "sector"), "ticker", "left")
+    rows = rows.withColumn("sector", F.coalesce("sector", F.lit("Unclassified"))).withColumn("t", traded)
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
     return rows.groupBy("period_end", "sector").agg(total(F.greatest("t", F.lit(0))).alias("bought"), total(-F.least("t", F.lit(0))).alias("sold"), total(F.col("t")).alias("net"), total(F.col("value_usd_now")).alias("held"))
 
 
-def movers(changed: DataFrame, n: int = 8) -> DataFrame:
-    """The n largest rises and falls of value in each book."""
-    told = changed.where("d_value is not null")
+def movers(changed: DataFrame, n: int = 8, by: str = "d_value") -> DataFrame:
+    """The n largest rises and falls of value, or of weight in points (by="d_weight_pp"), in each book."""
+    told = changed.where(F.col(by).isNotNull())
     book = Window.partitionBy("cik", "period_end")
-    up, down = F.row_number().over(book.orderBy(F.desc("d_value"), "cusip", "put_call", "unit")), F.row_number().over(book.orderBy("d_value", "cusip", "put_call", "unit"))
-    return told.withColumn("up", up).withColumn("down", down).where((F.col("up") <= n) | (F.col("down") <= n)).select("cik", "period_end", "cusip", "put_call", "unit", "d_value", "up", "down")
+    up, down = F.row_number().over(book.orderBy(F.desc(by), "cusip", "put_call", "unit")), F.row_number().over(book.orderBy(by, "cusip", "put_call", "unit"))
+    return told.withColumn("up", up).withColumn("down", down).where((F.col("up") <= n) | (F.col("down") <= n)).select("cik", "period_end", "cusip", "put_call", "unit", by, "up", "down")
 
 
 def fund_overlap(book: DataFrame) -> DataFrame:

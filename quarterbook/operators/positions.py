@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.scalars import to_usd
+
 CUTOVER = "2023-01-03"
 MOST_PLAUSIBLE = 5000
 
@@ -14,30 +16,55 @@ def long_equity() -> Column:
     return (F.col("put_call") == "") & (F.col("unit") == "SH")
 
 
-def decide_units(raw: DataFrame, filings: DataFrame) -> DataFrame:
-    """accession, median_price, units, implausible: by schema, acceptance and the median of value per share of priced rows."""
-    priced = raw.where("put_call is null and unit = 'SH' and shares > 0 and value_raw > 0")
-    median = priced.groupBy("accession").agg(F.median(F.col("value_raw") / F.col("shares")).alias("median_price"))
+def filing_facts(raw: DataFrame, keys: tuple[str, ...] = ("accession",)) -> DataFrame:
+    """raw_total, entries and median_price (of value per share of priced rows) of each filing, in one pass over its rows."""
+    priced = F.col("put_call").isNull() & (F.col("unit") == "SH") & (F.col("shares") > 0) & (F.col("value_raw") > 0)
+    return raw.groupBy(*keys).agg(F.sum("value_raw").alias("raw_total"), F.count("*").alias("entries"), F.median(F.when(priced, F.col("value_raw") / F.col("shares"))).alias("median_price"))
+
+
+def judged(filings: DataFrame) -> DataFrame:
+    """Adds units, implausible, reconciles (null where the cover has no total) and foldable to filings with their filing_facts().
+
+    Units follow the median price if it is plausible, else the schema and the day of acceptance. Notices don't fold, nor does
+    what is quarantined: a total that isn't the cover's, implausible prices, a holdings report without rows.
+    """
+    median = F.col("median_price")
     rule = F.when((F.col("schema_version") == "X0202") | (F.to_date("acceptance") >= CUTOVER), "DOLLARS").otherwise("THOUSANDS")
-    units = F.when(F.col("median_price").isNull(), rule).when(F.col("median_price") < 1, "THOUSANDS").when(F.col("median_price") <= MOST_PLAUSIBLE, "DOLLARS").otherwise(rule)
-    return filings.join(median, "accession", "left").select("accession", "median_price", units.alias("units"), F.coalesce(F.col("median_price") > MOST_PLAUSIBLE, F.lit(False)).alias("implausible"))
+    units = F.when(median.isNull(), rule).when(median < 1, "THOUSANDS").when(median <= MOST_PLAUSIBLE, "DOLLARS").otherwise(rule)
+    known = filings.withColumn("units", units).withColumn("implausible", F.coalesce(median > MOST_PLAUSIBLE, F.lit(False)))
+    known = known.withColumn("reconciles", F.coalesce("raw_total", F.lit(0)) == F.col("table_value_total"))
+    sound = ~F.col("implausible") & F.coalesce("reconciles", F.lit(True)) & F.col("raw_total").isNotNull()
+    return known.withColumn("foldable", ~F.col("is_notice") & sound)
 
 
-def reconcile(raw: DataFrame, filings: DataFrame) -> DataFrame:
-    """accession, raw_total, reconciles (null where the cover has no total)."""
-    total = raw.groupBy("accession").agg(F.sum("value_raw").alias("raw_total"))
-    return filings.join(total, "accession", "left").select("accession", F.coalesce("raw_total", F.lit(0)).alias("raw_total"), (F.coalesce("raw_total", F.lit(0)) == F.col("table_value_total")).alias("reconciles"))
+def quarters(filings: DataFrame) -> DataFrame:
+    """cik, period_end, kind ('book' if a filing folds, else 'notice' if one is, else 'unusable'), confidential_omitted of the folded filings."""
+    kind = F.when(F.bool_or("foldable"), "book").when(F.bool_or("is_notice"), "notice").otherwise("unusable")
+    told = fold(filings).groupBy("cik", "period_end").agg(F.bool_or("confidential_omitted").alias("confidential_omitted"))
+    return filings.groupBy("cik", "period_end").agg(kind.alias("kind")).join(told, ["cik", "period_end"], "left").withColumn("confidential_omitted", F.coalesce("confidential_omitted", F.lit(False)))
 
 
-def aggregate(raw: DataFrame, units: DataFrame, keys: tuple[str, ...] = ("accession",)) -> DataFrame:
-    """Sums of split rows by keys, cusip, put_call ('' for none) and unit; names are the first row's."""
-    usd = F.when(F.col("units") == "THOUSANDS", F.col("value_raw") * 1000).otherwise(F.col("value_raw"))
-    rows = raw.join(units.select("accession", "units"), "accession").withColumn("put_call", F.coalesce("put_call", F.lit(""))).withColumn("unit", F.coalesce("unit", F.lit("SH")))
+def aggregate(raw: DataFrame, filings: DataFrame, keys: tuple[str, ...] = ("accession",)) -> DataFrame:
+    """Sums of split rows by keys, cusip, put_call ('' for none) and unit; name and class are the first row's, figi the first there is. filings: accession, units."""
+    return _positions(raw.join(filings.select("accession", "units"), "accession"), keys)
+
+
+def _positions(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    usd = to_usd(F.col("value_raw"), F.col("units"))
+    rows = rows.withColumn("put_call", F.coalesce("put_call", F.lit(""))).withColumn("unit", F.coalesce("unit", F.lit("SH")))
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("accession", "row_seq", c))).alias(c)
     return rows.groupBy(*keys, "cusip", "put_call", "unit").agg(
-        F.sum(usd).cast("bigint").alias("value_usd"), F.sum("shares").cast("bigint").alias("shares"), F.count("*").alias("row_count"), F.min_by("name", F.struct("accession", "row_seq")).alias("name")
+        F.sum(usd).cast("bigint").alias("value_usd"), *[F.sum(c).cast("bigint").alias(c) for c in ("shares", "voting_sole", "voting_shared", "voting_none")], F.count("*").alias("row_count"), *map(first, ("name", "title_of_class", "figi"))
     )
 
 
+def book(raw: DataFrame, filings: DataFrame) -> DataFrame:
+    """Positions of each (cik, period_end), of the rows of its folded filings, with weights. One shuffle: by (cik, period_end)."""
+    keys = ("cik", "period_end")
+    rows = raw.join(fold(filings).select("accession", "units"), "accession").repartition(*keys)
+    return weighed(_positions(rows, keys), keys)
+
+
 def weighed(positions: DataFrame, book: tuple[str, ...]) -> DataFrame:
     """Adds value_long (of the book), weight_pct and implied_price."""
     whole = Window.partitionBy(*book)
@@ -70,13 +97,13 @@ def _epochs(filings: DataFrame) -> DataFrame:
 
 
 def fold(filings: DataFrame) -> DataFrame:
-    """The filings whose rows make up each book: from the last original, restatement or unknown type on."""
-    return _epochs(filings).where("epoch = last_epoch").drop("reset", "epoch", "last_epoch")
+    """The filings whose rows make up each book: of those that fold, from the last original, restatement or unknown type on."""
+    return _epochs(filings.where("foldable")).where("epoch = last_epoch").drop("reset", "epoch", "last_epoch")
 
 
 def fold_total(filings: DataFrame) -> DataFrame:
     """cik, period_end, reported_total: filings without a total are passed over, and do not reset."""
-    told = _epochs(filings.where("table_value_total is not null")).where("epoch = last_epoch")
+    told = _epochs(filings.where("foldable and table_value_total is not null")).where("epoch = last_epoch")
     return told.groupBy("cik", "period_end").agg(F.sum("table_value_total").cast("bigint").alias("reported_total"))
 
 

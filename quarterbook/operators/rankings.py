@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.calendar import shift_period
 from ..functions.scalars import issuer_id
-from .changes import action_counts, turnover
+from .changes import activity
 from .positions import long_equity, summary
 
 
@@ -29,9 +29,12 @@ def security_periods(book: DataFrame) -> DataFrame:
 def series(book: DataFrame, changed: DataFrame) -> DataFrame:
     """A row for each fund and quarter: the book's summary, and where the prior quarter stands its action counts and turnover."""
     keys = ["cik", "period_end"]
-    return summary(book, tuple(keys)).join(action_counts(changed), keys, "left").join(turnover(changed), keys, "left")
+    return summary(book, tuple(keys)).join(activity(changed), keys, "left")
 
 
-def default_filer(filers: DataFrame) -> DataFrame:
-    """The filer shown first: the largest latest value among those with holdings, ties by cik; no row if there is none."""
-    return filers.where("latest_value > 0").orderBy(F.desc("latest_value"), "cik").limit(1)
+def default_filer(filers: DataFrame, curated: DataFrame | None = None) -> DataFrame:
+    """The filer shown first: of those with holdings a curated one (cik) if any, then the largest latest value, ties by cik; no row if there is none."""
+    usable = filers.where("latest_value > 0").withColumn("_first", F.lit(0))
+    if curated is not None:
+        usable = usable.drop("_first").join(curated.select("cik", F.lit(1).alias("_first")).distinct(), "cik", "left")
+    return usable.orderBy(F.desc_nulls_last("_first"), F.desc("latest_value"), "cik").limit(1).drop("_first")

@@ -40,10 +40,10 @@ def compare_fingerprints(before: DataFrame, after: DataFrame, tolerance: float =
 
 
 def capped_feed(rows: DataFrame, cap: int = 2000) -> DataFrame:
-    """The newest `cap` rows of each period, with the number of all of them."""
-    period = Window.partitionBy("period_end")
-    order = period.orderBy(F.desc("acceptance"), "accession")
-    return rows.withColumn("total", F.count("*").over(period)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap)
+    """The newest `cap` rows of each period, with the number of all of them, which is counted apart: ranking needs only each task's own newest rows."""
+    order = Window.partitionBy("period_end").orderBy(F.desc("acceptance"), "accession")
+    newest = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap)
+    return newest.join(rows.groupBy("period_end").agg(F.count("*").alias("total")), "period_end")
 
 
 def outstanding(expected: DataFrame, feed: DataFrame) -> DataFrame:

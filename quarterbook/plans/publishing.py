@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import calendar, scalars
 from ..operators import publishing as pu
 from ..operators import rankings as ra
-from .adapter import tables
-from .queries import LONG, ORACLES, QUERIES, SECURITIES, agg_positions, folded_book, query
+from .adapter import LONG, tables
+from .queries import ORACLES, QUERIES, SECURITIES, agg_positions, folded_book, query
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -37,26 +37,25 @@ def build_id(spark, sf_dir):
     return pu.build_id(pu.artifact_digests(folded_book(spark, sf_dir)))
 
 
-@query("SELECT accession, table_value_total * 1000 AS declared_usd, table_value_total AS alternate_usd, 'thousands' AS declared_units, table_value_total * 1000 < 100000000 AS below_threshold FROM filings WHERE table_value_total IS NOT NULL")
+@query("SELECT accession, table_value_total * m AS declared_usd, table_value_total * (1001 - m) // 1 AS alternate_usd, CASE m WHEN 1 THEN 'dollars' ELSE 'thousands' END AS declared_units, table_value_total * m < 100000000 AS below_threshold FROM (SELECT *, CASE schema_version WHEN 'X0202' THEN 1 ELSE 1000 END AS m FROM filings WHERE table_value_total IS NOT NULL)")
 def cover_readings(spark, sf_dir):
     return pu.cover_readings(tables(spark, sf_dir)[1]).select("accession", "declared_usd", "alternate_usd", "declared_units", "below_threshold")
 
 
 @query(f"""SELECT f.accession, f.cik, f.period_end, CASE WHEN f.n THEN 0 ELSE coalesce(p.positions, 0) END AS positions, CASE WHEN NOT f.n THEN p.value_long END AS value_long, CASE WHEN is_amendment THEN coalesce(amendment_type, 'AMENDED') END AS amendment, f.n AS is_notice
-  FROM (SELECT *, CAST(cik AS bigint) % 17 = 5 AS n FROM filings) f LEFT JOIN (SELECT accession, count(*) AS positions, CAST(sum(v) FILTER ({LONG}) AS bigint) AS value_long FROM (
+  FROM (SELECT *, is_notice AS n FROM filings) f LEFT JOIN (SELECT accession, count(*) AS positions, CAST(sum(v) FILTER ({LONG}) AS bigint) AS value_long FROM (
     SELECT r.accession, cusip, coalesce(put_call, '') AS put_call, unit, sum(CASE WHEN units = 'THOUSANDS' THEN value_raw * 1000 ELSE value_raw END) AS v FROM raw r JOIN units USING (accession) GROUP BY ALL) GROUP BY 1) p ON f.accession = p.accession""")
 def feed_rows(spark, sf_dir):
     books = agg_positions(spark, sf_dir).groupBy("accession").agg(F.count("*").alias("positions"), F.sum(F.when(pu.long_equity(), F.col("value_usd"))).cast("bigint").alias("value_long"))
-    return pu.feed_rows(tables(spark, sf_dir)[1].withColumn("is_notice", F.expr("cast(cik as bigint) % 17 = 5")), books)
+    return pu.feed_rows(tables(spark, sf_dir)[1], books)
 
 
-NEWEST = "(SELECT cik, max(period_end) AS newest FROM books WHERE CAST(cik AS bigint) % 5 <> quarter(period_end) GROUP BY 1)"
+NEWEST = "(SELECT cik, max(period_end) AS newest FROM books GROUP BY 1)"
 
 
 @query(f"SELECT newest, count(*) AS managers, CAST(sum(count(*)) OVER (ORDER BY newest DESC) AS bigint) AS at_or_after FROM {NEWEST} GROUP BY 1")
 def at_or_after(spark, sf_dir):
-    books = folded_book(spark, sf_dir).where("cast(cik as bigint) % 5 <> quarter(period_end)")
-    return pu.at_or_after(books.groupBy("cik").agg(F.max("period_end").alias("latest_period")))
+    return pu.at_or_after(folded_book(spark, sf_dir).groupBy("cik").agg(F.max("period_end").alias("latest_period")))
 
 
 @query("SELECT accession, period_end FROM (SELECT accession, period_end, row_number() OVER (ORDER BY period_end, accept_hours, accession) - 1 AS r, count(*) OVER () AS n FROM filings WHERE NOT is_amendment) WHERE n <= 100 OR ((r * 100 + n - 1) // n < 100 AND ((r * 100 + n - 1) // n) * n // 100 = r)")
@@ -66,19 +65,19 @@ def lag_sample(spark, sf_dir):
 
 
 @query(f"""SELECT cik, phase FROM (
-  WITH seen AS (SELECT cik, min({ACCEPTED}) AS a, max({ACCEPTED}) AS b, CAST(cik AS bigint) % 20 = 3 AS w FROM filings WHERE CAST(cik AS bigint) % 3 = 0 AND period_end >= DATE '1998-01-01' GROUP BY 1),
+  WITH seen AS (SELECT cik, min({ACCEPTED}) AS a, max({ACCEPTED}) AS b, CAST(cik AS bigint) % 20 = 3 AS w FROM filings GROUP BY 1),
   f AS (SELECT *, count(*) FILTER (w) OVER () AS nw, row_number() OVER (PARTITION BY w ORDER BY b DESC, cik) AS r FROM seen),
   g AS (SELECT *, NOT w AND r <= 7 - nw AS fresh FROM f), h AS (SELECT *, count(*) FILTER (fresh) OVER () AS nf, row_number() OVER (PARTITION BY w, fresh ORDER BY a, cik) AS o FROM g)
   SELECT cik, CASE WHEN w THEN 'watched' WHEN fresh THEN 'fresh' WHEN o <= 20 - nw - nf THEN 'backlog' END AS phase FROM h) WHERE phase IS NOT NULL""")
 def reading_plan(spark, sf_dir):
-    filings = tables(spark, sf_dir)[1].where("cast(cik as bigint) % 3 = 0 and period_end >= date '1998-01-01'")
+    filings = tables(spark, sf_dir)[1]
     pending = filings.select("cik", F.to_date("acceptance").alias("day"))
     return pu.reading_plan(pending, filings.where("cast(cik as bigint) % 20 = 3").select("cik"), 20)
 
 
-@query(f"SELECT period_end, CAST(rank AS integer) AS rank, holders, value_usd FROM (SELECT *, row_number() OVER (PARTITION BY period_end ORDER BY holders DESC, value_usd DESC) AS rank FROM {SECURITIES}) WHERE rank <= 10")
+@query(f"SELECT issuer AS issuer_id, period_end, CAST(rank AS integer) AS rank, holders, value_usd FROM (SELECT *, row_number() OVER (PARTITION BY period_end ORDER BY holders DESC, value_usd DESC, issuer) AS rank FROM {SECURITIES}) WHERE rank <= 10")
 def most_owned(spark, sf_dir):
-    return pu.leaders(ra.security_periods(folded_book(spark, sf_dir))).select("period_end", "rank", "holders", "value_usd")
+    return pu.leaders(ra.security_periods(folded_book(spark, sf_dir))).select("issuer_id", "period_end", "rank", "holders", "value_usd")
 
 
 @query(f"SELECT *, CAST(row_number() OVER (PARTITION BY issuer, period_end ORDER BY value_usd DESC, cik) AS integer) AS rank FROM (SELECT cusip[:6] AS issuer, period_end, cik, CAST(sum(value_usd) AS bigint) AS value_usd FROM book WHERE {LONG} GROUP BY 1, 2, 3)")

@@ -12,8 +12,9 @@ from ..operators import changes as ch
 from ..operators import consensus as co
 from ..operators import positions as po
 from ..operators import rankings as ra
+from ..operators import securities as se
 from ..operators import snapshots as sn
-from .adapter import oracle, tables
+from .adapter import LONG, oracle, securities, tables
 
 E4 = "CAST(round({} * 10000) AS bigint)"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,30 +37,29 @@ def scaled(c) -> F.Column:
 
 
 def folded_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return po.book(*tables(spark, sf_dir))
+
+
+def book_and_changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The book, and published changes; exits that an omission withholds are rows marked `withheld`."""
     raw, filings = tables(spark, sf_dir)
-    rows = raw.join(po.fold(filings).select("accession"), "accession")
-    return po.weighed(po.aggregate(rows, po.decide_units(raw, filings), ("cik", "period_end")), ("cik", "period_end"))
+    book = po.book(raw, filings)
+    return book, ch.published(ch.changes(book, ch.prior_states(po.quarters(filings))))
 
 
 def all_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = folded_book(spark, sf_dir)
-    states = ch.prior_states(book.select("cik", "period_end").distinct().withColumn("is_notice", F.lit(False)))
-    return ch.changes(book, states).withColumn("suppressed", F.lit(False))
+    return book_and_changes(spark, sf_dir)[1]
 
 
-def withheld_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Changes without the deltas that a structural event makes meaningless."""
-    changed = all_changes(spark, sf_dir).drop("suppressed")
-    return ch.published(changed, ch.structural_events(changed))
+def told_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ch.told(all_changes(spark, sf_dir))
 
 
-@query("SELECT r.accession, cusip, coalesce(put_call, '') AS put_call, unit, CAST(sum(CASE WHEN units = 'THOUSANDS' THEN value_raw * 1000 ELSE value_raw END) AS bigint) AS value_usd, CAST(sum(shares) AS bigint) AS shares, count(*) AS row_count FROM raw r JOIN units USING (accession) GROUP BY ALL")
+@query("""SELECT r.accession, cusip, coalesce(put_call, '') AS put_call, unit, CAST(sum(CASE WHEN units = 'THOUSANDS' THEN value_raw * 1000 ELSE value_raw END) AS bigint) AS value_usd, CAST(sum(shares) AS bigint) AS shares,
+  CAST(sum(voting_sole) AS bigint) AS voting_sole, CAST(sum(voting_shared) AS bigint) AS voting_shared, CAST(sum(voting_none) AS bigint) AS voting_none, count(*) AS row_count, arg_min(title_of_class, (row_seq, title_of_class)) AS title_of_class, min(figi) AS figi
+  FROM raw r JOIN units USING (accession) GROUP BY ALL""")
 def agg_positions(spark, sf_dir):
-    raw, filings = tables(spark, sf_dir)
-    return po.aggregate(raw, po.decide_units(raw, filings)).drop("name")
-
-
-LONG = "put_call = '' AND unit = 'SH'"
+    return po.aggregate(*tables(spark, sf_dir)).drop("name")
 
 
 @query(f"""SELECT cik, period_end, count(*) AS positions, count(*) FILTER ({LONG}) AS positions_long, count(*) FILTER (put_call <> '') AS positions_options,
@@ -73,13 +73,18 @@ def book_summary(spark, sf_dir):
 
 @query(f"SELECT accession, {E4.format('med')} AS median_e4, units, implausible FROM units")
 def units_ladder(spark, sf_dir):
-    raw, filings = tables(spark, sf_dir)
-    return po.decide_units(raw, filings).select("accession", scaled(F.col("median_price")).alias("median_e4"), "units", "implausible")
+    return tables(spark, sf_dir)[1].select("accession", scaled(F.col("median_price")).alias("median_e4"), "units", "implausible")
 
 
-@query("SELECT f.accession, CAST(t AS bigint) AS raw_total, t = table_value_total AS reconciles FROM filings f JOIN (SELECT accession, sum(value_raw) AS t FROM raw GROUP BY 1) USING (accession)")
+@query("SELECT accession, CAST(raw_total AS bigint) AS raw_total, raw_total = table_value_total AS reconciles FROM filings")
 def reconcile(spark, sf_dir):
-    return po.reconcile(*tables(spark, sf_dir))
+    return tables(spark, sf_dir)[1].select("accession", "raw_total", "reconciles")
+
+
+@query("SELECT accession, CASE WHEN is_notice THEN 'notice' WHEN implausible THEN 'implausible prices' WHEN raw_total <> table_value_total THEN 'total differs' END AS reason FROM filings JOIN units USING (accession) WHERE accession NOT IN (SELECT accession FROM usable)")
+def set_aside(spark, sf_dir):
+    reason = F.when(F.col("is_notice"), "notice").when(F.col("implausible"), "implausible prices").when(~F.col("reconciles"), "total differs").otherwise("no rows")
+    return tables(spark, sf_dir)[1].where("not foldable").select("accession", reason.alias("reason"))
 
 
 @query("SELECT cik, period_end, accession FROM folded")
@@ -89,81 +94,87 @@ def amendment_fold(spark, sf_dir):
 
 @query("""SELECT cik, period_end, CAST(sum(table_value_total) AS bigint) AS reported_total FROM (
   SELECT *, max(e) OVER (PARTITION BY cik, period_end) AS m FROM (
-    SELECT *, sum(CASE WHEN amendment_type = 'NEW HOLDINGS' THEN 0 ELSE 1 END) OVER (PARTITION BY cik, period_end ORDER BY accept_hours, accession ROWS UNBOUNDED PRECEDING) AS e FROM filings WHERE table_value_total IS NOT NULL)) WHERE e = m GROUP BY 1, 2""")
+    SELECT *, sum(CASE WHEN amendment_type = 'NEW HOLDINGS' THEN 0 ELSE 1 END) OVER (PARTITION BY cik, period_end ORDER BY accept_hours, accession ROWS UNBOUNDED PRECEDING) AS e FROM usable WHERE table_value_total IS NOT NULL)) WHERE e = m GROUP BY 1, 2""")
 def reported_total_fold(spark, sf_dir):
     return po.fold_total(tables(spark, sf_dir)[1])
 
 
-@query("""SELECT cik, period_end, accession, code FROM (SELECT cik, period_end, accession, unnest(list_filter([CASE WHEN lag(accept_hours) OVER w = accept_hours THEN 'fold_tie' END, CASE WHEN is_amendment AND row_number() OVER w = 1 THEN 'origin_missing' END], lambda x: x IS NOT NULL)) AS code
+@query("""SELECT cik, period_end, accession, code FROM (SELECT cik, period_end, accession, unnest(list_filter([CASE WHEN lag(accept_hours) OVER w = accept_hours THEN 'fold_tie' END, CASE WHEN is_amendment AND amendment_type IS NULL THEN 'amendment_type_missing' WHEN amendment_type = 'OTHER' THEN 'unknown_amendment_type' END, CASE WHEN is_amendment AND row_number() OVER w = 1 THEN 'origin_missing' END], lambda x: x IS NOT NULL)) AS code
   FROM filings WINDOW w AS (PARTITION BY cik, period_end ORDER BY accept_hours, accession))""")
 def fold_warnings(spark, sf_dir):
     return po.fold_warnings(tables(spark, sf_dir)[1])
 
 
-@query("""SELECT b.cik, b.period_end, CASE WHEN p.cik IS NOT NULL THEN 'PRIOR_OK' WHEN b.period_end > min(b.period_end) OVER (PARTITION BY b.cik) THEN 'PRIOR_MISSING' ELSE 'NO_PRIOR' END AS prior_state
-  FROM books b LEFT JOIN books p ON b.cik = p.cik AND p.period_end = last_day(b.period_end - INTERVAL 3 month)""")
+PRIOR = """WITH known AS (SELECT cik, period_end, CASE WHEN bool_or(accession IN (SELECT accession FROM usable)) THEN 'book' WHEN bool_or(is_notice) THEN 'notice' ELSE 'unusable' END AS kind FROM filings GROUP BY 1, 2)
+  SELECT b.cik, b.period_end, CASE p.kind WHEN 'book' THEN 'PRIOR_OK' WHEN 'notice' THEN 'PRIOR_IS_NT' ELSE CASE WHEN b.period_end > (SELECT min(period_end) FROM known k WHERE k.cik = b.cik) THEN 'PRIOR_MISSING' ELSE 'NO_PRIOR' END END AS prior_state
+  FROM known b LEFT JOIN known p ON b.cik = p.cik AND p.period_end = last_day(b.period_end - INTERVAL 3 month) WHERE b.kind = 'book'"""
+
+
+@query(PRIOR)
 def prior_state(spark, sf_dir):
-    return ch.prior_states(folded_book(spark, sf_dir).select("cik", "period_end").distinct().withColumn("is_notice", F.lit(False))).drop("is_notice")
+    return ch.prior_states(po.quarters(tables(spark, sf_dir)[1])).select("cik", "period_end", "prior_state")
 
 
-@query("SELECT cik, period_end, cusip, put_call, unit, action, s AS shares_now, ps AS shares_prior, CASE action WHEN 'NEW' THEN NULL WHEN 'EXITED' THEN -ps ELSE s - ps END AS d_shares, CASE action WHEN 'NEW' THEN NULL WHEN 'EXITED' THEN -pv ELSE v - pv END AS d_value FROM changes")
+@query("SELECT cik, period_end, cusip, put_call, unit, action, s AS shares_now, ps AS shares_prior, d_shares, d_value FROM changes")
 def qoq_changes(spark, sf_dir):
-    return all_changes(spark, sf_dir).select("cik", "period_end", "cusip", "put_call", "unit", "action", "shares_now", "shares_prior", "d_shares", "d_value")
+    return told_changes(spark, sf_dir).select("cik", "period_end", "cusip", "put_call", "unit", "action", "shares_now", "shares_prior", "d_shares", "d_value")
 
 
-@query("SELECT cik, period_end, count(*) FILTER (action = 'NEW') AS n_new, count(*) FILTER (action = 'ADDED') AS n_added, count(*) FILTER (action = 'HELD') AS n_held, count(*) FILTER (action = 'TRIMMED') AS n_trimmed, count(*) FILTER (action = 'EXITED') AS n_exited FROM changes GROUP BY 1, 2")
+@query("""SELECT cik, period_end, count(*) FILTER (action = 'NEW') AS n_new, count(*) FILTER (action = 'ADDED') AS n_added, count(*) FILTER (action = 'HELD') AS n_held, count(*) FILTER (action = 'TRIMMED') AS n_trimmed,
+  count(*) FILTER (action = 'EXITED' AND NOT withheld) AS n_exited, count(*) FILTER (withheld) AS exits_withheld FROM told GROUP BY 1, 2""")
 def action_counts(spark, sf_dir):
-    return ch.action_counts(all_changes(spark, sf_dir))
+    return ch.activity(all_changes(spark, sf_dir)).select("cik", "period_end", "n_new", "n_added", "n_held", "n_trimmed", "n_exited", "exits_withheld")
 
 
 @query("SELECT cik, period_end, cusip, put_call, unit, ps AS shares_prior FROM changes WHERE action = 'EXITED'")
 def exits_anti(spark, sf_dir):
-    return all_changes(spark, sf_dir).where("action = 'EXITED'").select("cik", "period_end", "cusip", "put_call", "unit", "shares_prior")
+    return told_changes(spark, sf_dir).where("action = 'EXITED'").select("cik", "period_end", "cusip", "put_call", "unit", "shares_prior")
+
 
+TURNOVER = f"""(SELECT cik, period_end, CASE WHEN NOT bool_or(suppressed) THEN (count(*) FILTER (action IN ('NEW', 'EXITED') AND NOT withheld)) / (count(s) + count(ps)) * 200 END AS position,
+  CASE WHEN NOT bool_or(suppressed) THEN sum(CASE WHEN withheld THEN 0 ELSE abs(coalesce(d_value, 0)) END) / nullif((coalesce(sum(v) FILTER ({LONG}), 0) + coalesce(sum(pv) FILTER ({LONG}), 0)) / 2, 0) * 100 END AS value,
+  count(*) FILTER (action = 'NEW') AS n_new, count(*) FILTER (action = 'EXITED' AND NOT withheld) AS n_exited FROM told GROUP BY 1, 2)"""
 
-@query(f"""SELECT cik, period_end, {E4.format("(count(*) FILTER (action IN ('NEW', 'EXITED'))) / (count(s) + count(ps)) * 200")} AS position_e4,
-  {E4.format("sum(CASE action WHEN 'NEW' THEN 0 WHEN 'EXITED' THEN pv ELSE abs(v - pv) END) / nullif((coalesce(sum(v) FILTER (" + LONG + "), 0) + coalesce(sum(pv) FILTER (" + LONG + "), 0)) / 2, 0) * 100")} AS value_e4 FROM changes GROUP BY 1, 2""")
+
+@query(f"SELECT cik, period_end, {E4.format('position')} AS position_e4, {E4.format('value')} AS value_e4 FROM {TURNOVER}")
 def turnover(spark, sf_dir):
-    return ch.turnover(all_changes(spark, sf_dir)).select("cik", "period_end", scaled(F.col("turnover_position_pct")).alias("position_e4"), scaled(F.col("turnover_value_pct")).alias("value_e4"))
+    return ch.activity(all_changes(spark, sf_dir)).select("cik", "period_end", scaled(F.col("turnover_position_pct")).alias("position_e4"), scaled(F.col("turnover_value_pct")).alias("value_e4"))
 
 
-@query(f"""SELECT cik, period_end, retained, {E4.format("q[2]")} AS median_e4, CASE WHEN retained >= 5 AND q[2] > 0 AND q[3] - q[1] < 0.02 * q[2] AND abs(1 - q[2]) > 0.02 THEN 'PRO_RATA_REDUCTION'
-  WHEN vn > 0 AND vp > 0 AND (abs(vn / vp - 1000) / 1000 < 0.003 OR abs(vn / vp - 0.001) / 0.001 < 0.003) THEN 'UNIT_SCALE_CHANGE'
-  WHEN (CASE WHEN vp > 0 THEN abs(vn - vp) / vp ELSE 0 END) > 0.8 OR (pn - n) / pn > 0.5 THEN 'REVIEW' END AS structural_event
-  FROM (SELECT cik, period_end, count(*) FILTER (s > 0 AND ps > 0 AND unit = 'SH') AS retained, quantile_cont(s / ps, [0.25, 0.5, 0.75]) FILTER (s > 0 AND ps > 0 AND unit = 'SH') AS q,
-    coalesce(sum(v) FILTER ({LONG}), 0) AS vn, coalesce(sum(pv) FILTER ({LONG}), 0) AS vp, count(s) AS n, count(ps) AS pn FROM changes GROUP BY 1, 2)""")
+@query(f"SELECT cik, period_end, retained, {E4.format('median_ratio')} AS median_e4, structural_event FROM events")
 def structural_event(spark, sf_dir):
-    return ch.structural_events(all_changes(spark, sf_dir)).select("cik", "period_end", "retained", scaled(F.col("median_ratio")).alias("median_e4"), "structural_event")
+    return all_changes(spark, sf_dir).select("cik", "period_end", "retained", scaled(F.col("median_ratio")).alias("median_e4"), "structural_event").distinct()
 
 
-CELLS = f"""(SELECT cusip[:6] AS issuer, period_end, cik, CAST(coalesce(sum(v), 0) AS bigint) AS v, sum(w) AS w, count(DISTINCT cusip) AS classes,
+CELLS = f"""(SELECT issuer, period_end, cik, bool_or(suppressed) AS suppressed, CAST(coalesce(sum(v), 0) AS bigint) AS v, sum(w) AS w, sum(d_pp) AS d, count(DISTINCT cusip) AS classes,
   CASE WHEN bool_and(action = 'NEW') THEN 'NEW' WHEN bool_and(action = 'EXITED') THEN 'EXITED' WHEN sum(CASE WHEN action IN ('NEW', 'ADDED') THEN 1 WHEN action IN ('TRIMMED', 'EXITED') THEN -1 ELSE 0 END) > 0 THEN 'ADDED'
     WHEN sum(CASE WHEN action IN ('NEW', 'ADDED') THEN 1 WHEN action IN ('TRIMMED', 'EXITED') THEN -1 ELSE 0 END) < 0 THEN 'TRIMMED' ELSE 'HELD' END AS action FROM changes WHERE {LONG} GROUP BY 1, 2, 3)"""
-HASHED = "concat('i', lpad(lower({}), 7, '0'))"
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return co.cells(all_changes(spark, sf_dir))
+    return co.cells(told_changes(spark, sf_dir))
 
 
-@query(f"SELECT period_end, cik, v AS value_usd, classes, action, count(*) AS n FROM {CELLS} GROUP BY ALL")
+@query(f"SELECT issuer AS issuer_id, period_end, cik, v AS value_usd, classes, action FROM {CELLS}")
 def dominant_action(spark, sf_dir):
-    return cells(spark, sf_dir).groupBy("period_end", "cik", "value_usd", "classes", "action").agg(F.count("*").alias("n"))
+    return cells(spark, sf_dir).select("issuer_id", "period_end", "cik", "value_usd", "classes", "action")
 
 
-CONSENSUS = f"""(SELECT issuer, period_end, count(*) FILTER (action <> 'EXITED') AS holders, CAST(sum(v) AS bigint) AS combined_value, avg(w) FILTER (action <> 'EXITED') AS aw,
+CONSENSUS = f"""(SELECT issuer, period_end, count(*) FILTER (action <> 'EXITED') AS holders, CAST(sum(v) AS bigint) AS combined_value, avg(w) FILTER (action <> 'EXITED') AS aw, sum(w) FILTER (action <> 'EXITED') AS sw,
   CAST(sum(CASE WHEN action IN ('NEW', 'ADDED') THEN 1 WHEN action IN ('TRIMMED', 'EXITED') THEN -1 ELSE 0 END) AS bigint) AS net_direction, count(*) FILTER (action = 'NEW') AS n_new, count(*) FILTER (action = 'EXITED') AS n_exited, max(classes) AS share_classes
   FROM {CELLS} GROUP BY 1, 2)"""
 
 
-@query(f"SELECT period_end, holders, combined_value, {E4.format('aw')} AS avg_weight_e4, net_direction, n_new, n_exited, share_classes FROM {CONSENSUS} WHERE holders >= 2")
+@query(f"SELECT issuer AS issuer_id, period_end, holders, combined_value, {E4.format('aw')} AS avg_weight_e4, net_direction, n_new, n_exited, share_classes FROM {CONSENSUS} WHERE holders >= 2")
 def consensus_matrix(spark, sf_dir):
-    return co.sort_consensus(co.consensus(cells(spark, sf_dir))).select("period_end", "holders", "combined_value", scaled(F.col("avg_weight")).alias("avg_weight_e4"), "net_direction", "n_new", "n_exited", "share_classes")
+    found = co.sort_consensus(co.consensus(cells(spark, sf_dir)))
+    return found.select("issuer_id", "period_end", "holders", "combined_value", scaled(F.col("avg_weight")).alias("avg_weight_e4"), "net_direction", "n_new", "n_exited", "share_classes")
 
 
-@query(f"SELECT period_end, CASE action WHEN 'NEW' THEN 'entry' ELSE 'exit' END AS side, count(*) AS pairs, count(DISTINCT issuer) AS names FROM {CELLS} WHERE action IN ('NEW', 'EXITED') GROUP BY 1, 2")
+@query(f"""SELECT issuer AS issuer_id, period_end, CASE action WHEN 'NEW' THEN 'entry' ELSE 'exit' END AS side, count(*) FILTER (NOT suppressed) AS funds, count(*) FILTER (suppressed) AS funds_withheld,
+  {E4.format("sum(CASE action WHEN 'NEW' THEN v ELSE abs(d) END) FILTER (NOT suppressed)")} AS amount_e4 FROM {CELLS} WHERE action IN ('NEW', 'EXITED') GROUP BY 1, 2, 3""")
 def anchor_sides(spark, sf_dir):
-    return co.anchor(cells(spark, sf_dir)).groupBy("period_end", "side").agg(F.sum("funds").alias("pairs"), F.count("*").alias("names"))
+    return co.anchor(cells(spark, sf_dir)).select("issuer_id", "period_end", "side", "funds", "funds_withheld", scaled(F.col("amount")).alias("amount_e4"))
 
 
 @query(f"""SELECT p.period_end, b.holders, count(c.issuer) AS names, CAST(coalesce(sum(c.combined_value), 0) AS bigint) AS value FROM (SELECT DISTINCT period_end FROM {CONSENSUS} WHERE holders >= 2) p
@@ -172,14 +183,14 @@ def overlap_distribution(spark, sf_dir):
     return co.overlap_distribution(co.consensus(cells(spark, sf_dir)), 20)
 
 
-@query(f"""SELECT h1, h2, h3, h4, count(*) AS issuers FROM (SELECT i, max(CASE WHEN r = 4 THEN n ELSE 0 END) AS h1, max(CASE WHEN r = 3 THEN n ELSE 0 END) AS h2, max(CASE WHEN r = 2 THEN n ELSE 0 END) AS h3, max(CASE WHEN r = 1 THEN n ELSE 0 END) AS h4 FROM (
-  SELECT i, r, count(DISTINCT cik) AS n FROM (SELECT cusip[:6] AS i, cik, dense_rank() OVER (ORDER BY period_end DESC) AS r FROM book WHERE {LONG}) WHERE r <= 4 GROUP BY 1, 2) GROUP BY 1) GROUP BY ALL""")
+@query(f"""SELECT i AS issuer_id, h1, h2, h3, h4 FROM (SELECT i, max(CASE WHEN r = 4 THEN n ELSE 0 END) AS h1, max(CASE WHEN r = 3 THEN n ELSE 0 END) AS h2, max(CASE WHEN r = 2 THEN n ELSE 0 END) AS h3, max(CASE WHEN r = 1 THEN n ELSE 0 END) AS h4 FROM (
+  SELECT i, r, count(DISTINCT cik) AS n FROM (SELECT issuer AS i, cik, dense_rank() OVER (ORDER BY period_end DESC) AS r FROM book WHERE {LONG}) WHERE r <= 4 GROUP BY 1, 2) GROUP BY 1)""")
 def holder_history(spark, sf_dir):
     h = co.holder_history(folded_book(spark, sf_dir))
-    return h.select(*[F.col("history")[i].alias(f"h{i + 1}") for i in range(4)]).groupBy("h1", "h2", "h3", "h4").agg(F.count("*").alias("issuers"))
+    return h.select("issuer_id", *[F.col("history")[i].alias(f"h{i + 1}") for i in range(4)])
 
 
-@query(f"SELECT a.cik, a.period_end, count(*) AS issuers, CAST(sum(n - 1) AS bigint) AS others FROM (SELECT DISTINCT cik, period_end, cusip[:6] AS i FROM book WHERE {LONG}) a JOIN (SELECT period_end, cusip[:6] AS i, count(DISTINCT cik) AS n FROM book WHERE {LONG} GROUP BY 1, 2) b ON a.period_end = b.period_end AND a.i = b.i WHERE n > 1 GROUP BY 1, 2")
+@query(f"SELECT a.cik, a.period_end, count(*) AS issuers, CAST(sum(n - 1) AS bigint) AS others FROM (SELECT DISTINCT cik, period_end, issuer AS i FROM book WHERE {LONG}) a JOIN (SELECT period_end, issuer AS i, count(DISTINCT cik) AS n FROM book WHERE {LONG} GROUP BY 1, 2) b ON a.period_end = b.period_end AND a.i = b.i WHERE n > 1 GROUP BY 1, 2")
 def fund_overlap(spark, sf_dir):
     return co.fund_overlap(folded_book(spark, sf_dir)).groupBy("cik", "period_end").agg(F.count("*").alias("issuers"), F.sum("others").cast("bigint").alias("others"))
 
@@ -191,20 +202,16 @@ def holding_spells(spark, sf_dir):
 
 
 @query("""SELECT cik, period_end, cusip, put_call, unit, d_value, up, down FROM (SELECT *, CAST(row_number() OVER (PARTITION BY cik, period_end ORDER BY d_value DESC, cusip, put_call, unit) AS integer) AS up, CAST(row_number() OVER (PARTITION BY cik, period_end ORDER BY d_value, cusip, put_call, unit) AS integer) AS down
-  FROM (SELECT *, CASE action WHEN 'EXITED' THEN -pv ELSE v - pv END AS d_value FROM changes WHERE action <> 'NEW')) WHERE up <= 8 OR down <= 8""")
+  FROM changes WHERE d_value IS NOT NULL) WHERE up <= 8 OR down <= 8""")
 def movers(spark, sf_dir):
-    return co.movers(all_changes(spark, sf_dir))
+    return co.movers(told_changes(spark, sf_dir))
 
 
-@query(f"""SELECT period_end, sector, CAST(sum(greatest(t, 0)) AS bigint) AS bought, CAST(sum(-least(t, 0)) AS bigint) AS sold, CAST(sum(t) AS bigint) AS net, CAST(coalesce(sum(v), 0) AS bigint) AS held FROM (
-  SELECT *, CASE CAST(cusip[:6] AS integer) % 3 WHEN 0 THEN 'Energy' WHEN 1 THEN 'Software & IT Services' ELSE 'Unclassified' END AS sector, CAST(CASE action WHEN 'NEW' THEN v WHEN 'EXITED' THEN -pv ELSE round((s - ps) * (v / s)) END AS bigint) AS t FROM changes WHERE {LONG}) GROUP BY 1, 2""")
+@query(f"""SELECT period_end, coalesce(sector, 'Unclassified') AS sector, CAST(sum(greatest(t, 0)) AS bigint) AS bought, CAST(sum(-least(t, 0)) AS bigint) AS sold, CAST(sum(t) AS bigint) AS net, CAST(coalesce(sum(v), 0) AS bigint) AS held FROM (
+  SELECT c.*, s.sector, CAST(CASE action WHEN 'NEW' THEN v WHEN 'EXITED' THEN -pv ELSE round((c.s - ps) * (v / c.s)) END AS bigint) AS t FROM changes c LEFT JOIN securities x ON c.cusip = x.cusip LEFT JOIN sectors s ON s.ticker = upper(x.ticker) WHERE {LONG} AND NOT suppressed) GROUP BY 1, 2""")
 def sector_flows(spark, sf_dir):
-    return flows_of(all_changes(spark, sf_dir))
-
-
-def flows_of(changed: DataFrame) -> DataFrame:
-    sic = F.element_at(F.array(F.lit("1311"), F.lit("7372"), F.lit("9999")), (F.substring("cusip", 1, 6).cast("int") % 3 + 1).cast("int"))
-    return co.sector_flows(changed, changed.select("cusip").distinct().withColumn("sector", scalars.sector_for_sic(sic)))
+    held, codes = securities(spark, sf_dir)
+    return co.sector_flows(told_changes(spark, sf_dir), held, se.ticker_sectors(held.select("ticker", F.col("issuer_cik").alias("cik")), codes))
 
 
 @query("SELECT period_end, count(DISTINCT cik) AS managers, count(*) AS books FROM books GROUP BY 1")
@@ -233,23 +240,35 @@ def incremental_touched_keys(spark, sf_dir):
     return sn.touched(tables(spark, sf_dir)[1].where("is_amendment").select("cik", "period_end"))
 
 
-@query("""SELECT coalesce(a.period, b.period) AS period, a.funds AS before, b.funds AS after, CASE WHEN b.funds IS NULL THEN 'lost' WHEN a.funds IS NULL THEN 'new' WHEN b.funds < a.funds * 0.95 THEN 'fell' ELSE 'ok' END AS verdict
-  FROM (SELECT period_end AS period, count(DISTINCT cik) AS funds FROM books GROUP BY 1) a FULL JOIN (SELECT period_end AS period, count(DISTINCT cik) AS funds FROM books WHERE CAST(cik AS bigint) % 7 <> quarter(period_end) AND year(period_end) < 2001 GROUP BY 1) b ON a.period = b.period""")
+FIRST_BOOKS = "(SELECT DISTINCT cik, period_end FROM usable WHERE NOT is_amendment)"
+
+
+@query(f"""SELECT coalesce(a.period, b.period) AS period, a.funds AS before, b.funds AS after, CASE WHEN b.funds IS NULL THEN 'lost' WHEN a.funds IS NULL THEN 'new' WHEN b.funds < a.funds * 0.95 THEN 'fell' ELSE 'ok' END AS verdict
+  FROM (SELECT period_end AS period, count(DISTINCT cik) AS funds FROM books GROUP BY 1) a FULL JOIN (SELECT period_end AS period, count(DISTINCT cik) AS funds FROM {FIRST_BOOKS} GROUP BY 1) b ON a.period = b.period""")
 def fingerprint_compare(spark, sf_dir):
-    books = folded_book(spark, sf_dir).select("cik", F.col("period_end").alias("period")).distinct()
+    """All books against those that originals alone give: what a build without amendments would lose."""
+    filings = tables(spark, sf_dir)[1].where("foldable").withColumn("period", F.col("period_end"))
     count = lambda d: d.groupBy("period").agg(F.count_distinct("cik").alias("funds"))
-    return sn.compare_fingerprints(count(books), count(books.where("cast(cik as bigint) % 7 <> quarter(period) and year(period) < 2001")))
+    return sn.compare_fingerprints(count(filings), count(filings.where("not is_amendment")))
+
 
+FILERS = "SELECT cik, count(*) AS periods, max(period_end) AS latest_period, arg_max(v, period_end) AS latest_value FROM (SELECT cik, period_end, CAST(coalesce(max(value_long), 0) AS bigint) AS v FROM book GROUP BY 1, 2) GROUP BY 1"
+#: A filer index as originals give it: reported totals, and every quarter with a filing that folds.
+REPORTED = "SELECT cik, count(*) AS periods, max(period_end) AS latest_period, arg_max(v, period_end) AS latest_value FROM (SELECT cik, period_end, CAST(coalesce(max(table_value_total), 0) AS bigint) AS v FROM usable WHERE NOT is_amendment GROUP BY 1, 2) GROUP BY 1"
 
-FILERS = "SELECT cik, count(*) AS periods, max(period_end) AS latest_period, arg_max(v, period_end) AS latest_value FROM (SELECT cik, period_end, CAST(coalesce(max(value_long), 0) AS bigint) AS v FROM book GROUP BY 1, 2) {} GROUP BY 1"
+
+def filer_index(books: DataFrame) -> DataFrame:
+    """books: cik, period_end, v."""
+    return books.groupBy("cik").agg(F.count("*").alias("periods"), F.max("period_end").alias("latest_period"), F.max_by("v", "period_end").alias("latest_value"))
 
 
 @query(f"""SELECT coalesce(a.cik, b.cik) AS cik, greatest(a.periods, b.periods) AS periods, greatest(a.latest_period, b.latest_period) AS latest_period, CASE WHEN b.latest_period >= a.latest_period OR a.cik IS NULL THEN b.latest_value ELSE a.latest_value END AS latest_value
-  FROM ({FILERS.format("WHERE year(period_end) < 1999")}) a FULL JOIN ({FILERS.format("WHERE quarter(period_end) <= 2")}) b ON a.cik = b.cik""")
+  FROM ({FILERS}) a FULL JOIN ({REPORTED}) b ON a.cik = b.cik""")
 def filer_merge(spark, sf_dir):
-    books = folded_book(spark, sf_dir).groupBy("cik", "period_end").agg(F.coalesce(F.max("value_long"), F.lit(0)).cast("bigint").alias("v"))
-    index = lambda d: d.groupBy("cik").agg(F.count("*").alias("periods"), F.max("period_end").alias("latest_period"), F.max_by("v", "period_end").alias("latest_value"))
-    return sn.merge_filers(index(books.where("year(period_end) < 1999")), index(books.where("quarter(period_end) <= 2")))
+    raw, filings = tables(spark, sf_dir)
+    value = lambda c: F.coalesce(F.max(c), F.lit(0)).cast("bigint").alias("v")
+    live = filer_index(po.book(raw, filings).groupBy("cik", "period_end").agg(value("value_long")))
+    return sn.merge_filers(live, filer_index(filings.where("foldable and not is_amendment").groupBy("cik", "period_end").agg(value("table_value_total"))))
 
 
 @query("SELECT DISTINCT accession FROM filings WHERE year(period_end) = 1998 AND quarter(period_end) = 1 AND (SELECT NOT (count(*) FILTER (year(period_end) = 1998 AND quarter(period_end) = 1) > 100 AND count(*) FILTER (year(period_end) = 1998 AND quarter(period_end) = 1) > 0.5 * count(*)) FROM filings)")
@@ -278,12 +297,22 @@ def filer_search(spark, sf_dir):
     return sn.search_filers(named, "00001").select(F.col("cik").alias("s_suppkey"), F.col("name").alias("s_name"))
 
 
-@query(None)
+#: Federal holidays by their rules, day by day, and from them the deadline of each quarter.
+DEADLINES = """
+  fixed AS (SELECT d, year(d) AS y FROM (SELECT CAST(unnest(range(DATE '1994-12-01', DATE '2032-02-01', INTERVAL 1 day)) AS date) AS d) WHERE strftime(d, '%m-%d') IN ('01-01', '07-04', '11-11', '12-25') OR (strftime(d, '%m-%d') = '06-19' AND year(d) >= 2021)),
+  moving AS (SELECT d FROM (SELECT d, month(d) AS m, isodow(d) AS w, (day(d) + 6) // 7 AS n FROM (SELECT CAST(unnest(range(DATE '1994-12-01', DATE '2032-02-01', INTERVAL 1 day)) AS date) AS d))
+    WHERE (w = 1 AND ((m IN (1, 2) AND n = 3) OR (m = 5 AND day(d) > 24) OR (m = 9 AND n = 1) OR (m = 10 AND n = 2))) OR (w = 4 AND m = 11 AND n = 4)),
+  holidays AS (SELECT d FROM fixed WHERE isodow(d) < 6 UNION SELECT CAST(d - 1 AS date) FROM fixed WHERE isodow(d) = 6 AND year(d - 1) = y UNION SELECT CAST(d + 1 AS date) FROM fixed WHERE isodow(d) = 7 UNION SELECT d FROM moving),
+  ends AS (SELECT last_day(CAST(unnest(range(DATE '1995-03-01', DATE '2031-01-01', INTERVAL 3 month)) AS date)) AS period),
+  quarters AS (SELECT period, min(CAST(day AS date)) AS deadline FROM (SELECT period, CAST(period + CAST(n AS integer) AS date) AS day FROM ends, range(45, 56) r(n)) WHERE isodow(day) < 6 AND day NOT IN (SELECT d FROM holidays) GROUP BY 1)"""
+
+
+@query(f"WITH {DEADLINES} SELECT period, 'Q' || quarter(period) || ' ' || year(period) AS label, last_day(period - INTERVAL 3 month) AS prior, deadline FROM quarters", plain=True)
 def filing_deadlines(spark, sf_dir):
     return calendar.quarters(spark, 1995, 2030)
 
 
-@query(None)
+@query("SELECT cusip, issuer AS issuer_id FROM issuers")
 def issuer_hash(spark, sf_dir):
     return folded_book(spark, sf_dir).select("cusip").distinct().withColumn("issuer_id", scalars.issuer_id(F.col("cusip")))
 
@@ -293,64 +322,34 @@ def treemap_topk(spark, sf_dir):
     return ra.largest_positions(folded_book(spark, sf_dir), 10).select("cik", "period_end", "cusip", "value_usd", "rank")
 
 
-SECURITIES = f"(SELECT cusip[:6] AS issuer, period_end, count(DISTINCT cik) AS holders, CAST(sum(value_usd) AS bigint) AS value_usd, CAST(sum(shares) AS bigint) AS shares FROM book WHERE {LONG} GROUP BY 1, 2)"
+SECURITIES = f"(SELECT issuer, period_end, count(DISTINCT cik) AS holders, CAST(sum(value_usd) AS bigint) AS value_usd, CAST(sum(shares) AS bigint) AS shares FROM book WHERE {LONG} GROUP BY 1, 2)"
 
 
-@query(f"SELECT n.period_end, n.holders, n.holders - p.holders AS d_holders, n.value_usd, n.shares FROM {SECURITIES} n LEFT JOIN {SECURITIES} p ON n.issuer = p.issuer AND p.period_end = last_day(n.period_end - INTERVAL 3 month)")
+@query(f"""SELECT n.issuer AS issuer_id, n.period_end, n.holders, n.holders - p.holders AS d_holders, n.value_usd, n.shares, n_new, n_exited FROM {SECURITIES} n LEFT JOIN {SECURITIES} p ON n.issuer = p.issuer AND p.period_end = last_day(n.period_end - INTERVAL 3 month)
+  LEFT JOIN (SELECT issuer, period_end, count(*) FILTER (action = 'NEW') AS n_new, count(*) FILTER (action = 'EXITED') AS n_exited FROM {CELLS} GROUP BY 1, 2) c ON c.issuer = n.issuer AND c.period_end = n.period_end""")
 def security_period_agg(spark, sf_dir):
-    return ra.security_periods(folded_book(spark, sf_dir)).select("period_end", "holders", "d_holders", "value_usd", "shares")
+    book, changed = book_and_changes(spark, sf_dir)
+    moved = co.cells(ch.told(changed)).groupBy("issuer_id", "period_end").agg(F.count_if(F.col("action") == "NEW").alias("n_new"), F.count_if(F.col("action") == "EXITED").alias("n_exited"))
+    return ra.security_periods(book).join(moved, ["issuer_id", "period_end"], "left").select("issuer_id", "period_end", "holders", "d_holders", "value_usd", "shares", "n_new", "n_exited")
 
 
 @query(f"""SELECT b.*, n_new, n_exited, {E4.format("position")} AS position_e4 FROM (SELECT cik, period_end, count(*) AS positions, CAST(coalesce(sum(value_usd) FILTER ({LONG}), 0) AS bigint) AS value_long FROM book GROUP BY 1, 2) b
-  LEFT JOIN (SELECT cik, period_end, count(*) FILTER (action = 'NEW') AS n_new, count(*) FILTER (action = 'EXITED') AS n_exited, (count(*) FILTER (action IN ('NEW', 'EXITED'))) / (count(s) + count(ps)) * 200 AS position FROM changes GROUP BY 1, 2) c USING (cik, period_end)""")
+  LEFT JOIN {TURNOVER} c USING (cik, period_end)""")
 def series_metrics(spark, sf_dir):
-    found = ra.series(folded_book(spark, sf_dir), all_changes(spark, sf_dir))
+    found = ra.series(*book_and_changes(spark, sf_dir))
     return found.select("cik", "period_end", "positions", "value_long", "n_new", "n_exited", scaled(F.col("turnover_position_pct")).alias("position_e4"))
 
 
-@query(f"SELECT * FROM ({FILERS.format('')}) WHERE latest_value > 0 ORDER BY latest_value DESC, cik LIMIT 1")
+@query(f"SELECT * FROM ({FILERS}) WHERE latest_value > 0 ORDER BY latest_value DESC, cik LIMIT 1")
 def default_filer(spark, sf_dir):
-    books = folded_book(spark, sf_dir).groupBy("cik", "period_end").agg(F.coalesce(F.max("value_long"), F.lit(0)).cast("bigint").alias("v"))
-    return ra.default_filer(books.groupBy("cik").agg(F.count("*").alias("periods"), F.max("period_end").alias("latest_period"), F.max_by("v", "period_end").alias("latest_value")))
-
+    return ra.default_filer(filer_index(folded_book(spark, sf_dir).groupBy("cik", "period_end").agg(F.coalesce(F.max("value_long"), F.lit(0)).cast("bigint").alias("v"))))
 
-def text_of(name: str) -> str:
-    """A query's own SQL, without the tables it reads."""
-    return ORACLES[name].removeprefix(oracle(""))
 
-
-#: The queries below withhold what is meaningless under a structural event; those of the same rows above don't.
-WITHHELD = f"(SELECT c.*, coalesce(structural_event IN ('PRO_RATA_REDUCTION', 'UNIT_SCALE_CHANGE'), false) AS suppressed FROM changes c JOIN ({text_of('structural_event')}) USING (cik, period_end))"
-OFF = f"(SELECT DISTINCT cik, period_end, suppressed FROM {WITHHELD})"
-
-
-@query(f"""SELECT cik, period_end, cusip, put_call, unit, action, suppressed, CASE WHEN action = 'EXITED' THEN -ps WHEN action <> 'NEW' AND NOT suppressed THEN s - ps END AS d_shares,
-  CASE WHEN action = 'EXITED' THEN -pv WHEN action <> 'NEW' AND NOT suppressed THEN v - pv END AS d_value FROM {WITHHELD}""")
+@query("SELECT cik, period_end, cusip, put_call, unit, action, suppressed, d_shares, d_value FROM changes")
 def published_changes(spark, sf_dir):
-    return withheld_changes(spark, sf_dir).select("cik", "period_end", "cusip", "put_call", "unit", "action", "suppressed", "d_shares", "d_value")
-
-
-@query(f"SELECT cik, period_end, CASE WHEN NOT suppressed THEN position_e4 END AS position_e4, CASE WHEN NOT suppressed THEN value_e4 END AS value_e4 FROM ({text_of('turnover')}) JOIN {OFF} USING (cik, period_end)")
-def published_turnover(spark, sf_dir):
-    return ch.turnover(withheld_changes(spark, sf_dir)).select("cik", "period_end", scaled(F.col("turnover_position_pct")).alias("position_e4"), scaled(F.col("turnover_value_pct")).alias("value_e4"))
-
-
-@query(f"SELECT * EXCLUDE (suppressed) REPLACE (CASE WHEN NOT suppressed THEN position_e4 END AS position_e4) FROM ({text_of('series_metrics')}) LEFT JOIN {OFF} USING (cik, period_end)")
-def published_series(spark, sf_dir):
-    found = ra.series(folded_book(spark, sf_dir), withheld_changes(spark, sf_dir))
-    return found.select("cik", "period_end", "positions", "value_long", "n_new", "n_exited", scaled(F.col("turnover_position_pct")).alias("position_e4"))
-
-
-@query(text_of("movers").replace("FROM changes WHERE action <> 'NEW'", f"FROM {WITHHELD} WHERE action = 'EXITED' OR (action <> 'NEW' AND NOT suppressed)"))
-def published_movers(spark, sf_dir):
-    return co.movers(withheld_changes(spark, sf_dir))
-
-
-@query(text_of("sector_flows").replace("FROM changes WHERE", f"FROM {WITHHELD} WHERE NOT suppressed AND"))
-def published_flows(spark, sf_dir):
-    return flows_of(withheld_changes(spark, sf_dir))
+    return told_changes(spark, sf_dir).select("cik", "period_end", "cusip", "put_call", "unit", "action", "suppressed", "d_shares", "d_value")
 
 
-@query(text_of("anchor_sides").replace("FROM changes WHERE", f"FROM {WITHHELD} WHERE NOT suppressed AND"))
-def published_anchors(spark, sf_dir):
-    return co.anchor(co.cells(withheld_changes(spark, sf_dir))).groupBy("period_end", "side").agg(F.sum("funds").alias("pairs"), F.count("*").alias("names"))
+#: Names under which these were asked for when others of the same rows withheld nothing.
+for old, new in {"published_turnover": "turnover", "published_series": "series_metrics", "published_movers": "movers", "published_flows": "sector_flows", "published_anchors": "anchor_sides"}.items():
+    QUERIES[old], ORACLES[old] = QUERIES[new], ORACLES[new]

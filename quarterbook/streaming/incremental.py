@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -14,7 +15,7 @@ def upsert(spark: SparkSession, target: str, batch: DataFrame, batch_id: int) ->
 
     A snapshot follows from the one before it and its batch alone, so a batch that is tried again gives the same.
     """
-    incoming = batch.dropDuplicates(["accession"])
+    incoming = batch.groupBy("accession").agg(F.min(F.struct(*[c for c in batch.columns if c != "accession"])).alias("_r")).select("accession", "_r.*").select(*batch.columns)
     if batch_id:
         live = spark.read.schema(batch.schema).parquet(f"{target}/snapshot={batch_id - 1}")
         incoming = merge_rows(live, incoming, ["accession"])
