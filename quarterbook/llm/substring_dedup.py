@@ -26,7 +26,7 @@ from .fm_index import FMIndex
 from .word_hashes import PRIME, anchored, digests, joined, mixed, runs, word_hashes
 
 RUN = 4
-HOT = 20_000  # documents with one anchor from which its windows go each by their own hash
+HOT = 2_000  # documents with one anchor from which its windows go each by their own hash
 SHARD_BYTES = 1_500_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 KEYS = ["_id", "_text_hash"]
