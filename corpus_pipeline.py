@@ -22,28 +22,29 @@ REJECT_BELOW = 0.5
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """Adds _key, never null, of a row's id and text together: what a stage finds out about a text holds for its rows alone."""
-    return docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    """Rows in one column, so that no name of theirs can clash, with _key, never null, of a row's id and text together: what a stage
+    finds out about a text holds for its rows alone."""
+    return docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", "text").alias("_key"))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject, each row by its own text."""
     rows = keyed(docs)
-    scored = score_quality(rows, read_table(spark, sf_dir, "labels"), keep=("_key",))
-    return rows.join(scored.where(F.col("score") < REJECT_BELOW).select("_key").distinct(), "_key", "left_anti").select(*docs.columns)
+    scored = score_quality(rows.select("row.doc_id", "row.text", "_key"), read_table(spark, sf_dir, "labels"), keep=("_key",))
+    return rows.join(scored.where(F.col("score") < REJECT_BELOW).select("_key").distinct(), "_key", "left_anti").select("row.*")
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id (a null one comes last), and one row of it.
 
     Each pair of id and text is a document of its own, so a text neither leaves nor stays for another one of its id. Of rows that
-    repeat both, the one with the least further columns stands for all.
+    repeat both, the one with the least columns in their order stands for all.
     """
-    one = staged(keyed(docs).groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("row")).select("_key", "row.*"), "rows")
-    classes = similar_components(one.select("_key", "text"), "_key")
+    one = staged(keyed(docs).groupBy("_key").agg(F.min("row").alias("row")), "rows")
+    classes = similar_components(one.select("_key", "row.text"), "_key")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("first")
-    kept = one.select("_key", "doc_id").join(classes, "_key").groupBy("component_id").agg(first).select("first._key")
-    return one.join(kept, "_key", "left_semi").select(*docs.columns)
+    kept = one.select("_key", "row.doc_id").join(classes, "_key").groupBy("component_id").agg(first).select("first._key")
+    return one.join(kept, "_key", "left_semi").select("row.*")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
