@@ -20,6 +20,7 @@ from ._common import key_crc, slices, staged
 STATISTICS = ("log_chars", "log_words", "word_length", "letters", "digits", "upper", "blanks", "stops", "symbols", "lines", "distinct_words", "top_word", "repeated_lines", "word_spread", "distinct_letters")
 FOURIER = 192
 BINS = 400
+UNIT = 1 << 24  # sums of partitions are whole numbers of these parts, so their order doesn't matter
 
 
 def statistics_of(texts: list[str]) -> np.ndarray:
@@ -113,7 +114,8 @@ def fit(train: DataFrame, hold: Column, ridge: float = 1e-3) -> Model | None:
     moments = fitting.agg(F.count("*").alias("n"), *[F.avg(F.col("stats")[i]).alias(f"m{i}") for i in range(d)], *[F.stddev_pop(F.col("stats")[i]).alias(f"s{i}") for i in range(d)]).first()
     if not moments["n"]:
         return None
-    model = Model(np.array([moments[f"m{i}"] for i in range(d)]), np.array([moments[f"s{i}"] or 1.0 for i in range(d)]), np.zeros(FOURIER + 1))
+    # nine decimals: sums of doubles end in digits that follow their order
+    model = Model(np.round([moments[f"m{i}"] for i in range(d)], 9), np.round([moments[f"s{i}"] or 1.0 for i in range(d)], 9), np.zeros(FOURIER + 1))
     size = FOURIER + 1
 
     def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,11 +124,12 @@ def fit(train: DataFrame, hold: Column, ridge: float = 1e-3) -> Model | None:
             z = model.features(_matrix(batch))
             total += z.T @ np.concatenate([z, batch.column("label").to_numpy()[:, None]], 1)
         at = np.triu_indices(size, 0, size + 1)
-        yield pa.RecordBatch.from_arrays([pa.array(at[0], pa.int32()), pa.array(at[1], pa.int32()), pa.array(total[at])], names=["i", "j", "v"])
+        parts = np.round(total[at] * UNIT).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(at[0], pa.int32()), pa.array(at[1], pa.int32()), pa.array(parts)], names=["i", "j", "v"])
 
-    sums = fitting.select("stats", F.col("label").cast("double").alias("label")).mapInArrow(gram, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toArrow()
+    sums = fitting.select("stats", F.col("label").cast("double").alias("label")).mapInArrow(gram, "i int, j int, v long").groupBy("i", "j").agg(F.sum(F.col("v").cast("decimal(38,0)")).cast("double").alias("v")).toArrow()
     full = np.zeros((size, size + 1))
-    full[sums.column("i").to_numpy(), sums.column("j").to_numpy()] = sums.column("v").to_numpy()
+    full[sums.column("i").to_numpy(), sums.column("j").to_numpy()] = sums.column("v").to_numpy() / UNIT
     square = full[:, :size] + np.triu(full[:, :size], 1).T
     model.weights = np.linalg.solve(square + ridge * moments["n"] * np.eye(size), full[:, size])
 
@@ -136,7 +139,7 @@ def fit(train: DataFrame, hold: Column, ridge: float = 1e-3) -> Model | None:
             yield pa.RecordBatch.from_arrays([pa.array(np.clip((raw + 0.5) * BINS / 2, 0, BINS - 1).astype(np.int32)), pa.array(raw), batch.column("label")], names=["bin", "raw", "label"])
 
     bins = calibrating.select("stats", F.col("label").cast("double").alias("label")).mapInArrow(binned, "bin int, raw double, label double")
-    held = bins.groupBy("bin").agg(F.avg("raw").alias("at"), F.sum("label").alias("t"), F.count("*").alias("w")).orderBy("bin").toPandas()
+    held = bins.groupBy("bin").agg(F.round(F.avg("raw"), 9).alias("at"), F.sum("label").alias("t"), F.count("*").alias("w")).orderBy("bin").toPandas()
     if len(held):
         model.knots, model.values = isotonic(held["at"].to_numpy(), held["t"].to_numpy(float), held["w"].to_numpy(float))
     return model
