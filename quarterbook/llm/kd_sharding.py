@@ -79,8 +79,8 @@ def kd_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_co
     repeated rows each get their slot; an empty table gives no rows; further columns are left out. Rows that are
     equal in every measure (repeated rows) stand in any order among themselves.
     """
-    # the hash in which a cut inside one value falls; repeated rows share it
-    fine = F.pmod(F.xxhash64(F.lit("fine"), F.col(id_col), F.col("text_crc32")), F.lit(FINE)).cast("int").alias("_fine")
+    # the hash in which a cut inside one value falls; it holds the row's number, so that repeated rows can be parted too
+    fine = F.pmod(F.xxhash64(F.lit("fine"), F.col(id_col), F.col("text_crc32"), F.monotonically_increasing_id()), F.lit(FINE)).cast("int").alias("_fine")
     table = staged(measured(docs, id_col, text_col, list(dims)).select("*", fine), "kd")
     n_dims = 1 + len(dims)
     node = F.lit(0)
