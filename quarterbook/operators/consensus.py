@@ -106,6 +106,15 @@ def movers(changed: DataFrame, n: int = 8, by: str = "d_value") -> DataFrame:
     return told.withColumn("up", up).withColumn("down", down).where((F.col("up") <= n) | (F.col("down") <= n)).select("cik", "period_end", "cusip", "put_call", "unit", by, "up", "down")
 
 
+def biggest_trades(changed: DataFrame, most: int = 10) -> DataFrame:
+    """issuer_id, period_end, traded and the ranks of the issuers that funds which aren't suppressed bought or sold most of by value, new positions whole."""
+    value = F.when(F.col("action") == "NEW", F.col("value_usd_now")).otherwise(F.col("d_value"))
+    rows = changed.where(long_equity() & ~F.col("suppressed")).groupBy(issuer_id(F.col("cusip")).alias("issuer_id"), "period_end").agg(F.sum(value).cast("bigint").alias("traded"))
+    quarter = Window.partitionBy("period_end")
+    ranked = rows.withColumn("bought", F.row_number().over(quarter.orderBy(F.desc("traded"), "issuer_id"))).withColumn("sold", F.row_number().over(quarter.orderBy("traded", "issuer_id")))
+    return ranked.where((F.col("bought") <= most) | (F.col("sold") <= most))
+
+
 def fund_overlap(book: DataFrame) -> DataFrame:
     """cik, period_end, issuer_id, others: how many other funds hold a fund's issuers."""
     names = book.where(long_equity()).select("cik", "period_end", issuer_id(F.col("cusip")).alias("issuer_id")).distinct()

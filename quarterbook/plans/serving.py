@@ -96,6 +96,12 @@ def combination_books(spark, sf_dir):
     return po.fold(tables(spark, sf_dir)[1]).where("is_combination").select("cik", "period_end").distinct()
 
 
+@query("SELECT accession, ltrim(cik, '0') AS bare_cik, 'https://www.sec.gov/Archives/edgar/data/' || ltrim(cik, '0') || '/' || replace(accession, '-', '') || '/' || accession || '-index.htm' AS url, accession || '-index.htm' AS page FROM filings")
+def filing_links(spark, sf_dir):
+    url = scalars.filing_url(F.col("cik"), F.col("accession"))
+    return tables(spark, sf_dir)[1].select("accession", scalars.bare_cik(F.col("cik")).alias("bare_cik"), url.alias("url"), scalars.last_segment(url).alias("page"))
+
+
 # A fund's quarter as it is published
 
 
@@ -226,6 +232,27 @@ def consensus_moves(spark, sf_dir):
     return rows.groupBy("period_end").agg(F.count("*").alias("names"), *[F.count_if(c).alias(n) for n, c in flags.items()])
 
 
+@query(f"SELECT issuer AS issuer_id, period_end, count(*) FILTER (action <> 'EXITED') AS holders, CAST(sum(v) AS bigint) AS combined_value FROM (SELECT * FROM {CELLS} WHERE {WATCHED}) GROUP BY 1, 2 HAVING count(*) FILTER (action <> 'EXITED') >= 1")
+def group_consensus(spark, sf_dir):
+    """Across the funds of a watchlist only."""
+    held = cells(spark, sf_dir)
+    return co.consensus(held.where(WATCHED), min_funds=1).select("issuer_id", "period_end", "holders", "combined_value")
+
+
+@query(f"""SELECT issuer AS issuer_id, period_end, traded, CAST(bought AS integer) AS bought, CAST(sold AS integer) AS sold FROM (SELECT *, row_number() OVER (PARTITION BY period_end ORDER BY traded DESC, issuer) AS bought, row_number() OVER (PARTITION BY period_end ORDER BY traded, issuer) AS sold
+  FROM (SELECT issuer, period_end, CAST(sum(CASE WHEN action = 'NEW' THEN v ELSE d_value END) AS bigint) AS traded FROM changes WHERE {LONG} AND NOT suppressed GROUP BY 1, 2)) WHERE bought <= 10 OR sold <= 10""")
+def biggest_trades(spark, sf_dir):
+    return co.biggest_trades(told_changes(spark, sf_dir))
+
+
+@query("""SELECT cik, period_end, cusip, put_call, unit, value_usd FROM book WHERE (cik, period_end) IN (SELECT (cik, CAST(last_day(period_end + to_months(m)) AS date)) FROM (SELECT cik, period_end, unnest([-3, 0, 3]) AS m FROM filings WHERE amendment_type = 'OTHER' OR accept_hours >= 464640))""")
+def refolded_books(spark, sf_dir):
+    """Late and odd amendments: only the quarters they touch are folded anew."""
+    raw, filings = tables(spark, sf_dir)
+    late = sn.touched(filings.where("amendment_type = 'OTHER' or acceptance >= '2023-01-03'").select("cik", "period_end"))
+    return po.book(raw, filings.join(late, ["cik", "period_end"], "left_semi")).select("cik", "period_end", "cusip", "put_call", "unit", "value_usd")
+
+
 @query("SELECT shown, period_end, count(*) AS filings FROM (SELECT period_end, unnest(list_filter(['All', CASE WHEN form LIKE '13F-HR%' THEN 'HR' END, CASE WHEN is_amendment THEN 'Amendments' END], lambda x: x IS NOT NULL)) AS shown FROM filings) GROUP BY 1, 2")
 def feed_filters(spark, sf_dir):
     filings = tables(spark, sf_dir)[1]

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
-    """CSV with a header, quotes doubled and lines that end in CR LF. A part file for each partition; no byte order mark."""
+def write_csv(rows: DataFrame, path: str, mark: bool = False) -> None:
+    """CSV with a header, quotes doubled and lines that end in CR LF; a part file for each partition, with a byte order mark if one is asked for."""
+    if mark:
+        rows = rows.withColumnRenamed(rows.columns[0], "\ufeff" + rows.columns[0])  # the header is all that comes first
     rows.write.mode("overwrite").option("header", True).option("escape", '"').option("lineSep", "\r\n").csv(path)
 
 

@@ -4,7 +4,8 @@ import json
 
 import pytest
 
-from quarterbook.operators import merging, selection, verification
+from quarterbook.functions import scalars
+from quarterbook.operators import merging, selection, snapshots as sn, verification
 from quarterbook.plans.serving import QUERIES
 from quarterbook.sources import snapshots, staging
 from quarterbook.streaming import incremental
@@ -102,7 +103,7 @@ def test_merges_take_nothing_away(spark):
     totals = spark.createDataFrame([("q2", 5, 60, 70)], "period string, funds_added long, filings long, known long")
     merged = merging.merge_periods(live, coming, totals)
     assert sorted(map(tuple, merged.collect()), key=str) == [("q1", 100, 90, None), ("q2", 60, 45, 70), ("q3", 7, 6, 9)]
-    assert merging.merge_violations(live, merged).count() == 0
+    assert merging.merge_violations(live, merged).count() == 0 == sn.shrunk(live, merged, ["period"]).count()
     anew = merging.merge_periods(live, coming, totals, authoritative=True)
     assert {(r.period, r.problem) for r in merging.merge_violations(live, anew.where("period <> 'q1'")).collect()} == {("q1", "period lost"), ("q2", "filings dropped"), ("q2", "funds dropped")}
     builds = merging.merge_builds(spark.createDataFrame([("a", "b1"), ("b", "b1")], "key string, build string"), spark.createDataFrame([("b",), ("c",)], "key string"), "b2")
@@ -123,3 +124,16 @@ def test_verdicts(spark):
         "ok": ("agree", "equal"), "units": ("disagree", "units: a thousandth"), "short": ("disagree", "short"), "near": ("agree", "equal"), "many": ("disagree", "more positions than entries"), "notice": ("disagree", "a notice was filed"),
         "small": ("agree", "equal"), "twice": ("not-comparable", "several filings"), "unseen": ("disagree", "not shown"), "late": ("not-comparable", "filed within the days of grace"),
     }
+
+
+def test_numbers_as_they_are_shown(spark):
+    from pyspark.sql import functions as F
+
+    row = spark.range(1).select(
+        *[scalars.usd(F.lit(x)).alias(f"u{k}") for k, x in enumerate((None, 0, 999, 1250, -1_250_000, 3_450_000_000, 2_000_000_000_000))], scalars.share_count(F.lit(1_234_567)).alias("s"),
+        *[scalars.percent(F.lit(x)).alias(f"p{k}") for k, x in enumerate((None, 2.25, -0.04))], *[scalars.points(F.lit(x)).alias(f"q{k}") for k, x in enumerate((None, 1.8, -3.0, 0.0))], scalars.points(F.lit(12.5), 0, "%").alias("r"),
+    ).first()
+    assert list(row) == ["—", "$0", "$999", "$1.3K", "-$1.3M", "$3.45B", "$2.00T", "1.23M", "—", "2.3%", "0.0%", "—", "+1.8pp", "-3.0pp", "0.0pp", "+13%"]
+    day = F.lit("2026-08-14").cast("date")
+    told = spark.range(1).select(*[scalars.deadline_phrase(F.lit("Q2 2026"), day, F.lit(d)).alias(f"d{k}") for k, d in enumerate((9, 1, 0, -5))]).first()
+    assert list(told) == ["Q2 2026 due 14 Aug 2026", "Q2 2026 due tomorrow, 14 Aug 2026", "Q2 2026 due today", "Q2 2026 closed 14 Aug 2026"]

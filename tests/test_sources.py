@@ -37,6 +37,9 @@ def test_csv_records_and_periods(spark, tmp_path):
     exports.write_csv(rows.coalesce(1), f"{tmp_path}/csv")
     [part] = glob.glob(f"{tmp_path}/csv/*.csv")
     assert open(part, newline="").read() == 'n,s,period_end\r\n1,"a ""b"", c",2024-03-31\r\n2,,2024-06-30\r\n'
+    exports.write_csv(rows.coalesce(1), f"{tmp_path}/marked", mark=True)
+    [part] = glob.glob(f"{tmp_path}/marked/*.csv")
+    assert open(part, "rb").read().startswith(b"\xef\xbb\xbfn,s,period_end\r\n1,")
     exports.write_records(rows.coalesce(1), f"{tmp_path}/json")
     [part] = glob.glob(f"{tmp_path}/json/*.json.gz")
     assert '"s":null' in gzip.open(part, "rt").read()
