@@ -13,4 +13,63 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM scored QUALIFY rank <= 5
 """
 
-ORACLES = {"op6_exact_top_k": KNN}
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+COLLOCATIONS = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+), listed AS (
+  SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces
+), grams AS (
+  SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase
+  FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM listed, (VALUES (1), (2), (3)) sizes(size))
+), f AS (
+  SELECT lang, size, phrase, count(*) AS a FROM grams GROUP BY ALL
+), totals AS (
+  SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang
+), candidates AS (
+  SELECT lang, size, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND a >= 10
+), cuts AS (
+  SELECT lang, size, phrase, a, w, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates)
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, c.size, x.a AS l, y.a AS r, k,
+    CAST(1000000::HUGEINT * c.a::HUGEINT * c.a::HUGEINT // (x.a::HUGEINT * y.a::HUGEINT) AS BIGINT) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.head AND x.size = c.k JOIN f y ON y.lang = c.lang AND y.phrase = c.tail AND y.size = c.size - c.k
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), longer AS (
+  SELECT lang, inner_phrase, max(a) AS a
+  FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS inner_phrase FROM candidates WHERE size = 3) GROUP BY ALL
+), kept AS (
+  SELECT s.* FROM lowest s LEFT JOIN longer g ON s.size = 2 AND g.lang = s.lang AND g.inner_phrase = s.phrase WHERE g.a IS NULL OR 100 * g.a < 50 * s.a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
+NORMAL_WORDS = f"regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+CONTAMINATION = f"""
+WITH items AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {NORMAL_WORDS} AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item, size, array_to_string(w[i:i + size - 1], ' ') AS win
+  FROM (SELECT item, w, least(len(w), 10) AS size, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)
+), docs AS (
+  SELECT row_number() OVER () AS nr, doc_id, {NORMAL_WORDS} AS w FROM documents
+), places AS (
+  SELECT nr, i, size, array_to_string(w[i:i + size - 1], ' ') AS win
+  FROM (SELECT nr, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM docs, (SELECT DISTINCT size FROM windows))
+), found AS (
+  SELECT nr, i, p.size, item FROM places p JOIN windows g ON g.size = p.size AND g.win = p.win
+), hit AS (
+  SELECT nr, count(DISTINCT place) AS n_hit FROM (SELECT nr, unnest(range(i, i + size)) AS place FROM found) GROUP BY nr
+), named AS (
+  SELECT nr, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT nr, item FROM found) GROUP BY nr
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (nr) LEFT JOIN named USING (nr)
+"""
+
+ORACLES = {"op6_exact_top_k": KNN, "op12_collocations": COLLOCATIONS, "op13_decontamination": CONTAMINATION}

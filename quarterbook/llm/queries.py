@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import discard, key_crc, read_table, staged
+from ._common import discard, key_crc, read_table, slices, staged, words_of
+from .collocations import collocations
+from .decontamination import contamination
 from .jaccard_join import similar_components
 from .kd_sharding import kd_shards
 from .language_id import identify
 from .packing import best_fit_pack
+from .periodic_runs import periodic_runs
 from .quality import score_quality
 from .secret_scan import BASE, scan_secrets
 from .sentence_pieces import encode_decode
@@ -82,8 +86,47 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(read_table(spark, sf_dir, "documents"), tokenizer_path(PIECES), output="sha256")
 
 
+def with_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text; of a tenth of the ids, by crc32 h of the id, the words from a = g % n on are those of a stretch of p, again and again, with g = h // 10 and p = 1 + (n - a) // (3 + g % 8)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            out = []
+            for text, h in zip(batch.column("text").to_pylist(), batch.column("h").to_pylist(), strict=True):
+                words = words_of(text) if h % 10 == 0 else []
+                if words:
+                    n, g = len(words), h // 10
+                    a = g % n
+                    p = 1 + (n - a) // (3 + g % 8)
+                    text = b" ".join([*words[:a], *(words[a + k % p] for k in range(n - a))]).decode()
+                out.append(text)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], names=["doc_id", "text"])
+
+    rows = docs.select("doc_id", F.col("text"), key_crc().alias("h"))
+    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string")
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_periods(read_table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n")))
+    exponent = F.expr("best.length * 1000 div best.period")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", exponent.alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read_table(spark, sf_dir, "documents"), least=10, percent=50, most=2000)
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), window=10)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_substring_dedup, op2_secret_scans, op3_telephony_audio, op4_best_fit_packing, op5_ngram_jaccard_join, op6_exact_top_k, op7_quality_classifier, op8_language_id, op9_kd_sharding, op10_sentencepiece)
+    own = (op1_substring_dedup, op2_secret_scans, op3_telephony_audio, op4_best_fit_packing, op5_ngram_jaccard_join, op6_exact_top_k, op7_quality_classifier, op8_language_id, op9_kd_sharding, op10_sentencepiece, op11_periodic_runs, op12_collocations, op13_decontamination)
     return {f.__name__: f for f in own}
 
 
