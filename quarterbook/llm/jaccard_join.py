@@ -6,7 +6,7 @@ Under each token every document is held against one centre; the sets of a centre
 trie, which a probe goes through sharing the overlap of common beginnings and leaving subtrees whose remaining
 lengths cannot reach the threshold. Only links that join components are kept. Documents that still stand in different
 components under one token are then held against each other, after a bound on their overlap from their common
-tokens; no pair inside a component is ever written out. Tokens of many documents are parted by classes of
+tokens; no pair inside a component is ever written out. Equal sets are told by a digest of their shingles' words, links by the words themselves. Tokens of many documents are parted by classes of
 length; where many documents stand even in one class, blocks of parity bits (a bit for each residue of the
 tokens' hashes, set if an odd number has it) bound the difference of two sets before any set moves.
 """
@@ -23,10 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import discard, hot_join, hot_keys, slices, staged
-from .word_hashes import runs, word_hashes
+from .word_hashes import PRIME, mixed, runs, word_hashes
 
 SIZE = 5
 PERCENT = 80
+BITS = 44  # of a hash in a token; the rest numbers a text's shingles of one hash
 BUCKETS = 20  # bits: shingles are counted in 2**20 buckets, whatever the corpus
 BLOCK = 512  # sets in a trie at most
 BLOCK_SHINGLES = 2_000_000  # shingles in a trie at most, by the lengths of its sets
@@ -35,15 +36,42 @@ PAIRED = 128  # documents under one token that are paired; more are parted by le
 CLASS = 1.26  # lengths of a class: sets that link (at most 1.25 times as long) are in one class or in two next to each other
 
 
-def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
-    """Each text's distinct hashes of all runs of five words, ASCII letters in lower case; of the whole if there are fewer words."""
-    h, counts, *_ = word_hashes(texts, lower=True)
-    all_runs = runs(h, SIZE).view(np.int64) if len(h) >= SIZE else np.zeros(0, np.int64)
-    out, at = [], 0
+def shingled(texts: list[str | None], bits: int = BITS) -> Iterator[tuple[np.ndarray, Callable[[], list[bytes]]]]:
+    """For each text a token for each different shingle (five words in a row, ASCII letters in lower case; all words if they are fewer), and a call that spells them in that order.
+
+    A token is the first `bits` of a hash and, below them, a number among the text's shingles of one such hash, whose words are compared.
+    So a set has as many tokens as shingles, and two sets have at least as many common tokens as common shingles, whatever the hash:
+    bounds on tokens lose no link, and links are held against the words.
+    """
+    h, counts, whole, opens, closes = word_hashes([b" ".join(t.encode().lower().split()) if t else b"" for t in texts])
+    every = runs(h, SIZE) if len(h) >= SIZE else np.zeros(0, np.uint64)
+    low, at = np.uint64(64 - bits), 0
     for n in counts.tolist():
-        out.append(np.unique(all_runs[at : at + n - SIZE + 1]) if n >= SIZE else runs(h[at : at + n], n).view(np.int64) if n else np.zeros(0, np.int64))
+        size = min(n, SIZE)
+        own = (every[at : at + n - SIZE + 1] if n >= SIZE else runs(h[at : at + n], n) if n else every[:0]) >> low << low
+        order = np.argsort(own, kind="stable")
+        own, places = own[order], order + at
+        spell = lambda places, size=size: [whole[a:b] for a, b in zip(opens[places].tolist(), closes[places + size - 1].tolist(), strict=True)]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])[: len(own)])
+        many = np.diff(np.append(first, len(own)))
+        if len(first) < len(own):
+            found = []
+            for k, m in zip(first[many > 1].tolist(), many[many > 1].tolist(), strict=True):
+                words = dict(zip(spell(places[k : k + m]), places[k : k + m].tolist(), strict=True))
+                if (len(words) - 1) >> int(low):
+                    raise ValueError(f"more than {1 << int(low)} different shingles under one hash of {bits} bits")
+                found += [(int(own[k]) + number, words[w]) for number, w in enumerate(sorted(words))]
+            alone = first[many == 1]
+            own = np.concatenate([own[alone], np.array([t for t, _ in found], np.uint64)])
+            places = np.concatenate([places[alone], np.array([p for _, p in found], np.int64)])
+            order = np.argsort(own)
+            own, places = own[order], places[order]
+        yield own.view(np.int64), lambda places=places, spell=spell: spell(places)
         at += n
-    return out
+
+
+def shingle_sets(texts: list[str | None], bits: int = BITS) -> list[np.ndarray]:
+    return [tokens for tokens, _ in shingled(texts, bits)]
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -64,24 +92,26 @@ def prefix_length(n: int) -> int:
     return n - -(-n * PERCENT // 100) + 1
 
 
-def signed(docs: DataFrame) -> DataFrame:
-    """_id, n, digest of the set; and apart from them (with null digests) the buckets that a task found common, with counts."""
+def signed(docs: DataFrame, bits: int) -> DataFrame:
+    """_id, _content, n, digest of the shingles' words; and apart from them (with digests of one byte) the buckets that a task found common, with counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BUCKETS, np.int64)
-        names = ["_id", "n", "digest"]
+        names = ["_id", "_content", "n", "digest"]
         for batch in slices(batches, "_text", 1 << 20):
-            sets = shingle_sets(batch.column("_text").to_pylist())
-            if sets:
-                total += np.bincount(_bucket(np.concatenate(sets)), minlength=len(total))
-            digest = [hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(map(len, sets), pa.int64()), pa.array(digest, pa.binary())], names=names)
+            n, digest = [], []
+            for tokens, spell in shingled(batch.column("_text").to_pylist(), bits):
+                np.add.at(total, _bucket(tokens), 1)
+                n.append(len(tokens))
+                # the order of tokens follows from the set of shingles
+                digest.append(hashlib.blake2b(b"\n".join(spell()), digest_size=20).digest() if n[-1] else None)
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_content"), pa.array(n, pa.int64()), pa.array(digest, pa.binary())], names=names)
         mean = total.mean()
         at = np.flatnonzero(total > mean + 8 * np.sqrt(mean) + 4)
         tag = np.array([-1], np.int64).tobytes()[:1]  # one byte: no digest is that short
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64()), pa.array([tag] * len(at), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.nulls(len(at), pa.binary()), pa.array(total[at], pa.int64()), pa.array([tag] * len(at), pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "_id long, n long, digest binary")
+    return docs.mapInArrow(run, "_id long, _content binary, n long, digest binary")
 
 
 def _common_classes(marked: DataFrame, total: int) -> np.ndarray:
@@ -189,12 +219,12 @@ def word_shingles(text: str) -> set[bytes]:
     return {b" ".join(words[k : k + SIZE]) for k in range(max(1, len(words) - SIZE + 1))} if words else set()
 
 
-def _links(blocks: DataFrame, by: list[str], table) -> DataFrame:
+def _links(blocks: DataFrame, by: list[str], table, bits: int) -> DataFrame:
     """a, b: links found in each block of (by.., centre, doc, _text). The trie holds hashes; each link is held against the words themselves."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates(["doc", "_text"]).sort_values(["centre", "doc"], ascending=[False, True])
-        every = [ordered(s, table.value) for s in shingle_sets(pdf["_text"].tolist())]
+        every = [ordered(s, table.value) for s in shingle_sets(pdf["_text"].tolist(), bits)]
         full = [k for k, s in enumerate(every) if len(s)]
         ids, texts, sets = pdf["doc"].to_numpy()[full], pdf["_text"].to_numpy()[full], [every[k] for k in full]
         true: dict[int, set[bytes]] = {}
@@ -213,9 +243,10 @@ def _links(blocks: DataFrame, by: list[str], table) -> DataFrame:
 
 
 def parities(tokens: np.ndarray) -> bytes:
-    """A bit for each residue of the tokens, set if an odd number of them has it; four to eight bits for each token, 64 at least."""
+    """A bit for each residue of the tokens' hashes, set if an odd number of them has it; four to eight bits for each token, 64 at least."""
     bits = max(64, 1 << (4 * len(tokens) - 1).bit_length())
-    return np.packbits(np.bincount(tokens & (bits - 1), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+    residues = mixed(tokens.view(np.uint64) * PRIME).view(np.int64) & (bits - 1)
+    return np.packbits(np.bincount(residues, minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
 def _folded(held: bytes, size: int) -> np.ndarray:
@@ -273,32 +304,34 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy("v").agg(F.min("u").alias("component")).select(F.col("v").alias("doc"), "component").unionAll(edges.select(F.col("u").alias("doc"), F.col("u").alias("component")).distinct())
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
     """id, n_shingles and component_id (the smallest id reachable by links of similarity 80 % or more) of every row.
 
     Sets are of five-word shingles; a text of fewer words is one shingle, an empty or null one has none and links with
     nothing. Ids are whole numbers; a row with a null id links with nothing and has a null component. Rows of
     one id with different texts get the component of their own text; links of either reach the id. An empty table gives no rows; further
-    columns are left out.
+    columns are left out. Shingles are counted, and links and equal sets told, by their words; `bits` of their hashes
+    only decide what meets, and any number gives the same rows (more than 2**(64 - bits) different shingles of one text under one hash are an error).
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    made = staged(signed(rows), "signed")
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), text.alias("_text"), F.unhex(F.sha2(text, 256)).alias("_content"))
+    made = staged(signed(rows, bits), "signed")
     every = made.where(F.col("digest").isNull() | (F.length("digest") > 1))
     common = _common_classes(made.where(F.length("digest") == 1), every.agg(F.sum("n")).first()[0] or 0)
     table = docs.sparkSession.sparkContext.broadcast(common)
     named = every.where(F.col("_id").isNotNull() & F.col("digest").isNotNull())
     # one document stands for all of an equal set
-    firsts = staged(named.groupBy("digest").agg(F.min("_id").alias("_id"), F.first("n").alias("n"), F.count("*").alias("copies")), "firsts")
+    first = F.min(F.struct("_id", "_content")).alias("f")
+    firsts = staged(named.groupBy("digest").agg(first, F.first("n").alias("n"), F.count("*").alias("copies")).select("digest", "f.*", "n", "copies"), "firsts")
 
     def first_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text", 1 << 20):
-            sets = shingle_sets(batch.column("_text").to_pylist())
+            sets = shingle_sets(batch.column("_text").to_pylist(), bits)
             tokens = [ordered(s, table.value)[: prefix_length(len(s))].tolist() for s in sets]
-            digest = [hashlib.md5(s.tobytes()).digest() for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(digest, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))], names=["_id", "digest", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_content"), pa.array(tokens, pa.list_(pa.int64()))], names=["_id", "_content", "tokens"])
 
-    prefixes = rows.where(F.col("_id").isNotNull() & F.col("_text").isNotNull()).mapInArrow(first_tokens, "_id long, digest binary, tokens array<bigint>").where(F.size("tokens") > 0)
-    prefixes = staged(prefixes.join(firsts.drop("copies"), ["digest", "_id"]).select(F.col("_id").alias("doc"), "n", "tokens"), "prefixes")
+    prefixes = rows.where(F.col("_id").isNotNull() & F.col("_text").isNotNull()).mapInArrow(first_tokens, "_id long, _content binary, tokens array<bigint>").where(F.size("tokens") > 0)
+    prefixes = staged(prefixes.join(firsts.select("_id", "_content", "n"), ["_id", "_content"]).select(F.col("_id").alias("doc"), "n", "tokens"), "prefixes")
     shared = staged(prefixes.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("size")).where("size > 1"), "tokens")
     busy = staged(hot_keys(shared, ["token"], "size"), "busy")
     posts = staged(hot_join(prefixes.select("doc", "n", F.explode("tokens").alias("token")), shared.select("token"), ["token"], busy, by="doc"), "posts")
@@ -320,8 +353,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def parity_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text", 1 << 20):
-            bits = [parities(s) for s in shingle_sets(batch.column("_text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(bits, pa.binary())], names=["doc", "bits"])
+            held = [parities(s) for s in shingle_sets(batch.column("_text").to_pylist(), bits)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(held, pa.binary())], names=["doc", "bits"])
 
     def held_against(pairs: DataFrame) -> DataFrame:
         """Links among the documents of each centre, in blocks of about BLOCK sets or BLOCK_SHINGLES shingles; pairs: centre, doc and the latter's n."""
@@ -331,7 +364,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         centres = sizes.select("centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("centre").alias("doc"))
         members = staged(members.unionAll(centres), "members")
         blocks = texts_of(members).join(members, "doc").select(F.col("centre").alias("block"), "part", (F.col("centre") == F.col("doc")).alias("centre"), "doc", "_text")
-        links = staged(_links(blocks, ["block", "part"], table), "links")
+        links = staged(_links(blocks, ["block", "part"], table, bits), "links")
         discard(pairs, sizes, members)
         return links
 
@@ -365,8 +398,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     chunks = F.ceil(F.col("size") * 2 / BLOCK).cast("int")
     dealt = parted.where(F.col("size") > PAIRED).withColumn("chunk", F.pmod(F.xxhash64("doc"), chunks).cast("int"))
     blocks = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), chunks - 1))).select("token", "class", F.least("chunk", "with").alias("part"), F.greatest("chunk", "with").alias("part2"), "doc", "n", "component", "home", "chunk")
-    bits = texts_of(dealt.select("doc")).mapInArrow(parity_rows, "doc long, bits binary")
-    close = bits.join(staged(blocks, "blocks"), "doc").groupBy("token", "class", "part", "part2").applyInPandas(close_pairs, "doc long, doc2 long, n2 long")
+    odd = texts_of(dealt.select("doc")).mapInArrow(parity_rows, "doc long, bits binary")
+    close = odd.join(staged(blocks, "blocks"), "doc").groupBy("token", "class", "part", "part2").applyInPandas(close_pairs, "doc long, doc2 long, n2 long")
     likely = staged(likely.unionAll(close).groupBy("doc", "doc2").agg(F.max("n2").alias("n")).select(F.col("doc").alias("centre"), F.col("doc2").alias("doc"), "n"), "likely")
     discard(left, parted)
     more = held_against(likely)

@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +12,9 @@ import pyarrow.parquet as pq
 import pytest
 from test_llm_operators import WORD, brute_components, rows_of
 
-from quarterbook.llm import language_id, quality, queries
+from quarterbook.llm import collocations, decontamination, language_id, quality, queries
 from quarterbook.llm._common import read_table
+from quarterbook.llm.periodic_runs import periodic_runs, runs_of
 from quarterbook.llm.secret_scan import RULES
 from quarterbook.llm.telephony import CODECS, STEPS
 
@@ -31,9 +33,13 @@ def folder(rows, sf_dir, tmp_path_factory):
     names = ["doc_id", "text", "lang", "source", "n_chars"]
     types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
     columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-    clash = {n: pa.array(["clash"] * len(rows)) for n in ("_id", "_text", "_text_hash", "spans", "score", "shard", "slot", "codec", "piece", "token", "_key", "digest")}
+    clash = {n: pa.array(["clash"] * len(rows)) for n in ("_id", "_text", "_text_hash", "spans", "score", "shard", "slot", "codec", "piece", "token", "_key", "digest", "row", "items", "runs", "best", "collapsed", "h", "lang_", "_lang", "phrase", "word", "n")}
     pq.write_table(pa.table(dict(zip(names, columns, strict=True)) | clash), where / "documents.parquet", row_group_size=50)
     pq.write_table(pq.read_table(f"{sf_dir}/labels.parquet"), where / "labels.parquet")
+    words = [w for w in rows[0][1].split() if w.isalpha()]
+    items = [("1", " ".join(rows[0][1].split()[5:40])), ("2", "one two"), ("3", None), ("4", " ,; "), (None, " ".join(rows[3][1].split()[:12])), ("2", "a b, C d; e"), ("10", rows[0][1].upper()), ("5", words[0]), ("6", LONG), ("7", "never said anywhere " * 9)]
+    columns = {"item_id": pa.array([i for i, _ in items], pa.string()), "text": pa.array([t for _, t in items], pa.string())}
+    pq.write_table(pa.table(columns | {n: pa.array(["clash"] * len(items)) for n in ("item", "words", "row", "_text")}), where / "benchmark.parquet")
     rnd = np.random.default_rng(8)
     vectors = [(i, rnd.normal(0, 1, 8).round(2).tolist()) for i in range(320)] + [(330, None), (350, [None] * 8), (400, [float("nan")] * 8), (None, [0.0] * 8), (7, [1.0] * 8), (50, [0.5] * 8)]
     pq.write_table(pa.table({"vec_id": pa.array([i for i, _ in vectors], pa.int64()), "embedding": pa.array([v for _, v in vectors], pa.list_(pa.float32())), "score": pa.array([1] * len(vectors)), "cell": pa.array(["x"] * len(vectors))}), where / "embeddings.parquet")
@@ -271,8 +277,181 @@ def test_op10(spark, folder, rows):
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and Counter(tuple(r) for r in got.collect()) == want
 
 
+def plain_runs(words, most=None):
+    """The smallest period of each longest stretch (start, end) of four periods and six words, of periods up to `most`."""
+    number, out, n = {}, {}, len(words)
+    s = np.array([number.setdefault(w, len(number)) for w in words])
+    for q in range(1, min(n // 4, most or n) + 1):
+        turns = np.flatnonzero(np.diff(np.concatenate([[0], (s[:-q] == s[q:]).astype(np.int8), [0]])))
+        for a, b in turns.reshape(-1, 2).tolist():
+            if b + q - a >= max(6, 4 * q):
+                out.setdefault((a, b + q), q)
+    return out
+
+
+def test_op11(spark, folder, rows):
+    want, long = Counter(), {}
+    for i, t, *_ in rows:
+        w = WORD.findall(t or "")
+        h, n = zlib.crc32(("" if i is None else str(i)).encode()), len(w)
+        g = h // 10
+        if h % 10 == 0 and w:
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            w = [w[k] if k < a else w[a + (k - a) % p] for k in range(n)]
+        if n > 100_000:
+            long[i] = plain_runs(w, 200)
+            continue
+        found = plain_runs(w)
+        best = min(found.items(), key=lambda r: (-Fraction(r[0][1] - r[0][0], r[1]), r[0][0], r[1])) if found else None
+        gone = {x for (a, b), q in found.items() for x in range(a + q, b)}
+        listed = "".join(f"{a},{b - a},{q}\n" for (a, b), q in sorted(found.items(), key=lambda r: (r[0][0], r[1])))
+        told = (best[0][0], best[0][1] - best[0][0], best[1], 1000 * (best[0][1] - best[0][0]) // best[1]) if best else (None,) * 4
+        kept = " ".join(x for k, x in enumerate(w) if k not in gone)
+        want[i, len(found), *told, *(hashlib.sha256(x.encode()).hexdigest() for x in (listed, kept))] += 1
+    got = queries.op11_periodic_runs(spark, folder)
+    assert got.columns == ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"]
+    assert Counter(tuple(r) for r in got.collect() if r.doc_id not in long) == want and len(long) == 2
+    assert sum(n > 0 for _, n, *_ in want) > 5 and max(n for _, n, *_ in want) > 1
+    every = {r._id: r for r in periodic_runs(queries.with_periods(read_table(spark, folder, "documents").where("doc_id >= 300000")).withColumnRenamed("doc_id", "_id"), id_col="_id").collect()}
+    for i, found in long.items():
+        assert {(r.start, r.start + r.length): r.period for r in every[i].runs if r.period <= 200} == found
+
+
+def test_op11_of_many_small_alphabets():
+    rnd = np.random.default_rng(3)
+    for _ in range(150):
+        texts = []
+        for _ in range(5):
+            n, letters = int(rnd.choice([0, 5, 7, 40, 130])), int(rnd.choice([1, 2, 3, 9]))
+            w = rnd.integers(0, letters, n).tolist()
+            if n and rnd.random() < 0.6:
+                a = int(rnd.integers(0, n))
+                p = 1 + (n - a) // int(rnd.integers(3, 11))
+                w = [w[k] if k < a else w[a + (k - a) % p] for k in range(n)]
+            texts.append(w)
+        got = runs_of(np.array(sum(texts, []), np.int32), np.array([len(w) for w in texts]))
+        assert got == [plain_runs(w) for w in texts]
+    nested = np.array(([0] * 999 + [1]) * 30 + list(range(5000)), np.int32)
+    assert runs_of(nested, np.array([len(nested)])) == [plain_runs(nested.tolist())]
+
+
+LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+
+def plain_phrases(rows, least=10, most=2000):
+    counts, totals = defaultdict(Counter), Counter()
+    for _, t, lang, *_ in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (t or "").translate(LOWER)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            totals[lang] += len(w)
+            for size in (1, 2, 3):
+                counts[lang].update(tuple(w[k : k + size]) for k in range(len(w) - size + 1))
+    out = set()
+    for lang, f in counts.items():
+        found, inside = [], Counter()
+        for phrase, a in f.items():
+            if len(phrase) == 3 and a >= least:
+                for part in (phrase[:2], phrase[1:]):
+                    inside[part] = max(inside[part], a)
+        for phrase, a in f.items():
+            if len(phrase) > 1 and a >= least and not (len(phrase) == 2 and 100 * inside[phrase] >= 50 * a and inside[phrase]):
+                score, _, l, r = min((1_000_000 * a * a // (f[phrase[:k]] * f[phrase[k:]]), k, f[phrase[:k]], f[phrase[k:]]) for k in range(1, len(phrase)))
+                found.append((-score, -a, " ".join(phrase).encode(), l, r))
+        out |= {(lang, k, p.decode(), -a, l, r, totals[lang], -s) for k, (s, a, p, l, r) in enumerate(sorted(found)[:most], 1)}
+    return out
+
+
+def test_op12(spark, folder, rows):
+    got = queries.op12_collocations(spark, folder)
+    assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+    found = [tuple(r) for r in got.collect()]
+    assert len(found) == len(set(found)) and set(found) == plain_phrases(rows) and len(found) > 100
+
+
+def test_op12_in_small_buckets_and_parts(spark, sf_dir, monkeypatch):
+    """Pivots in several buckets, buckets mined in parts, fewer phrases asked for, words that share counters."""
+    rows = [(r.doc_id, r.text, r.lang) for r in read_table(spark, sf_dir, "documents").collect()] + [(1, "x y x. Y! z\tz z z z", None), (1, "q Q q q q q", None)] * 12
+    monkeypatch.setattr(collocations, "BUCKET_WORDS", 500)
+    monkeypatch.setattr(collocations, "MINED_ROWS", 40)
+    monkeypatch.setattr(collocations, "SLICE", 1 << 14)
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {tuple(r) for r in collocations.collocations(table, most=50).collect()} == plain_phrases(rows, most=50)
+    assert {tuple(r) for r in collocations.collocations(table, least=3).collect()} == plain_phrases(rows, 3)
+
+
+def test_op12_scores_beyond_64_bits(spark):
+    counts = [("x", None, -1, 9), ("x", "a", 1, 4_000_000_000_000), ("x", "b", 2, 3_000_000_000_001)]
+    score = lambda a, l, r: 1_000_000 * a * a // (l * r)
+    spark_score = spark.sql("select (1000000BD * cast(cast(2999999999999 as decimal(19,0)) * cast(2999999999999 as decimal(19,0)) as decimal(31,0))) div (cast(4000000000000 as decimal(19,0)) * cast(3000000000001 as decimal(19,0))) as s").first().s
+    assert spark_score == score(2_999_999_999_999, counts[1][3], counts[2][3])
+
+
+NORMAL = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def plain_hits(texts, items, window=10):
+    """For each text: number of words, those hit, items."""
+    words = lambda t: NORMAL.findall((t or "").translate(LOWER))
+    windows = defaultdict(set)
+    for i, t in items:
+        w = words(t)
+        for k in range(max(1, len(w) - window + 1)):
+            if w:
+                windows[tuple(w[k : k + window])].add("" if i is None else str(i))
+    sizes = {len(w) for w in windows}
+    out = []
+    for t in texts:
+        w, hit, named = words(t), set(), set()
+        for n in sizes:
+            for k in range(len(w) - n + 1):
+                if (own := tuple(w[k : k + n])) in windows:
+                    hit.update(range(k, k + n))
+                    named |= windows[own]
+        out.append((len(w), hit, named))
+    return out
+
+
+def test_op13(spark, folder, rows):
+    items = list(zip(*pq.read_table(f"{folder}/benchmark.parquet").select(["item_id", "text"]).to_pydict().values(), strict=True))
+    want = Counter()
+    for (i, *_), (n, hit, named) in zip(rows, plain_hits([r[1] for r in rows], items), strict=True):
+        want[i, n, len(hit), len(named), hashlib.sha256(",".join(sorted(named)).encode()).hexdigest(), bool(hit)] += 1
+    got = queries.op13_decontamination(spark, folder)
+    assert got.columns == ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    assert Counter(tuple(r) for r in got.collect()) == want and len({x[4] for x in want}) > 3
+
+
+def test_op13_in_many_blocks_and_parts(spark, monkeypatch):
+    rnd = np.random.default_rng(5)
+    said = lambda n, letters: " ".join(f"w{k}" for k in rnd.integers(0, letters, n))
+    items = [(k, said(int(rnd.integers(0, 60)), 3)) for k in range(30)]
+    texts = [said(int(rnd.integers(0, 90)), 4) for _ in range(30)] + [items[3][1] * 3]
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", 70)
+    monkeypatch.setattr(decontamination, "PART_WORDS", 7)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    for window in (1, 4, 10):
+        got = {r.doc_id: (r.n_words, {x for s in r.spans for x in range(s.start, s.end)}, set(r["items"])) for r in decontamination.contamination(docs, bench, window).collect()}
+        assert [got[i] for i in range(len(texts))] == plain_hits(texts, items, window)
+
+
+def test_stretches_are_removed(spark):
+    bench = spark.createDataFrame([("a", " ".join(f"b{k}" for k in range(12)))], "item_id string, text string")
+    leak = "; ".join(f"B{k}" for k in range(12))
+    texts = [f"é one, {leak}! two", f"{leak} {leak}", "clean, Text.", None, "", f"x {leak}"]
+    docs = spark.createDataFrame([(k, t, 0 if t is None else len(t), "kept") for k, t in enumerate(texts)], "doc_id long, text string, n_chars int, row string")
+    got = {r.doc_id: (r.text, r.n_chars) for r in decontamination.decontaminated(docs, bench, most_covered=0.9).collect()}
+    assert got == {0: ("é one, two", 10), 2: ("clean, Text.", 12), 3: (None, 0), 4: ("", 0)}
+    # 12 of 13 words are hit: more than 90 %, not more than 95 %
+    assert {r.doc_id: r.text for r in decontamination.decontaminated(docs, bench, most_covered=0.95).collect()}[5] == "x "
+    assert decontamination.decontaminated(docs, bench.limit(0)).columns == docs.columns
+    assert {(r.doc_id, r.text) for r in decontamination.decontaminated(docs, bench.limit(0)).collect()} == set(enumerate(texts))
+
+
 def test_empty_tables(spark, folder, sf_dir, tmp_path):
-    for name in ("documents", "labels", "embeddings"):
+    for name in ("documents", "labels", "embeddings", "benchmark"):
         pq.write_table(pq.read_table(f"{folder}/{name}.parquet").slice(0, 0), tmp_path / f"{name}.parquet")
     for name, query in queries.queries().items():
         assert query(spark, str(tmp_path)).count() == 0, name

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from test_llm_operators import brute_components, near_copies
 
 from quarterbook.llm import jaccard_join, substring_dedup, word_hashes
 from quarterbook.llm.jaccard_join import similar_components
@@ -49,6 +50,27 @@ def test_weak_hashes_change_no_result(spark, monkeypatch):
     assert jaccard_join.joining_links(sets, lambda i, j: False) == [] and len(jaccard_join.joining_links(sets)) == 1
 
 
+W1, W2 = "tf]35#&\":nf7^w^#", "af;?c9y6*$$d0`5b"  # two words with one hash
+
+
+def test_words_with_one_hash(spark):
+    h, *_ = word_hashes.word_hashes([W1, W2])
+    assert len(set(h.tolist())) == 1
+    tail = "a b c d"
+    rows = [(1, W1), (2, W2), (3, f"{W1} {tail} e"), (4, f"{W2} {tail} e"), (5, f"{W1} {tail} {W2} {tail}"), (6, f"{W2} {tail} {W1} {tail}")]
+    got = {tuple(r) for r in similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows) and (5, 6, 5) in got
+
+
+@pytest.mark.parametrize("bits", [1, 3])
+def test_components_by_very_short_hashes(spark, sf_dir, bits):
+    """The whole operator with two or eight hashes for all shingles: every set meets every other, and the result is that of the words."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("n_chars < 3000").collect()][:90]
+    rows += [(1000 + i, t) for i, t in near_copies(40, 5, 9)] + [(2000, rows[0][1]), (2001, rows[0][1].upper()), (2002, ""), (2003, None), (2004, "one two"), (2005, "two one")]
+    got = {tuple(r) for r in similar_components(spark.createDataFrame(rows, "doc_id long, text string"), bits=bits).collect()}
+    assert got == brute_components(rows)
+
+
 def test_ids_that_are_joined_give_the_same(spark, sf_dir, monkeypatch):
     from quarterbook.llm._common import read_table
 
