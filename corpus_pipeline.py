@@ -22,9 +22,10 @@ REJECT_BELOW = 0.5
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """Rows in one column, so that no name of theirs can clash, with _key, never null, of a row's id and text together: what a stage
-    finds out about a text holds for its rows alone."""
-    return docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", "text").alias("_key"))
+    """Rows in one column, so that no name of theirs can clash, with _key, never null: a SHA-256 of a row's id and text together. What a
+    stage finds out about a text holds for its rows alone."""
+    told = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
+    return docs.select(F.struct(*docs.columns).alias("row"), F.unhex(F.sha2(F.concat(told("doc_id"), F.lit("\0"), told("text")), 256)).alias("_key"))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,11 +41,12 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Each pair of id and text is a document of its own, so a text neither leaves nor stays for another one of its id. Of rows that
     repeat both, the one with the least columns in their order stands for all.
     """
-    one = staged(keyed(docs).groupBy("_key").agg(F.min("row").alias("row")), "rows")
-    classes = similar_components(one.select("_key", "row.text"), "_key")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("first")
-    kept = one.select("_key", "row.doc_id").join(classes, "_key").groupBy("component_id").agg(first).select("first._key")
-    return one.join(kept, "_key", "left_semi").select("row.*")
+    one = keyed(docs).groupBy("_key").agg(F.min("row").alias("row"))
+    one = staged(one.withColumn("_number", F.monotonically_increasing_id()), "rows")  # numbers stay what they were written as
+    classes = similar_components(one.select("_number", "row.text"), "_number")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key", "_number")).alias("first")
+    kept = one.select("_key", "_number", "row.doc_id").join(classes, "_number").groupBy("component_id").agg(first).select("first._number")
+    return one.join(kept, "_number", "left_semi").select("row.*")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
