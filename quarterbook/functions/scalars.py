@@ -51,8 +51,8 @@ def eastern_stamp_to_utc(stamp: Column) -> Column:
 
 
 def as_int(text: Column) -> Column:
-    """Whole number of a text with commas and blanks; null if it is none."""
-    return F.round(F.regexp_replace(text, "[, ]", "").try_cast("double")).try_cast("bigint")
+    """Whole number of a text with commas and blanks, exact, halves away from zero; null if it is none."""
+    return F.round(F.regexp_replace(text, "[, ]", "").try_cast("decimal(38,18)")).try_cast("bigint")
 
 
 def accession_from_path(path: Column) -> Column:

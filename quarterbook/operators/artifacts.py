@@ -51,9 +51,9 @@ def fund_quarters(book: DataFrame, changed: DataFrame, meta: DataFrame) -> DataF
     return rows.withColumn("suppressed", F.coalesce("suppressed", F.lit(False))).withColumn("label", period_label(F.col("period_end"))).withColumn("filing_lag_days", filing_lag_days(F.col("acceptance"), F.col("period_end")))
 
 
-STRUCTURAL_NOTES = {"PRO_RATA_REDUCTION": "Uniform reduction across positions", "UNIT_SCALE_CHANGE": "Reported unit scale changed"}
-PRIOR_NOTES = {"NO_PRIOR": "First covered quarter", "PRIOR_MISSING": "No prior quarter on file", "PRIOR_IS_NT": "Prior quarter was a notice"}
-WITHHELD_NOTE = "Positions withheld pending confidential treatment"
+STRUCTURAL_NOTES = {"PRO_RATA_REDUCTION": "REDUCED_ALIKE", "UNIT_SCALE_CHANGE": "UNITS_CHANGED"}
+PRIOR_NOTES = {"NO_PRIOR": "FIRST_QUARTER", "PRIOR_MISSING": "PRIOR_UNKNOWN", "PRIOR_IS_NT": "PRIOR_NOTICE"}
+WITHHELD_NOTE = "CONFIDENTIAL"
 
 
 def _named(column: str, names: dict[str, str]) -> Column:

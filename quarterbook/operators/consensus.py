@@ -17,22 +17,29 @@ def dominant_action() -> Column:
     return F.when(told == 0, F.lit(None)).when(F.bool_and(F.col("action") == "NEW"), "NEW").when(F.bool_and(F.col("action") == "EXITED"), "EXITED").when(sign > 0, "ADDED").when(sign < 0, "TRIMMED").otherwise("HELD")
 
 
-def cells(changed: DataFrame) -> DataFrame:
-    """issuer_id, period_end, cik: value, shares of the book, delta and dominant action of the issuer's long classes, from published changes."""
-    rows = changed.where(long_equity()).withColumn("issuer_id", issuer_id(F.col("cusip")))
+def cells(changed: DataFrame, securities: DataFrame, longs_only: bool = True, filter_exits: bool = False) -> DataFrame:
+    """issuer_id, period_end, cik: value, share of the book, delta, dominant action and tickers of an issuer's rows, from published changes.
+
+    Of what is held only long equity counts, unless longs_only is off; exits of every type do, unless filter_exits is on. A cell without
+    value has no weight. securities: cusip, ticker.
+    """
+    held, exited = long_equity() | F.lit(not longs_only), F.col("action") == "EXITED"
+    rows = changed.where((~exited & held) | (exited & (long_equity() | F.lit(not filter_exits)))).withColumn("issuer_id", issuer_id(F.col("cusip")))
+    rows = rows.join(securities.select("cusip", "ticker"), "cusip", "left")
+    value = F.coalesce(F.sum("value_usd_now"), F.lit(0)).cast("bigint")
     return rows.groupBy("issuer_id", "period_end", "cik").agg(
-        F.coalesce(F.sum("value_usd_now"), F.lit(0)).cast("bigint").alias("value_usd"), F.sum("weight_pct_now").alias("weight_pct"), F.sum("d_weight_pp").alias("d_weight_pp"), F.count_distinct("cusip").alias("classes"), dominant_action().alias("action"),
+        value.alias("value_usd"), F.when(value > 0, F.sum("weight_pct_now")).alias("weight_pct"), F.sum("d_weight_pp").alias("d_weight_pp"), F.array_sort(F.collect_set("ticker")).alias("tickers"), dominant_action().alias("action"),
         F.bool_or("suppressed").alias("suppressed"),
     )
 
 
 def consensus(held: DataFrame, min_funds: int = 2, exits_too: bool = False) -> DataFrame:
-    """Per issuer and quarter: holders, combined value, mean weight of those that report one, net direction, newcomers, leavers."""
+    """Per issuer and quarter: holders, combined value, mean weight of those that report one, net direction, newcomers, leavers, tickers of all funds (one at least)."""
     holds = F.col("action") != "EXITED"
     net = F.sum(F.when(F.col("action").isin("NEW", "ADDED"), 1).when(F.col("action").isin("TRIMMED", "EXITED"), -1).otherwise(0))
     out = held.groupBy("issuer_id", "period_end").agg(
         F.count_if(holds).alias("holders"), F.sum("value_usd").cast("bigint").alias("combined_value"), F.sum(F.when(holds, F.col("weight_pct"))).alias("sum_weight"), F.avg(F.when(holds, F.col("weight_pct"))).alias("avg_weight"),
-        net.cast("bigint").alias("net_direction"), F.count_if(F.col("action") == "NEW").alias("n_new"), F.count_if(F.col("action") == "EXITED").alias("n_exited"), F.max("classes").cast("bigint").alias("share_classes"),
+        net.cast("bigint").alias("net_direction"), F.count_if(F.col("action") == "NEW").alias("n_new"), F.count_if(F.col("action") == "EXITED").alias("n_exited"), F.greatest(F.lit(1), F.size(F.array_distinct(F.flatten(F.collect_set("tickers"))))).cast("bigint").alias("share_classes"),
     )
     kept = F.col("holders") >= min_funds
     return out.where(kept | (F.col("n_exited") > 0) if exits_too else kept)
@@ -72,6 +79,20 @@ def anchor(held: DataFrame) -> DataFrame:
     return rows.groupBy("issuer_id", "period_end", "side").agg(F.count_if(~F.col("suppressed")).alias("funds"), F.sum(F.when(~F.col("suppressed"), amount)).alias("amount"), F.count_if("suppressed").alias("funds_withheld"))
 
 
+def anchor_lists(held: DataFrame, most: int = 200) -> DataFrame:
+    """issuer_id, period_end, side, rank, funds (their ciks in order) and amount: the names that most funds that aren't suppressed entered or left, `most` a side and quarter.
+
+    Names are ranked by their number of funds and the amount before their funds are listed, so lists are only made of what is shown.
+    """
+    rows = held.where(~F.col("suppressed"))
+    order = Window.partitionBy("period_end", "side").orderBy(F.desc("funds"), F.desc_nulls_last(F.round("amount", 9)), "issuer_id")
+    shown = anchor(rows).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    side = F.when(F.col("action") == "NEW", "entry").when(F.col("action") == "EXITED", "exit")
+    named = rows.select("issuer_id", "period_end", side.alias("side"), "cik").join(shown.select("issuer_id", "period_end", "side"), ["issuer_id", "period_end", "side"], "left_semi")
+    lists = named.groupBy("issuer_id", "period_end", "side").agg(F.array_sort(F.collect_list("cik")).alias("funds"))
+    return shown.select("issuer_id", "period_end", "side", "rank", "amount").join(lists, ["issuer_id", "period_end", "side"])
+
+
 def overlap_distribution(rows: DataFrame, most: int) -> DataFrame:
     """holders (1 to most), names and value of each quarter, empty buckets included."""
     buckets = rows.select("period_end").distinct().withColumn("holders", F.explode(F.sequence(F.lit(1), F.lit(most)))).withColumn("holders", F.col("holders").cast("bigint"))
@@ -99,8 +120,8 @@ def sector_flows(changed: DataFrame, securities: DataFrame, sectors: DataFrame)
 
 
 def movers(changed: DataFrame, n: int = 8, by: str = "d_value") -> DataFrame:
-    """The n largest rises and falls of value, or of weight in points (by="d_weight_pp"), in each book."""
-    told = changed.where(F.col(by).isNotNull())
+    """The n largest rises and falls of value, or of weight in points (by="d_weight_pp"), among what each book holds; exits are no movers."""
+    told = changed.where(F.col(by).isNotNull() & F.col("shares_now").isNotNull())
     book = Window.partitionBy("cik", "period_end")
     up, down = F.row_number().over(book.orderBy(F.desc(by), "cusip", "put_call", "unit")), F.row_number().over(book.orderBy(by, "cusip", "put_call", "unit"))
     return told.withColumn("up", up).withColumn("down", down).where((F.col("up") <= n) | (F.col("down") <= n)).select("cik", "period_end", "cusip", "put_call", "unit", by, "up", "down")

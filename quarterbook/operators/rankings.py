@@ -13,9 +13,9 @@ from .positions import long_equity, summary
 
 
 def largest_positions(book: DataFrame, most: int = 100) -> DataFrame:
-    """The `most` largest long positions of each book by value, ties by cusip, with their rank."""
+    """The `most` largest long positions of each book by value, ties by cusip, with their rank; those without value are left out."""
     order = Window.partitionBy("cik", "period_end").orderBy(F.desc("value_usd"), "cusip")
-    return book.where(long_equity()).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    return book.where(long_equity() & (F.col("value_usd") > 0)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
 def security_periods(book: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.calendar import shift_period
+from ..functions.scalars import issuer_id
+from ..sources.staging import discard, staged
 from .positions import long_equity
 
 KEYS = ["cik", "period_end"]
@@ -25,36 +27,40 @@ def retained_books(books: DataFrame, watched: DataFrame, quarters: int, most: in
     return books.join(newest, "period_end", "left_semi").join(funds, "cik", "left_semi")
 
 
+def code_wishes(filers: DataFrame) -> DataFrame:
+    """cik, rank and a filer's wishes for a code: letters of its name, and the two letters that numbers follow if none of those is free. filers: cik, name, rank."""
+    words = F.split(F.trim(F.regexp_replace(F.upper(F.coalesce("name", F.lit(""))), "[^A-Z]+", " ")), " ")
+    first, second = F.coalesce(F.get(words, F.lit(0)), F.lit("")), F.coalesce(F.get(words, F.lit(1)), F.lit(""))
+    initials = F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "")
+    letters = [F.substring(first, 1, 3), F.concat(F.substring(first, 1, 2), F.substring(second, 1, 1)), F.concat(F.substring(first, 1, 1), F.substring(second, 1, 2)), F.substring(initials, 1, 3)]
+    wishes = F.filter(F.array(*letters), lambda c: F.length(c) == 3)
+    return filers.select("cik", "rank", wishes.alias("wishes")).withColumn("stem", F.substring(F.coalesce(F.get("wishes", F.lit(0)), F.lit("FND")), 1, 2))
+
+
 def assigned_codes(filers: DataFrame) -> DataFrame:
-    """cik and a code that no other filer has, given out in the order of rank: letters of the name, else two letters and a number in base 36.
+    """cik and a code that no other filer has, as if given out in the order of rank (ties by cik): the first free one of its wishes, else its stem and the first free number in base 36.
 
-    filers: cik, name, rank; a row for each manager (some ten thousand). Each choice depends on all before it, so they are made in one task.
+    All filers ask at once for the first code that may be free for them; of those that ask for one the first in rank keeps it for now, and
+    the others go on to their next one, until nobody has to. A code only ever goes to an earlier rank, so what was refused stays refused, and the
+    outcome is that of the given order. Among filers of one stem that have come to numbers, each starts behind the one before
+    it, so rounds are few however many share a stem. filers: cik, name, rank.
     """
-    import pandas as pd
-
-    def named(pdf: pd.DataFrame) -> pd.DataFrame:
-        used: set[str] = set()
-        out = []
-        for cik, name in pdf.sort_values(["rank", "cik"])[["cik", "name"]].itertuples(index=False):
-            words = "".join(c if "A" <= c <= "Z" else " " for c in (name or "").upper()).split()
-            first, second = (words + ["", ""])[:2]
-            wanted = [c for c in (first[:3], first[:2] + second[:1], first[:1] + second[:2], "".join(w[0] for w in words)[:3]) if len(c) == 3]
-            code = next((c for c in wanted if c not in used), None)
-            n = 0
-            while code is None:
-                digits, k = "", n
-                while True:
-                    k, d = divmod(k, 36)
-                    digits = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"[d] + digits
-                    if not k:
-                        break
-                code, n = (wanted[0] if wanted else "FND")[:2] + digits, n + 1
-                code = None if code in used else code
-            used.add(code)
-            out.append((cik, code))
-        return pd.DataFrame(out, columns=["cik", "code"])
-
-    return filers.select("cik", "name", "rank").groupBy().applyInPandas(named, "cik string, code string")
+    asks = staged(code_wishes(filers).withColumn("at", F.lit(0)), "asks")
+    n = F.size("wishes")
+    code = F.when(F.col("at") < n, F.get("wishes", F.col("at"))).otherwise(F.concat("stem", F.conv((F.col("at") - n).cast("string"), 10, 36)))
+    while True:
+        asked = asks.withColumn("code", code)
+        least = asked.groupBy("code").agg(F.min(F.struct("rank", "cik")).alias("_won"))
+        met = staged(asked.join(least, "code").withColumn("_lost", F.struct("rank", "cik") != F.col("_won")), "met")
+        if not met.where("_lost").limit(1).count():
+            return met.select("cik", "code")
+        moved = met.drop("code", "_won").withColumn("at", F.col("at") + F.col("_lost").cast("int")).drop("_lost")
+        numbered = F.col("at") >= n
+        queue = Window.partitionBy("stem", numbered).orderBy("rank", "cik")
+        # the k-th in line can't get a number below the one before it has, plus one
+        behind = moved.withColumn("_k", F.row_number().over(queue)).withColumn("_n", F.max(F.col("at") - n - F.col("_k")).over(queue.rowsBetween(Window.unboundedPreceding, 0)))
+        asks = staged(behind.withColumn("at", F.when(numbered, n + F.col("_n") + F.col("_k")).otherwise(F.col("at"))).drop("_k", "_n"), "asks")
+        discard(met)
 
 
 def move_chips(rows: DataFrame) -> DataFrame:
@@ -79,9 +85,11 @@ def covered_history(counts: DataFrame, present: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(present.select("funds")), F.col("covered") * 2 >= F.col("funds")).drop("funds")  # one row
 
 
-def fund_entries(cells: DataFrame) -> DataFrame:
-    """Issuers that a fund holds anew, all classes of them, with their value. cells: as consensus.cells()."""
-    return cells.where("action = 'NEW'").select(*KEYS, "issuer_id", "value_usd")
+def fund_entries(changed: DataFrame, longs_only: bool = False) -> DataFrame:
+    """cik, period_end, issuer_id, value_usd and weight_pct of issuers of which a fund holds nothing that isn't new; what it left doesn't matter. Options and debt count too, unless longs_only is on."""
+    now = changed.where(F.col("shares_now").isNotNull() & (long_equity() | F.lit(not longs_only)))
+    of = now.groupBy(*KEYS, issuer_id(F.col("cusip")).alias("issuer_id")).agg(F.bool_and(F.col("action") == "NEW").alias("_new"), F.sum("value_usd_now").cast("bigint").alias("value_usd"), F.coalesce(F.sum("weight_pct_now"), F.lit(0.0)).alias("weight_pct"))
+    return of.where("_new").drop("_new")
 
 
 def mix(books: DataFrame) -> DataFrame:

@@ -8,9 +8,10 @@ positions out, declare dollars by schema or by a late date, or amend in an unkno
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import positions as po
-from ..sources.staging import staged
+from ..sources.staging import staged_once
 
 RAW = """
 SELECT concat(cik, '-', CAST(year(period_end) AS {s}), '-', CAST(quarter(period_end) AS {s}), '-', flag) AS accession, cik, period_end, flag, l_orderkey * 8 + l_linenumber AS row_seq,
@@ -53,9 +54,21 @@ def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """raw, and filings with what one pass over their rows tells: a row for each filing, staged."""
     raw = raw_rows(spark, sf_dir)
-    facts = po.filing_facts(raw, ("accession", "cik", "period_end", "flag"))
-    filings = spark.sql(FILINGS.format(**SPARK).replace("FROM facts", "FROM {facts}"), facts=facts)
-    return raw, staged(po.judged(filings.selectExpr("*", "timestamp_seconds(accept_hours * 3600) AS acceptance")), "filings")
+
+    def filings() -> DataFrame:
+        facts = po.filing_facts(raw, ("accession", "cik", "period_end", "flag"))
+        made = spark.sql(FILINGS.format(**SPARK).replace("FROM facts", "FROM {facts}"), facts=facts)
+        return po.judged(made.selectExpr("*", "timestamp_seconds(accept_hours * 3600) AS acceptance"))
+
+    return raw, staged_once(spark, "filings", sf_dir, filings)
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filings as they come in: each with its rows, and without what is worked out from them."""
+    raw, filings = tables(spark, sf_dir)
+    rows = raw.groupBy("accession").agg(F.collect_list(F.struct("row_seq", "cusip", "put_call", "unit", "shares", "value_raw", "voting_sole", "voting_shared", "voting_none", "name", "title_of_class", "figi")).alias("rows"))
+    heads = filings.select("accession", "cik", "period_end", "acceptance", "is_amendment", "amendment_type", "schema_version", "is_notice", "table_value_total", "confidential_omitted")
+    return heads.join(rows, "accession", "left")
 
 
 def securities(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -146,22 +146,22 @@ def structural_event(spark, sf_dir):
     return all_changes(spark, sf_dir).select("cik", "period_end", "retained", scaled(F.col("median_ratio")).alias("median_e4"), "structural_event").distinct()
 
 
-CELLS = f"""(SELECT issuer, period_end, cik, bool_or(suppressed) AS suppressed, CAST(coalesce(sum(v), 0) AS bigint) AS v, sum(w) AS w, sum(d_pp) AS d, count(DISTINCT cusip) AS classes,
+CELLS = f"""(SELECT issuer, period_end, cik, bool_or(suppressed) AS suppressed, CAST(coalesce(sum(v), 0) AS bigint) AS v, CASE WHEN sum(v) > 0 THEN sum(w) END AS w, sum(d_pp) AS d, list_sort(list_distinct(list(ticker) FILTER (ticker IS NOT NULL))) AS tickers,
   CASE WHEN bool_and(action = 'NEW') THEN 'NEW' WHEN bool_and(action = 'EXITED') THEN 'EXITED' WHEN sum(CASE WHEN action IN ('NEW', 'ADDED') THEN 1 WHEN action IN ('TRIMMED', 'EXITED') THEN -1 ELSE 0 END) > 0 THEN 'ADDED'
-    WHEN sum(CASE WHEN action IN ('NEW', 'ADDED') THEN 1 WHEN action IN ('TRIMMED', 'EXITED') THEN -1 ELSE 0 END) < 0 THEN 'TRIMMED' ELSE 'HELD' END AS action FROM changes WHERE {LONG} GROUP BY 1, 2, 3)"""
+    WHEN sum(CASE WHEN action IN ('NEW', 'ADDED') THEN 1 WHEN action IN ('TRIMMED', 'EXITED') THEN -1 ELSE 0 END) < 0 THEN 'TRIMMED' ELSE 'HELD' END AS action FROM changes LEFT JOIN securities USING (cusip) WHERE ({LONG}) OR action = 'EXITED' GROUP BY 1, 2, 3)"""
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return co.cells(told_changes(spark, sf_dir))
+    return co.cells(told_changes(spark, sf_dir), securities(spark, sf_dir)[0])
 
 
-@query(f"SELECT issuer AS issuer_id, period_end, cik, v AS value_usd, classes, action FROM {CELLS}")
+@query(f"SELECT issuer AS issuer_id, period_end, cik, v AS value_usd, coalesce(len(tickers), 0) AS classes, action FROM {CELLS}")
 def dominant_action(spark, sf_dir):
-    return cells(spark, sf_dir).select("issuer_id", "period_end", "cik", "value_usd", "classes", "action")
+    return cells(spark, sf_dir).select("issuer_id", "period_end", "cik", "value_usd", F.size("tickers").cast("bigint").alias("classes"), "action")
 
 
 CONSENSUS = f"""(SELECT issuer, period_end, count(*) FILTER (action <> 'EXITED') AS holders, CAST(sum(v) AS bigint) AS combined_value, avg(w) FILTER (action <> 'EXITED') AS aw, sum(w) FILTER (action <> 'EXITED') AS sw,
-  CAST(sum(CASE WHEN action IN ('NEW', 'ADDED') THEN 1 WHEN action IN ('TRIMMED', 'EXITED') THEN -1 ELSE 0 END) AS bigint) AS net_direction, count(*) FILTER (action = 'NEW') AS n_new, count(*) FILTER (action = 'EXITED') AS n_exited, max(classes) AS share_classes
+  CAST(sum(CASE WHEN action IN ('NEW', 'ADDED') THEN 1 WHEN action IN ('TRIMMED', 'EXITED') THEN -1 ELSE 0 END) AS bigint) AS net_direction, count(*) FILTER (action = 'NEW') AS n_new, count(*) FILTER (action = 'EXITED') AS n_exited, greatest(1, coalesce(len(list_distinct(flatten(list(tickers) FILTER (tickers IS NOT NULL)))), 0)) AS share_classes
   FROM {CELLS} GROUP BY 1, 2)"""
 
 
@@ -202,7 +202,7 @@ def holding_spells(spark, sf_dir):
 
 
 @query("""SELECT cik, period_end, cusip, put_call, unit, d_value, up, down FROM (SELECT *, CAST(row_number() OVER (PARTITION BY cik, period_end ORDER BY d_value DESC, cusip, put_call, unit) AS integer) AS up, CAST(row_number() OVER (PARTITION BY cik, period_end ORDER BY d_value, cusip, put_call, unit) AS integer) AS down
-  FROM changes WHERE d_value IS NOT NULL) WHERE up <= 8 OR down <= 8""")
+  FROM changes WHERE d_value IS NOT NULL AND s IS NOT NULL) WHERE up <= 8 OR down <= 8""")
 def movers(spark, sf_dir):
     return co.movers(told_changes(spark, sf_dir))
 
@@ -307,9 +307,12 @@ DEADLINES = """
   quarters AS (SELECT period, min(CAST(day AS date)) AS deadline FROM (SELECT period, CAST(period + CAST(n AS integer) AS date) AS day FROM ends, range(45, 56) r(n)) WHERE isodow(day) < 6 AND day NOT IN (SELECT d FROM holidays) GROUP BY 1)"""
 
 
-@query(f"WITH {DEADLINES} SELECT period, 'Q' || quarter(period) || ' ' || year(period) AS label, last_day(period - INTERVAL 3 month) AS prior, deadline FROM quarters", plain=True)
+@query(f"""WITH {DEADLINES} SELECT period, 'Q' || quarter(period) || ' ' || year(period) AS label, last_day(period - INTERVAL 3 month) AS prior, deadline, orders FROM quarters
+  JOIN (SELECT last_day(CAST(date_trunc('quarter', o_orderdate) AS date) + INTERVAL 2 month) AS period, count(*) AS orders FROM orders GROUP BY 1) USING (period)""", plain=True)
 def filing_deadlines(spark, sf_dir):
-    return calendar.quarters(spark, 1995, 2030)
+    """Of the quarters in which there are orders."""
+    days = spark.read.parquet(f"{sf_dir}/orders.parquet").select(calendar.quarter_end(F.to_date("o_orderdate")).alias("period"))
+    return days.groupBy("period").agg(F.count("*").alias("orders")).join(calendar.quarters(spark, 1990, 2030), "period").select("period", "label", "prior", "deadline", "orders")
 
 
 @query("SELECT cusip, issuer AS issuer_id FROM issuers")
@@ -317,9 +320,9 @@ def issuer_hash(spark, sf_dir):
     return folded_book(spark, sf_dir).select("cusip").distinct().withColumn("issuer_id", scalars.issuer_id(F.col("cusip")))
 
 
-@query(f"SELECT cik, period_end, cusip, value_usd, CAST(r AS integer) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY cik, period_end ORDER BY value_usd DESC, cusip) AS r FROM book WHERE {LONG}) WHERE r <= 10")
+@query(f"SELECT cik, period_end, cusip, value_usd, CAST(r AS integer) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY cik, period_end ORDER BY value_usd DESC, cusip) AS r FROM book WHERE {LONG} AND value_usd > 0) WHERE r <= 100")
 def treemap_topk(spark, sf_dir):
-    return ra.largest_positions(folded_book(spark, sf_dir), 10).select("cik", "period_end", "cusip", "value_usd", "rank")
+    return ra.largest_positions(folded_book(spark, sf_dir)).select("cik", "period_end", "cusip", "value_usd", "rank")
 
 
 SECURITIES = f"(SELECT issuer, period_end, count(DISTINCT cik) AS holders, CAST(sum(value_usd) AS bigint) AS value_usd, CAST(sum(shares) AS bigint) AS shares FROM book WHERE {LONG} GROUP BY 1, 2)"
@@ -329,7 +332,7 @@ SECURITIES = f"(SELECT issuer, period_end, count(DISTINCT cik) AS holders, CAST(
   LEFT JOIN (SELECT issuer, period_end, count(*) FILTER (action = 'NEW') AS n_new, count(*) FILTER (action = 'EXITED') AS n_exited FROM {CELLS} GROUP BY 1, 2) c ON c.issuer = n.issuer AND c.period_end = n.period_end""")
 def security_period_agg(spark, sf_dir):
     book, changed = book_and_changes(spark, sf_dir)
-    moved = co.cells(ch.told(changed)).groupBy("issuer_id", "period_end").agg(F.count_if(F.col("action") == "NEW").alias("n_new"), F.count_if(F.col("action") == "EXITED").alias("n_exited"))
+    moved = co.cells(ch.told(changed), securities(spark, sf_dir)[0]).groupBy("issuer_id", "period_end").agg(F.count_if(F.col("action") == "NEW").alias("n_new"), F.count_if(F.col("action") == "EXITED").alias("n_exited"))
     return ra.security_periods(book).join(moved, ["issuer_id", "period_end"], "left").select("issuer_id", "period_end", "holders", "d_holders", "value_usd", "shares", "n_new", "n_exited")
 
 
@@ -348,8 +351,3 @@ def default_filer(spark, sf_dir):
 @query("SELECT cik, period_end, cusip, put_call, unit, action, suppressed, d_shares, d_value FROM changes")
 def published_changes(spark, sf_dir):
     return told_changes(spark, sf_dir).select("cik", "period_end", "cusip", "put_call", "unit", "action", "suppressed", "d_shares", "d_value")
-
-
-#: Names under which these were asked for when others of the same rows withheld nothing.
-for old, new in {"published_turnover": "turnover", "published_series": "series_metrics", "published_movers": "movers", "published_flows": "sector_flows", "published_anchors": "anchor_sides"}.items():
-    QUERIES[old], ORACLES[old] = QUERIES[new], ORACLES[new]

@@ -17,7 +17,7 @@ from ..operators import securities as se
 from ..operators import selection as sl
 from ..operators import snapshots as sn
 from ..operators import verification as ve
-from . import publishing
+from . import building, publishing
 from .adapter import LONG, securities, tables
 from .queries import CELLS, CONSENSUS, DEADLINES, E4, FILERS, ORACLES, PRIOR, QUERIES, TURNOVER, all_changes, book_and_changes, cells, filer_index, folded_book, query, scaled, told_changes
 
@@ -130,7 +130,7 @@ META = f"""(SELECT l.*, t.n_new, t.n_exited, t.position, e.structural_event, coa
   FROM {LONGS} l JOIN ({{prior}}) p USING (cik, period_end) JOIN (SELECT cik, period_end, bool_or(confidential_omitted) AS confidential_omitted, string_agg(accession, ',' ORDER BY accept_hours, accession) AS accessions,
     CAST(date_diff('day', period_end, CAST(make_timestamp(max(accept_hours) * 3600000000) AS date)) AS integer) AS lag, 'Q' || quarter(period_end) || ' ' || year(period_end) AS label FROM folded GROUP BY 1, 2) m USING (cik, period_end)
   LEFT JOIN {TURNOVER} t USING (cik, period_end) LEFT JOIN events e USING (cik, period_end))""".replace("{prior}", PRIOR)
-NOTE = "CASE structural_event WHEN 'PRO_RATA_REDUCTION' THEN 'Uniform reduction across positions' WHEN 'UNIT_SCALE_CHANGE' THEN 'Reported unit scale changed' WHEN 'REVIEW' THEN 'REVIEW' ELSE CASE WHEN confidential_omitted THEN 'Positions withheld pending confidential treatment' WHEN prior_state = 'NO_PRIOR' THEN 'First covered quarter' WHEN prior_state = 'PRIOR_MISSING' THEN 'No prior quarter on file' WHEN prior_state = 'PRIOR_IS_NT' THEN 'Prior quarter was a notice' ELSE '' END END"
+NOTE = "CASE structural_event WHEN 'PRO_RATA_REDUCTION' THEN 'REDUCED_ALIKE' WHEN 'UNIT_SCALE_CHANGE' THEN 'UNITS_CHANGED' WHEN 'REVIEW' THEN 'REVIEW' ELSE CASE WHEN confidential_omitted THEN 'CONFIDENTIAL' WHEN prior_state = 'NO_PRIOR' THEN 'FIRST_QUARTER' WHEN prior_state = 'PRIOR_MISSING' THEN 'PRIOR_UNKNOWN' WHEN prior_state = 'PRIOR_IS_NT' THEN 'PRIOR_NOTICE' ELSE '' END END"
 
 
 @query(f"SELECT cik, period_end, label, positions, value_long, value_options, value_prn, n_new, n_exited, {E4.format('position')} AS position_e4, prior_state, suppressed, structural_event, confidential_omitted, accessions, lag AS filing_lag_days, {NOTE} AS note FROM {META}")
@@ -212,13 +212,6 @@ def retained_books(spark, sf_dir):
     return sl.retained_books(books, watched(books), 4, 20)
 
 
-@query(None)
-def fund_codes(spark, sf_dir):
-    """Names of parts stand in for those of managers; the largest key ranks first."""
-    named = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("string").alias("cik"), F.col("p_name").alias("name"), (-F.col("p_partkey")).alias("rank"))
-    return sl.assigned_codes(named)
-
-
 PRESENT = "(SELECT period_end, count(DISTINCT cik) AS funds FROM books GROUP BY 1)"
 
 
@@ -227,7 +220,7 @@ PRESENT = "(SELECT period_end, count(DISTINCT cik) AS funds FROM books GROUP BY
 def consensus_moves(spark, sf_dir):
     book, changed = book_and_changes(spark, sf_dir)
     present = book.groupBy("period_end").agg(F.count_distinct("cik").alias("funds"))
-    rows = sl.held_by(sl.move_chips(co.consensus(co.cells(ch.told(changed)))), present)
+    rows = sl.held_by(sl.move_chips(co.consensus(co.cells(ch.told(changed), securities(spark, sf_dir)[0]))), present)
     flags = {"n_new": "is_new", "n_exit": "is_exit", "n_buy": "is_buy", "n_sell": "is_sell", "by_three": "by_three", "unanimous": "unanimous"}
     return rows.groupBy("period_end").agg(F.count("*").alias("names"), *[F.count_if(c).alias(n) for n, c in flags.items()])
 
@@ -266,9 +259,30 @@ def covered_history(spark, sf_dir):
     return sl.covered_history(books.groupBy("period_end").agg(F.count_distinct("cik").alias("covered")), books.agg(F.count_distinct("cik").alias("funds")))
 
 
-@query(f"SELECT cik, period_end, issuer AS issuer_id, v AS value_usd FROM {CELLS} WHERE action = 'NEW'")
+@query(f"SELECT cik, period_end, issuer AS issuer_id, CAST(sum(v) AS bigint) AS value_usd, {E4.format('coalesce(sum(w), 0)')} AS weight_e4 FROM changes WHERE s IS NOT NULL GROUP BY 1, 2, 3 HAVING bool_and(action = 'NEW')")
 def fund_entries(spark, sf_dir):
-    return sl.fund_entries(cells(spark, sf_dir))
+    return sl.fund_entries(told_changes(spark, sf_dir)).select("cik", "period_end", "issuer_id", "value_usd", scaled(F.col("weight_pct")).alias("weight_e4"))
+
+
+@query(f"SELECT cik, period_end, issuer AS issuer_id, CAST(sum(v) AS bigint) AS value_usd FROM changes WHERE s IS NOT NULL AND {LONG} GROUP BY 1, 2, 3 HAVING bool_and(action = 'NEW')")
+def fund_entries_long(spark, sf_dir):
+    return sl.fund_entries(told_changes(spark, sf_dir), longs_only=True).drop("weight_pct")
+
+
+@query(f"""SELECT issuer_id, period_end, side, CAST(rank AS integer) AS rank, array_to_string(funds, ',') AS funds, {E4.format('amount')} AS amount_e4 FROM (SELECT *, row_number() OVER (PARTITION BY period_end, side ORDER BY len(funds) DESC, round(amount, 9) DESC NULLS LAST, issuer_id) AS rank FROM (
+  SELECT issuer AS issuer_id, period_end, CASE action WHEN 'NEW' THEN 'entry' ELSE 'exit' END AS side, list(cik ORDER BY cik) AS funds, sum(CASE action WHEN 'NEW' THEN v ELSE abs(d) END) AS amount
+  FROM {CELLS} WHERE action IN ('NEW', 'EXITED') AND NOT suppressed GROUP BY 1, 2, 3)) WHERE rank <= 40""")
+def anchor_lists(spark, sf_dir):
+    """The funds behind each entry and exit of the group."""
+    return co.anchor_lists(cells(spark, sf_dir), 40).select("issuer_id", "period_end", "side", "rank", F.concat_ws(",", "funds").alias("funds"), scaled(F.col("amount")).alias("amount_e4"))
+
+
+@query(f"""SELECT issuer AS issuer_id, period_end, holders, n_exited, share_classes FROM (SELECT issuer, period_end, count(*) FILTER (action <> 'EXITED') AS holders, count(*) FILTER (action = 'EXITED') AS n_exited,
+  greatest(1, coalesce(len(list_distinct(flatten(list(tickers) FILTER (tickers IS NOT NULL)))), 0)) AS share_classes FROM {CELLS.replace("WHERE (" + LONG + ") OR action = 'EXITED'", "WHERE " + LONG)} GROUP BY 1, 2) WHERE holders >= 2 OR n_exited > 0""")
+def consensus_of_longs(spark, sf_dir):
+    """Exits of options and debt left out too, and names that nobody holds any more kept."""
+    held = co.cells(told_changes(spark, sf_dir), securities(spark, sf_dir)[0], filter_exits=True)
+    return co.consensus(held, exits_too=True).select("issuer_id", "period_end", "holders", "n_exited", "share_classes")
 
 
 @query(f"SELECT period_end, CAST(sum(value_usd) AS bigint) AS value_long FROM book WHERE {LONG} GROUP BY 1")
@@ -347,7 +361,7 @@ def consensus_sorted(spark, sf_dir):
 
 
 @query(f"""SELECT cik, period_end, cusip, put_call, unit, CAST(up AS integer) AS up, CAST(down AS integer) AS down FROM (SELECT *, row_number() OVER (PARTITION BY cik, period_end ORDER BY d_pp DESC, cusip, put_call, unit) AS up, row_number() OVER (PARTITION BY cik, period_end ORDER BY d_pp, cusip, put_call, unit) AS down
-  FROM changes WHERE d_pp IS NOT NULL) WHERE up <= 8 OR down <= 8""")
+  FROM changes WHERE d_pp IS NOT NULL AND s IS NOT NULL) WHERE up <= 8 OR down <= 8""")
 def movers_by_weight(spark, sf_dir):
     return co.movers(told_changes(spark, sf_dir), by="d_weight_pp").drop("d_weight_pp")
 

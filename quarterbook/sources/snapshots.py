@@ -1,24 +1,42 @@
-"""Published snapshots: each build has a folder of its own, and a pointer that is written last says which one counts."""
+"""Published snapshots: each build has a folder of its own, and a numbered pointer that is claimed last says which one counts."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from .commits import Conflict, claimed, names, read, removed, written
+
+
+def pointer(spark: SparkSession, root: str) -> int:
+    """The number of the newest pointer; 0 before the first."""
+    return max((int(n.removesuffix(".json")) for n in names(spark, f"{root}/pointer") if n.endswith(".json")), default=0)
 
 
-def publish(tables: dict[str, DataFrame], root: str, build: str) -> None:
-    """Writes every table of a build, and then the pointer: a run that breaks off leaves the build before it in place."""
+def point(spark: SparkSession, root: str, build: str, after: int) -> int:
+    """Makes a build the current one, if pointer `after` is still the newest; Conflict if somebody else has published meanwhile."""
+    draft, number = f"{root}/drafts/{uuid.uuid4().hex}.json", after + 1
+    written(spark, draft, {"build": build})
+    if pointer(spark, root) != after or not claimed(spark, draft, f"{root}/pointer/{number:012d}.json"):
+        removed(spark, draft)
+        raise Conflict(f"build {build} follows pointer {after} of {root}, which is no longer the newest")
+    return number
+
+
+def publish(tables: dict[str, DataFrame], root: str, build: str, after: int | None = None) -> int:
+    """Writes every table of a build, and then the pointer: a run that breaks off, or that isn't the first to follow pointer `after` (the newest at the start), leaves the build before it in place."""
+    spark = next(iter(tables.values())).sparkSession
+    after = pointer(spark, root) if after is None else after
     for name, table in tables.items():
         table.write.mode("overwrite").parquet(f"{root}/builds/{build}/{name}")
-    spark = next(iter(tables.values())).sparkSession
-    spark.range(1).select(F.lit(build).alias("build")).coalesce(1).write.mode("append").json(f"{root}/pointer")
+    return point(spark, root, build, after)
 
 
 def current_build(spark: SparkSession, root: str) -> str | None:
     """The build that was published last; None before the first."""
-    read = optional(spark, f"{root}/pointer", "build string", "json")
-    rows = read.select("build", F.col("_metadata.file_modification_time").alias("t")).orderBy(F.desc("t"), F.desc("build")).limit(1).collect() if read.inputFiles() else []
-    return rows[0]["build"] if rows else None
+    number = pointer(spark, root)
+    return read(spark, f"{root}/pointer/{number:012d}.json")["build"] if number else None
 
 
 def load(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:

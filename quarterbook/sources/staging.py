@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,11 +37,28 @@ def staged(df: DataFrame, label: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(RELEASE, before)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(place)  # with the driver, if not discarded before
     held = spark.read.schema(df.schema).parquet(path)
     held._staged = path
     return held
 
 
+_KEPT: dict[tuple[str, str], DataFrame] = {}
+
+
+def staged_once(spark: SparkSession, label: str, source: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """staged(make()), made once for each application and source; again if somebody has cleared the folder."""
+    key = (f"{spark.sparkContext.applicationId} {label}", source)
+    held = _KEPT.get(key)
+    if held is not None:
+        place = spark._jvm.org.apache.hadoop.fs.Path(held._staged)
+        if place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place):
+            return held
+    _KEPT[key] = staged(make(), label)
+    return _KEPT[key]
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes staged tables that no plan still to run reads; others are left alone."""
     for table in tables:

@@ -1,33 +1,22 @@
-"""Incremental ingestion: new filings are upserted by accession and mark the quarters to build anew."""
+"""Incremental ingestion: new filings go into a store of books, of which a batch replaces only the quarters it touches."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators.snapshots import merge_rows, touched
+from .bookstore import BookStore
 
 
-def upsert(spark: SparkSession, target: str, batch: DataFrame, batch_id: int) -> DataFrame:
-    """Writes the merged table as snapshot `batch_id` of the target and returns the keys to build anew.
+def start(spark: SparkSession, landing: str, schema: StructType, store: BookStore, checkpoint: str, files_per_batch: int = 80) -> StreamingQuery:
+    """Takes what is new in the landing folder (a JSON record for each filing, with its rows) and stops; the checkpoint is the cursor.
 
-    A snapshot follows from the one before it and its batch alone, so a batch that is tried again gives the same.
+    A batch that is tried again is known by its number. What it touched is under `touched` of the store, by batch.
     """
-    incoming = batch.groupBy("accession").agg(F.min(F.struct(*[c for c in batch.columns if c != "accession"])).alias("_r")).select("accession", "_r.*").select(*batch.columns)
-    if batch_id:
-        live = spark.read.schema(batch.schema).parquet(f"{target}/snapshot={batch_id - 1}")
-        incoming = merge_rows(live, incoming, ["accession"])
-    incoming.write.mode("overwrite").parquet(f"{target}/snapshot={batch_id}")
-    return touched(batch.select("cik", "period_end"))
-
-
-def start(spark: SparkSession, landing: str, schema: StructType, target: str, checkpoint: str, files_per_batch: int = 80) -> StreamingQuery:
-    """Takes what is new in the landing folder and stops; the checkpoint is the cursor."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        upsert(batch.sparkSession, target, batch, batch_id).write.mode("overwrite").parquet(f"{target}-touched/batch={batch_id}")
+        store.ingest(batch, f"stream-{batch_id}").write.mode("overwrite").parquet(f"{store.root}/touched/batch={batch_id}")
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).json(landing)
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

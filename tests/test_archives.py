@@ -1,0 +1,45 @@
+"""Archives as a data source: a task for each entry, pushed filters, copies elsewhere, archives that are nowhere."""
+
+import zipfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from quarterbook.sources import archives, readers
+
+
+@pytest.fixture
+def zips(tmp_path):
+    (tmp_path / "copies").mkdir()
+    for path, entries in {"a.zip": {"x/INFOTABLE.tsv": "A\tB\r\n1\t2\r\n\r\n3\té", "SUBMISSION.tsv": "A\n" + "\n".join(map(str, range(2000))) + "\n", "COVERPAGE.tsv": "", "SUMMARYPAGE.tsv": "one"}, "copies/b.zip": {"INFOTABLE.tsv": "only here"}}.items():
+        with zipfile.ZipFile(tmp_path / path, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, text in entries.items():
+                z.writestr(name, text.encode("ISO-8859-1"))
+    (tmp_path / "broken.zip").write_bytes(b"not an archive")
+    return tmp_path
+
+
+def test_entries_have_tasks_of_their_own(spark, zips, monkeypatch):
+    rows = archives.entries(spark, [f"{zips}/a.zip"])
+    assert rows.rdd.getNumPartitions() == 4
+    got = {}
+    for r in rows.collect():
+        got.setdefault(r.entry, []).append((r.n, r.line))
+    assert got["x/INFOTABLE.tsv"] == [(1, "A\tB"), (2, "1\t2"), (3, ""), (4, "3\té")] and len(got["SUBMISSION.tsv"]) == 2001 and got["SUMMARYPAGE.tsv"] == [(1, "one")] and "COVERPAGE.tsv" not in got
+
+
+def test_filters_prune_partitions(spark, zips):
+    rows = archives.entries(spark, [f"{zips}/a.zip", f"{zips}/copies/b.zip"])
+    for kept, n in ((F.col("entry") == "SUBMISSION.tsv", 1), (F.col("entry").endswith("INFOTABLE.tsv"), 2), (F.col("entry").isin("SUMMARYPAGE.tsv", "COVERPAGE.tsv"), 2), (F.col("archive").endswith("b.zip"), 1), (F.col("n") == 1, 5)):
+        assert rows.where(kept).rdd.getNumPartitions() == n, n
+    plan = rows.where("entry = 'SUBMISSION.tsv' and n = 3")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "EqualTo(entry" in plan.replace("'", "") or "entry" in plan
+    table = readers.table_of_lines(rows.where(F.col("entry").endswith("INFOTABLE.tsv") & F.col("archive").endswith("a.zip")).withColumnRenamed("archive", "path").drop("entry"), "A string, B string")
+    assert {tuple(r) for r in table.collect()} == {("1", "2"), ("3", "é")}
+
+
+def test_copies_and_archives_that_are_nowhere(spark, zips):
+    rows = archives.entries(spark, [f"{zips}/b.zip", f"{zips}/c.zip"], origins=[f"{zips}/none", f"{zips}/copies"], wait="0")
+    assert {(r.archive.rsplit("/", 1)[1], r.entry, r.n, r.line) for r in rows.collect()} == {("b.zip", "INFOTABLE.tsv", 1, "only here"), ("c.zip", None, None, None)}
+    with pytest.raises(Exception, match="broken.zip"):
+        archives.entries(spark, [f"{zips}/broken.zip"], wait="0").count()

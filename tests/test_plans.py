@@ -1,6 +1,6 @@
 """How plans read and shuffle; what queries can't show: codes in order, snapshots, streams, staging on a cluster."""
 
-import json
+import random
 
 import pytest
 
@@ -8,7 +8,6 @@ from quarterbook.functions import scalars
 from quarterbook.operators import merging, selection, snapshots as sn, verification
 from quarterbook.plans.serving import QUERIES
 from quarterbook.sources import snapshots, staging
-from quarterbook.streaming import incremental
 
 READ_ONCE = ["book_summary", "qoq_changes", "turnover", "structural_event", "action_counts", "exits_anti", "movers", "dominant_action", "consensus_matrix", "anchor_sides", "sector_flows"]
 
@@ -39,9 +38,35 @@ def test_codes_are_given_out_in_order(spark):
     assert len(set(codes)) == 60 and codes[3:6] == ["SA0", "SA1", "SA2"] and codes[37:39] == ["SA10", "SA11"]  # M and N are taken
 
 
-def test_codes_of_parts_are_brute_force(spark, sf_dir):
-    rows = QUERIES["fund_codes"](spark, sf_dir).collect()
-    assert len({r.code for r in rows}) == len(rows) == spark.read.parquet(f"{sf_dir}/part.parquet").count()
+def codes_one_by_one(filers):
+    """Codes of filers (cik, name, rank), each by what is left when its turn comes."""
+    used, out = set(), {}
+    for cik, name, _ in sorted(filers, key=lambda f: (f[2], f[0])):
+        words = "".join(c if "A" <= c <= "Z" else " " for c in (name or "").upper()).split()
+        first, second = (words + ["", ""])[:2]
+        wanted = [c for c in (first[:3], first[:2] + second[:1], first[:1] + second[:2], "".join(w[0] for w in words)[:3]) if len(c) == 3]
+        stem, n = (wanted[0] if wanted else "FND")[:2], 0
+        code = next((c for c in wanted if c not in used), None)
+        while code is None:
+            digits, k = "", n
+            while True:
+                k, d = divmod(k, 36)
+                digits = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"[d] + digits
+                if not k:
+                    break
+            code, n = None if stem + digits in used else stem + digits, n + 1
+        used.add(code)
+        out[cik] = code
+    return out
+
+
+def test_codes_are_those_given_one_by_one(spark, sf_dir):
+    rnd = random.Random(4)
+    words = ["AB", "ABC", "ABD", "A B", "ACB", "Bx", "AB0", "FND", "FNX", "", "é", "1"]
+    filers = [(f"{i:03}", rnd.choice([None, *(" ".join(rnd.choices(words, k=k)) for k in (1, 2, 3, 4))]), rnd.randrange(40)) for i in range(150)]
+    got = {r.cik: r.code for r in selection.assigned_codes(spark.createDataFrame(filers, "cik string, name string, rank int")).collect()}
+    assert got == codes_one_by_one(filers) and len(set(got.values())) == 150
+    assert selection.assigned_codes(spark.createDataFrame([], "cik string, name string, rank int")).count() == 0
 
 
 def test_snapshots_flip_last(spark, tmp_path):
@@ -55,23 +80,6 @@ def test_snapshots_flip_last(spark, tmp_path):
     assert [r.n for r in snapshots.first_of(spark, [f"{root}/none", f"{root}/builds/b1/t"], "n int").collect()] == [1]
 
 
-def test_ingestion_upserts_and_marks_quarters(spark, tmp_path):
-    schema = spark.createDataFrame([], "accession string, cik string, period_end date, v int").schema
-    landing, target = tmp_path / "in", str(tmp_path / "out")
-    landing.mkdir()
-
-    def arrive(name, *rows):
-        (landing / name).write_text("\n".join(json.dumps(dict(zip(("accession", "cik", "period_end", "v"), r, strict=True))) for r in rows))
-        incremental.start(spark, str(landing), schema, target, str(tmp_path / "cp")).awaitTermination()
-
-    arrive("1.json", ("a", "1", "2024-03-31", 1), ("a", "1", "2024-03-31", 2), ("b", "2", "2024-03-31", 3))
-    arrive("2.json", ("b", "2", "2024-03-31", 4), ("c", "3", "2024-06-30", 5))
-    live = spark.read.schema(schema).parquet(f"{target}/snapshot=1")
-    assert sorted((r.accession, r.v) for r in live.collect()) == [("a", 1), ("b", 4), ("c", 5)]
-    marked = spark.read.parquet(f"{target}-touched/batch=1")
-    assert sorted((r.cik, str(r.period_end)) for r in marked.collect()) == [("2", "2023-12-31"), ("2", "2024-03-31"), ("2", "2024-06-30"), ("3", "2024-03-31"), ("3", "2024-06-30"), ("3", "2024-09-30")]
-
-
 def test_staging_needs_a_shared_folder_on_a_cluster(monkeypatch):
     class Conf(dict):
         get = dict.get

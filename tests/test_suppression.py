@@ -39,10 +39,10 @@ def test_phantom_trades_are_withheld(spark, plain):
     told = {(r.cik, r.action) for r in run("published_changes") if r.d_value is not None or r.d_shares is not None}
     assert told == {("a", "EXITED"), ("b", "EXITED"), ("c", "EXITED"), ("c", "ADDED"), ("c", "HELD"), ("d", "ADDED")}
     assert {r.cik: (r.n_exited, r.exits_withheld) for r in run("action_counts")} == {"a": (1, 0), "b": (1, 0), "c": (1, 0), "d": (0, 1)}
-    assert {(r.cik, r.cusip) for r in run("published_movers") if r.cik not in "cd"} == {("a", "000008000"), ("b", "000008000")}
-    for name in ("published_turnover", "published_series"):
+    assert {r.cik for r in run("movers")} == {"c", "d"}  # exits are no movers, and a and b have no other deltas
+    for name in ("turnover", "series_metrics"):
         assert {r.cik for r in run(name) if r.period_end == Q2 and r.position_e4 is not None} == {"c", "d"}
-    assert {r.cik for r in run("published_turnover") if r.value_e4 is not None} == {"c", "d"}
-    assert {(r.side, r.funds, r.funds_withheld) for r in run("published_anchors")} == {("entry", 1, 2), ("exit", 1, 2)}
-    assert sum(r.bought for r in run("published_flows")) == sum(100_000 * i for i in range(8)) + 10_000 + 100
-    assert sum(r.sold for r in run("published_flows")) == 10_000
+    assert {r.cik for r in run("turnover") if r.value_e4 is not None} == {"c", "d"}
+    assert {(r.side, r.funds, r.funds_withheld) for r in run("anchor_sides")} == {("entry", 1, 2), ("exit", 1, 2)}
+    assert sum(r.bought for r in run("sector_flows")) == sum(100_000 * i for i in range(8)) + 10_000 + 100
+    assert sum(r.sold for r in run("sector_flows")) == 10_000
