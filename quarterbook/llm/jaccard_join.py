@@ -36,34 +36,40 @@ PAIRED = 128  # documents under one token that are paired; more are parted by le
 CLASS = 1.26  # lengths of a class: sets that link (at most 1.25 times as long) are in one class or in two next to each other
 
 
-def shingled(texts: list[str | None], bits: int = BITS) -> Iterator[tuple[np.ndarray, Callable[[], list[bytes]]]]:
+def shingled(texts: list[str | None], bits: int = BITS, spelled: bool = False) -> Iterator[tuple[np.ndarray, Callable[[], list[bytes]]]]:
     """For each text a token for each different shingle (five words in a row, ASCII letters in lower case; all words if they are fewer), and a call that spells them in that order.
 
     A token is the first `bits` of a hash and, below them, a number among the text's shingles of one such hash, whose words are compared.
     So a set has as many tokens as shingles, and two sets have at least as many common tokens as common shingles, whatever the hash:
-    bounds on tokens lose no link, and links are held against the words.
+    bounds on tokens lose no link, and links are held against the words. `spelled` makes spelling cheaper, if all are spelled.
     """
-    h, counts, whole, opens, closes = word_hashes([b" ".join(t.encode().lower().split()) if t else b"" for t in texts])
+    if spelled:
+        texts = [b" ".join(t.encode().lower().split()) if t else b"" for t in texts]
+    h, counts, whole, opens, closes = word_hashes(texts, lower=not spelled)
     every = runs(h, SIZE) if len(h) >= SIZE else np.zeros(0, np.uint64)
     low, at = np.uint64(64 - bits), 0
+    plain = (lambda a, b: whole[a:b]) if spelled else (lambda a, b: b" ".join(whole[a:b].split()))
     for n in counts.tolist():
         size = min(n, SIZE)
         own = (every[at : at + n - SIZE + 1] if n >= SIZE else runs(h[at : at + n], n) if n else every[:0]) >> low << low
-        order = np.argsort(own, kind="stable")
+        order = np.argsort(own)
         own, places = own[order], order + at
-        spell = lambda places, size=size: [whole[a:b] for a, b in zip(opens[places].tolist(), closes[places + size - 1].tolist(), strict=True)]
-        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])[: len(own)])
-        many = np.diff(np.append(first, len(own)))
-        if len(first) < len(own):
-            found = []
-            for k, m in zip(first[many > 1].tolist(), many[many > 1].tolist(), strict=True):
-                words = dict(zip(spell(places[k : k + m]), places[k : k + m].tolist(), strict=True))
-                if (len(words) - 1) >> int(low):
+        spell = lambda places, size=size: list(map(plain, opens[places].tolist(), closes[places + size - 1].tolist()))
+        again = own[1:] == own[:-1]
+        if again.any():
+            twice = np.append(again, False)
+            twice[1:] |= again
+            held = places[twice]
+            words = dict(zip(zip(own[twice].tolist(), spell(held), strict=True), held.tolist(), strict=True))
+            tokens, last, number = [], None, 0
+            for first, _ in (in_order := sorted(words)):
+                number = number + 1 if first == last else 0
+                tokens.append(first + number)
+                last = first
+                if number >> int(low):
                     raise ValueError(f"more than {1 << int(low)} different shingles under one hash of {bits} bits")
-                found += [(int(own[k]) + number, words[w]) for number, w in enumerate(sorted(words))]
-            alone = first[many == 1]
-            own = np.concatenate([own[alone], np.array([t for t, _ in found], np.uint64)])
-            places = np.concatenate([places[alone], np.array([p for _, p in found], np.int64)])
+            own = np.concatenate([own[~twice], np.array(tokens, np.uint64)])
+            places = np.concatenate([places[~twice], np.array([words[w] for w in in_order], np.int64)])
             order = np.argsort(own)
             own, places = own[order], places[order]
         yield own.view(np.int64), lambda places=places, spell=spell: spell(places)
@@ -99,12 +105,13 @@ def signed(docs: DataFrame, bits: int) -> DataFrame:
         total = np.zeros(1 << BUCKETS, np.int64)
         names = ["_id", "_content", "n", "digest"]
         for batch in slices(batches, "_text", 1 << 20):
-            n, digest = [], []
-            for tokens, spell in shingled(batch.column("_text").to_pylist(), bits):
-                np.add.at(total, _bucket(tokens), 1)
+            n, digest, every = [], [], []
+            for tokens, spell in shingled(batch.column("_text").to_pylist(), bits, spelled=True):
+                every.append(_bucket(tokens))
                 n.append(len(tokens))
                 # the order of tokens follows from the set of shingles
                 digest.append(hashlib.blake2b(b"\n".join(spell()), digest_size=20).digest() if n[-1] else None)
+            np.add.at(total, np.concatenate([*every, np.zeros(0, np.int64)]), 1)
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_content"), pa.array(n, pa.int64()), pa.array(digest, pa.binary())], names=names)
         mean = total.mean()
         at = np.flatnonzero(total > mean + 8 * np.sqrt(mean) + 4)

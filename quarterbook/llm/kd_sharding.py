@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ranked, staged
+from ._common import discard, ranked, staged
 
 GRID = 1024
 FINE = 4096
@@ -101,7 +101,8 @@ def kd_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_co
             below = (F.col(f"_d{d}") < v) | ((F.col(f"_d{d}") == v) & (F.col("_fine") < f))
             step = F.when((node == n) & below, F.lit(left)).when(node == n, F.lit(right)).otherwise(step)
         owned = grown
-        table = staged(table.select("*", step.alias("_next")).drop("_node").withColumnRenamed("_next", "_node"), "kd")
+        before, table = table, staged(table.select("*", step.alias("_next")).drop("_node").withColumnRenamed("_next", "_node"), "kd")
+        discard(before)
         node = F.col("_node")
     placed = table.select(id_col, "size", "text_crc32", node.cast("int").alias("shard"))
     return ranked(placed, ["shard"], [id_col, "text_crc32", "size"], "slot")

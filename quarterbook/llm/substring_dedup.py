@@ -110,29 +110,31 @@ def smallest_owners(segments: list[bytes], owners: np.ndarray, window: int) -> t
 
 
 def _owned(distinct: DataFrame, window: int) -> DataFrame:
-    """key and the smallest owner of each window, for segments that come by route, all of one route in a row."""
+    """key, n and the smallest owner of each window, for segments (with their number of places n) that come by route, all of one route in a row."""
 
-    def solve(segments: list[str], owners: list[int]) -> pa.RecordBatch:
+    def solve(segments: list[str], owners: list[int], places: list[int]) -> pa.RecordBatch:
         raw = [s.encode() for s in segments]
         least, windows = smallest_owners(raw, np.array(owners, np.int64), window)
-        return pa.RecordBatch.from_arrays([digests(raw), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(windows)]), pa.int32()), pa.array(least))], names=["key", "least"])
+        return pa.RecordBatch.from_arrays([digests(raw), pa.array(places, pa.int64()), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(windows)]), pa.int32()), pa.array(least))], names=["key", "n", "least"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segments: list[str] = []
         owners: list[int] = []
+        places: list[int] = []
         size, last = 0, None
         for batch in batches:
-            for route, segment, owner in zip(*(batch.column(c).to_pylist() for c in ("route", "segment", "owner")), strict=True):
+            for route, segment, owner, n in zip(*(batch.column(c).to_pylist() for c in ("route", "segment", "owner", "n")), strict=True):
                 if size >= SHARD_BYTES and route != last:
-                    yield solve(segments, owners)
-                    segments, owners, size = [], [], 0
+                    yield solve(segments, owners, places)
+                    segments, owners, places, size = [], [], [], 0
                 segments.append(segment)
                 owners.append(owner)
+                places.append(n)
                 size, last = size + len(segment), route
         if segments:
-            yield solve(segments, owners)
+            yield solve(segments, owners, places)
 
-    return distinct.mapInArrow(run, "key binary, least array<bigint>")
+    return distinct.mapInArrow(run, "key binary, n bigint, least array<bigint>")
 
 
 def _kept(rows: DataFrame, window: int) -> DataFrame:
@@ -180,13 +182,15 @@ def repeated_passages(docs: DataFrame, min_words: int = 13, id_col: str = "doc_i
     wanted = firsts.select("*", key).join(lists, "_key").drop("_key")
     candidates = staged(named.join(wanted, KEYS), "candidates")
     discard(shared)
-    distinct = _segments(candidates, min_words, True).groupBy("route", "segment").agg(F.min("_id").alias("owner"))
+    distinct = _segments(candidates, min_words, True).groupBy("route", "segment").agg(F.min("_id").alias("owner"), F.count("*").alias("n"))
     shards = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    owned = _owned(distinct.repartition(shards, "route").sortWithinPartitions("route"), min_words)
-    places = _segments(candidates, min_words, False).join(owned, "key")
+    owned = staged(_owned(distinct.repartition(shards, "route").sortWithinPartitions("route"), min_words), "owned")
+    # a passage in a third of all documents is one key: its places are dealt out
+    places = hot_join(_segments(candidates, min_words, False), owned.drop("n"), ["key"], hot_keys(owned, ["key"]), by="_id")
     starts = F.filter(F.transform("least", lambda x, i: F.when(x < F.col("_id"), i + F.col("first"))), lambda x: x.isNotNull())
     cut = places.select(*KEYS, starts.alias("starts")).where(F.size("starts") > 0).groupBy(*KEYS).agg(F.collect_list("starts").alias("starts"))
     cut = staged(cut, "cut")  # so that the segments' shuffles are over before texts move again
+    discard(owned)
     removed = _kept(candidates.select(*KEYS, "_text").dropDuplicates(KEYS).join(cut, KEYS), min_words)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

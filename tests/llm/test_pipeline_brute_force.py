@@ -10,6 +10,8 @@ from test_llm_operators import WORD, rows_of
 
 import corpus_pipeline as p
 from quarterbook.llm import queries
+from quarterbook.llm._common import read_table
+from quarterbook.llm.quality import score_quality
 from quarterbook.llm.secret_scan import RULES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _key string, row string, spans string"
@@ -85,19 +87,20 @@ def test_passages(spark, docs, rows, sf_dir):
     assert len(planted) == 5 and all(len(WORD.findall(r.text)) == 80 + 30 + 40 + 5 and r.n_chars == len(r.text) for r in planted)
 
 
+def without(t):
+    """A text with a note in place of each secret."""
+    spans = sorted((m.start(), k, m.end()) for k, r in enumerate(RULES) for m in re.finditer(r.pattern, t, re.A) if r.holds(m))
+    out, at = "", 0
+    for s, k, e in spans:
+        if s >= at:
+            out += t[at:s] + f"[{RULES[k].kind}]"
+        at = max(at, e)
+    return out + t[at:]
+
+
 def test_secrets(spark, docs, rows, sf_dir):
     got = p.secret_scans(spark, docs, sf_dir)
     assert got.columns == docs.columns
-
-    def without(t):
-        spans = sorted((m.start(), k, m.end()) for k, r in enumerate(RULES) for m in re.finditer(r.pattern, t, re.A) if r.holds(m))
-        out, at = "", 0
-        for s, k, e in spans:
-            if s >= at:
-                out += t[at:s] + f"[{RULES[k].kind}]"
-            at = max(at, e)
-        return out + t[at:]
-
     assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter((i, None if t is None else without(t)) for i, t, *_ in rows)
 
 
@@ -115,6 +118,54 @@ def test_packing(spark, docs, rows, sf_dir):
     assert len(parts) == len(got) and not whole - want
 
 
+def test_run_from_end_to_end(spark, sf_dir):
+    """All five stages, each in plain Python over what the plain one before it kept; only the classifier's scores are its own."""
+    from tokenizers import Tokenizer
+
+    docs = read_table(spark, sf_dir, "documents")
+    scores = {r.doc_id: r.score for r in score_quality(docs, read_table(spark, sf_dir, "labels")).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect() if scores[r.doc_id] >= 0.5}
+    assert 0 < len(texts) < docs.count()
+
+    sets, first = {i: shingles(t) for i, t in texts.items()}, {}
+    for i in sorted(texts):
+        near = {first[j] for j in first if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+        least = min(near, default=i)
+        first = {j: least if f in near else f for j, f in first.items()} | {i: least}
+    texts = {i: t for i, t in texts.items() if first[i] == i}
+
+    owner = {}
+    for i in sorted(texts):
+        w = WORD.findall(texts[i])
+        for k in range(len(w) - 49):
+            owner.setdefault(tuple(w[k : k + 50]), i)
+    cut = {}
+    for i, t in texts.items():
+        spans = [m.span() for m in WORD.finditer(t)]
+        w = [t[a:b] for a, b in spans]
+        gone = {x for k in range(len(w) - 49) if owner[tuple(w[k : k + 50])] < i for x in range(k, k + 50)}
+        kept = t[: spans[0][0]] if spans else t
+        for k, (a, _) in enumerate(spans):
+            if k not in gone:
+                kept += t[a : spans[k + 1][0] if k + 1 < len(spans) else len(t)]
+        if not w or len(gone) < len(w):
+            cut[i] = kept
+
+    tokenizer, want = Tokenizer.from_file(queries.tokenizer_path("byte_bpe_50k.json")), Counter()
+    for i, t in cut.items():
+        ids = [*tokenizer.encode(without(t), add_special_tokens=False).ids, 0]
+        cuts = [0, *range(len(ids) % 2048 or 2048, len(ids), 2048)] if len(ids) > 2048 else [0]
+        want.update((i, k, s, tuple(ids[s : cuts[k + 1] if k + 1 < len(cuts) else None])) for k, s in enumerate(cuts))
+    got = p.run(spark, sf_dir).collect()
+    assert Counter((r.doc_id, r.piece, r.start, tuple(r.ids)) for r in got) == want
+    slots = {}
+    for r in got:
+        slots.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for held in slots.values():
+        ends = np.cumsum([n for _, n in sorted(held)])
+        assert [o for o, _ in sorted(held)] == [0, *ends[:-1]] and ends[-1] <= 2048
+
+
 def test_nothing_in_and_nothing_out(spark, docs, sf_dir):
     for name, stage in p.STAGES:
         assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
