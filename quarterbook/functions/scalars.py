@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ACCESSION = r"\d{10}-\d{2}-\d{6}"
@@ -86,6 +86,27 @@ def sector_for_sic(sic: Column) -> Column:
     return F.coalesce(*[F.when(number.between(a, b), F.lit(name)) for a, b, name in SECTORS], F.lit("Unclassified"))
 
 
+def sector_rules(spark: SparkSession) -> DataFrame:
+    """low, high, sector and priority of the industry ranges: the first that holds a code counts."""
+    return spark.createDataFrame([(a, b, name, k) for k, (a, b, name) in enumerate(SECTORS)], "low bigint, high bigint, sector string, priority int")
+
+
+def to_fixed(value: Column, places: int) -> Column:
+    """A double rounded to so many places by its exact binary value, halves away from zero: 1.005, which lies below the half, gives 1.0.
+
+    Only a value that reads as a half needs a second look. Twice 10**places times it, in two parts that are exact as doubles, tells on which
+    side of the half it lies. For magnitudes below 2**53 / (2 * 10**places).
+    """
+    twice, size = 2.0 * 10**places, F.abs(value.cast("double"))
+    steps = F.rint(size * twice)
+    high = size.cast("float").cast("double")
+    beyond = (high * twice - steps) + (size - high) * twice
+    half = (steps % 2 == 1) & (steps / twice == size)
+    down = (steps - 1) / 2 / 10.0**places
+    plain = F.round(size, places)
+    return F.when(value.isNotNull(), F.signum(value.cast("double")) * F.when(half & (beyond < 0), down).otherwise(plain))
+
+
 def near_simple_ratio(ratio: Column) -> Column:
     """Whether a ratio is within 1 % of a split's or its inverse."""
     near = lambda n: (F.abs(ratio - n) / n < 0.01) | (F.abs(ratio - F.lit(1.0) / n) * n < 0.01)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.calendar import filing_lag_days, period_label
+from ..functions.scalars import to_fixed
 from .changes import activity, told
 from .positions import fold, fold_total, summary
 from .securities import enriched
@@ -16,12 +17,19 @@ KEYS = ["cik", "period_end"]
 POSITION = ["cusip", "put_call", "unit"]
 
 
-def artifact_rows(book: DataFrame, changed: DataFrame, securities: DataFrame) -> DataFrame:
-    """A row for each position: who it is, what it is worth, and how it changed where the quarter has a prior. Rounded as it is shown."""
-    deltas = ["action", "d_shares", "d_shares_pct", "d_value", "d_value_pct", "d_weight_pp", "flags"]
-    moved = changed.where("shares_now is not null").select(*KEYS, *POSITION, *deltas)
-    rows = enriched(book.join(moved, [*KEYS, *POSITION], "left"), securities)
-    four, three = lambda c: F.round(c, 4).alias(c), lambda c: F.round(c, 3).alias(c)
+#: Columns of the book that an artifact's rows need besides those that changes have.
+CARRIED = ("title_of_class", "implied_price")
+
+
+def artifact_rows(whole: DataFrame, securities: DataFrame) -> DataFrame:
+    """A row for each position: who it is, what it is worth, and how it changed where the quarter has a prior. Rounded as it is shown.
+
+    whole: published changes(whole=True, carried=CARRIED), of which exit_rows() takes the rest: both in one pass over the book.
+    """
+    now = [F.col(f"{c}_now").alias(c) for c in ("value_usd", "shares", "weight_pct")]
+    held = whole.where("shares_now is not null").select(*KEYS, *POSITION, "name", *CARRIED, *now, "action", "d_shares", "d_shares_pct", "d_value", "d_value_pct", "d_weight_pp", "flags")
+    rows = enriched(held, securities)
+    four, three = lambda c: to_fixed(F.col(c), 4).alias(c), lambda c: to_fixed(F.col(c), 3).alias(c)
     return rows.select(
         *KEYS, *POSITION, "ticker", "name", "issuer_id", "title_of_class", "value_usd", "shares", four("weight_pct"), four("implied_price"),
         "action", "d_shares", three("d_shares_pct"), "d_value", three("d_value_pct"), four("d_weight_pp"), "flags",

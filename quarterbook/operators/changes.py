@@ -26,23 +26,25 @@ def prior_states(quarters: DataFrame) -> DataFrame:
     return quarters.where("kind = 'book'").join(before, ["cik", "period_end"], "left").join(first, "cik").withColumn("prior_state", state).drop("_before", "_first")
 
 
-def changes(book: DataFrame, states: DataFrame) -> DataFrame:
+def changes(book: DataFrame, states: DataFrame, whole: bool = False, carried: tuple[str, ...] = ()) -> DataFrame:
     """A row for each position of either quarter of a (cik, period_end) whose prior quarter stands: action, deltas, flags.
 
     Each position is sent once, as now and as prior of the next quarter, and both meet in one shuffle by (cik, period_end),
     by which structural events and totals are counted too. states: cik, period_end, prior_state, confidential_omitted. An
-    exit under an omission is `withheld`: the position may be there and untold.
+    exit under an omission is `withheld`: the position may be there and untold. With `whole`, positions of quarters without a
+    usable prior are rows too, with a null action, no deltas and null flags: book and changes in one pass. Columns of the book that are `carried` come along, for what is held now.
     """
-    usable = states.where("prior_state = 'PRIOR_OK'").select("cik", "period_end", "confidential_omitted")
+    usable = states.select("cik", "period_end", "confidential_omitted", (F.col("prior_state") == "PRIOR_OK").alias("_ok"))
+    usable = usable if whole else usable.where("_ok")
     held = ("value_usd", "shares", "weight_pct")
     sides = F.array(F.struct(F.col("period_end"), F.lit(False).alias("prior")), F.struct(shift_period(F.col("period_end"), 1).alias("period_end"), F.lit(True).alias("prior")))
-    sent = book.withColumn("_side", F.explode(sides)).select("cik", F.col("_side.period_end").alias("period_end"), F.col("_side.prior").alias("_prior"), *KEY, "name", *held)
+    sent = book.withColumn("_side", F.explode(sides)).select("cik", F.col("_side.period_end").alias("period_end"), F.col("_side.prior").alias("_prior"), *KEY, "name", *held, *carried)
     side = lambda c, prior: F.max(F.when(F.col("_prior") == prior, F.col(c)))
-    both = sent.join(usable, ["cik", "period_end"]).repartition("cik", "period_end").groupBy("cik", "period_end", "confidential_omitted", *KEY).agg(
-        *[side(c, False).alias(f"{c}_now") for c in held], *[side(c, True).alias(f"{c}_prior") for c in held], F.coalesce(side("name", False), side("name", True)).alias("name")
+    both = sent.join(usable, ["cik", "period_end"]).where("_ok or not _prior").repartition("cik", "period_end").groupBy("cik", "period_end", "confidential_omitted", "_ok", *KEY).agg(
+        *[side(c, False).alias(c) for c in carried], *[side(c, False).alias(f"{c}_now") for c in held], *[side(c, True).alias(f"{c}_prior") for c in held], F.coalesce(side("name", False), side("name", True)).alias("name")
     )
     d = F.col("shares_now") - F.col("shares_prior")
-    action = F.when(F.col("shares_prior").isNull(), "NEW").when(F.col("shares_now").isNull(), "EXITED").when(d > 0, "ADDED").when(d < 0, "TRIMMED").otherwise("HELD")
+    action = F.when(~F.col("_ok"), F.lit(None)).when(F.col("shares_prior").isNull(), "NEW").when(F.col("shares_now").isNull(), "EXITED").when(d > 0, "ADDED").when(d < 0, "TRIMMED").otherwise("HELD")
     exited, stays = F.col("action") == "EXITED", ~F.col("action").isin("NEW", "EXITED")
     delta = lambda c: F.when(exited, -F.col(f"{c}_prior")).when(stays, F.col(f"{c}_now") - F.col(f"{c}_prior"))
     ratio, moved = F.col("shares_now") / F.nullif("shares_prior", F.lit(0)), F.col("value_usd_now") / F.nullif("value_usd_prior", F.lit(0))
@@ -52,7 +54,7 @@ def changes(book: DataFrame, states: DataFrame) -> DataFrame:
     shares_pct = F.when(exited, -100.0).when(stays & ~F.col("suspected_split") & ~debt & (F.col("shares_prior") > 0), F.col("d_shares") / F.col("shares_prior") * 100)
     value_pct = F.when(exited, -100.0).when(stays & (F.col("value_usd_prior") != 0), F.col("d_value") / F.nullif("value_usd_prior", F.lit(0)) * 100)
     flags = F.array_compact(F.array(F.when(F.col("suspected_split"), "SUSPECTED_SPLIT"), F.when(debt, "PRN_PRINCIPAL")))
-    return out.withColumn("d_shares_pct", shares_pct).withColumn("d_value_pct", value_pct).withColumn("flags", flags).withColumn("withheld", exited & F.col("confidential_omitted"))
+    return out.withColumn("d_shares_pct", shares_pct).withColumn("d_value_pct", value_pct).withColumn("flags", F.when(F.col("_ok"), flags)).withColumn("withheld", F.coalesce(exited & F.col("confidential_omitted"), F.lit(False))).drop("_ok")
 
 
 def with_events(changed: DataFrame) -> DataFrame:
@@ -98,15 +100,16 @@ def activity(changed: DataFrame) -> DataFrame:
     """cik, period_end: how many positions each action has, exits withheld, and turnover; from published changes.
 
     Turnover by positions is (new + exited) / (now + prior) * 200; by value, the absolute deltas over the mean of both long
-    values (new rows have no delta). Both are null under a suppressing event.
+    values (new rows have no delta), and in turnover_value_incl_new_pct with new rows at their value. All are null under a suppressing event.
     """
     named = lambda a: F.count_if((F.col("action") == a) & ~F.col("withheld"))
     total = lambda c: F.coalesce(F.sum(F.when(long_equity(), F.col(c))), F.lit(0))
     both = total("value_usd_now") + total("value_usd_prior")
     gated = lambda c: F.when(~F.bool_or("suppressed"), c)
     traded = F.sum(F.when(~F.col("withheld"), F.abs(F.coalesce("d_value", F.lit(0)))))
+    bought = F.sum(F.when(F.col("action") == "NEW", F.col("value_usd_now")).when(~F.col("withheld"), F.abs(F.coalesce("d_value", F.lit(0)))))
     return changed.groupBy("cik", "period_end").agg(
         *[named(a).alias(f"n_{a.lower()}") for a in ("NEW", "ADDED", "HELD", "TRIMMED", "EXITED")], F.count_if("withheld").alias("exits_withheld"), F.bool_or("suppressed").alias("suppressed"), F.first("structural_event").alias("structural_event"),
         gated((named("NEW") + named("EXITED")) / (F.count("shares_now") + F.count("shares_prior")) * 200).alias("turnover_position_pct"),
-        gated(traded / F.nullif(both / 2, F.lit(0.0)) * 100).alias("turnover_value_pct"),
+        gated(traded / F.nullif(both / 2, F.lit(0.0)) * 100).alias("turnover_value_pct"), gated(bought / F.nullif(both / 2, F.lit(0.0)) * 100).alias("turnover_value_incl_new_pct"),
     )

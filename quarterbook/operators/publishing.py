@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.staging import staged
+from .intervals import in_ranges
 from .positions import long_equity
 
 PAGE_ROWS = 2000
@@ -63,17 +65,26 @@ def at_or_after(filers: DataFrame) -> DataFrame:
     return counts.withColumn("at_or_after", F.sum("managers").over(later))
 
 
-def even_sample(rows: DataFrame, group: str, order: list[str], most: int = 900) -> DataFrame:
-    """About every (n / most)-th row in the order of (group, order), `most` in all; all rows if there are no more.
+def numbered(rows: DataFrame, order: list[str], place: str = "_n", total: str = "_all") -> DataFrame:
+    """Adds each row's place (from 0) in an order of all rows, and how many there are, without a task that sorts more than a range of them.
 
-    Rows are numbered within each group, and groups get their first number from the counts, so no task sorts all rows.
+    Rows are dealt to ranges of the order and sorted there; they are staged with their number within the range, and what the ranges before it hold is
+    added from the counts (a row for each range). Equal rows of the order are in one range, in any order.
     """
-    counts = rows.groupBy(group).agg(F.count("*").alias("_size"))
-    ahead = Window.orderBy(group)
-    firsts = counts.withColumn("_first", F.sum("_size").over(ahead) - F.col("_size")).withColumn("_all", F.sum("_size").over(Window.partitionBy())).drop("_size")
-    numbered = rows.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1).join(firsts, group)
-    at = numbered.withColumn("_n", F.col("_first") + F.col("_n")).withColumn("_i", F.expr(f"(_n * {most} + _all - 1) div _all"))
-    return at.where(F.expr(f"_all <= {most} or (_i < {most} and (_i * _all) div {most} = _n)")).drop("_n", "_i", "_first", "_all")
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    held = staged(ranged.withColumn("_id", F.monotonically_increasing_id()), "ranged")
+    range_of = F.shiftright("_id", 33)
+    counts = held.groupBy(range_of.alias("_range")).agg(F.count("*").alias("_size"))
+    ahead = Window.orderBy("_range")
+    firsts = counts.withColumn("_first", F.sum("_size").over(ahead) - F.col("_size")).withColumn(total, F.sum("_size").over(Window.partitionBy())).drop("_size")
+    found = held.withColumn("_range", range_of).join(F.broadcast(firsts), "_range")
+    return found.withColumn(place, F.col("_first") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id", "_range", "_first")
+
+
+def even_sample(rows: DataFrame, group: str, order: list[str], most: int = 900) -> DataFrame:
+    """About every (n / most)-th row in the order of (group, order), `most` in all; all rows if there are no more."""
+    at = numbered(rows, [group, *order]).withColumn("_i", F.expr(f"(_n * {most} + _all - 1) div _all"))
+    return at.where(F.expr(f"_all <= {most} or (_i < {most} and (_i * _all) div {most} = _n)")).drop("_n", "_i", "_all")
 
 
 def reading_plan(pending: DataFrame, watched: DataFrame, cap: int, fresh_share: float = 0.35) -> DataFrame:
@@ -113,13 +124,9 @@ def windows_to_drop(windows: DataFrame, keep: int) -> DataFrame:
 
 
 def covered_quarters(deadlines: DataFrame, windows: DataFrame) -> DataFrame:
-    """period, deadline and window_start of quarters whose deadline lies within the three months of an archived window.
-
-    Windows start at a month's first day, so the range join is one on the three months a window spans.
-    """
-    months = windows.select("window_start", F.explode(F.transform(F.array(*map(F.lit, (0, 1, 2))), lambda m: F.add_months(F.trunc("window_start", "MM"), m))).alias("_month"))
-    found = deadlines.withColumn("_month", F.trunc("deadline", "MM")).join(months.distinct(), "_month")
-    return found.where(F.col("deadline") >= F.col("window_start")).drop("_month")
+    """period, deadline and window_start of quarters whose deadline lies within the three months of an archived window."""
+    ranges = windows.select("window_start").distinct().select(F.col("window_start").alias("low"), F.date_sub(F.add_months("window_start", 3), 1).alias("high"), "window_start")
+    return in_ranges(deadlines, "deadline", ranges, 92, "inner", None).drop("low", "high")
 
 
 def effective_watchlist(owners: DataFrame, saved: DataFrame, seed: list[str]) -> DataFrame:

@@ -46,9 +46,17 @@ def capped_feed(rows: DataFrame, cap: int = 2000) -> DataFrame:
     return newest.join(rows.groupBy("period_end").agg(F.count("*").alias("total")), "period_end")
 
 
-def outstanding(expected: DataFrame, feed: DataFrame) -> DataFrame:
-    """(cik, period_end) of managers that filed for the quarter before but not yet for this one."""
-    return expected.select("cik", "period_end").distinct().join(feed.select("cik", "period_end"), ["cik", "period_end"], "left_anti")
+def outstanding(expected: DataFrame, feed: DataFrame, total: str | None = None) -> DataFrame:
+    """(cik, period_end) of managers that filed for the quarter before but not yet for this one.
+
+    With `total`, a column of the feed that says how many rows its quarter has in all, only quarters that the feed holds whole, or that have no row yet,
+    say who is outstanding: in a capped feed a manager may merely not be shown.
+    """
+    waiting = expected.select("cik", "period_end").distinct().join(feed.select("cik", "period_end"), ["cik", "period_end"], "left_anti")
+    if total is None:
+        return waiting
+    cut = feed.groupBy("period_end").agg(F.count("*").alias("_shown"), F.max(total).alias("_total")).where("_shown < _total").select("period_end")
+    return waiting.join(cut, "period_end", "left_anti")
 
 
 def touched(keys: DataFrame) -> DataFrame:

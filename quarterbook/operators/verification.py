@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.calendar import shift_period
 from .publishing import DOLLARS_SCHEMA, THRESHOLD_USD
 
 GRACE_DAYS = 2
@@ -101,3 +102,27 @@ def thin_quarters(published: DataFrame, built: DataFrame, sourced: DataFrame) ->
     both = published.select("period", F.col("n").alias("published")).join(built.select("period", F.col("n").alias("built")), "period")
     archived = sourced.select("period", F.lit(True).alias("_sourced")).distinct()
     return both.where(F.col("built") < F.col("published") * COVERAGE_FLOOR).join(archived, "period", "left").select("period", "published", "built", F.col("_sourced").isNull().alias("expected"))
+
+
+def watch(days: DataFrame, periods: DataFrame) -> DataFrame:
+    """day and alarm: what is wrong with what is published on a day, seen from that day.
+
+    days: day, season, current and filed quarter (the newest whose deadline has come), filed_due, generated (the build's day). periods, as published: period, funds, known
+    (managers known to have filed, or null) and known_as_of. A quarter past its deadline must be there, and three days on not be
+    far below the one before it (the largest, if that one isn't there), unless what is known tells more; in season a build is at most two days old; what is known of the current
+    quarter must be shown, and counted within 36 hours.
+    """
+    of = lambda side: periods.select(*[F.col(c).alias(f"_{side}_{c}") for c in ("period", "funds", "known", "known_as_of")])
+    peak = periods.agg(F.max("funds").alias("_peak"))
+    met = days.join(of("cur"), F.col("current") == F.col("_cur_period"), "left").join(of("due"), F.col("filed") == F.col("_due_period"), "left")
+    met = met.join(of("pri"), shift_period(F.col("filed"), -1) == F.col("_pri_period"), "left").join(F.broadcast(peak))  # one row
+    age, past = F.datediff("day", "generated"), F.datediff("day", "filed_due")
+    before = F.coalesce("_pri_funds", "_peak")
+    silent = F.round((F.unix_timestamp(F.date_add("day", 1).cast("timestamp")) - 1 - F.unix_timestamp("_cur_known_as_of")) / 3600)
+    known = F.col("_cur_known") > 0
+    alarms = F.array(
+        F.when(age > OLD_DAYS, "old"),
+        F.when((past > 0) & F.col("_due_period").isNull(), "absent").when((past >= 3) & (F.coalesce("_due_known", F.lit(0)) == 0) & (F.col("_due_funds") < before * AGAINST_PRIOR), "thin against the quarter before"),
+        F.when(F.col("season").isin("ramp", "peak") & (age > 2), "stuck"), F.when(known & (F.coalesce("_cur_funds", F.lit(0)) < F.col("_cur_known") * AGAINST_KNOWN), "thin against what is known"), F.when(known & (silent > SILENT_HOURS), "silent"),
+    )
+    return met.select("day", F.explode(F.array_compact(alarms)).alias("alarm"))

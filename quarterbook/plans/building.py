@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import holder_sets as hs
 from ..operators import merkle as mk
+from ..operators import name_index as ni
 from ..operators import positions as po
 from ..operators import selection as sl
 from ..sources.commits import removed
@@ -187,3 +189,20 @@ def shared_holders(spark, sf_dir):
     pairs = held.join(held.withColumnRenamed("issuer_id", "other"), "period_end").where(F.col("issuer_id") < F.col("other"))
     return hs.shared_holders(sets, pairs).where("shared > 0")
 
+
+SEARCHES = ("00001", "na supplier", "F", "ia s", "zz")
+
+
+@query(" UNION ALL ".join(f"""SELECT '{t}' AS text, cik, place FROM (SELECT cik, CAST(row_number() OVER (ORDER BY CASE WHEN starts_with(lower(name), lower('{t}')) OR starts_with(lower(ticker), lower('{t}')) THEN 0 ELSE 1 END, name, cik) AS integer) AS place
+  FROM (SELECT CAST(s_suppkey AS varchar) AS cik, n_name || ' ' || s_name AS name, CASE WHEN s_suppkey % 3 > 0 THEN left(n_name, 2) || CAST(s_suppkey AS varchar) END AS ticker FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+  WHERE contains(lower(name), lower('{t}')) OR contains(lower(coalesce(ticker, '')), lower('{t}'))) WHERE place <= 100""" for t in SEARCHES), plain=True)
+def name_search(spark, sf_dir):
+    """Several searches through one stored index."""
+    held = spark.read.parquet(f"{sf_dir}/supplier.parquet").join(spark.read.parquet(f"{sf_dir}/nation.parquet"), F.col("s_nationkey") == F.col("n_nationkey"))
+    key = F.col("s_suppkey").cast("string")
+    filers = staged(held.select(key.alias("cik"), F.concat_ws(" ", "n_name", "s_name").alias("name"), F.when(F.col("s_suppkey") % 3 > 0, F.concat(F.substring("n_name", 1, 2), key)).alias("ticker")), "filers")
+    path = _folder(spark, "names")
+    ni.write_index(filers, path)
+    rows = staged(reduce(DataFrame.unionAll, [ni.search(filers, path, t).select(F.lit(t).alias("text"), "cik", "place") for t in SEARCHES]), "found")
+    removed(spark, path)
+    return rows

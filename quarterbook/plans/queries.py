@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar, scalars
 from ..operators import changes as ch
 from ..operators import consensus as co
+from ..operators import intervals as iv
 from ..operators import positions as po
 from ..operators import rankings as ra
 from ..operators import securities as se
@@ -133,12 +134,13 @@ def exits_anti(spark, sf_dir):
 
 TURNOVER = f"""(SELECT cik, period_end, CASE WHEN NOT bool_or(suppressed) THEN (count(*) FILTER (action IN ('NEW', 'EXITED') AND NOT withheld)) / (count(s) + count(ps)) * 200 END AS position,
   CASE WHEN NOT bool_or(suppressed) THEN sum(CASE WHEN withheld THEN 0 ELSE abs(coalesce(d_value, 0)) END) / nullif((coalesce(sum(v) FILTER ({LONG}), 0) + coalesce(sum(pv) FILTER ({LONG}), 0)) / 2, 0) * 100 END AS value,
+  CASE WHEN NOT bool_or(suppressed) THEN sum(CASE WHEN action = 'NEW' THEN v WHEN withheld THEN NULL ELSE abs(coalesce(d_value, 0)) END) / nullif((coalesce(sum(v) FILTER ({LONG}), 0) + coalesce(sum(pv) FILTER ({LONG}), 0)) / 2, 0) * 100 END AS with_new,
   count(*) FILTER (action = 'NEW') AS n_new, count(*) FILTER (action = 'EXITED' AND NOT withheld) AS n_exited FROM told GROUP BY 1, 2)"""
 
 
-@query(f"SELECT cik, period_end, {E4.format('position')} AS position_e4, {E4.format('value')} AS value_e4 FROM {TURNOVER}")
+@query(f"SELECT cik, period_end, {E4.format('position')} AS position_e4, {E4.format('value')} AS value_e4, {E4.format('with_new')} AS with_new_e4 FROM {TURNOVER}")
 def turnover(spark, sf_dir):
-    return ch.activity(all_changes(spark, sf_dir)).select("cik", "period_end", scaled(F.col("turnover_position_pct")).alias("position_e4"), scaled(F.col("turnover_value_pct")).alias("value_e4"))
+    return ch.activity(all_changes(spark, sf_dir)).select("cik", "period_end", scaled(F.col("turnover_position_pct")).alias("position_e4"), scaled(F.col("turnover_value_pct")).alias("value_e4"), scaled(F.col("turnover_value_incl_new_pct")).alias("with_new_e4"))
 
 
 @query(f"SELECT cik, period_end, retained, {E4.format('median_ratio')} AS median_e4, structural_event FROM events")
@@ -277,10 +279,17 @@ def prune_keys(spark, sf_dir):
     return sn.prunable(keys.select("accession"), keys.where("not (year(period_end) = 1998 and quarter(period_end) = 1)").select("accession"), "accession")
 
 
-@query("SELECT p_partkey, p_size, CASE WHEN p_size BETWEEN 1 AND 10 THEN 'Materials' WHEN p_size BETWEEN 11 AND 30 THEN 'Energy' ELSE 'Banks & Lending' END AS sector FROM part", plain=True)
+RULES = ", ".join(f"({k}, {a}, {b}, '{name}')" for k, (a, b, name) in enumerate(scalars.SECTORS))
+
+
+@query(f"""SELECT o_orderkey, sic, coalesce(arg_min(sector, k), 'Unclassified') AS sector FROM (SELECT o_orderkey, CASE WHEN o_custkey % 50 = 7 THEN NULL ELSE o_orderkey * 7 % 10000 END AS sic FROM orders)
+  LEFT JOIN (VALUES {RULES}) r(k, low, high, sector) ON sic BETWEEN low AND high GROUP BY 1, 2""", plain=True)
 def sic_sector(spark, sf_dir):
-    sic = F.when(F.col("p_size") <= 10, F.col("p_size") + 1000).when(F.col("p_size") <= 30, F.col("p_size") + 1290).otherwise(F.col("p_size") + 6000)
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size", scalars.sector_for_sic(sic.cast("string")).alias("sector"))
+    """Of all four-digit codes: by the first rule that holds them."""
+    sic = F.when(F.col("o_custkey") % 50 != 7, F.col("o_orderkey") * 7 % 10000).cast("bigint")
+    codes = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", sic.alias("sic"))
+    found = iv.in_ranges(codes, "sic", scalars.sector_rules(spark), 100)
+    return found.select("o_orderkey", "sic", F.coalesce("sector", F.lit("Unclassified")).alias("sector"))
 
 
 @query("SELECT o_orderkey, CAST(o_orderdate AS date) AS day, last_day(CAST(date_trunc('quarter', o_orderdate) AS date) + INTERVAL 2 month) AS period_end FROM orders", plain=True)

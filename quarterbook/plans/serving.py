@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import calendar, scalars
 from ..operators import artifacts as ar
@@ -17,6 +20,7 @@ from ..operators import securities as se
 from ..operators import selection as sl
 from ..operators import snapshots as sn
 from ..operators import verification as ve
+from ..sources.staging import staged
 from . import building, publishing
 from .adapter import LONG, securities, tables
 from .queries import CELLS, CONSENSUS, DEADLINES, E4, FILERS, ORACLES, PRIOR, QUERIES, TURNOVER, all_changes, book_and_changes, cells, filer_index, folded_book, query, scaled, told_changes
@@ -108,8 +112,9 @@ def filing_links(spark, sf_dir):
 @query(f"""SELECT b.cik, b.period_end, b.cusip, b.put_call, b.unit, x.ticker, coalesce(x.mapped_id, b.issuer) AS issuer_id, b.name, b.value_usd, b.shares, c.action, c.d_shares, c.d_value, {E4.format("c.d_pp")} AS d_weight_e4
   FROM book b LEFT JOIN securities x USING (cusip) LEFT JOIN changes c ON b.cik = c.cik AND b.period_end = c.period_end AND b.cusip = c.cusip AND b.put_call = c.put_call AND b.unit = c.unit""")
 def artifact_rows(spark, sf_dir):
-    book, changed = book_and_changes(spark, sf_dir)
-    rows = ar.artifact_rows(book, changed, securities(spark, sf_dir)[0])
+    raw, filings = tables(spark, sf_dir)
+    whole = ch.published(ch.changes(po.book(raw, filings), ch.prior_states(po.quarters(filings)), whole=True, carried=ar.CARRIED))
+    rows = ar.artifact_rows(whole, securities(spark, sf_dir)[0])
     return rows.select("cik", "period_end", "cusip", "put_call", "unit", "ticker", "issuer_id", "name", "value_usd", "shares", "action", "d_shares", "d_value", scaled(F.col("d_weight_pp")).alias("d_weight_e4"))
 
 
@@ -354,6 +359,29 @@ def default_period(spark, sf_dir):
     return sl.default_period(books_of(tables(spark, sf_dir)[1]))
 
 
+ORDERS = {"funds": "holders DESC, combined_value DESC", "value": "combined_value DESC, holders DESC", "weight": "round(sw, 9) DESC NULLS LAST, holders DESC", "net": "net_direction, holders DESC", "ticker": "ticker NULLS LAST"}
+
+
+@query(" UNION ALL ".join(f"""SELECT '{key}' AS key, issuer_id, period_end, place FROM (SELECT c.issuer AS issuer_id, period_end, CAST(row_number() OVER (PARTITION BY period_end ORDER BY {order}, c.issuer) AS integer) AS place
+  FROM {CONSENSUS} c LEFT JOIN (SELECT issuer, min(ticker) AS ticker FROM issuers JOIN securities USING (cusip) GROUP BY 1) t ON t.issuer = c.issuer WHERE holders >= 2) WHERE place <= 60""" for key, order in ORDERS.items()))
+def consensus_orders(spark, sf_dir):
+    """The matrix in each of its orders."""
+    held = securities(spark, sf_dir)[0]
+    tickers = held.groupBy(scalars.issuer_id(F.col("cusip")).alias("issuer_id")).agg(F.min("ticker").alias("ticker"))
+    rows = staged(co.consensus(cells(spark, sf_dir)).withColumn("sum_weight", F.round("sum_weight", 9)).join(tickers, "issuer_id", "left"), "consensus")
+    parts = [co.placed(rows, key, 60).select(F.lit(key).alias("key"), "issuer_id", "period_end", "place") for key in ORDERS]
+    return reduce(DataFrame.unionAll, parts)
+
+
+@query("""SELECT cik, period_end FROM (SELECT DISTINCT cik, CAST(last_day(period_end + INTERVAL 3 month) AS date) AS period_end FROM books) e WHERE (cik, period_end) NOT IN (SELECT (cik, period_end) FROM filings)
+  AND period_end NOT IN (SELECT period_end FROM filings GROUP BY 1 HAVING count(*) > 90)""")
+def outstanding_of_whole_feeds(spark, sf_dir):
+    """Quarters of which a feed of 90 rows shows only a part say nothing."""
+    filings = tables(spark, sf_dir)[1]
+    books = books_of(filings).select("cik", calendar.shift_period(F.col("period_end"), 1).alias("period_end"))
+    return sn.outstanding(books, sn.capped_feed(filings, 90), "total")
+
+
 @query(f"SELECT * FROM (SELECT issuer AS issuer_id, period_end, holders, CAST(row_number() OVER (PARTITION BY period_end ORDER BY round(sw, 9) DESC NULLS LAST, holders DESC, issuer) AS integer) AS place FROM {CONSENSUS} WHERE holders >= 2) WHERE place <= 60")
 def consensus_sorted(spark, sf_dir):
     rows = co.consensus(cells(spark, sf_dir)).withColumn("sum_weight", F.round("sum_weight", 9))
@@ -537,6 +565,38 @@ def shared_periods(spark, sf_dir):
 # Verification
 
 
+#: Quarters as a build would show them: every other third quarter is missing, and only first and second quarters say how many filings are known.
+SHOWN = """SELECT period_end AS period, count(DISTINCT cik) FILTER (accession IN (SELECT accession FROM usable)) AS funds, CASE WHEN quarter(period_end) < 3 THEN count(DISTINCT cik) END AS known, make_timestamp(max(accept_hours) FILTER (NOT is_amendment) * 3600000000) AS known_as_of
+  FROM filings WHERE NOT (quarter(period_end) = 3 AND year(period_end) % 2 = 0) GROUP BY 1"""
+
+
+@query(f"""WITH {EARLIER}, shown AS ({SHOWN}), gen AS (SELECT DISTINCT CAST(o_orderdate AS date) AS g FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey % 10 = 1),
+  found AS (SELECT day, (SELECT max(period) FROM quarters WHERE period <= day) AS current, (SELECT max(period) FROM quarters WHERE deadline <= day) AS filed, (SELECT max(g) FROM gen WHERE g <= day) AS generated FROM {DAYS}),
+  told AS (SELECT f.*, d.deadline AS filed_due, CAST(c.deadline - day AS integer) AS days_left, CAST(day - generated AS integer) AS age, CAST(day - d.deadline AS integer) AS past FROM found f JOIN quarters c ON c.period = f.current JOIN quarters d ON d.period = f.filed),
+  met AS (SELECT t.*, {SEASON} AS season, c.funds AS cf, c.known AS ck, round((epoch(CAST(day + 1 AS timestamp)) - 1 - epoch(c.known_as_of)) / 3600) AS hours, d.period AS dp, d.known AS dk, d.funds AS df, coalesce(p.funds, (SELECT max(funds) FROM shown)) AS pf
+    FROM told t LEFT JOIN shown c ON c.period = t.current LEFT JOIN shown d ON d.period = t.filed LEFT JOIN shown p ON p.period = last_day(t.filed - INTERVAL 3 month))
+  SELECT day, unnest(list_filter([CASE WHEN age > 10 THEN 'old' END, CASE WHEN past > 0 AND dp IS NULL THEN 'absent' WHEN past >= 3 AND coalesce(dk, 0) = 0 AND df < pf * 0.85 THEN 'thin against the quarter before' END,
+    CASE WHEN season IN ('ramp', 'peak') AND age > 2 THEN 'stuck' END, CASE WHEN ck > 0 AND coalesce(cf, 0) < ck * 0.9 THEN 'thin against what is known' END, CASE WHEN ck > 0 AND hours > 36 THEN 'silent' END], lambda x: x IS NOT NULL)) AS alarm FROM met""")
+def watchdog(spark, sf_dir):
+    """On every day on which something was ordered; a build is as old as the last day with an urgent order of a tenth of the customers."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("day", F.to_date("o_orderdate"))
+    known = calendar.quarters(spark, 1991, 2003)
+    rows = sl.current_quarters(orders.select("day").distinct(), known)
+    built = orders.where("o_orderpriority = '1-URGENT' and o_custkey % 10 = 1").select(F.col("day"), F.col("day").alias("generated")).distinct()
+    # the last build up to a day: days and builds in one line, cut by year so that no task has all of them, with each year's first build from the years before it
+    line = rows.join(built, "day", "left").withColumn("_y", F.year("day"))
+    within = Window.partitionBy("_y").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    years = line.groupBy("_y").agg(F.max("generated").alias("_g"))
+    carried = years.withColumn("_before", F.max("_g").over(Window.orderBy("_y").rowsBetween(Window.unboundedPreceding, -1))).drop("_g")  # a row for each year
+    days = line.withColumn("generated", F.last("generated", ignorenulls=True).over(within)).join(F.broadcast(carried), "_y").withColumn("generated", F.coalesce("generated", "_before"))
+    days = days.withColumn("season", calendar.season(F.col("day"), F.expr("date_add(day, days_left)"))).join(known.select(F.col("period").alias("filed"), F.col("deadline").alias("filed_due")), "filed")
+    filings = tables(spark, sf_dir)[1].where("not (quarter(period_end) = 3 and year(period_end) % 2 = 0)")
+    shown = filings.groupBy(F.col("period_end").alias("period")).agg(
+        F.count_distinct(F.when(F.col("foldable"), F.col("cik"))).alias("funds"), F.when(F.quarter("period_end") < 3, F.count_distinct("cik")).alias("known"), F.max(F.when(~F.col("is_amendment"), F.col("acceptance"))).alias("known_as_of")
+    )
+    return ve.watch(days, shown)
+
+
 AS_OF = "TIMESTAMP '1998-05-20 00:00:00'"
 
 

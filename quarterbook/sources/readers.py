@@ -79,7 +79,8 @@ def index_headers(docs: DataFrame, html: str = "html") -> DataFrame:
     tagged = lambda name: blank(F.regexp_extract(text, rf"(?i)<{name}>[ \t]*([^<\r\n]+)", 1))
     field = lambda name: F.coalesce(tagged(name), blank(F.regexp_extract(text, rf"(?im)^\s*{name}:\s*([^\r\n<]+)", 1)))
     every = lambda label: F.transform(F.regexp_extract_all(text, F.lit(rf"(?i){label}:[ \t]*([^\r\n<]+)"), F.lit(1)), F.trim)
-    blocks = F.slice(F.split(text, "(?i)<DOCUMENT>"), 2, 100_000)
+    parts = F.split(text, "(?i)<DOCUMENT>")
+    blocks = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
     own = lambda block, name: blank(F.regexp_extract(F.split(block, "(?i)</DOCUMENT>|</SEC-DOCUMENT>")[0], rf"(?im)^<{name}>[ \t]*([^<\r\n]*)", 1)).alias(name.lower())
     documents = F.transform(blocks, lambda d: F.struct(*[own(d, n) for n in ("TYPE", "SEQUENCE", "FILENAME", "DESCRIPTION")]))
     table = F.get(F.filter("documents", lambda d: F.upper(d["type"]) == "INFORMATION TABLE"), F.lit(0))

@@ -9,7 +9,7 @@ from quarterbook.operators import merging, selection, snapshots as sn, verificat
 from quarterbook.plans.serving import QUERIES
 from quarterbook.sources import snapshots, staging
 
-READ_ONCE = ["book_summary", "qoq_changes", "turnover", "structural_event", "action_counts", "exits_anti", "movers", "dominant_action", "consensus_matrix", "anchor_sides", "sector_flows"]
+READ_ONCE = ["book_summary", "qoq_changes", "turnover", "structural_event", "action_counts", "exits_anti", "movers", "dominant_action", "consensus_matrix", "anchor_sides", "sector_flows", "artifact_rows", "exit_rows"]
 
 
 @pytest.mark.parametrize("name", READ_ONCE)
