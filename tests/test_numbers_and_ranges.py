@@ -40,7 +40,7 @@ def test_points_lie_in_the_best_range(spark):
     assert every.count() == sum(a is not None and a <= k <= b for a, b, *_ in rules for k in range(-5, 400))
     days = spark.createDataFrame([(date(2024, 1, 1),), (date(2024, 2, 29),), (date(2024, 3, 1),)], "day date")
     windows = spark.createDataFrame([(date(2024, 1, 1), date(2024, 2, 29), "a", 1), (date(2024, 2, 1), date(2024, 3, 31), "b", 0)], "low date, high date, name string, priority int")
-    assert {(str(r.day), r["name"], str(r.low), str(r.high)) for r in intervals.in_ranges(days, "day", windows, 30).collect()} == {("2024-01-01", "a", "2024-01-01", "2024-01-31"), ("2024-02-29", "b", "2024-02-01", "2024-03-31"), ("2024-03-01", "b", "2024-02-01", "2024-03-31")}
+    assert {(str(r.day), r["name"], str(r.low), str(r.high)) for r in intervals.in_ranges(days, "day", windows, 30).collect()} == {("2024-01-01", "a", "2024-01-01", "2024-01-31"), ("2024-02-29", "b", "2024-02-01", "2024-02-29"), ("2024-03-01", "b", "2024-03-01", "2024-03-31")}  # pieces end where any range does
 
 
 def test_sectors_by_the_join_are_those_of_the_expression(spark):
