@@ -229,24 +229,25 @@ def word_shingles(text: str) -> set[bytes]:
 def _links(blocks: DataFrame, by: list[str], table, bits: int) -> DataFrame:
     """a, b: links found in each block of (by.., centre, doc, _text). The trie holds hashes; each link is held against the words themselves."""
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["doc", "_text"]).sort_values(["centre", "doc"], ascending=[False, True])
-        every = [ordered(s, table.value) for s in shingle_sets(pdf["_text"].tolist(), bits)]
-        full = [k for k, s in enumerate(every) if len(s)]
-        ids, texts, sets = pdf["doc"].to_numpy()[full], pdf["_text"].to_numpy()[full], [every[k] for k in full]
+    def solve(block: pa.Table) -> pa.Table:
+        rows = sorted({(not centre, doc, text) for centre, doc, text in zip(*(block.column(c).to_pylist() for c in ("centre", "doc", "_text")), strict=True)})
+        # the centre first; a text that comes as the centre and as a member is one
+        seen = dict.fromkeys((doc, text) for _, doc, text in rows)
+        every = [ordered(s, table.value) for s in shingle_sets([text for _, text in seen], bits)]
+        held = [(doc, text, s) for (doc, text), s in zip(seen, every, strict=True) if len(s)]
         true: dict[int, set[bytes]] = {}
 
         def sure(i: int, j: int) -> bool:
             for k in (i, j):
                 if k not in true:
-                    true[k] = word_shingles(texts[k])
+                    true[k] = word_shingles(held[k][1])
             both = len(true[i] & true[j])
             return both * 100 >= PERCENT * (len(true[i]) + len(true[j]) - both)
 
-        found = joining_links(sets, sure) if sets else []
-        return pd.DataFrame({"a": [int(ids[i]) for i, _ in found], "b": [int(ids[j]) for _, j in found]}, dtype="int64")
+        found = joining_links([s for *_, s in held], sure) if held else []
+        return pa.table({"a": pa.array([held[i][0] for i, _ in found], pa.int64()), "b": pa.array([held[j][0] for _, j in found], pa.int64())})
 
-    return blocks.groupBy(*by).applyInPandas(solve, "a long, b long")
+    return blocks.groupBy(*by).applyInArrow(solve, "a long, b long")
 
 
 def parities(tokens: np.ndarray) -> bytes:
