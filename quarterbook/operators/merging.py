@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .snapshots import capped_feed, merge_rows
 
@@ -117,3 +118,46 @@ def prunable_keys(keys: DataFrame, built_periods: DataFrame, built_ciks: DataFra
     rows = rows.join(built_ciks.select(F.col("cik").alias("_cik"), F.lit(True).alias("_known")).distinct(), "_cik", "left")
     rows = rows.join(built_periods.select(F.col("period").alias("_period"), F.lit(True).alias("_built")).distinct(), "_period", "left")
     return rows.where((F.col("_cik").isNull() | F.col("_known")) & (F.col("_period").isNull() | F.col("_built"))).select("key")
+
+
+def prune_plan(remote: DataFrame, local: DataFrame, protected: Sequence[str] = (), floor: float = 0.98, most: int = 100, share: float = 0.5) -> DataFrame:
+    """key and fate of published keys that a build lacks: 'stale' (they may go), 'shielded' or, all stale ones at once, 'refused'.
+
+    Shielded are keys under protected prefixes, of managers that the build has nothing of, and of quarters that it has nothing of or fewer than `floor` of the
+    published keys of: a thin build is no reason to delete. More than `most` stale keys that are more than `share` of all published ones are refused.
+    remote and local: key.
+    """
+    of = lambda keys, n: keys.groupBy(period_of_key(F.col("key")).alias("period")).agg(F.count("*").alias(n)).where("period is not null")
+    built = of(local, "_local").join(of(remote, "_remote"), "period", "left").where(F.col("_remote").isNull() | (F.col("_local") >= F.col("_remote") * floor)).select("period")
+    ciks = local.select(F.nullif(F.regexp_extract("key", r"^fund/(\d{10})/", 1), F.lit("")).alias("cik")).where("cik is not null").distinct()
+    missing = remote.select("key").join(local.select("key"), "key", "left_anti")
+    told = missing.join(prunable_keys(missing, built, ciks, protected).withColumn("_may", F.lit(True)), "key", "left")
+    counts = told.agg(F.count("_may").alias("_stale")).join(F.broadcast(remote.agg(F.count("*").alias("_all"))))  # a row each
+    refused = (F.col("_stale") > most) & (F.col("_stale") > share * F.col("_all"))
+    return told.join(F.broadcast(counts)).select("key", F.when(F.col("_may").isNull(), "shielded").when(refused, "refused").otherwise("stale").alias("fate"))
+
+
+MOST_NOTES = 50
+
+
+def capped_notes(notes: DataFrame, order: Sequence[str], most: int = MOST_NOTES) -> DataFrame:
+    """One row: the first `most` notes in an order, then how many more there are, and the number of all. notes: note and the columns of the order."""
+    first = notes.orderBy(*order, "note").limit(most).withColumn("_n", F.row_number().over(Window.orderBy(*order, "note")))  # `most` rows
+    listed = first.agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "note"))), lambda x: x["note"]).alias("_first"))
+    both = listed.join(F.broadcast(notes.agg(F.count("*").alias("notes_total"))))  # a row each
+    more = F.concat(F.lit("…and "), (F.col("notes_total") - most).cast("string"), F.lit(" more"))
+    return both.select(F.when(F.col("notes_total") > most, F.concat("_first", F.array(more))).otherwise(F.col("_first")).alias("notes"), "notes_total")
+
+
+def manifest(build: str, live: DataFrame, periods: DataFrame, builds: DataFrame, notes: DataFrame, notes_of: int) -> DataFrame:
+    """The manifest as one row: build_id, coverage, counts, periods (newest first), builds of keys, notes, notes_total, notes_of; as a document by to_json.
+
+    live: the manifest before, a row with coverage (from, to) and counts (filers, filings, holdings), or none. Coverage only widens and counts stay. periods: as merged; builds: key, build;
+    notes: of capped_notes. A row for each quarter and manager goes into it, which is what a reader loads first.
+    """
+    rows = periods.agg(F.sort_array(F.collect_list(F.struct("period", "filings", "funds", "known")), False).alias("periods"), F.min("period").alias("_from"), F.max("period").alias("_to"))
+    held = builds.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "build")))).alias("builds"))
+    before = live.agg(F.min("coverage.from").alias("_was_from"), F.max("coverage.to").alias("_was_to"), F.first("counts").alias("counts"))
+    one = rows.join(F.broadcast(held)).join(F.broadcast(before)).join(F.broadcast(notes))  # a row each
+    coverage = F.struct(F.least("_was_from", "_from").alias("from"), F.greatest("_was_to", "_to").alias("to"))
+    return one.select(F.lit(build).alias("build_id"), coverage.alias("coverage"), "counts", "periods", "builds", "notes", "notes_total", F.lit(notes_of).alias("notes_of"))

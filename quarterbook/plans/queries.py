@@ -100,8 +100,11 @@ def reported_total_fold(spark, sf_dir):
     return po.fold_total(tables(spark, sf_dir)[1])
 
 
-@query("""SELECT cik, period_end, accession, code FROM (SELECT cik, period_end, accession, unnest(list_filter([CASE WHEN lag(accept_hours) OVER w = accept_hours THEN 'fold_tie' END, CASE WHEN is_amendment AND amendment_type IS NULL THEN 'amendment_type_missing' WHEN amendment_type = 'OTHER' THEN 'unknown_amendment_type' END, CASE WHEN is_amendment AND row_number() OVER w = 1 THEN 'origin_missing' END], lambda x: x IS NOT NULL)) AS code
-  FROM filings WINDOW w AS (PARTITION BY cik, period_end ORDER BY accept_hours, accession))""")
+WARNINGS = """SELECT cik, period_end, accession, code FROM (SELECT cik, period_end, accession, unnest(list_filter([CASE WHEN lag(accept_hours) OVER w = accept_hours THEN 'fold_tie' END, CASE WHEN is_amendment AND amendment_type IS NULL THEN 'amendment_type_missing' WHEN amendment_type = 'OTHER' THEN 'unknown_amendment_type' END, CASE WHEN is_amendment AND row_number() OVER w = 1 THEN 'origin_missing' END], lambda x: x IS NOT NULL)) AS code
+  FROM filings WINDOW w AS (PARTITION BY cik, period_end ORDER BY accept_hours, accession))"""
+
+
+@query(WARNINGS)
 def fold_warnings(spark, sf_dir):
     return po.fold_warnings(tables(spark, sf_dir)[1])
 

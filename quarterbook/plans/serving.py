@@ -20,10 +20,11 @@ from ..operators import securities as se
 from ..operators import selection as sl
 from ..operators import snapshots as sn
 from ..operators import verification as ve
+from ..operators import views as vi
 from ..sources.staging import staged
 from . import building, publishing
 from .adapter import LONG, securities, tables
-from .queries import CELLS, CONSENSUS, DEADLINES, E4, FILERS, ORACLES, PRIOR, QUERIES, TURNOVER, all_changes, book_and_changes, cells, filer_index, folded_book, query, scaled, told_changes
+from .queries import CELLS, CONSENSUS, DEADLINES, E4, FILERS, ORACLES, PRIOR, QUERIES, TURNOVER, WARNINGS, all_changes, book_and_changes, cells, filer_index, folded_book, query, scaled, told_changes
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -131,6 +132,34 @@ def composed(spark, sf_dir) -> DataFrame:
     return ar.fund_quarters(book, ch.published(ch.changes(book, states)), ar.book_meta(filings, states))
 
 
+def _listed(order: str, keep: str, most: int | None, name: str) -> str:
+    """SQL of a list of positions of `told`, written out."""
+    cut = f" QUALIFY row_number() OVER (PARTITION BY cik, period_end ORDER BY {order}, cusip, put_call, unit) <= {most}" if most else ""
+    return f"(SELECT cik, period_end, string_agg(cusip || put_call || unit, ',' ORDER BY {order}, cusip, put_call, unit) AS {name} FROM (SELECT * FROM {{}} WHERE {keep}{cut}) GROUP BY 1, 2)"
+
+
+NEW_ISSUERS = "(SELECT cik, period_end, string_agg(issuer, ',' ORDER BY v DESC, issuer) AS entries FROM (SELECT cik, period_end, issuer, sum(v) AS v FROM changes WHERE s IS NOT NULL GROUP BY 1, 2, 3 HAVING bool_and(action = 'NEW')) GROUP BY 1, 2)"
+
+
+@query(f"""SELECT l.cik, l.period_end, l.positions, l.value_long, p.value_long AS value_long_before, p.positions AS positions_before, {E4.format('l.value_long / nullif(l.value_long + l.value_options + l.value_prn, 0) * 100')} AS long_e4,
+  coalesce(largest, '') AS largest, coalesce(risen, '') AS risen, coalesce(fallen, '') AS fallen, coalesce(exits, '') AS exits, coalesce(entries, '') AS entries, prior_state
+  FROM {LONGS} l LEFT JOIN {LONGS} p ON p.cik = l.cik AND p.period_end = last_day(l.period_end - INTERVAL 3 month) JOIN (SELECT * FROM ({PRIOR})) q ON q.cik = l.cik AND q.period_end = l.period_end
+  LEFT JOIN {_listed('value_usd DESC', LONG + ' AND value_usd > 0', 100, 'largest').format('book')} a ON a.cik = l.cik AND a.period_end = l.period_end
+  LEFT JOIN {_listed('d_value DESC', 's IS NOT NULL AND d_value IS NOT NULL', 8, 'risen').format('told')} b ON b.cik = l.cik AND b.period_end = l.period_end
+  LEFT JOIN {_listed('d_value', 's IS NOT NULL AND d_value IS NOT NULL', 8, 'fallen').format('told')} c ON c.cik = l.cik AND c.period_end = l.period_end
+  LEFT JOIN {_listed('pv DESC', "action = 'EXITED' AND NOT withheld", None, 'exits').format('told')} d ON d.cik = l.cik AND d.period_end = l.period_end LEFT JOIN {NEW_ISSUERS} e ON e.cik = l.cik AND e.period_end = l.period_end""")
+def fund_views(spark, sf_dir):
+    """A fund's quarter as it is opened: figures, and the lists of what is large, new, gone and moved."""
+    raw, filings = tables(spark, sf_dir)
+    states = ch.prior_states(po.quarters(filings))
+    whole = staged(ch.published(ch.changes(po.book(raw, filings), states, whole=True)), "whole")
+    found = vi.fund_views(whole, ar.book_meta(filings, states))
+    named = lambda c: F.array_join(F.transform(c, lambda r: F.concat(r["cusip"], r["put_call"], r["unit"])), ",").alias(c)
+    return found.select(
+        "cik", "period_end", "positions", "value_long", "value_long_before", "positions_before", scaled(F.col("long_pct")).alias("long_e4"), *map(named, ("largest", "risen", "fallen", "exits")), F.array_join("entries.issuer_id", ",").alias("entries"), "prior_state"
+    )
+
+
 META = f"""(SELECT l.*, t.n_new, t.n_exited, t.position, e.structural_event, coalesce(e.structural_event IN ('PRO_RATA_REDUCTION', 'UNIT_SCALE_CHANGE'), false) AS suppressed, p.prior_state, m.confidential_omitted, m.accessions, m.lag, m.label
   FROM {LONGS} l JOIN ({{prior}}) p USING (cik, period_end) JOIN (SELECT cik, period_end, bool_or(confidential_omitted) AS confidential_omitted, string_agg(accession, ',' ORDER BY accept_hours, accession) AS accessions,
     CAST(date_diff('day', period_end, CAST(make_timestamp(max(accept_hours) * 3600000000) AS date)) AS integer) AS lag, 'Q' || quarter(period_end) || ' ' || year(period_end) AS label FROM folded GROUP BY 1, 2) m USING (cik, period_end)
@@ -177,6 +206,27 @@ def build_of_keys(spark, sf_dir):
     return ar.build_of_key(published_keys(books_of(filings)), funds, spark.createDataFrame([("meta/filers.json", "b3")], "key string, build string"), "b1")
 
 
+def _plan_sql(local: str, books: str) -> str:
+    """Fates of published keys that `local` lacks; books: what `local` was built of."""
+    period = "CASE WHEN key LIKE 'fund/%' THEN CAST(key[17:26] AS date) WHEN key LIKE 'period/%' THEN CAST(key[8:17] AS date) END"
+    return f"""WITH remote AS (SELECT key, {period} AS p FROM {KEYS_SQL}), own AS (SELECT key, {period} AS p FROM {local}),
+  whole AS (SELECT p FROM own WHERE p IS NOT NULL GROUP BY p HAVING count(*) >= 0.98 * (SELECT count(*) FROM remote r WHERE r.p = own.p)),
+  told AS (SELECT key, key NOT LIKE 'state/%' AND (p IS NULL OR p IN (SELECT p FROM whole)) AND (key NOT LIKE 'fund/%' OR key[6:15] IN (SELECT cik FROM {books})) AS may FROM remote WHERE key NOT IN (SELECT key FROM own))
+  SELECT key, CASE WHEN NOT may THEN 'shielded' WHEN count(*) FILTER (may) OVER () > 100 AND count(*) FILTER (may) OVER () > 0.5 * (SELECT count(*) FROM remote) THEN 'refused' ELSE 'stale' END AS fate FROM told"""
+
+
+#: Books without those of one manager in some quarters, and without a quarter.
+FEWER = "(SELECT cik, period_end FROM books WHERE NOT (CAST(cik AS bigint) = 2 AND quarter(period_end) = 2) AND NOT (year(period_end) = 1995 AND quarter(period_end) = 3) AND NOT (CAST(cik AS bigint) % 3 = 1 AND year(period_end) = 1994))"
+
+
+@query(_plan_sql(KEYS_SQL.replace("FROM books", f"FROM {FEWER}").replace(", 'state/cursor.json'", ""), FEWER))
+def prune_plan(spark, sf_dir):
+    """A build that lacks a manager in some quarters, one quarter wholly, and much of a year."""
+    books = books_of(tables(spark, sf_dir)[1])
+    fewer = books.where("not (cast(cik as bigint) = 2 and quarter(period_end) = 2) and not (year(period_end) = 1995 and quarter(period_end) = 3) and not (cast(cik as bigint) % 3 = 1 and year(period_end) = 1994)")
+    return me.prune_plan(published_keys(books), published_keys(fewer).where("key <> 'state/cursor.json'"), ("state/",))
+
+
 @query(f"""SELECT key, CASE WHEN key LIKE 'fund/%' THEN CAST(key[17:26] AS date) WHEN key LIKE 'period/%' THEN CAST(key[8:17] AS date) END AS period_end, key LIKE 'fund/%' OR key LIKE 'period/%' OR key IN ('manifest.json', 'meta/filers.json') AS publishable,
   key NOT LIKE 'state/%' AND CASE WHEN key LIKE 'fund/%' THEN key[6:15] IN (SELECT cik FROM filings WHERE is_notice) AND key[17:26] <> (SELECT CAST(max(period_end) AS varchar) FROM books) WHEN key LIKE 'period/%' THEN key[8:17] <> (SELECT CAST(max(period_end) AS varchar) FROM books) ELSE true END AS prunable FROM {KEYS_SQL}""")
 def key_rules(spark, sf_dir):
@@ -504,6 +554,24 @@ def manifest_merge(spark, sf_dir):
     return me.merge_periods(*manifests(tables(spark, sf_dir)[1]))
 
 
+@query(f"""WITH told AS (SELECT accession || ': ' || code AS note, accession, code FROM ({WARNINGS})), p AS (SELECT i.period, CASE WHEN l.period IS NULL THEN i.filings ELSE greatest(l.filings, t.filings) END AS filings FROM {COMING} i LEFT JOIN {LIVE} l USING (period) LEFT JOIN {TOTALS} t USING (period))
+  SELECT 'b2' AS build_id, DATE '1993-03-31' AS covered_from, greatest(DATE '1997-12-31', (SELECT max(period) FROM p)) AS covered_to, CAST(7 AS bigint) AS filers, (SELECT count(*) FROM p) AS periods, (SELECT max(period) FROM p) AS newest, (SELECT CAST(sum(filings) AS bigint) FROM p) AS filings,
+    (SELECT count(DISTINCT cik) FROM books) AS builds, (SELECT string_agg(note, ';' ORDER BY accession, code) FROM (SELECT * FROM told ORDER BY accession, code LIMIT 50)) || CASE WHEN (SELECT count(*) FROM told) > 50 THEN ';…and ' || ((SELECT count(*) FROM told) - 50) || ' more' ELSE '' END AS notes, (SELECT count(*) FROM told) AS notes_total""")
+def manifest_document(spark, sf_dir):
+    """What is merged, as the document that readers load first, read back from its JSON."""
+    filings = tables(spark, sf_dir)[1]
+    live = spark.sql("select named_struct('from', date'1993-03-31', 'to', date'1997-12-31') as coverage, named_struct('filers', 7L, 'filings', 70L, 'holdings', 700L) as counts")
+    notes = po.fold_warnings(filings).select(F.concat_ws(": ", "accession", "code").alias("note"), "accession", "code")
+    builds = me.merge_builds(books_of(filings).select(F.col("cik").alias("key"), F.lit("b1").alias("build")).distinct(), filings.where("foldable and is_amendment").select(F.col("cik").alias("key")).distinct(), "b2")
+    whole = me.manifest("b2", live, me.merge_periods(*manifests(filings)), builds, me.capped_notes(notes, ["accession", "code"]), 1000)
+    read = whole.select(F.from_json(F.to_json(F.struct("*")), whole.schema).alias("m")).select("m.*")
+    total = F.aggregate("periods", F.lit(0).cast("bigint"), lambda n, x: n + x["filings"]).alias("filings")
+    return read.select(
+        "build_id", F.col("coverage.from").alias("covered_from"), F.col("coverage.to").alias("covered_to"), "counts.filers", F.size("periods").cast("bigint").alias("periods"), F.col("periods")[0]["period"].alias("newest"), total,
+        F.size("builds").cast("bigint").alias("builds"), F.array_join("notes", ";").alias("notes"), "notes_total",
+    )
+
+
 @query(f"SELECT i.period, i.filings, i.funds, t.known FROM {COMING} i LEFT JOIN {TOTALS} t USING (period)")
 def manifest_rebuilt(spark, sf_dir):
     return me.merge_periods(*manifests(tables(spark, sf_dir)[1]), authoritative=True)

@@ -91,13 +91,30 @@ def index_headers(docs: DataFrame, html: str = "html") -> DataFrame:
     ).withColumn("info_table_file", table["filename"])
 
 
-def submissions(docs: DataFrame, json: str = "json") -> DataFrame:
-    """cik, accession, form, filed, period_end: parallel arrays turned into rows, forms that start with 13F only."""
-    recent = "struct<accessionNumber:array<string>,form:array<string>,filingDate:array<string>,reportDate:array<string>>"
-    parsed = docs.select(F.from_json(F.col(json), f"cik string, filings struct<recent:{recent}>").alias("j"))
-    lists = [F.col(f"j.filings.recent.{c}") for c in ("accessionNumber", "form", "filingDate", "reportDate")]
-    rows = parsed.select(pad_cik(F.col("j.cik")).alias("cik"), F.inline(F.arrays_zip(*lists))).toDF("cik", "accession", "form", "filed", "period_end")
-    return rows.where(F.startswith("form", F.lit("13F"))).withColumn("filed", normalize_date(F.col("filed"))).withColumn("period_end", normalize_date(F.col("period_end")))
+FILED = ("accessionNumber", "form", "filingDate", "reportDate")
+LISTS = ",".join(f"{c}:array<string>" for c in FILED)
+
+
+def submissions(docs: DataFrame, json: str = "json", pages: DataFrame | None = None) -> DataFrame:
+    """cik, accession, form, filed, period_end: parallel arrays turned into rows, forms that start with 13F only.
+
+    A document holds a manager's newest filings. Older ones stand in pages of the same arrays, which it names (older_pages()); `pages` (cik, and json) are those
+    that were read. An accession that both have comes once.
+    """
+    parsed = docs.select(F.from_json(F.col(json), f"cik string, filings struct<recent:struct<{LISTS}>>").alias("j"))
+    lists = parsed.select(F.col("j.cik").alias("cik"), *[F.col(f"j.filings.recent.{c}").alias(c) for c in FILED])
+    if pages is not None:
+        older = pages.select("cik", F.from_json(F.col(json), LISTS.replace(":", " ")).alias("j"))
+        lists = lists.unionByName(older.select("cik", *[F.col(f"j.{c}").alias(c) for c in FILED]))
+    rows = lists.select(pad_cik(F.col("cik")).alias("cik"), F.inline(F.arrays_zip(*[F.col(c) for c in FILED]))).toDF("cik", "accession", "form", "filed", "period_end")
+    rows = rows.where(F.startswith("form", F.lit("13F"))).withColumn("filed", normalize_date(F.col("filed"))).withColumn("period_end", normalize_date(F.col("period_end")))
+    return rows if pages is None else rows.dropDuplicates(["cik", "accession"])
+
+
+def older_pages(docs: DataFrame, json: str = "json") -> DataFrame:
+    """cik and name of the pages of older filings that a manager's document names."""
+    parsed = docs.select(F.from_json(F.col(json), "cik string, filings struct<files:array<struct<name:string>>>").alias("j"))
+    return parsed.select(pad_cik(F.col("j.cik")).alias("cik"), F.explode("j.filings.files.name").alias("name"))
 
 
 def bulk_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -240,6 +257,20 @@ def ticker_directory(docs: DataFrame, json: str = "json") -> DataFrame:
     return docs.select(F.explode(entries).alias("e")).select(pad_cik(F.col("e.cik_str")).alias("cik"), F.upper("e.ticker").alias("ticker"), F.col("e.title").alias("title"))
 
 
+def statement_codes(lines: DataFrame) -> DataFrame:
+    """cik, sic and quarter of the sub.txt entries, in any folder and case, of archives of financial statements (archive, entry, n, line: as archives.entries() reads them).
+
+    The quarter is in an archive's name. Columns go by the names in the first line; an archive without cik and sic there has no rows, nor have lines
+    without both. Of a manager's lines in a quarter the first counts.
+    """
+    own = lines.where(F.upper(F.substring_index("entry", "/", -1)) == "SUB.TXT").withColumn("_cells", F.split("line", "\t", -1))
+    heads = own.where("n = 1").select("archive", "entry", F.transform("_cells", lambda c: F.lower(F.trim(c))).alias("_head"))
+    at = lambda name: F.when(F.array_position("_head", name) > 0, F.get("_cells", (F.array_position("_head", name) - 1).cast("int"))).try_cast("bigint")
+    rows = own.where("n > 1").join(F.broadcast(heads), ["archive", "entry"])  # a row for each archive
+    told = rows.select(at("cik").alias("cik"), at("sic").alias("sic"), F.regexp_extract(F.lower("archive"), r"(\d{4}q[1-4])", 1).alias("quarter"), "n").where("cik > 0 and sic > 0 and quarter <> ''")
+    return told.groupBy("cik", "quarter").agg(F.min_by("sic", "n").cast("string").alias("sic")).select(F.col("cik").cast("string").alias("cik"), "sic", "quarter")
+
+
 def industry_codes(rows: DataFrame) -> DataFrame:
     """cik, sic: of statements (cik, sic, quarter) the code of the newest quarter that has one."""
     return rows.where("sic is not null").groupBy(pad_cik(F.col("cik")).alias("cik")).agg(F.max_by("sic", "quarter").alias("sic"))

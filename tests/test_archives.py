@@ -1,5 +1,6 @@
 """Archives as a data source: a task for each entry, pushed filters, copies elsewhere, archives that are nowhere."""
 
+import json
 import zipfile
 
 import pytest
@@ -43,3 +44,24 @@ def test_copies_and_archives_that_are_nowhere(spark, zips):
     assert {(r.archive.rsplit("/", 1)[1], r.entry, r.n, r.line) for r in rows.collect()} == {("b.zip", "INFOTABLE.tsv", 1, "only here"), ("c.zip", None, None, None)}
     with pytest.raises(Exception, match="broken.zip"):
         archives.entries(spark, [f"{zips}/broken.zip"], wait="0").count()
+
+
+def test_codes_of_statements(spark, tmp_path):
+    for name, entries in {"2024q1.zip": {"SUB.txt": "adsh\tCIK\tname\tsic\nx\t42\tA\t1311\ny\t42\tB\t9999\nz\t7\tC\t\n"}, "2023q4_fsds.zip": {"in/sub.txt": "cik\tsic\n42\t7372\n7\t3674\r\n0\t1\nbad\t5\n"}, "2022q1.zip": {"sub.txt": "cik\tname\n9\tx\n"}, "2021q1.zip": {"num.txt": "cik\tsic\n9\t1\n"}}.items():
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            for entry, text in entries.items():
+                z.writestr(entry, text)
+    lines = archives.entries(spark, [f"{tmp_path}/{n}.zip" for n in ("2024q1", "2023q4_fsds", "2022q1", "2021q1", "2020q1")])
+    codes = readers.statement_codes(lines)
+    assert {tuple(r) for r in codes.collect()} == {("42", "1311", "2024q1"), ("42", "7372", "2023q4"), ("7", "3674", "2023q4")}
+    assert {tuple(r) for r in readers.industry_codes(codes).collect()} == {("0000000042", "1311"), ("0000000007", "3674")}
+
+
+def test_older_pages_of_submissions(spark):
+    arrays = lambda *rows: dict(zip(("accessionNumber", "form", "filingDate", "reportDate"), map(list, zip(*rows, strict=True)), strict=True))
+    doc = json.dumps({"cik": "42", "filings": {"recent": arrays(("a3", "13F-HR", "2024-05-01", "2024-03-31"), ("x", "4", "2024-05-01", "")), "files": [{"name": "CIK42-001.json"}, {"name": "CIK42-002.json"}]}})
+    docs = spark.createDataFrame([(doc,), ('{"cik": "7", "filings": {"recent": {}, "files": []}}',)], "json string")
+    assert {tuple(r) for r in readers.older_pages(docs).collect()} == {("0000000042", "CIK42-001.json"), ("0000000042", "CIK42-002.json")}
+    pages = [("42", json.dumps(arrays(("a1", "13F-HR", "2019-05-01", "2019-03-31"), ("a3", "13F-HR", "2024-05-01", "2024-03-31")))), ("42", "broken")]
+    rows = readers.submissions(docs, pages=spark.createDataFrame(pages, "cik string, json string"))
+    assert {(r.cik, r.accession, str(r.period_end)) for r in rows.collect()} == {("0000000042", "a3", "2024-03-31"), ("0000000042", "a1", "2019-03-31")} and rows.count() == 2

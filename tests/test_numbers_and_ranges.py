@@ -7,7 +7,7 @@ from decimal import ROUND_HALF_UP, Decimal
 from pyspark.sql import functions as F
 
 from quarterbook.functions import scalars
-from quarterbook.operators import consensus, intervals, name_index, publishing, rankings, selection, snapshots
+from quarterbook.operators import consensus, intervals, merging, name_index, publishing, rankings, selection, snapshots
 
 
 def test_whole_numbers_are_exact(spark):
@@ -125,3 +125,18 @@ def test_a_search_reads_a_few_folders(spark, tmp_path):
     assert "PartitionFilters: [isnotnull" in (plan := found._jdf.queryExecution().executedPlan().toString()) or "PartitionFilters: [bucket" in plan
     read = [line for line in plan.splitlines() if "PartitionFilters" in line]
     assert read and "bucket" in read[0].split("PartitionFilters")[1][:80]
+
+
+def test_what_a_build_may_prune(spark):
+    quarter = lambda q, ciks: [f"fund/{c:010}/2024-0{q}-30.json" for c in ciks] + [f"period/2024-0{q}-30/filings.json"]
+    keys = lambda *parts: spark.createDataFrame([(k,) for p in parts for k in p], "key string")
+    fates = lambda remote, local: {r.key: r.fate for r in merging.prune_plan(remote, local, ("state/",)).collect()}
+    whole = range(100)
+    remote = keys(quarter(4, whole), quarter(6, whole), quarter(9, [1, 2]), ["state/x", "meta/old.json"])
+    # one fund less in a quarter goes; four fewer make it thin; a quarter that wasn't built, a manager that isn't there and state stay
+    local = keys(quarter(4, range(1, 100)), quarter(6, range(4, 100)))
+    got = fates(remote, local)
+    assert got == {f"fund/{0:010}/2024-04-30.json": "shielded", **{f"fund/{c:010}/2024-06-30.json": "shielded" for c in range(4)}, **dict.fromkeys(quarter(9, [1, 2]), "shielded"), "state/x": "shielded", "meta/old.json": "stale"}
+    assert fates(remote, keys(quarter(4, whole), quarter(6, range(1, 100))))[f"fund/{0:010}/2024-06-30.json"] == "stale"
+    many = keys([f"old/{k}" for k in range(150)], quarter(4, [1]))
+    assert set(fates(many, keys(quarter(4, [1]))).values()) == {"refused"}
