@@ -22,8 +22,9 @@ def security_periods(book: DataFrame) -> DataFrame:
     """issuer_id, period_end, holders, d_holders, value_usd, shares of long positions; d_holders is null without the quarter before."""
     rows = book.where(long_equity()).withColumn("issuer_id", issuer_id(F.col("cusip")))
     now = rows.groupBy("issuer_id", "period_end").agg(F.count_distinct("cik").alias("holders"), F.sum("value_usd").cast("bigint").alias("value_usd"), F.sum("shares").cast("bigint").alias("shares"))
-    before = now.select("issuer_id", shift_period(F.col("period_end"), 1).alias("period_end"), F.col("holders").alias("_before"))
-    return now.join(before, ["issuer_id", "period_end"], "left").withColumn("d_holders", F.col("holders") - F.col("_before")).drop("_before")
+    order = Window.partitionBy("issuer_id").orderBy("period_end")  # an issuer's quarters; the book is gone through once
+    before = F.when(F.lag("period_end").over(order) == shift_period(F.col("period_end"), -1), F.lag("holders").over(order))
+    return now.withColumn("d_holders", F.col("holders") - before)
 
 
 def series(book: DataFrame, changed: DataFrame) -> DataFrame:
