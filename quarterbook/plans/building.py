@@ -27,9 +27,13 @@ def _folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Rows of all quarters for which a store gets one more bucket of managers: a partition's share stays the same as tables grow.
+ROWS_A_BUCKET = 5_000_000
+
+
 def _kept(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of a store that took in originals, then new holdings, and then all other amendments, with some that came before once more."""
-    store = BookStore(_folder(spark, "store"), buckets=1)
+    store = BookStore(_folder(spark, "store"), buckets=1 + po.rows_of(tables(spark, sf_dir)[1]) // ROWS_A_BUCKET)
     every = staged(records(spark, sf_dir), "records")
     added = F.coalesce(F.col("amendment_type") == "NEW HOLDINGS", F.lit(False))
     batches = {"originals": ~F.col("is_amendment"), "added": added, "others": (F.col("is_amendment") & ~added) | (F.year("acceptance") >= 1999)}
@@ -163,6 +167,11 @@ def fund_codes(spark, sf_dir):
     return sl.assigned_codes(held.select(F.col("s_suppkey").cast("string").alias("cik"), F.concat_ws(" ", "n_name", "s_name").alias("name"), (-F.col("s_acctbal")).alias("rank")))
 
 
+def long_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What sets of holders are made of, staged: the keys of long positions."""
+    return staged(folded_book(spark, sf_dir).where(po.long_equity()).select("cik", "period_end", "cusip", "put_call", "unit"), "names")
+
+
 HELD = f"(SELECT DISTINCT issuer, period_end, cik FROM book WHERE {LONG})"
 
 
@@ -171,7 +180,7 @@ HELD = f"(SELECT DISTINCT issuer, period_end, cik FROM book WHERE {LONG})"
   GROUP BY 1, 2 HAVING coalesce(n.period_end, p.period_end) <= (SELECT max(period_end) FROM book WHERE {LONG})""".replace(" AS left\n", ' AS "left"\n'))
 def holder_moves(spark, sf_dir):
     """Sets of odd and even managers, merged; nothing counts positions twice."""
-    book = staged(folded_book(spark, sf_dir), "book")
+    book = long_names(spark, sf_dir)
     numbers = hs.numbered(book.where("cast(cik as bigint) % 2 = 0"))
     numbers = staged(hs.numbered(book, numbers), "numbers")
     parts = [hs.holder_sets(book.where(f"cast(cik as bigint) % 2 = {k}"), numbers) for k in (0, 1)]
@@ -182,7 +191,7 @@ def holder_moves(spark, sf_dir):
   WHERE a.issuer < b.issuer AND a.issuer IN (SELECT issuer FROM {HELD} GROUP BY 1 ORDER BY count(*) DESC, issuer LIMIT 6) AND b.issuer IN (SELECT issuer FROM {HELD} GROUP BY 1 ORDER BY count(*) DESC, issuer LIMIT 6) GROUP BY 1, 2, 3""")
 def shared_holders(spark, sf_dir):
     """Of the six issuers that are held most often: how many managers hold two of them."""
-    book = staged(folded_book(spark, sf_dir), "book")
+    book = long_names(spark, sf_dir)
     sets = staged(hs.holder_sets(book, staged(hs.numbered(book), "numbers")), "sets")
     often = sets.groupBy("issuer_id").agg(F.sum(F.bitmap_count("holders")).alias("n")).orderBy(F.desc("n"), "issuer_id").limit(6)
     held = sets.join(F.broadcast(often.select("issuer_id")), "issuer_id").select("issuer_id", "period_end").distinct()  # six rows a quarter
