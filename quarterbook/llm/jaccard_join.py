@@ -2,9 +2,10 @@
 
 Shingles are ordered by how common they are (classes from a table of fixed size that counts all shingles) and then by
 hash. Two sets of similarity 80 % share a shingle among the first fifth of each, so documents meet under such tokens.
-Under each token every document is held against one centre; the sets of a centre's documents form a compressed
-trie, which a probe goes through sharing the overlap of common beginnings and leaving subtrees whose remaining
-lengths cannot reach the threshold. Only links that join components are kept. Documents that still stand in different
+Under each token every document is held against one centre, and then those outside the largest component there
+against two of that component; the sets of a centre's documents form a compressed trie, which a probe goes through sharing the overlap of common beginnings and leaving subtrees whose remaining
+lengths cannot reach the threshold. Only links that join components are kept, of
+several between two components one. Documents that still stand in different
 components under one token are then held against each other, after a bound on their overlap from their common
 tokens; no pair inside a component is ever written out. Equal sets are told by a digest of their shingles' words, links by the words themselves. Tokens of many documents are parted by classes of
 length; where many documents stand even in one class, blocks of parity bits (a bit for each residue of the
@@ -312,6 +313,15 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy("v").agg(F.min("u").alias("component")).select(F.col("v").alias("doc"), "component").unionAll(edges.select(F.col("u").alias("doc"), F.col("u").alias("component")).distinct())
 
 
+def merged(joined: DataFrame, links: DataFrame) -> DataFrame:
+    """components() of what made `joined` (doc, component) and further links: ends stand for their components, so that of all links between two of them one moves on."""
+    end = lambda rows, c: rows.join(joined.select(F.col("doc").alias(c), F.col("component").alias("_of")), c, "left").withColumn(c, F.coalesce("_of", c)).drop("_of")
+    over = end(end(links.distinct(), "a"), "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = staged(components(over.distinct()), "merged")
+    new = more.select(F.col("doc").alias("component"), F.col("component").alias("_new"))
+    return joined.join(new, "component", "left").select("doc", F.coalesce("_new", "component").alias("component")).unionAll(more.join(joined, "doc", "left_anti").select("doc", "component"))
+
+
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
     """id, n_shingles and component_id (the smallest id reachable by links of similarity 80 % or more) of every row.
 
@@ -382,12 +392,30 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stars = stars.groupBy("doc", "centre", "n", "m").agg(F.count("*").alias("k")).where(can_reach(F.col("k"), F.col("n"), F.col("m"))).select("centre", "doc", "n")
     links = held_against(staged(stars, "stars"))
     joined = staged(components(links), "components")
-    # what stands under one token in more than one component
-    discard(centres)
-    placed = staged(posts.join(joined, "doc", "left").withColumn("component", F.coalesce("component", "doc")), "placed")
-    open_tokens = staged(placed.groupBy("token").agg(F.count("*").alias("size"), F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("token", "size"), "open")
-    left = staged(hot_join(placed, open_tokens, ["token"], busy, by="doc"), "left")
-    discard(posts, placed, open_tokens)
+    discard(centres, links)
+
+    def apart(rows: DataFrame) -> DataFrame:
+        """token, doc, n, component and size of what stands under one token in more than one component."""
+        placed = staged(rows.select("token", "doc", "n").join(joined, "doc", "left").withColumn("component", F.coalesce("component", "doc")), "placed")
+        open_tokens = staged(placed.groupBy("token").agg(F.count("*").alias("size"), F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("token", "size"), "open")
+        left = staged(hot_join(placed, open_tokens, ["token"], busy, by="doc"), "left")
+        discard(rows, placed, open_tokens)
+        return left
+
+    # a second pass: documents outside the component that most of a token's are in meet two of that component's, chosen by hashes, so mostly the same two under all its
+    # tokens. What a first centre doesn't reach is seldom out of reach of both; else it would be paired with each document of that component.
+    left = apart(posts)
+    pick = lambda k: F.min(F.struct(F.xxhash64(F.lit(k), "doc").alias("h"), "doc", "n"))
+    cores = left.groupBy("token", "component").agg(F.count("*").alias("most"), pick(1).alias("p"), pick(2).alias("q")).groupBy("token").agg(F.max(F.struct("most", "component", "p", "q")).alias("c")).where("c.most > 1")
+    cores = cores.select("token", F.col("c.component").alias("core"), F.explode(F.array_distinct(F.array(F.struct("c.p.doc", "c.p.n"), F.struct("c.q.doc", "c.q.n")))).alias("p"))
+    cores = staged(cores.select("token", "core", F.col("p.doc").alias("centre"), F.col("p.n").alias("m")), "cores")
+    again = hot_join(left.drop("size"), cores, ["token"], busy, by="doc").where((F.col("component") != F.col("core")) & fits(F.col("n"), F.col("m")))
+    again = again.groupBy("doc", "centre", "n", "m").agg(F.count("*").alias("k")).where(can_reach(F.col("k"), F.col("n"), F.col("m"))).select("centre", "doc", "n")
+    links = held_against(staged(again, "stars"))
+    before, joined = joined, staged(merged(joined, links), "components")
+    discard(before, cores, links)
+    # all that is still apart
+    left = apart(left)
     here = F.floor(F.log("n") / F.lit(float(np.log(CLASS)))).cast("int")
     # each document of a large token is at home in its own class and a guest in the next one
     parted = left.where(F.col("size") > PAIRED).drop("size").withColumn("class", F.explode(F.array(here, here + 1))).withColumn("home", F.col("class") == here)
@@ -411,8 +439,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     likely = staged(likely.unionAll(close).groupBy("doc", "doc2").agg(F.max("n2").alias("n")).select(F.col("doc").alias("centre"), F.col("doc2").alias("doc"), "n"), "likely")
     discard(left, parted)
     more = held_against(likely)
-    joined = components(links.unionAll(more))
+    joined = merged(joined, more)
     named_sets = firsts.join(joined, firsts["_id"] == joined["doc"], "left").select("digest", "copies", F.coalesce("component", "_id").alias("component_id"))
     named_sets = staged(named_sets, "classes")
-    discard(firsts, links, more)
+    discard(firsts, more)
     return hot_join(every, named_sets.drop("copies"), ["digest"], hot_keys(named_sets, ["digest"], "copies"), by="_id", how="left").select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "_id")).cast("long").alias("component_id"))
