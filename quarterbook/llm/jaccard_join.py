@@ -2,8 +2,8 @@
 
 Shingles are ordered by how common they are (classes from a table of fixed size that counts all shingles) and then by
 hash. Two sets of similarity 80 % share a shingle among the first fifth of each, so documents meet under such tokens.
-Under each token every document is held against one centre, and then those outside the largest component there
-against two of that component; the sets of a centre's documents form a compressed trie, which a probe goes through sharing the overlap of common beginnings and leaving subtrees whose remaining
+Under each token every document is held against one centre; where many are still apart, further passes hold them
+against one of the largest component there and one of the rest; the sets of a centre's documents form a compressed trie, which a probe goes through sharing the overlap of common beginnings and leaving subtrees whose remaining
 lengths cannot reach the threshold. Only links that join components are kept, of
 several between two components one. Documents that still stand in different
 components under one token are then held against each other, after a bound on their overlap from their common
@@ -34,6 +34,8 @@ BLOCK = 512  # sets in a trie at most
 BLOCK_SHINGLES = 2_000_000  # shingles in a trie at most, by the lengths of its sets
 FEW_IDS = 500_000  # ids that are broadcast at most
 PAIRED = 128  # documents under one token that are paired; more are parted by length, and then dealt to blocks
+CROWDED = 4  # pairs still apart for each document of a token, beyond which it gets further centres
+TURNS = 6  # passes of further centres at most
 CLASS = 1.26  # lengths of a class: sets that link (at most 1.25 times as long) are in one class or in two next to each other
 
 
@@ -402,21 +404,35 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         discard(rows, placed, open_tokens)
         return left
 
-    # a second pass: documents outside the component that most of a token's are in meet two of that component's, chosen by hashes, so mostly the same two under all its
-    # tokens. What a first centre doesn't reach is seldom out of reach of both; else it would be paired with each document of that component.
-    left = apart(posts)
-    pick = lambda k: F.min(F.struct(F.xxhash64(F.lit(k), "doc").alias("h"), "doc", "n"))
-    cores = left.groupBy("token", "component").agg(F.count("*").alias("most"), pick(1).alias("p"), pick(2).alias("q")).groupBy("token").agg(F.max(F.struct("most", "component", "p", "q")).alias("c")).where("c.most > 1")
-    cores = cores.select("token", F.col("c.component").alias("core"), F.explode(F.array_distinct(F.array(F.struct("c.p.doc", "c.p.n"), F.struct("c.q.doc", "c.q.n")))).alias("p"))
-    cores = staged(cores.select("token", "core", F.col("p.doc").alias("centre"), F.col("p.n").alias("m")), "cores")
-    again = hot_join(left.drop("size"), cores, ["token"], busy, by="doc").where((F.col("component") != F.col("core")) & fits(F.col("n"), F.col("m")))
-    again = again.groupBy("doc", "centre", "n", "m").agg(F.count("*").alias("k")).where(can_reach(F.col("k"), F.col("n"), F.col("m"))).select("centre", "doc", "n")
-    links = held_against(staged(again, "stars"))
-    before, joined = joined, staged(merged(joined, links), "components")
-    discard(before, cores, links)
+    class_of = lambda n: F.floor(F.log(n) / F.lit(float(np.log(CLASS)))).cast("int")
+    # further passes under crowded tokens: documents meet one of the token's largest component, and one of those outside it in their own class of length, both chosen by a
+    # hash of the pass's own. A first centre may be alike to none of a large group, which would then be paired with itself below. Passes end when no token is crowded or the
+    # last one took less than a quarter of the pairs away; what is left is examined below.
+    left, before = apart(posts), None
+    for turn in range(TURNS):
+        pick = F.min(F.struct(F.xxhash64(F.lit(turn), "doc").alias("h"), "doc", "n")).alias("pick")
+        groups = staged(left.groupBy("token", class_of("n").alias("class"), "component").agg(F.count("*").alias("docs"), pick), "groups")
+        crowds = groups.groupBy("token", "component").agg(F.sum("docs").cast("double").alias("docs"), F.min("pick").alias("pick")).groupBy("token")
+        crowds = crowds.agg(F.sum("docs").alias("size"), F.sum(F.col("docs") ** 2).alias("within"), F.max(F.struct("docs", "component", "pick")).alias("core"))
+        crowds = staged(crowds.withColumn("pairs", (F.col("size") ** 2 - F.col("within")) / 2).where(F.col("pairs") > CROWDED * F.col("size")), "crowds")
+        pairs = crowds.agg(F.sum("pairs")).first()[0]
+        if not pairs or (before and pairs > 0.75 * before):
+            discard(groups, crowds)
+            break
+        before = pairs
+        other = F.min(F.when(F.col("component") != F.col("core.component"), F.struct("pick", "component"))).alias("other")
+        cores = groups.join(crowds.select("token", "core"), "token").groupBy("token", "class").agg(F.sum("docs").alias("docs"), F.first("core").alias("core"), other)
+        cores = staged(cores, "cores")
+        met = hot_join(left.drop("size").withColumn("class", class_of("n")), cores, ["token", "class"], hot_keys(cores, ["token", "class"], "docs"), by="doc")
+        centre = lambda c: F.struct(F.col(f"{c}.pick.doc").alias("centre"), F.col(f"{c}.pick.n").alias("m"), F.col(f"{c}.component").alias("of"))
+        near = F.filter(F.array(centre("core"), centre("other")), lambda c: (c["of"] != F.col("component")) & fits(F.col("n"), c["m"]))
+        again = met.select("doc", "n", F.explode(near).alias("c")).select("doc", "n", "c.centre", "c.m").groupBy("doc", "centre", "n", "m").agg(F.count("*").alias("k"))
+        links = held_against(staged(again.where(can_reach(F.col("k"), F.col("n"), F.col("m"))).select("centre", "doc", "n"), "stars"))
+        old, joined = joined, staged(merged(joined, links), "components")
+        discard(old, groups, crowds, cores, links)
+        left = apart(left)
     # all that is still apart
-    left = apart(left)
-    here = F.floor(F.log("n") / F.lit(float(np.log(CLASS)))).cast("int")
+    here = class_of("n")
     # each document of a large token is at home in its own class and a guest in the next one
     parted = left.where(F.col("size") > PAIRED).drop("size").withColumn("class", F.explode(F.array(here, here + 1))).withColumn("home", F.col("class") == here)
     sizes = parted.groupBy("token", "class").agg(F.count("*").alias("size"), F.count_if("home").alias("homes")).where("homes > 0").drop("homes")
