@@ -44,11 +44,11 @@ def load(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
     return optional(spark, f"{root}/builds/{current_build(spark, root)}/{name}", schema)
 
 
-def optional(spark: SparkSession, path: str, schema: str, form: str = "parquet") -> DataFrame:
+def optional(spark: SparkSession, path: str, schema: str, form: str = "parquet", **options: str) -> DataFrame:
     """What is stored at a path, or no rows where nothing is: that is an answer, not an error."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     if place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place):
-        return spark.read.schema(schema).format(form).load(path)
+        return spark.read.schema(schema).format(form).options(**options).load(path)
     return spark.createDataFrame([], schema)
 
 

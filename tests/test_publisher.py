@@ -34,6 +34,27 @@ def test_one_changed_artifact_is_one_file(spark, tmp_path):
     assert told["pruned"] == 2 and publisher.bodies(spark, root).count() == 1
 
 
+def test_many_artifacts_share_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(publisher, "MOST_FILES", 8, raising=False)
+    root, odd = str(tmp_path), "f/%\té 1"
+    rows = lambda told: spark.createDataFrame([(f"f{n}", f"{told if n in (7, 30) else ''}a\tb\r{n}") for n in range(40)] + [(odd, "\todd")], "key string, body string")
+    assert publisher.publish_artifacts(rows("one"), root, "b1")["written"] == 41 and 1 < len(files(root, "b1")) <= 8
+    assert publisher.publish_artifacts(rows("two"), root, "b2") == {"artifacts": 41, "written": 2, "kept": 39, "lost": 0, "pruned": 0} and len(files(root, "b2")) == 2
+    found = [tuple(r) for r in publisher.bodies(spark, root).collect()]
+    assert sorted(found) == sorted([(f"f{n}", f"{'two' if n in (7, 30) else ''}a\tb\r{n}") for n in range(40)] + [(odd, "\todd")])
+    assert publisher.artifact(spark, root, odd) == "\todd" and publisher.artifact(spark, root, "none") is None
+    asked = spark.createDataFrame([("f1",), ("f7",), ("none",)], "key string")
+    assert {tuple(r) for r in publisher.bodies(spark, root, asked).collect()} == {("f1", "a\tb\r1"), ("f7", "twoa\tb\r7")}
+    with pytest.raises(publisher.Refused, match="several lines"):
+        publisher.publish_artifacts(artifacts(spark, a="1\n2"), root, "b3")
+
+
+def test_files_grow_with_bytes_beyond_a_share(spark):
+    keys = spark.range(20_000).selectExpr("cast(id as string) as key")
+    count = lambda n, size: keys.select(publisher.file_of(n, size).alias("f")).distinct().count()
+    assert count(500, 1) == 20_000 and count(501, 1) == 500 and count(20_000, 1000 * publisher.BYTES_A_FILE) == 1000
+
+
 def test_a_broken_build_is_refused_before_its_pointer_moves(spark, tmp_path, monkeypatch):
     root = str(tmp_path)
     good = artifacts(spark, a="1", b="2", c="3")
