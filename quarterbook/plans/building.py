@@ -15,9 +15,9 @@ from ..operators import positions as po
 from ..operators import selection as sl
 from ..sources.commits import removed
 from ..sources.publisher import bodies, listing, publish_artifacts
-from ..sources.staging import shared_folder, staged
+from ..sources.staging import discard, shared_folder, staged
 from ..streaming.bookstore import BookStore
-from .adapter import LONG, records, tables
+from .adapter import LONG, lines_of, records, tables
 from .queries import ORACLES, QUERIES, folded_book, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -33,12 +33,13 @@ ROWS_A_BUCKET = 5_000_000
 
 def _kept(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of a store that took in originals, then new holdings, and then all other amendments, with some that came before once more."""
-    store = BookStore(_folder(spark, "store"), buckets=1 + po.rows_of(tables(spark, sf_dir)[1]) // ROWS_A_BUCKET)
+    store = BookStore(_folder(spark, "store"), buckets=1 + lines_of(spark, sf_dir) // ROWS_A_BUCKET)
     every = staged(records(spark, sf_dir), "records")
     added = F.coalesce(F.col("amendment_type") == "NEW HOLDINGS", F.lit(False))
     batches = {"originals": ~F.col("is_amendment"), "added": added, "others": (F.col("is_amendment") & ~added) | (F.year("acceptance") >= 1999)}
     for tag, which in batches.items():
         store.ingest(every.where(which), tag)
+    discard(every)
     rows = staged(store.live(spark, table), "kept")
     removed(spark, store.root)
     return rows
