@@ -31,8 +31,8 @@ def _folder(spark: SparkSession, label: str) -> str:
 ROWS_A_BUCKET = 5_000_000
 
 
-def _kept(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table of a store that took in originals, then new holdings, and then all other amendments, with some that came before once more."""
+def _kept(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
+    """Columns of a table of a store that took in originals, then new holdings, and then all other amendments, with some that came before once more."""
     store = BookStore(_folder(spark, "store"), buckets=1 + lines_of(spark, sf_dir) // ROWS_A_BUCKET)
     every = staged(records(spark, sf_dir), "records")
     added = F.coalesce(F.col("amendment_type") == "NEW HOLDINGS", F.lit(False))
@@ -40,7 +40,7 @@ def _kept(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     for tag, which in batches.items():
         store.ingest(every.where(which), tag)
     discard(every)
-    rows = staged(store.live(spark, table), "kept")
+    rows = staged(store.live(spark, table).select(*columns), "kept")
     removed(spark, store.root)
     return rows
 
@@ -48,12 +48,12 @@ def _kept(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 @query("SELECT cik, period_end, cusip, put_call, unit, value_usd, shares, row_count FROM book")
 def incremental_books(spark, sf_dir):
     """Books of a store that was filled batch by batch, against a fold of everything at once."""
-    return _kept(spark, sf_dir, "books").select("cik", "period_end", "cusip", "put_call", "unit", "value_usd", "shares", "row_count")
+    return _kept(spark, sf_dir, "books", "cik", "period_end", "cusip", "put_call", "unit", "value_usd", "shares", "row_count")
 
 
 @query("SELECT cik, period_end, cusip, put_call, unit, action, suppressed, withheld, d_shares, d_value FROM told")
 def incremental_changes(spark, sf_dir):
-    return _kept(spark, sf_dir, "changes").select("cik", "period_end", "cusip", "put_call", "unit", "action", "suppressed", "withheld", "d_shares", "d_value")
+    return _kept(spark, sf_dir, "changes", "cik", "period_end", "cusip", "put_call", "unit", "action", "suppressed", "withheld", "d_shares", "d_value")
 
 
 LINE = "concat_ws('|', cusip, put_call, unit, CAST(value_usd AS varchar), CAST(shares AS varchar))"

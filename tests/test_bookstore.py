@@ -124,3 +124,43 @@ def test_a_stream_fills_the_store(spark, tmp_path):
     assert book(spark, store) == {("1", Q2, "A"): (1, 10), ("2", Q2, "A"): (4, 40), ("3", Q3, "A"): (5, 50)}
     marked = spark.read.parquet(f"{store.root}/touched/batch=1")
     assert {(r.cik, r.period_end) for r in marked.collect()} == {("2", Q1), ("2", Q2), ("2", Q3), ("3", Q2), ("3", Q3), ("3", Q4)}
+
+
+def test_rows_are_written_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(bookstore, "WHOLE", 3)
+    store = BookStore(str(tmp_path / "s"), buckets=1)
+    stored = lambda: {p: spark.read.parquet(p).select(F.explode("rows").alias("r")).select("r.cusip").collect() for p in glob.glob(f"{tmp_path}/s/rows/*/*/*/*.parquet")}
+    versions = lambda: sorted(sorted(r.cusip for r in rows) for rows in stored().values())
+    live = lambda: sorted((r.accession, r.cusip, r.shares) for r in store.live(spark, "rows").collect())
+    store.ingest(folder(spark, record("a", "1", Q2, 1, ("A", 1, 10), ("B", 2, 20)), record("b", "2", Q2, 1, ("C", 3, 30))), "one")
+    store.ingest(folder(spark, record("a", "1", Q2, 5, ("A", 4, 40))), "two")
+    assert versions() == [["A"], ["A", "B", "C"]]  # what stays in the partition is not written again
+    assert live() == [("a", "A", 4), ("b", "C", 3)] and book(spark, store) == {("1", Q2, "A"): (4, 40), ("2", Q2, "C"): (3, 30)}
+    store.ingest(folder(spark, record("a", "1", Q2, 2, ("A", 9, 90))), "older")
+    assert live() == [("a", "A", 4), ("b", "C", 3)]
+    # of three versions what counts is written whole, and those before may go
+    store.ingest(folder(spark, record("d", "4", Q2, 5, ("D", 5, 50))), "four")
+    assert versions() == [["A"], ["A"], ["A", "B", "C"], ["A", "C"], ["D"]] and live() == [("a", "A", 4), ("b", "C", 3), ("d", "D", 5)]
+    store.vacuum(spark)
+    assert versions() == [["A", "C"], ["D"]] and live() == [("a", "A", 4), ("b", "C", 3), ("d", "D", 5)]
+    store.ingest(folder(spark, record("b", "2", Q2, 9, ("C", 6, 60))), "five")
+    assert book(spark, store) == {("1", Q2, "A"): (4, 40), ("2", Q2, "C"): (6, 60), ("4", Q2, "D"): (5, 50)}
+
+
+def test_a_partition_is_a_file(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(po, "share", lambda *_: 2)  # fewer tasks than spark.sql.shuffle.partitions
+    store = BookStore(str(tmp_path / "s"), buckets=2)
+    store.ingest(folder(spark, *[record(f"{k}-{q}", str(k), q, 1, ("A", k + 1, 10)) for k in range(9) for q in (Q1, Q2)]), "one")
+    for table in ("filings", "rows", "books", "changes"):
+        files = glob.glob(f"{tmp_path}/s/{table}/*/*/*/*.parquet")
+        assert files and len(files) == len({f.rsplit("/", 1)[0] for f in files})
+
+
+def test_facts_of_records_are_those_of_their_rows(spark):
+    rows = {"even": [("A", None, "SH", 2, 10), ("B", None, "SH", 3, 7), ("C", "Put", "SH", 1, 1000), ("D", None, "PRN", 1, 1000)], "odd": [("A", None, "SH", 3, 1), ("B", None, "SH", 7, 1), ("C", None, "SH", 11, 1)],
+            "unpriced": [("A", None, "SH", 0, 5), ("B", None, "SH", None, 6), ("C", None, None, 1, 6)], "worthless": [("A", None, "SH", 1, None)], "none": None, "empty": []}
+    records = spark.createDataFrame([(k, v and [(n, c, p, u, s, x, 0, 0, 0, c, "COM", None) for n, (c, p, u, s, x) in enumerate(v)] if v != [] else []) for k, v in rows.items()], f"accession string, rows {dict(f.split(' ', 1) for f in RECORD.split(', ', 10)[-1:])['rows']}")
+    flat = po.filing_facts(records.select("accession", F.explode("rows").alias("r")).select("accession", "r.*"))
+    names = ("accession", "raw_total", "entries", "median_price")
+    whole = records.select("accession").join(flat, "accession", "left")
+    assert {tuple(r) for r in po.told_facts(records).select(*names).collect()} == {tuple(r) for r in whole.select(*names).collect()}
